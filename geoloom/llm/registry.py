@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from geoloom.llm import sharding
+from geoloom.llm import packing, sharding, simhash
 
 
 def queries():
     return {
+        "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op5_harmonic_packing": packing.op5_harmonic_packing,
         "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
     }
 
