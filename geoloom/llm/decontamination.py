@@ -31,6 +31,13 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return windows.select("item_id", "n", F.xxhash64("window").alias("window_hash"), "window").distinct()
 
 
+def _marked_windows(n: int) -> Column:
+    """The windows of n words that start in the first BLOCK words of `part`, as structs of start, n and hash."""
+    last = F.least(F.size("part") - n, F.lit(BLOCK - 1))
+    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.xxhash64(F.slice("part", i + 1, n)).alias("hash")))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, row: str, size: int = WINDOW) -> DataFrame:
     """`(row, n_words, at, n, item_ids)`: one line for each row of `docs` with at null, and one for each occurring window.
 
@@ -51,10 +58,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, row: str, size: int = WINDOW) ->
     blocked = split.select("row", n_words.alias("n_words"), F.inline(blocks))
     none = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("hash"))
     marks = [F.array(none)]
-    for n in lengths:
-        last = F.least(F.size("part") - n, F.lit(BLOCK - 1))
-        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        marks.append(F.transform(starts, lambda i, n=n: F.struct(i.alias("i"), F.lit(n).alias("n"), F.xxhash64(F.slice("part", i + 1, n)).alias("hash"))))
+    marks += [_marked_windows(n) for n in lengths]
     seen = blocked.select("row", "n_words", "base", "part", F.inline(F.concat(*marks)))
     part = F.slice("part", F.greatest(F.col("i"), F.lit(0)) + 1, F.col("n"))
     again = lambda window: F.xxhash64(F.lit("again"), window)
