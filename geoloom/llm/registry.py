@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from geoloom.llm import packing, sharding, simhash
+from geoloom.llm import decontamination, langid, packing, quality, sharding, simhash
 
 
 def queries():
     return {
+        "op2_language_id": langid.op2_language_id,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
         "op5_harmonic_packing": packing.op5_harmonic_packing,
         "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
+        "op8_quality_rules": quality.op8_quality_rules,
     }
 
 
 def oracle_sql():
     return {
+        "op4_benchmark_decontamination": decontamination.OP4_SQL,
         "op6_rendezvous_sharding": sharding.OP6_SQL,
     }
