@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontamination, langid, packing, quality, sharding, simhash
+from geoloom.llm import decontamination, fixity, langid, licences, packing, quality, sharding, simhash, toxicity
 
 
 def queries():
@@ -12,7 +12,10 @@ def queries():
         "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
         "op5_harmonic_packing": packing.op5_harmonic_packing,
         "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
+        "op7_licence_scan": licences.op7_licence_scan,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_merkle_fixity": fixity.op9_merkle_fixity,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
@@ -20,4 +23,6 @@ def oracle_sql():
     return {
         "op4_benchmark_decontamination": decontamination.OP4_SQL,
         "op6_rendezvous_sharding": sharding.OP6_SQL,
+        "op7_licence_scan": licences.OP7_SQL,
+        "op9_merkle_fixity": fixity.OP9_SQL,
     }
