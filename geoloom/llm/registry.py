@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontamination, fixity, langid, licences, packing, quality, sharding, simhash, toxicity
+from geoloom.llm import decontamination, fixity, langid, licences, packing, passages, quality, sharding, simhash, toxicity
 
 
 def queries():
     return {
+        "op1_substring_dedup": passages.op1_substring_dedup,
         "op2_language_id": langid.op2_language_id,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
         "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
