@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from geoloom.plans import areas, conflation, elements, grids, profiles, scalar, weather  # noqa: F401
+from geoloom.plans.register import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
+def queries():
+    return dict(QUERIES)
 
 
-def query(name: str, sql: str | None = None):
-    """Register a `(spark, sf_dir) -> DataFrame` function, with its oracle where SQL can express it."""
-
-    def add(function):
-        _QUERIES[name] = function
-        if sql is not None:
-            _ORACLES[name] = sql
-        return function
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
-
-
-def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+def oracle_sql():
+    return dict(ORACLES)
