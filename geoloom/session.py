@@ -50,3 +50,15 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df: DataFrame, column: str) -> DataFrame:
+    """`df` as a bucketed table in the checkpoint folder: later joins on `column` read it where it lies, without a shuffle."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="geoloom-checkpoint-"))
+    name = f"geoloom_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column)
+    writer.option("path", f"{context.getCheckpointDir()}/{name}").saveAsTable(name)
+    return spark.table(name)

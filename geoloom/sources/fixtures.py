@@ -93,4 +93,6 @@ def oracle(body: str) -> str:
     body = plain(body).strip()
     if not ctes:
         return body
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"
