@@ -134,3 +134,37 @@ def cell_jitter(x: Column, z: Column) -> tuple[Column, Column]:
 
 
 
+def roof_colour(v: Column, street: Column, luminance: Column) -> Column:
+    """One channel of a roof's colour, white-balanced by the street's and spread round a grey of 88 with gamma 1.3."""
+    balanced = v * luminance / F.greatest(street, F.lit(1))
+    return F.when(luminance < 8, v).otherwise(clamp(F.floor(88 * F.pow(balanced / luminance, F.lit(1.3)) + 0.5), 0, 255))
+
+
+def channel_depth(deepest: Column, distance: Column, half_width: Column) -> Column:
+    """Parabolic bed of a channel, at least 1."""
+    across = F.least(distance / (half_width + 1.0), F.lit(1.0))
+    return F.greatest(F.floor(deepest * (1 - across * across) + 0.5), F.lit(1))
+
+
+# Zones of the climate classes that have one zone each.
+KOEPPEN = {"Af": "TROPICAL_HUMID", "Am": "TROPICAL_HUMID", "Aw": "SAVANNA", "BSh": "SAVANNA", "BWh": "ARID", "BWk": "ARID", "Csa": "SUBTROPICAL", "Cwa": "SUBTROPICAL", "Cfa": "SUBTROPICAL", "Cfc": "TAIGA", "Dfc": "TAIGA", "Dfd": "TAIGA", "EF": "ICE_CAP"}
+ZONE_RANK = {"ICE_CAP": 0, "TUNDRA": 1, "ALPINE": 1, "TAIGA": 2, "TEMPERATE": 3}
+
+
+def climate_zone(koeppen: Column, t: Column, elevation: Column, abs_lat: Column, rain: Column, above_cell: Column) -> Column:
+    """Zone of a place: by class; far above its cell or over 2,600 m only colder, far below only warmer up to temperate."""
+    zone = F.when(koeppen == "BSk", F.when(rain < 250, "ARID").when(t >= 15, "SAVANNA").otherwise("TEMPERATE"))
+    zone = zone.when(koeppen.isin("Dfb", "Dwb", "Dsb"), F.when(t < 4, "TAIGA").otherwise("TEMPERATE")).when(koeppen == "ET", F.when((elevation > 1500) & (abs_lat < 60), "ALPINE").otherwise("TUNDRA"))
+    for k, z in KOEPPEN.items():
+        zone = zone.when(koeppen == k, z)
+    zone = zone.otherwise("TEMPERATE")
+    own = F.when((t < -6) | (elevation > 4800), "ICE_CAP").when((elevation > 2600) & (t < 8), "ALPINE").when(t < 1, "TUNDRA").when(t < 7.5, "TAIGA").when(t < 16, "TEMPERATE")
+
+    def rank(z: Column) -> Column:
+        out = F.lit(4)
+        for name, r in ZONE_RANK.items():
+            out = F.when(z == name, r).otherwise(out)
+        return out
+
+    high = (above_cell > 400) | (elevation > 2600)
+    return F.when(high & own.isNotNull() & (rank(own) < rank(zone)), own).when(~high & (above_cell < -400) & own.isNotNull() & (rank(own) > rank(zone)), own).otherwise(zone)

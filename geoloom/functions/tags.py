@@ -136,3 +136,62 @@ def default_levels(building: Column, identifier: Column) -> Column:
     draw = F.pmod(F.pmod(identifier, F.lit(1_000_003)) * 7919 + 104729, F.lit(1_000_003))
     few, many = F.pmod(draw, F.lit(2)), F.pmod(draw, F.lit(4))
     return F.when(building == "garage", 1).when(building == "house", 1 + few).when(building == "apartments", 3 + many).when(building == "church", 1).otherwise(2 + few)
+
+
+# Kinds of the water tag, and values and words that make water tidal.
+WATER = {
+    "lake": "LAKE", "oxbow": "LAKE", "pond": "POND", "fishpond": "POND", "moat": "POND", "reflecting_pool": "POND", "pool": "POND", "reservoir": "RESERVOIR", "wastewater": "RESERVOIR", "river": "RIVER", "rapids": "RIVER", "canal": "CANAL", "lock": "CANAL", "stream": "STREAM", "stream_pool": "STREAM",
+    "ditch": "DITCH", "drain": "DITCH", "basin": "BASIN", "lagoon": "SEA", "harbour": "SEA", "harbor": "SEA", "bay": "SEA", "fjord": "SEA", "strait": "SEA", "tidal": "SEA", "sea": "SEA", "ocean": "SEA",
+}
+TIDAL_WORDS = ["fjord", "harbour", "harbor", "sound"]
+
+
+def water_kind(tag: Tag) -> Column:
+    """Kind of a water area, null if it is none."""
+    landuse, natural, waterway, water = tag("landuse"), tag("natural"), tag("waterway"), tag("water")
+    return (
+        F.when(tag("leisure") == "swimming_pool", "SWIMMING_POOL").when(tag("amenity") == "fountain", "FOUNTAIN_BASIN").when(waterway == "dock", "SEA").when(waterway == "riverbank", "RIVER")
+        .when(landuse == "reservoir", "RESERVOIR").when(landuse.isin("basin", "salt_pond", "aquaculture"), "BASIN").when(natural.isin("bay", "strait"), "SEA")
+        .when(water.isNotNull(), F.coalesce(mapped(water, WATER), F.lit("LAKE"))).when(natural == "water", "LAKE")
+    )
+
+
+def is_tidal(tag: Tag) -> Column:
+    said = F.coalesce(~tag("tidal").isin("no", "false", "0"), F.lit(False))
+    by_kind = F.coalesce(mapped(tag("water"), WATER) == "SEA", F.lit(False)) | F.coalesce(tag("natural").isin("bay", "strait"), F.lit(False))
+    return said | by_kind | F.coalesce(F.lower(tag("name")).rlike("|".join(TIDAL_WORDS)), F.lit(False))
+
+
+# Stems of rock words by rock, in the order in which they are tried; ^ marks the beginning of a word.
+ROCK_STEMS: list[tuple[str, str]] = [
+    ("GNEISS", "gneis|gnais|migmatit|granulit|metamorf|metamorph"),
+    ("MARBLE", "marbl|marmor|marmo|limestone|calcair|caliz|calcar|kalkstein|^kalk|dolomi|carbonat|chalk|craie|travertin|^lime|gyps|gesso|anhydrit|evaporit"),
+    ("GRANITE", "granodiorit|granit|monzonit|syenit|sienit|charnockit|pegmatit|aplit|larvikit|plutoni|batholit|felsic|intrusi"),
+    ("DIORITE", "quartzit|quarzit|cuarcit|anorthosit|anortosit|diorit|tonalit|trondhjemit|chert|^silex|^flint|radiolarit"),
+    ("BASALT", "basalt"),
+    ("MAFIC", "gabbro|gabro|norit|amphibolit|anfibolit|greenstone|diabas|dolerit|eclogit|peridotit|serpentin|pyroxenit|ultramafi|ophiolit|mafi"),
+    ("SCHIST", "schist|schiefer|esquist|scist|phyllit|slate|ardois|pizarr|ardesi|shale|argillit|mudstone|siltstone|claystone|pelit|wacke|grauvac|grauwac|turbidit|flysch|^marl|^marn|mergel|tuff|^tuf|toba"),
+    ("SANDSTONE", "sandstone|sandstein|^gres|arenisc|arenit|arenari|arkos|conglomer|siliciclast|^clastic"),
+    ("VOLCANIC", "rhyolit|riolit|dacit|andesit|trachyt|porphyr|porfir|volcan|vulcan|vulkan|ignimbrit|pyroclast|brecci|^brech|latit|phonolit|obsidian|^lava"),
+    ("LOOSE", "alluvi|aluvi|^sand|gravel|^kies|^clay|argil|^silt|^mud|^loess|^till|morain|^peat|colluvi|unconsolidat|sediment|deposit|^dune|glacia|fluvi|lacustr|eolian"),
+]
+ADJECTIVE = "(ic|ics|ique|iques|ico|ica|icos|icas|isch|ische|ischer|ed|ive|ivo|iva|oid|ous|ose|oso|osa|ary|aire|ario|aria)$"
+_ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def rock(text: Column) -> Column:
+    """The rock that a description names: the first noun, else the last adjective (mafic and volcanic: basalt), else loose ground."""
+    words = F.filter(F.split(F.translate(F.lower(text), _ACCENTED, _PLAIN), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
+
+    def named(w: Column) -> Column:
+        out = None
+        for name, stems in ROCK_STEMS:
+            out = F.when(w.rlike(stems), name) if out is None else out.when(w.rlike(stems), name)
+        return F.struct(out.alias("rock"), w.rlike(ADJECTIVE).alias("adjective"))
+
+    hits = F.filter(F.transform(words, named), lambda h: h["rock"].isNotNull())
+    nouns = F.filter(hits, lambda h: ~h["adjective"] & (h["rock"] != "LOOSE"))
+    adjectives = F.filter(hits, lambda h: h["adjective"] & (h["rock"] != "LOOSE"))
+    last = F.try_element_at(adjectives, F.lit(-1))["rock"]
+    mafic = F.exists(adjectives, lambda h: h["rock"] == "MAFIC")
+    return F.coalesce(F.get(nouns, F.lit(0))["rock"], F.when((last == "VOLCANIC") & mafic, "BASALT").otherwise(last), F.when(F.size(hits) > 0, "LOOSE"))

@@ -80,3 +80,50 @@ def point_profile(points: DataFrame, layers: dict[str, DataFrame], keys: list[st
     return out
 
 
+
+
+def crossings(points: DataFrame, layers: DataFrame, step_e7: int = 20_000, piece_m: float = 60.0) -> DataFrame:
+    """Where a way crosses one of a lower layer: `(way_id, other_id, along, drop)`, metres along the upper way.
+
+    Segments are filed under the cells along them and meet in neighbouring cells; crossings at the ends don't count.
+    """
+    from geoloom.operators.spatial import near_pairs
+
+    seg = segments(points, "way_id", "seq").join(layers.select("way_id", "layer"), "way_id")
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.col("metres") / piece_m).cast("int")), lambda k: k / F.greatest(F.ceil(F.col("metres") / piece_m), F.lit(1)))
+    filed = seg.withColumn("t", F.explode(pieces)).withColumns({"g_lat": F.col("lat_e7") + F.col("t") * (F.col("lat2_e7") - F.col("lat_e7")), "g_lon": F.col("lon_e7") + F.col("t") * (F.col("lon2_e7") - F.col("lon_e7"))})
+    side = lambda p: filed.select(*[F.col(c).alias(f"{p}_{c}") for c in ("way_id", "seq", "layer", "lat_e7", "lon_e7", "lat2_e7", "lon2_e7", "before", "metres", "g_lat", "g_lon")])
+    pairs = near_pairs(side("a"), side("b"), step_e7, ("a_g_lat", "a_g_lon"), ("b_g_lat", "b_g_lon")).where("a_way_id <> b_way_id and a_layer > b_layer")
+    pairs = pairs.drop("a_g_lat", "a_g_lon", "b_g_lat", "b_g_lon").distinct()
+    ay, ax, by, bx = (F.col(c).cast("double") for c in ("a_lat_e7", "a_lon_e7", "b_lat_e7", "b_lon_e7"))
+    ry, rx, sy, sx = F.col("a_lat2_e7") - ay, F.col("a_lon2_e7") - ax, F.col("b_lat2_e7") - by, F.col("b_lon2_e7") - bx
+    det = rx * sy - ry * sx
+    safe = F.when(det == 0, F.lit(1.0)).otherwise(det)
+    t, u = ((bx - ax) * sy - (by - ay) * sx) / safe, ((bx - ax) * ry - (by - ay) * rx) / safe
+    met = pairs.withColumns({"det": det, "t": t, "u": u}).where("det <> 0 and t > 0 and t < 1 and u > 0 and u < 1")
+    out = met.groupBy(F.col("a_way_id").alias("way_id"), F.col("b_way_id").alias("other_id"))
+    return out.agg(F.min(F.col("a_before") + F.col("t") * F.col("a_metres")).alias("along"), F.max(F.col("a_layer") - F.col("b_layer")).alias("drop"))
+
+
+def oriented_box(points: DataFrame, line: str = "way_id", order: str = "seq") -> DataFrame:
+    """Box along the longest segment of each line: bearing (0 to 180), half length and half width in metres."""
+    seg = segments(points, line, order)
+    longest = seg.groupBy(line).agg(F.max_by(F.struct("dx", "dy"), F.struct(F.round("metres", 6), -F.col(order))).alias("d"), F.min_by("lat_e7", order).alias("lat0"), F.min_by("lon_e7", order).alias("lon0"))
+    longest = longest.withColumn("a", F.atan2("d.dx", "d.dy"))
+    scale = 111320.0
+    p = points.join(longest, line)
+    y, x = (F.col("lat_e7") - F.col("lat0")) / 1e7 * scale, (F.col("lon_e7") - F.col("lon0")) / 1e7 * scale * F.cos(F.radians(F.col("lat0") / 1e7))
+    turned = p.withColumns({"u": x * F.sin("a") + y * F.cos("a"), "v": x * F.cos("a") - y * F.sin("a")})
+    return turned.groupBy(line).agg(F.pmod(F.degrees(F.first("a")), F.lit(180.0)).alias("bearing"), ((F.max("u") - F.min("u")) / 2).alias("half_length"), ((F.max("v") - F.min("v")) / 2).alias("half_width"))
+
+
+def best_entry(cells: DataFrame, roads: DataFrame, body: str, reach: int = 4) -> DataFrame:
+    """The edge cell of each body that is nearest to a road within `reach` cells: `(body, x, z, d2)`; ties by place."""
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    next_to = cells.select(body, "x", "z", F.inline(around)).select(body, "x", "z", (F.col("x") + F.col("a")).alias("nx"), (F.col("z") + F.col("b")).alias("nz"))
+    held = cells.select(body, F.col("x").alias("nx"), F.col("z").alias("nz"))
+    edge = next_to.join(held, [body, "nx", "nz"], "left_anti").select(body, "x", "z").distinct()
+    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)])
+    met = edge.select(body, "x", "z", F.inline(near)).withColumns({"rx": F.col("x") + F.col("a"), "rz": F.col("z") + F.col("b")}).join(roads.select(F.col("x").alias("rx"), F.col("z").alias("rz")).distinct(), ["rx", "rz"])
+    scored = met.withColumn("d2", F.col("a") * F.col("a") + F.col("b") * F.col("b"))
+    return scored.groupBy(body).agg(F.min(F.struct("d2", "x", "z")).alias("best")).select(body, "best.x", "best.z", "best.d2")

@@ -238,3 +238,38 @@ def shoulders(read):
     met = offsets(g.where(~on), square(3)).join(road, ["pr", "pc"]).withColumn("d2", F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"))
     n = met.groupBy("r", "c", "value").agg(F.min_by("h", F.struct("d2", "pr", "pc")).alias("h"), F.sqrt(F.min("d2")).alias("d"))
     return n.select("r", "c", F.round(F.col("h") + (F.col("value") - F.col("h")) * F.least(F.col("d") / 4.0, F.lit(1.0)), 4).alias("height"))
+
+
+@query(
+    "jn42_crossings",
+    f"""WITH {_PRE}, s AS (SELECT p.*, layer FROM pre p JOIN {{ways}} USING (way_id)), c AS (SELECT a.way_id, b.way_id AS other_id, a.before, a.metres, a.layer - b.layer AS d, CAST(a.lat2 - a.lat_e7 AS DOUBLE) AS ry, CAST(a.lon2 - a.lon_e7 AS DOUBLE) AS rx, CAST(b.lat2 - b.lat_e7 AS DOUBLE) AS sy, CAST(b.lon2 - b.lon_e7 AS DOUBLE) AS sx, CAST(b.lat_e7 - a.lat_e7 AS DOUBLE) AS qy, CAST(b.lon_e7 - a.lon_e7 AS DOUBLE) AS qx
+      FROM s a JOIN s b ON a.way_id <> b.way_id AND a.layer > b.layer AND abs(a.lat_e7 - b.lat_e7) < 15000 AND abs(a.lon_e7 - b.lon_e7) < 15000),
+    t AS (SELECT *, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS t, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS u FROM c WHERE rx * sy - ry * sx <> 0)
+    SELECT way_id, other_id, round(min(before + t * metres), 3) AS along, max(d) AS "drop" FROM t WHERE t > 0 AND t < 1 AND u > 0 AND u < 1 GROUP BY 1, 2""",
+)
+def crossed(read):
+    """JN-42: where a way passes over one of a lower layer."""
+    got = regions.crossings(read("way_points").select("way_id", "seq", "lat_e7", "lon_e7"), read("ways").select("way_id", "layer"))
+    return got.withColumn("along", F.round("along", 3))
+
+
+@query("sc22_oriented_boxes")
+def oriented(read):
+    """SC-22: box along the longest segment."""
+    b = regions.oriented_box(read("way_points").select("way_id", "seq", "lat_e7", "lon_e7"))
+    return b.select("way_id", F.round("bearing", 3).alias("bearing"), F.round("half_length", 3).alias("half_length"), F.round("half_width", 3).alias("half_width"))
+
+
+_SHAPES = "cells AS (SELECT shape_order, x, z FROM {selection_shapes}, range(0, 60) a(x), range(0, 50) b(z) WHERE x >= x0 AND x < x1 AND z >= z0 AND z < z1)"
+
+
+@query("ag31_best_entry", f"""WITH {_SHAPES}, e AS (SELECT DISTINCT c.shape_order, c.x, c.z FROM cells c, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(a, b) WHERE NOT EXISTS (SELECT 1 FROM cells k WHERE k.shape_order = c.shape_order AND k.x = c.x + a AND k.z = c.z + b)), r AS (SELECT x, z FROM range(-5, 70) a(x), range(-5, 60) b(z) WHERE (x + 2 * z) % 11 = 0 AND x >= 0 AND z >= 0)
+    SELECT e.shape_order, CAST(min_by(e.x, ((e.x - r.x) ** 2 + (e.z - r.z) ** 2, e.x, e.z)) AS INTEGER) AS x, CAST(min_by(e.z, ((e.x - r.x) ** 2 + (e.z - r.z) ** 2, e.x, e.z)) AS INTEGER) AS z, CAST(min((e.x - r.x) ** 2 + (e.z - r.z) ** 2) AS INTEGER) AS d2 FROM e JOIN r ON abs(e.x - r.x) <= 4 AND abs(e.z - r.z) <= 4 GROUP BY 1""")
+def entries(read):
+    """AG-31: the edge cell of each body nearest to a road."""
+    from geoloom.plans.areas import shape_cells
+
+    cells = shape_cells(read)
+    xs = read("selection_shapes").select(F.explode(F.sequence(F.lit(0), F.lit(69))).alias("x")).distinct()
+    roads = xs.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(59)))).where((F.col("x") + 2 * F.col("z")) % 11 == 0)
+    return regions.best_entry(cells, roads, "shape_order")

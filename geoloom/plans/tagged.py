@@ -100,3 +100,51 @@ def pixels(read):
     red, green, blue = physics.rgb_of_elevation(F.col("value").cast("double"))
     p = read("grid").where("value is not null").select("r", "c", red.alias("red"), green.alias("green"), blue.alias("blue"))
     return p.select("r", "c", F.col("red").cast("bigint").alias("red"), F.col("green").cast("bigint").alias("green"), physics.elevation_of_rgb(F.col("red"), F.col("green"), F.col("blue")).cast("double").alias("again"))
+
+
+fixtures.SQL["waters"] = "SELECT id, size, " + ", ".join(f"{_cycle(v, p, b)} AS {k}" for k, v, p, b in (("water", list(tags.WATER), 3, 9), ("natural", ["water", "bay", "wood"], 5, 3), ("landuse", ["reservoir", "basin", "forest"], 7, 8), ("leisure", ["swimming_pool", "park"], 11, 9), ("waterway", ["dock", "riverbank", "river"], 13, 12), ("tidal", ["yes", "no"], 17, 7), ("name", ["Oslofjord", "Old Sound", "Lake"], 19, 6))) + " FROM {buildings}"
+
+
+@query(
+    "sc41_water_kind",
+    f"""SELECT id, CASE WHEN leisure = 'swimming_pool' THEN 'SWIMMING_POOL' WHEN waterway = 'dock' THEN 'SEA' WHEN waterway = 'riverbank' THEN 'RIVER' WHEN landuse = 'reservoir' THEN 'RESERVOIR' WHEN landuse = 'basin' THEN 'BASIN' WHEN "natural" = 'bay' THEN 'SEA' WHEN water IS NOT NULL THEN {_case("water", tags.WATER)} WHEN "natural" = 'water' THEN 'LAKE' END AS kind,
+      coalesce(tidal = 'yes', false) OR coalesce({_case("water", tags.WATER)} = 'SEA', false) OR coalesce("natural" = 'bay', false) OR coalesce(name IN ('Oslofjord', 'Old Sound'), false) AS tidal FROM {{waters}}""",
+)
+def waters(read):
+    """SC-41: kind of a water area and the tidal test."""
+    tag = lambda k: F.col(k) if k in ("water", "natural", "landuse", "leisure", "waterway", "tidal", "name") else F.lit(None).cast("string")
+    return read("waters").select("id", tags.water_kind(tag).alias("kind"), tags.is_tidal(tag).alias("tidal"))
+
+
+_ROCKS = [("Granodiorite and gneiss", "GRANITE"), ("granitic gneiss", "GNEISS"), ("mafic-intermediate volcanic rocks", "BASALT"), ("basaltic andesite", "VOLCANIC"), ("Kalkstein, Mergel", "MARBLE"), ("alluvial sand", "LOOSE"), ("roches métamorphiques", "GNEISS"), ("nothing known", None), ("esquistos y pizarras", "SCHIST"), ("dépôts de plage", None)]
+fixtures.SQL["descriptions"] = "SELECT id, CASE id % 10 " + " ".join(f"WHEN {k} THEN '{t}'" for k, (t, _) in enumerate(_ROCKS)) + " END AS text FROM {buildings}"
+
+
+@query("sc37_rocks", "SELECT id, CASE id % 10 " + " ".join(f"WHEN {k} THEN '{r}'" for k, (_, r) in enumerate(_ROCKS) if r) + " END AS rock FROM {buildings}")
+def rocks(read):
+    """SC-37: the rock of a description, against answers worked out by hand."""
+    return read("descriptions").select("id", tags.rock(F.col("text")).alias("rock"))
+
+
+@query("sc49_ag28_roofs_and_channels", """WITH c AS (SELECT r, c, (value + 1000) % 256 AS v, (value * 3 + 4000) % 256 AS street, (value + 700) % 150 AS lum FROM {grid} WHERE value IS NOT NULL) SELECT r, c, CAST(CASE WHEN lum < 8 THEN v ELSE least(greatest(floor(88 * ((v * lum / CAST(greatest(street, 1) AS DOUBLE)) / lum) ** 1.3 + 0.5), 0), 255) END AS BIGINT) AS roof, CAST(greatest(floor(6 * (1 - least((c % 9) / 6.0, 1) ** 2) + 0.5), 1) AS BIGINT) AS depth FROM c""")
+def roofs(read):
+    """SC-49, AG-28: roof colour by the street's colour, parabolic channel bed."""
+    v = F.col("value")
+    c = read("grid").where("value is not null").select("r", "c", F.pmod(v + 1000, F.lit(256)).alias("v"), F.pmod(v * 3 + 4000, F.lit(256)).alias("street"), F.pmod(v + 700, F.lit(150)).alias("lum"))
+    return c.select("r", "c", physics.roof_colour(F.col("v"), F.col("street"), F.col("lum")).cast("bigint").alias("roof"), physics.channel_depth(F.lit(6.0), F.col("c") % 9, F.lit(5.0)).cast("bigint").alias("depth"))
+
+
+_KG = [*physics.KOEPPEN, "BSk", "Dfb", "ET", "Cfb"]
+fixtures.SQL["climates"] = "SELECT id, CAST(size AS DOUBLE) - 20 AS t, CAST(id * 37 % 5200 AS DOUBLE) AS elev, CAST(id % 80 AS DOUBLE) AS lat, CAST(id * 11 % 900 AS DOUBLE) AS rain, CAST(id * 13 % 1400 - 700 AS DOUBLE) AS dz, " + _cycle(_KG, 7, 0) + " AS kg FROM {buildings}"
+_RANK = "CASE {z} WHEN 'ICE_CAP' THEN 0 WHEN 'TUNDRA' THEN 1 WHEN 'ALPINE' THEN 1 WHEN 'TAIGA' THEN 2 WHEN 'TEMPERATE' THEN 3 ELSE 4 END"
+
+
+@query(
+    "sc51_climate_zones",
+    f"""WITH z AS (SELECT *, CASE kg WHEN 'BSk' THEN CASE WHEN rain < 250 THEN 'ARID' WHEN t >= 15 THEN 'SAVANNA' ELSE 'TEMPERATE' END WHEN 'Dfb' THEN CASE WHEN t < 4 THEN 'TAIGA' ELSE 'TEMPERATE' END WHEN 'ET' THEN CASE WHEN elev > 1500 AND lat < 60 THEN 'ALPINE' ELSE 'TUNDRA' END ELSE coalesce({_case("kg", physics.KOEPPEN)}, 'TEMPERATE') END AS z,
+      CASE WHEN t < -6 OR elev > 4800 THEN 'ICE_CAP' WHEN elev > 2600 AND t < 8 THEN 'ALPINE' WHEN t < 1 THEN 'TUNDRA' WHEN t < 7.5 THEN 'TAIGA' WHEN t < 16 THEN 'TEMPERATE' END AS o FROM {{climates}})
+    SELECT id, CASE WHEN (dz > 400 OR elev > 2600) AND o IS NOT NULL AND {_RANK.replace("{z}", "o")} < {_RANK.replace("{z}", "z")} THEN o WHEN NOT (dz > 400 OR elev > 2600) AND dz < -400 AND o IS NOT NULL AND {_RANK.replace("{z}", "o")} > {_RANK.replace("{z}", "z")} THEN o ELSE z END AS zone FROM z""",
+)
+def zones(read):
+    """SC-51: climate zone by class, temperature, height and rain."""
+    return read("climates").select("id", physics.climate_zone(F.col("kg"), F.col("t"), F.col("elev"), F.col("lat"), F.col("rain"), F.col("dz")).alias("zone"))
