@@ -125,10 +125,10 @@ def eight_nearest(read):
     return n.withColumn("_n", F.row_number().over(Window.partitionBy("lake_id").orderBy("d", "place_id"))).where("_n <= 8").select("lake_id", "place_id", "d")
 
 
-@query("ag13_monthly_normals", """SELECT station, month(day) AS m, round(avg(temp), 4) AS temp, round(avg(precip) * 30, 4) AS rain, count(*) AS days FROM {daily_weather} GROUP BY 1, 2""")
+@query("ag13_monthly_normals", """SELECT station, month(day) AS m, round(avg(temp), 6) AS temp, round(avg(precip) * 30, 6) AS rain, count(*) AS days FROM {daily_weather} GROUP BY 1, 2""")
 def normals(read):
     """AG-13: mean temperature and rain of each month (of thirty days)."""
-    return read("daily_weather").groupBy("station", F.month("day").cast("bigint").alias("m")).agg(F.round(F.avg("temp"), 4).alias("temp"), F.round(F.avg("precip") * 30, 4).alias("rain"), F.count("*").alias("days"))
+    return read("daily_weather").groupBy("station", F.month("day").cast("bigint").alias("m")).agg(F.round(F.avg("temp"), 6).alias("temp"), F.round(F.avg("precip") * 30, 6).alias("rain"), F.count("*").alias("days"))
 
 
 @query("ag14_winter_precipitation", """SELECT station, round(sum(CASE WHEN station % 3 = 0 AND month(day) IN (10, 11, 12, 1, 2, 3, 4) THEN precip WHEN station % 3 = 1 AND month(day) BETWEEN 4 AND 10 THEN precip WHEN station % 3 = 2 THEN precip * 7 / 12 ELSE 0 END), 4) AS winter FROM {daily_weather} GROUP BY 1""")
