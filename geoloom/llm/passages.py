@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators.components import connected_components
-from geoloom.session import checkpoint, ship_package, stored
+from geoloom.session import checkpoint, ship_package, stored_by
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -194,9 +194,8 @@ def similar_links(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFr
     Buckets of up to CROWDED members are joined with themselves; in larger ones, blocks of about BLOCK members are
     compared pair by pair of blocks, so that no task holds a bucket and no list of all pairs is made.
     """
-    keys = stored(band_keys(distinct))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpoint(keys.join(shared, "key"))
+    shared = band_keys(distinct).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    members = checkpoint(shared)
     few = members.where(F.col("n") <= CROWDED).select("key", "h")
     pairs = few.withColumnRenamed("h", "a").join(few.withColumnRenamed("h", "b"), "key").where("a < b").select("a", "b").distinct()
     links = _verified_pairs(pairs, distinct, similarity)
@@ -217,9 +216,9 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, passage
     linked; classes are the components. Rows that repeat a doc_id and its text are one document. Empty tables, null and
     short texts give no row; extra columns are left out.
     """
-    firsts = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "at")).alias("first")
+    firsts = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")).alias("first")
     whole = paragraphs(docs, with_shingles=True)
-    distinct = stored(whole.groupBy("h").agg(firsts, F.count("*").alias("copies"), F.max("shingles").alias("shingles")))
+    distinct = stored_by(whole.groupBy("h").agg(firsts, F.count("*").alias("copies"), F.max("shingles").alias("shingles")), "h")
     labels = connected_components(similar_links(distinct, similarity), "a", "b").withColumnRenamed("node", "h")
     bare = distinct.select("h", "first", "copies")
     linked = bare.join(labels, "h")
@@ -232,7 +231,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, passage
     of_doc = Window.partitionBy("doc_id", "row_key")
     found = found.withColumn("run", F.col("at") - F.row_number().over(of_doc.orderBy("at")))
     found = found.withColumn("passage_words", F.sum("n_words").over(Window.partitionBy("doc_id", "row_key", "run"))).where(F.col("passage_words") >= passage_words)
-    kept = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "at").eqNullSafe(F.col("keeper"))
+    kept = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at").eqNullSafe(F.col("keeper"))
     return found.select("doc_id", "row_key", "at", "start", "length", "n_words", "class_id", "copies", "passage_words", (~kept).alias("removed"))
 
 
