@@ -14,16 +14,6 @@ TRUSTED_DOCUMENTS = 20_000
 THRESHOLD = -0.1
 REPEAT_WINDOW = 8
 
-_SPACE = " \t\n\x0b\f\r"
-_SYMBOLS = "#*$%&|<>"
-#: Letters with their marks, digits, or a run of anything else.
-_TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]+"
-
-
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def words(text: Column) -> Column:
     """Runs without ASCII white space."""
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -48,38 +38,40 @@ def repeated_words(hashes: Column, window: int = REPEAT_WINDOW) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered).cast("bigint")
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+def _pairs(hashes: Column, gap: int) -> Column:
+    """A hash of each hash and the one `gap` places on."""
+    n = F.greatest(F.size(hashes) - gap, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, gap + 1, n), lambda a, b: F.xxhash64(a, b))
+
 
-    A null or empty text has none of anything and fails. Windows are compared by a 64-bit hash of their words.
+def with_grams(docs: DataFrame) -> DataFrame:
+    """`docs` with __words, and hashes of each word (__ones), each pair of neighbours (__twos) and each word's last two characters (__ends)."""
+    split = docs.withColumn("__words", words(F.coalesce("text", F.lit(""))))
+    hashed = split.withColumns({"__ones": F.transform("__words", lambda w: F.xxhash64(w)), "__ends": F.transform("__words", lambda w: F.xxhash64(F.substring(w, -2, 2), F.lit("$")))})
+    return hashed.withColumn("__twos", _pairs(F.col("__ones"), 1))
+
+
+def base_counts(marked: DataFrame) -> DataFrame:
+    """The rows of with_grams() with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+
+    A null or empty text has none of anything and fails. Windows of 8 words are compared by a 64-bit hash, made from
+    those of their halves; a text whose windows of 4 words all differ repeats none of 8.
     """
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda line: _without(line, _SPACE) != "")
-    split = docs.withColumns({"__text": text, "__words": words(text), "__lines": lines})
-    n = F.size("__words")
-    starts = F.when(n >= REPEAT_WINDOW, F.sequence(F.lit(1), F.greatest(n - REPEAT_WINDOW + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    hashed = split.withColumn("__hashes", F.transform(starts, lambda i: F.xxhash64(F.slice("__words", i, REPEAT_WINDOW))))
-    out = hashed.withColumns(
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    fours = marked.withColumns({"__fours": _pairs(F.col("__twos"), 2), "__lines": lines})
+    unlike = F.size(F.array_distinct("__fours")) == F.size("__fours")
+    out = fours.withColumns(
         {
-            "n_words": n.cast("bigint"),
-            "word_chars": F.length(_without(F.col("__text"), _SPACE)).cast("bigint"),
-            "n_symbols": (F.length("__text") - F.length(_without(F.col("__text"), _SYMBOLS))).cast("bigint"),
+            "n_words": F.size("__words").cast("bigint"),
+            "word_chars": F.length(F.array_join("__words", "")).cast("bigint"),
+            "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
-            "n_repeat_words": repeated_words(F.col("__hashes")),
+            "n_repeat_words": F.when(unlike, F.lit(0)).otherwise(repeated_words(_pairs(F.col("__fours"), 4))).cast("bigint"),
         }
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("__text", "__words", "__lines", "__hashes")
-
-
-def grams(text: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the text's tokens and of its pairs of neighbouring tokens, repeats included."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
-    single = lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")
-    pair = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")
-    ones = F.transform(tokens, single)
-    twos = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.size(tokens)), pair)
-    return F.concat(ones, twos)
+    return out.withColumn("base_failed", failed).drop("__fours", "__lines")
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCUMENTS) -> DataFrame:
@@ -95,9 +87,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most:
     rows come to the driver.
     """
     good = trusted_ids(labels, most).select(F.col("doc_id").alias("__trusted"))
-    read = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("__trusted"), "left")
-    seen = read.select(F.col("__trusted").isNotNull().cast("int").alias("target"), F.explode(grams(F.col("text"), buckets)).alias("bucket"))
-    counts = seen.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target")).collect()
+    read = with_grams(docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("__trusted"), "left"))
+    seen = read.select(F.col("__trusted").isNotNull().cast("int").alias("target"), F.explode(F.concat("__ones", "__twos", "__ends")).alias("gram"))
+    counts = seen.groupBy(F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = [1] * buckets, [1] * buckets
     for r in counts:
         raw[r.bucket] += r.raw
@@ -108,13 +100,14 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most:
     return [math.log(t / r) + base for t, r in zip(target, raw, strict=True)]
 
 
-def with_verdict(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with score, the mean ratio of a text's n-grams (0 without any), and kept: score >= threshold."""
+def with_verdict(marked: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of with_grams() with score, the mean ratio of a text's n-grams (0 without any), and kept: score >= threshold."""
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    scored = docs.withColumn("__grams", grams(F.col("text"), len(ratios)))
-    total = F.aggregate("__grams", F.lit(0.0), lambda s, b: s + F.get(table, b))
-    score = F.when(F.size("__grams") > 0, total / F.size("__grams")).otherwise(0.0)
-    return scored.withColumn("score", score).drop("__grams").withColumn("kept", F.col("score") >= threshold)
+    add = lambda s, g: s + F.get(table, F.pmod(g, F.lit(len(ratios))).cast("int"))
+    total = sum(F.aggregate(c, F.lit(0.0), add) for c in ("__ones", "__twos", "__ends"))
+    n = F.size("__ones") + F.size("__twos") + F.size("__ends")
+    score = F.when(n > 0, total / n).otherwise(0.0)
+    return marked.withColumn("score", score).withColumn("kept", F.col("score") >= threshold)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -125,8 +118,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     docs = docs.drop(*results)
-    scored = with_verdict(base_counts(docs), log_ratios(docs, labels), threshold)
-    return scored.withColumn("kept", ~F.col("base_failed") & F.col("kept"))
+    scored = with_verdict(base_counts(with_grams(docs)), log_ratios(docs, labels), threshold)
+    return scored.withColumn("kept", ~F.col("base_failed") & F.col("kept")).drop("__words", "__ones", "__twos", "__ends")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
