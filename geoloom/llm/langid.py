@@ -164,6 +164,13 @@ def fit_languages(docs: DataFrame, features: int = FEATURES, most: int = FIT_DOC
     return LanguageModel(languages, np.concatenate(tables).astype(np.float32) if tables else np.zeros((0, features), np.float32), np.array(of, int), np.array(floors), idf)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for start in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(start, rows)
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """`docs` with lang_pred, score (cosine to the nearest centroid, 0 to 1) and rejected, from the text alone.
 
@@ -177,7 +184,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     at = names.index("text")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             langs, scores, rejected = zip(*model.predict(batch.column(at).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
             new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, "lang_pred", "score", "rejected"])

@@ -17,9 +17,9 @@ CAPACITY = 2048
 #: Id that ends each document.
 END_ID = 1
 #: Words whose ids a worker remembers; beyond it, new words are encoded each time.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 #: Ids in one output batch.
-BATCH_IDS = 1 << 20
+BATCH_IDS = 1 << 18
 
 _ENCODERS: dict[str, WordEncoder] = {}
 #: White space round a single blank on both sides: there, a text can't be cut at blanks without changing its ids.
