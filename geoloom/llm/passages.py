@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geoloom.llm.runs import repeated_runs
 from geoloom.operators.components import connected_components
 from geoloom.session import checkpoint, ship_package, stored_by
 
@@ -17,10 +18,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Rows of a band, and bands: at the threshold, a pair meets in some band with probability 1 - (1 - 0.8^2)^5 = 0.994.
 ROWS, BANDS = 2, 5
-#: Shorter paragraphs are not compared; they don't part a passage either.
+#: Shorter sentences and lines are joined with their neighbours; a text of fewer words has no paragraph.
 MIN_WORDS = 8
-#: Longer ones are cut after words whose hash says so.
+#: Longer ones are cut after words whose hash is the least of LOCAL words on either side.
 LONG_WORDS = 48
+LOCAL = 12
 #: Words of a run of repeated paragraphs from which it is a passage.
 PASSAGE_WORDS = 20
 #: Members of a band bucket up to which pairs are joined; beyond it, they are compared block by block.
@@ -32,25 +34,49 @@ _ODD = [np.uint64(2 * k + 1) for k in (0x4F1BBCDCBFA53E0A, 0x2545F4914F6CDD1D, 0
 _PERMUTATIONS = np.array([[2654435761, 40503], [2246822519, 97], [3266489917, 7919], [668265263, 104729], [374761393, 15485863], [2869860233, 32452843], [3644798167, 49979687], [4101842887, 67867967], [1274126177, 86028121], [1103515245, 122949823]], np.uint32)
 
 
+def _pieces(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """Sentences and lines; neighbouring ones of under MIN_WORDS words are joined, a few words alone go to their neighbour."""
+    cut: list[list] = []
+    begin = 0
+    for stop in [*(m.end() for m in _SEPARATOR.finditer(text)), len(text)]:
+        words = text[begin:stop].lower().split()
+        if cut and (not words or cut[-1][3] and len(words) < MIN_WORDS):
+            cut[-1][1] = stop
+            cut[-1][2] += words
+        elif words:
+            cut.append([begin if cut else 0, stop, words, len(words) < MIN_WORDS])
+        begin = stop
+    out: list[list] = []
+    for piece in cut:
+        if out and (len(piece[2]) < MIN_WORDS or len(out[-1][2]) < MIN_WORDS):
+            out[-1][1] = piece[1]
+            out[-1][2] += piece[2]
+        else:
+            out.append(piece)
+    yield from ((begin, stop, words) for begin, stop, words, _ in out)
+
+
 def _spans(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """Start, stop and lower-cased words of each paragraph: to the end of a sentence or line; long ones are cut."""
+    """Start, stop and lower-cased words of each paragraph: a piece; long ones are cut after words of a local least hash.
+
+    Whether a word ends a paragraph hangs on the LOCAL words on either side alone, so copies are cut alike in any host.
+    """
     from xxhash import xxh32_intdigest
 
-    begin = 0
-    for stop in [*(m.end() for m in _SEPARATOR.finditer(text)), len(text)]:
-        piece = text[begin:stop]
-        words = piece.lower().split()
+    for begin, stop, words in _pieces(text):
         if len(words) > LONG_WORDS:
-            at = from_word = 0
-            marks = list(re.finditer(r"\S+", piece))
-            if len(marks) == len(words):
-                for k, (mark, word) in enumerate(zip(marks, words, strict=True)):
-                    if k - from_word >= MIN_WORDS - 1 and xxh32_intdigest(word) & 15 == 0:
-                        yield begin + at, begin + mark.end(), words[from_word : k + 1]
-                        at, from_word = mark.end(), k + 1
-            begin, words = begin + at, words[from_word:]
+            marks = list(re.finditer(r"\S+", text[begin:stop]))
+            h = np.array([xxh32_intdigest(w) for w in words], np.int64)
+            held = np.concatenate((np.full(LOCAL, 1 << 32), h, np.full(LOCAL, 1 << 32)))
+            near = np.lib.stride_tricks.sliding_window_view(held, LOCAL)
+            least = (h < near[: len(h)].min(axis=1)) & (h <= near[LOCAL + 1 :].min(axis=1))
+            at = first = 0
+            for k in np.flatnonzero(least[MIN_WORDS - 1 : len(h) - MIN_WORDS]).tolist() if len(marks) == len(words) else []:
+                k += MIN_WORDS - 1
+                yield begin + at, begin + marks[k + 1].start(), words[first : k + 1]
+                at, first = marks[k + 1].start(), k + 1
+            begin, words = begin + at, words[first:]
         yield begin, stop, words
-        begin = stop
 
 
 def _shingles(words: list[str]) -> np.ndarray:
@@ -215,7 +241,15 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, passage
     Paragraphs of equal lower-cased words are one; those of exact Jaccard `similarity` over five-word shingles are
     linked; classes are the components. Rows that repeat a doc_id and its text are one document. Empty tables, null and
     short texts give no row; extra columns are left out.
+
+    Beside paragraphs, runs of 50 equal words or more have rows of their own (repeated_runs; `at` is null), to the word and
+    wherever they begin; they may overlap paragraphs.
     """
+    return similar_paragraphs(docs, similarity, passage_words).unionByName(repeated_runs(docs))
+
+
+def similar_paragraphs(docs: DataFrame, similarity: float, passage_words: int) -> DataFrame:
+    """The rows of repeated_paragraphs that are paragraphs."""
     firsts = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")).alias("first")
     whole = paragraphs(docs, with_shingles=True)
     distinct = stored_by(whole.groupBy("h").agg(firsts, F.count("*").alias("copies"), F.max("shingles").alias("shingles")), "h")
@@ -236,9 +270,9 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, passage
 
 
 def _without(text: Column, spans: Column) -> Column:
-    """The text without its sorted spans of start and length."""
+    """The text without its spans of start and length, sorted; they may overlap."""
     zero = F.struct(F.lit(0).alias("stop"), F.lit("").alias("kept"))
-    step = lambda s, x: F.struct((x["start"] + x["length"]).alias("stop"), F.concat(s["kept"], F.substring(text, s["stop"] + 1, x["start"] - s["stop"])).alias("kept"))
+    step = lambda s, x: F.struct(F.greatest(s["stop"], x["start"] + x["length"]).alias("stop"), F.concat(s["kept"], F.substring(text, s["stop"] + 1, F.greatest(x["start"] - s["stop"], F.lit(0)))).alias("kept"))
     return F.aggregate(spans, zero, step, lambda s: F.concat(s["kept"], F.substring(text, s["stop"] + 1, F.length(text))))
 
 

@@ -1,6 +1,7 @@
 """Each operator on small odd tables: defined results for nulls, empty, long and repeated texts, ties and clashing names."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from geoloom.llm import decontamination, fixity, langid, licences, packing, passages, quality, sharding, simhash, toxicity
+from geoloom.llm import runs as runs_
 from tests.llm.conftest import PROSE, make
 
 
@@ -256,3 +258,43 @@ def test_similarity_is_exact():
     a, b = np.arange(10, dtype="<u4"), np.arange(1, 11, dtype="<u4")
     assert passages._similar(a.tobytes(), b.tobytes(), 0.8) and not passages._similar(a.tobytes(), b.tobytes(), 0.82)
     assert zlib.crc32(a.tobytes()) != zlib.crc32(b.tobytes())
+
+
+def test_runs_of_fifty_words_against_brute_force(spark):
+    """Passages in mid-sentence and in short lines, nested, periodic and whole: words that stay, against all windows."""
+    draw = random.Random(11)
+    word = lambda: f"w{draw.randrange(9000)}"
+    passages_ = [[word() + draw.choice(["", "", "", ".", "\n"]) for _ in range(n)] for n in (52, 60, 80, 120)]
+    passages_.append([word() + ("\n" if k % 4 == 3 else "") for k in range(55)])
+    rows = []
+    for i in range(40):
+        own = [word() + draw.choice(["", "", "", ",", "."]) for _ in range(draw.randrange(5, 90))]
+        put = draw.randrange(len(own))
+        p = passages_[i % 5] if i % 3 else passages_[3][20:90]
+        rows.append((i if i % 7 else None, " ".join(own[:put] + p + own[put:]), "en"))
+    rows += [(60, rows[1][1], "en"), (61, "tick tock " * 90, "en"), (62, None, None), (63, "few words", None), (1, rows[1][1], "en")]
+    table = make(spark, rows)
+    found = runs_.repeated_runs(table).where("removed").collect()
+    keys = {(r.doc_id, r.text): r.k for r in table.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k")).collect()}
+    order = sorted({(i is None, i or 0, keys[i, t], t) for i, t, _ in rows if t})
+    first = {}
+    for doc, (_, _, key, text) in enumerate(order):
+        words = text.lower().split()
+        gone = set()
+        for p in range(len(words) - 49):
+            d, f = first.setdefault(tuple(words[p : p + 50]), (doc, p))
+            if (d, f) != (doc, p):
+                gone |= set(range(max(p, f + 50) if d == doc else p, p + 50))
+        spans = [(r.start, r.start + r.length) for r in found if r.row_key == key]
+        starts = [m.start() for m in re.finditer(r"\S+", text)]
+        assert {k for k, s in enumerate(starts) if any(a <= s < b for a, b in spans)} == gone
+    left = {r.doc_id: r.text for r in passages.drop_repeated_passages(table).collect()}
+    assert 60 not in left and left[63] == "few words"
+
+
+def test_paragraphs_keep_every_word():
+    text = "one two three. four\n five six seven eight nine ten.\n\n" + " ".join(f"v{i}" for i in range(200)) + ". end\n"
+    spans = list(passages._spans(text))
+    assert [w for s in spans for w in s[2]] == text.lower().split()
+    assert all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[0][0] == 0 and spans[-1][1] == len(text)
+    assert all(len(s[2]) >= passages.MIN_WORDS for s in spans)
