@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.runs import repeated_runs
 from geoloom.operators.components import connected_components
-from geoloom.session import checkpoint, ship_package, stored_by
+from geoloom.session import checkpoint, ship_package, stored, stored_by
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -220,14 +220,15 @@ def similar_links(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFr
     Buckets of up to CROWDED members are joined with themselves; in larger ones, blocks of about BLOCK members are
     compared pair by pair of blocks, so that no task holds a bucket and no list of all pairs is made.
     """
-    shared = band_keys(distinct).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    members = checkpoint(shared)
+    keys = band_keys(distinct)
+    sizes = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = checkpoint(keys.join(sizes, "key"))
     few = members.where(F.col("n") <= CROWDED).select("key", "h")
     pairs = few.withColumnRenamed("h", "a").join(few.withColumnRenamed("h", "b"), "key").where("a < b").select("a", "b").distinct()
     links = _verified_pairs(pairs, distinct, similarity)
     crowded = members.where(F.col("n") > CROWDED)
     if not crowded.isEmpty():
-        links = links.union(_block_links(crowded.select("key", "h"), crowded.select("key", "n").distinct(), distinct, similarity))
+        links = links.union(_block_links(crowded.select("key", "h"), sizes.where(F.col("n") > CROWDED), distinct, similarity))
     return links
 
 
@@ -236,7 +237,8 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, passage
 
     doc_id, row_key, at, start, length, n_words, class_id, copies (occurrences of the same words), passage_words (words
     of the run of repeated paragraphs that it lies in, at least `passage_words`) and removed: false for the occurrence
-    of the smallest (doc_id, at) of its class, nulls last, which stays; true for all others.
+    of the smallest (doc_id, at) of its class, nulls last, which stays; true for all others. Texts that share a doc_id, or
+    have none, come one after the other in the order of row_key.
 
     Paragraphs of equal lower-cased words are one; those of exact Jaccard `similarity` over five-word shingles are
     linked; classes are the components. Rows that repeat a doc_id and its text are one document. Empty tables, null and
@@ -250,7 +252,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, passage
 
 def similar_paragraphs(docs: DataFrame, similarity: float, passage_words: int) -> DataFrame:
     """The rows of repeated_paragraphs that are paragraphs."""
-    firsts = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")).alias("first")
+    firsts = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "at")).alias("first")
     whole = paragraphs(docs, with_shingles=True)
     distinct = stored_by(whole.groupBy("h").agg(firsts, F.count("*").alias("copies"), F.max("shingles").alias("shingles")), "h")
     labels = connected_components(similar_links(distinct, similarity), "a", "b").withColumnRenamed("node", "h")
@@ -265,7 +267,7 @@ def similar_paragraphs(docs: DataFrame, similarity: float, passage_words: int) -
     of_doc = Window.partitionBy("doc_id", "row_key")
     found = found.withColumn("run", F.col("at") - F.row_number().over(of_doc.orderBy("at")))
     found = found.withColumn("passage_words", F.sum("n_words").over(Window.partitionBy("doc_id", "row_key", "run"))).where(F.col("passage_words") >= passage_words)
-    kept = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at").eqNullSafe(F.col("keeper"))
+    kept = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "at").eqNullSafe(F.col("keeper"))
     return found.select("doc_id", "row_key", "at", "start", "length", "n_words", "class_id", "copies", "passage_words", (~kept).alias("removed"))
 
 

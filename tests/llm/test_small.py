@@ -298,3 +298,14 @@ def test_paragraphs_keep_every_word():
     assert [w for s in spans for w in s[2]] == text.lower().split()
     assert all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[0][0] == 0 and spans[-1][1] == len(text)
     assert all(len(s[2]) >= passages.MIN_WORDS for s in spans)
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_one_text_of_a_shared_doc_id_keeps_the_passage(spark, doc_id):
+    draw = random.Random(2)
+    passage = " ".join(_sentence(draw) for _ in range(3))
+    table = make(spark, [(doc_id, f"{passage} {_sentence(draw)}", "en") for _ in range(4)])
+    got = passages.similar_paragraphs(table, 0.8, 20).collect()
+    assert len(got) == 12 and sum(not r.removed for r in got) == 3
+    assert len({r.row_key for r in got if not r.removed}) == 1
+    assert sum(passage in r.text for r in passages.drop_repeated_passages(table).collect()) == 1
