@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.llm.langid import small
+from geoloom.llm.passages import SHINGLE, SIMILARITY, _shingles, similar_links
 from geoloom.operators.components import connected_components
-from geoloom.session import checkpoint, ship_package
+from geoloom.session import checkpoint, ship_package, stored_by
 
 DISTANCE = 3
 #: Fingerprints that share a 32-bit half: up to so many are compared one by one, more are linked through hubs.
@@ -151,17 +153,38 @@ def near_groups(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     return marked.join(of_print.join(ids, "component").select("fingerprint", "component_id"), "fingerprint")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def _worded(placed: DataFrame) -> DataFrame:
+    """`(doc_id, row, h, shingles)`: a hash of the lower-cased words, and the text's five-word shingles, empty below five."""
+    ship_package(placed.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in small(batches):
+            words = [(t.as_py() or "").lower().split() for t in batch.column(2)]
+            h = np.array([xxh3_64_intdigest(" ".join(w)) for w in words], np.uint64).view(np.int64)
+            shingles = [_shingles(w).tobytes() if len(w) >= SHINGLE else b"" for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h), pa.array(shingles, pa.binary())], ["doc_id", "row", "h", "shingles"])
+
+    return placed.select("doc_id", F.col("__row").alias("row"), "text").mapInArrow(cut, "doc_id long, row long, h long, shingles binary")
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """`docs` with one row of each group, that of the smallest doc_id; its columns stay as they are.
 
-    Of repeated rows, one stays; a row without doc_id stays only if its group has no other. `docs` has to read the same
-    each time, as a table does: rows are known by their place in it.
+    Texts of equal lower-cased words are one; those of exact Jaccard `similarity` over five-word shingles are linked, and
+    groups are the components. Candidates meet in MinHash bands (a pair at the threshold is found with probability 0.994):
+    fingerprints at 0.8 differ in up to 11 bits or more, which no ball of bits covers. Of repeated rows, one stays; a row
+    without doc_id stays only if its group has no other. `docs` has to read the same each time, as a table does: rows are
+    known by their place in it.
     """
     placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    marked = checkpoint(fingerprints(placed, row="__row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
-    of_print = marked.groupBy("fingerprint").agg(first)
-    kept = of_print.join(_components(marked), "fingerprint").groupBy("component").agg(F.min("first").alias("first"))
+    distinct = stored_by(_worded(placed).groupBy("h").agg(first, F.max("shingles").alias("shingles")), "h")
+    links = similar_links(distinct.where(F.length("shingles") > 0), similarity)
+    labels = connected_components(links, "a", "b").withColumnRenamed("node", "h")
+    grouped = distinct.select("h", "first").join(labels, "h", "left")
+    kept = grouped.groupBy(F.coalesce("component", "h").alias("component")).agg(F.min("first").alias("first"))
     return placed.join(kept.select(F.col("first.row").alias("__row")), "__row", "left_semi").drop("__row")
 
 

@@ -309,3 +309,26 @@ def test_one_text_of_a_shared_doc_id_keeps_the_passage(spark, doc_id):
     assert len(got) == 12 and sum(not r.removed for r in got) == 3
     assert len({r.row_key for r in got if not r.removed}) == 1
     assert sum(passage in r.text for r in passages.drop_repeated_passages(table).collect()) == 1
+
+
+def test_near_copies_of_four_fifths_go(spark):
+    """Edited copies about the threshold, against the Jaccard of all pairs."""
+    draw = random.Random(4)
+    texts = []
+    for _ in range(25):
+        base = [f"w{draw.randrange(4000)}" for _ in range(draw.randrange(60, 160))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 4):
+            copy = list(base)
+            for _ in range(edits):
+                copy[draw.randrange(len(copy))] = f"x{draw.randrange(4000)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    kept = {r.doc_id for r in simhash.drop_near_copies(make(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect()}
+    assert len(set(root)) < 90 and kept == set(root)
