@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ class WordEncoder:
 
     The vocabulary's pattern never lets a token span a single blank, so a text cut before each blank has the ids of its
     pieces in turn, and frequent pieces are remembered. Texts where blanks touch other white space on both sides are
-    encoded whole. Strings of special tokens are ordinary text.
+    encoded whole. Strings of special tokens are ordinary text here; pack() gives those of the default vocabulary their ids.
     """
 
     def __init__(self, ranks_path: str):
@@ -73,6 +73,31 @@ def _encoder(ranks_path: str | None) -> WordEncoder:
     return _ENCODERS[ranks_path]
 
 
+def _with_added(encode: WordEncoder, added: dict[str, int]) -> Callable[[str], np.ndarray]:
+    """`encode` for the parts between the strings of `added` tokens, which get their own ids."""
+    if not added:
+        return encode
+    parts = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")")
+
+    def whole(text: str) -> np.ndarray:
+        cut = parts.split(text)
+        if len(cut) == 1:
+            return encode(text)
+        return np.concatenate([np.array([added[x]], np.uint32) if k % 2 else encode(x) for k, x in enumerate(cut)])
+
+    return whole
+
+
+def added_tokens() -> dict[str, int]:
+    """Ids of the tokens that byte_bpe_50k.json adds to its ranks, by their strings."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as held:
+        return {x["content"]: x["id"] for x in json.load(held)["added_tokens"]}
+
+
 def piece_lengths(tokens: int, capacity: int = CAPACITY) -> list[int]:
     """A document's cuts: full sequences, then lengths capacity / 2, capacity / 4, ... as its rest has them."""
     rest = tokens % capacity
@@ -121,7 +146,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, ranks_
     ship_package(docs.sparkSession)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(ranks_path)
+        encode = _with_added(_encoder(ranks_path), added_tokens() if ranks_path is None else {})
         bins = _Bins(capacity, TaskContext.get().partitionId() << 40)
         waiting: dict[int, list[tuple]] = {}  # by length, of the open bin only: at most `capacity` ids in each
         rows: list[tuple] = []

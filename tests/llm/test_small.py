@@ -332,3 +332,15 @@ def test_near_copies_of_four_fifths_go(spark):
                 root = [low if r == high else r for r in root]
     kept = {r.doc_id for r in simhash.drop_near_copies(make(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect()}
     assert len(set(root)) < 90 and kept == set(root)
+
+
+def test_added_tokens_have_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|> é b", "one <|endoftext|>two  <|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext", "a b"]
+    rows = packing.pack(make(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()
+    for i, t in enumerate(texts):
+        ids = b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start))
+        assert np.frombuffer(ids, "<u4").tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
