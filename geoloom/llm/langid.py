@@ -7,19 +7,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from geoloom.session import ship_package
+from geoloom.session import checkpoint, ship_package
 
 #: Hashed places of the character n-grams (n = 1, 2, 3).
 FEATURES = 4096
 #: Labelled documents that centroids are clustered from, at most, in equal shares by language.
 FIT_DOCUMENTS = 4000
 CENTROIDS = 3
-#: Cosine to the nearest centroid below which a text is rejected, as a share of the median over the language's own texts.
+#: Cosine to the nearest centroid below which a text is rejected: this quantile of the language's own texts that took no
+#: part in clustering, by length class, times the margin.
+REJECT_QUANTILE, REJECT_MARGIN = 0.01, 0.9
+#: One in so many of a language's texts is kept out of clustering, if that makes KEPT_OUT or more.
+OUT_OF, KEPT_OUT = 5, 20
+#: With fewer, the floor is this share of the median over all of them.
 REJECT_SHARE = 0.1
+#: Length classes: n-grams counted in a text, up to; and the characters to which texts kept out are cut for each class.
+LENGTHS = (120, 450, 1500)
+CUTS = (20, 50, 160, 520)
 #: Documents that are vectorised together.
 ROWS = 64
 UNDETERMINED = "und"
@@ -54,6 +62,10 @@ def counts(text: str | None, features: int = FEATURES) -> np.ndarray | None:
     return np.bincount(places, minlength=features)
 
 
+def length_class(counted: np.ndarray) -> int:
+    return int(np.searchsorted(LENGTHS, counted.sum()))
+
+
 def _weighted(rows: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
     """Normalised TF-IDF rows."""
     table = np.log1p(np.array(rows, np.float32)) * idf
@@ -62,7 +74,7 @@ def _weighted(rows: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Languages, the centroids of each (rows of one table), the language of each row, rejection cosines and IDF."""
+    """Languages, the centroids of each (rows of one table), the language of each row, rejection cosines by language and length class, and IDF."""
 
     languages: list[str]
     centroids: np.ndarray
@@ -81,9 +93,9 @@ class LanguageModel:
                 continue
             cosine = _weighted([c for _, c in found], self.idf) @ self.centroids.T
             nearest = cosine.argmax(axis=1)
-            for (k, _), n, row in zip(found, nearest, cosine, strict=True):
+            for (k, c), n, row in zip(found, nearest, cosine, strict=True):
                 score = float(min(1.0, max(0.0, row[n])))
-                out[k] = (self.languages[self.of[n]], score, score < float(self.floors[self.of[n]]))
+                out[k] = (self.languages[self.of[n]], score, score < float(self.floors[self.of[n], length_class(c)]))
         return out
 
 
@@ -126,42 +138,61 @@ def document_frequencies(docs: DataFrame, features: int = FEATURES) -> tuple[np.
 def fit_languages(docs: DataFrame, features: int = FEATURES, most: int = FIT_DOCUMENTS, centroids: int = CENTROIDS) -> LanguageModel:
     """The model of the labelled rows of `docs` (text and lang not null).
 
-    IDF counts cover all of them; centroids are clustered on the driver from at most `most` rows, a share for each
-    language, taken in the order of a hash of the text.
+    IDF counts cover all of them; centroids are clustered on the driver from at most `most` different texts, a share for
+    each language, taken in the order of a hash of the text: each language has min(share, its different texts).
     """
     ship_package(docs.sparkSession)
-    known = docs.where("text is not null and lang is not null").select("text", "lang")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = docs.where(r"text is not null and lang is not null").select("text", "lang")
+    lettered = known.where(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("t"), "text")
+    different = checkpoint(lettered.groupBy("lang", "t").count().select("lang", "t"))
+    sizes = {r["lang"]: r["count"] for r in different.groupBy("lang").count().collect()}
     if not sizes:
-        return LanguageModel([], np.zeros((0, features), np.float32), np.zeros(0, int), np.zeros(0), np.ones(features, np.float32))
+        return LanguageModel([], np.zeros((0, features), np.float32), np.zeros(0, int), np.zeros((0, len(CUTS))), np.ones(features, np.float32))
     df, n = document_frequencies(known, features)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     share = max(1, most // len(sizes))
-    draw = F.shiftrightunsigned(F.xxhash64("text"), 11).cast("double") / float(1 << 53)
-    chance = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * share / size))) for lang, size in sorted(sizes.items())], F.lit(0.0))
-    some = known.where(draw < chance)
+    draw = F.shiftrightunsigned("t", 11).cast("double") / float(1 << 53)
+    chance = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, (2 * share + 50) / size))) for lang, size in sorted(sizes.items())], F.lit(0.0))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("t", 11), "t"))
+    picked = different.where(draw <= chance).withColumn("place", place).where(F.col("place") <= share)
+    some = lettered.join(F.broadcast(picked), ["lang", "t"]).groupBy("lang", "t", "place").agg(F.first("text").alias("text"))
+    out = {lang: min(share, size) >= OUT_OF * KEPT_OUT for lang, size in sizes.items()}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, tables = [], []
-            for text, lang in zip(batch.column(0), batch.column(1), strict=True):
-                if (c := counts(text.as_py(), features)) is not None:
-                    langs.append(lang.as_py())
-                    tables.append(np.minimum(c, 65535).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(tables, pa.binary())], ["lang", "counts"])
+            langs, places, cuts, tables = [], [], [], []
+            for text, lang, place in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text = text.as_py()
+                kept_out = out[lang] and place % OUT_OF == 0
+                for cut in CUTS if kept_out else (0,):
+                    if (c := counts(text[:cut] if 0 < cut < CUTS[-1] else text, features)) is not None:
+                        langs.append(lang)
+                        places.append(place)
+                        cuts.append(cut)
+                        tables.append(np.minimum(c, 65535).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.int32()), pa.array(cuts, pa.int32()), pa.array(tables, pa.binary())], ["lang", "place", "cut", "counts"])
 
     taken: dict[str, list[np.ndarray]] = {}
-    for r in some.mapInArrow(vectors, "lang string, counts binary").orderBy("lang", F.xxhash64("counts")).collect():
-        if len(rows := taken.setdefault(r["lang"], [])) < share:
-            rows.append(np.frombuffer(bytes(r["counts"]), "<u2"))
+    apart: dict[str, list[np.ndarray]] = {}
+    for r in some.select("text", "lang", "place").mapInArrow(vectors, "lang string, place int, cut int, counts binary").orderBy("lang", "place", "cut").collect():
+        (apart if r["cut"] else taken).setdefault(r["lang"], []).append(np.frombuffer(bytes(r["counts"]), "<u2"))
     languages = sorted(taken)
     tables, of, floors = [], [], []
     for k, lang in enumerate(languages):
         rows = _weighted(taken[lang], idf)
         tables.append(_cluster(rows, centroids))
         of += [k] * len(tables[-1])
-        floors.append(REJECT_SHARE * float(np.median((rows @ tables[-1].T).max(axis=1))))
-    return LanguageModel(languages, np.concatenate(tables).astype(np.float32) if tables else np.zeros((0, features), np.float32), np.array(of, int), np.array(floors), idf)
+        floor = np.full(len(CUTS), REJECT_SHARE * float(np.median((rows @ tables[-1].T).max(axis=1))))
+        if held := apart.get(lang):
+            cosine = (_weighted(held, idf) @ tables[-1].T).max(axis=1)
+            classes = np.array([length_class(c) for c in held])
+            for c in range(len(CUTS)):
+                if (classes == c).sum() >= KEPT_OUT:
+                    floor[c] = max(floor[c], REJECT_MARGIN * float(np.quantile(cosine[classes == c], REJECT_QUANTILE)))
+                elif c:
+                    floor[c] = floor[c - 1]
+        floors.append(floor)
+    return LanguageModel(languages, np.concatenate(tables).astype(np.float32) if tables else np.zeros((0, features), np.float32), np.array(of, int), np.array(floors).reshape(-1, len(CUTS)), idf)
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

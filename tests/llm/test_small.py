@@ -344,3 +344,25 @@ def test_added_tokens_have_their_ids(spark):
     for i, t in enumerate(texts):
         ids = b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start))
         assert np.frombuffer(ids, "<u4").tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
+def _prose(draw, lang, n):
+    return " ".join(draw.choice(PROSE[lang].split()) for _ in range(n))
+
+
+def test_languages_reject_what_is_of_none(spark):
+    """Noise of 200 characters and more goes, and so do foreign scripts; short and long prose stays."""
+    draw = random.Random(8)
+    learn = make(spark, [(i, _prose(draw, lang, draw.randrange(8, 200)), lang) for i in range(600) for lang in PROSE])
+    model = langid.fit_languages(learn)
+    noise = ["".join(draw.choice(s) for _ in range(n)) for n in (200, 2000) for s in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "0123456789abcdef", "бвгджзклмнпрстфхцчшщ аеиоу", "的一是不了人我在有他这中大来上") for _ in range(20)]
+    assert sum(r[2] for r in model.predict(noise)) == len(noise)
+    clean = [_prose(draw, lang, n) for lang in PROSE for n in (5, 12, 40, 150) for _ in range(25)]
+    assert sum(r[2] for r in model.predict(clean)) <= 0.04 * len(clean)
+
+
+def test_a_language_of_few_texts_is_learned(spark):
+    """Many rows of few texts: each language has its different texts, once each."""
+    rows = [(i, f"{PROSE['de']} {i % 3}", "de") for i in range(3000)] + [(i, f"{PROSE['en']} {i}", "en") for i in range(300)]
+    model = langid.fit_languages(make(spark, rows), most=20)
+    assert model.languages == ["de", "en"] and [r[0] for r in model.predict([PROSE["de"], PROSE["en"]])] == ["de", "en"]
