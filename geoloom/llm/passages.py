@@ -1,4 +1,4 @@
-"""Substring dedup: passages that repeat across documents, by MinHash banding of sentence-sized paragraphs."""
+"""Substring dedup: passages that repeat across documents, by MinHash banding of paragraphs and the exact runs beside them."""
 
 from __future__ import annotations
 
@@ -7,289 +7,152 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from geoloom.llm.minhash import SHINGLE, SIMILARITY, marks, shingles, similar_links
 from geoloom.llm.runs import repeated_runs
+from geoloom.llm.words import range_hashes, together, word_hashes
 from geoloom.operators.components import connected_components
-from geoloom.session import checkpoint, ship_package, stored, stored_by
+from geoloom.session import ship_package, stored
 
-SHINGLE = 5
-SIMILARITY = 0.8
-#: Rows of a band, and bands: at the threshold, a pair meets in some band with probability 1 - (1 - 0.8^2)^5 = 0.994.
-ROWS, BANDS = 2, 5
-#: Shorter sentences and lines are joined with their neighbours; a text of fewer words has no paragraph.
+#: Shorter lines are joined with their neighbours; a text of fewer than SHINGLE words has no paragraph.
 MIN_WORDS = 8
-#: Longer ones are cut after words whose hash is the least of LOCAL words on either side.
-LONG_WORDS = 48
-LOCAL = 12
 #: Words of a run of repeated paragraphs from which it is a passage.
 PASSAGE_WORDS = 20
-#: Members of a band bucket up to which pairs are joined; beyond it, they are compared block by block.
-CROWDED = 64
-BLOCK = 256
-
-_SEPARATOR = re.compile(r"[.!?]\s+|\n+")
-_ODD = [np.uint64(2 * k + 1) for k in (0x4F1BBCDCBFA53E0A, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x0D6E8FEB86659FD9, 0x369DEA0F31A53F85)]
-_PERMUTATIONS = np.array([[2654435761, 40503], [2246822519, 97], [3266489917, 7919], [668265263, 104729], [374761393, 15485863], [2869860233, 32452843], [3644798167, 49979687], [4101842887, 67867967], [1274126177, 86028121], [1103515245, 122949823]], np.uint32)
-
-
-def _pieces(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """Sentences and lines; neighbouring ones of under MIN_WORDS words are joined, a few words alone go to their neighbour."""
-    cut: list[list] = []
-    begin = 0
-    for stop in [*(m.end() for m in _SEPARATOR.finditer(text)), len(text)]:
-        words = text[begin:stop].lower().split()
-        if cut and (not words or cut[-1][3] and len(words) < MIN_WORDS):
-            cut[-1][1] = stop
-            cut[-1][2] += words
-        elif words:
-            cut.append([begin if cut else 0, stop, words, len(words) < MIN_WORDS])
-        begin = stop
-    out: list[list] = []
-    for piece in cut:
-        if out and (len(piece[2]) < MIN_WORDS or len(out[-1][2]) < MIN_WORDS):
-            out[-1][1] = piece[1]
-            out[-1][2] += piece[2]
-        else:
-            out.append(piece)
-    yield from ((begin, stop, words) for begin, stop, words, _ in out)
-
-
-def _spans(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """Start, stop and lower-cased words of each paragraph: a piece; long ones are cut after words of a local least hash.
-
-    Whether a word ends a paragraph hangs on the LOCAL words on either side alone, so copies are cut alike in any host.
-    """
-    from xxhash import xxh32_intdigest
-
-    for begin, stop, words in _pieces(text):
-        if len(words) > LONG_WORDS:
-            marks = list(re.finditer(r"\S+", text[begin:stop]))
-            h = np.array([xxh32_intdigest(w) for w in words], np.int64)
-            held = np.concatenate((np.full(LOCAL, 1 << 32), h, np.full(LOCAL, 1 << 32)))
-            near = np.lib.stride_tricks.sliding_window_view(held, LOCAL)
-            least = (h < near[: len(h)].min(axis=1)) & (h <= near[LOCAL + 1 :].min(axis=1))
-            at = first = 0
-            for k in np.flatnonzero(least[MIN_WORDS - 1 : len(h) - MIN_WORDS]).tolist() if len(marks) == len(words) else []:
-                k += MIN_WORDS - 1
-                yield begin + at, begin + marks[k + 1].start(), words[first : k + 1]
-                at, first = marks[k + 1].start(), k + 1
-            begin, words = begin + at, words[first:]
-        yield begin, stop, words
-
-
-def _shingles(words: list[str]) -> np.ndarray:
-    """A 32-bit hash of every five neighbouring words."""
-    from xxhash import xxh64_digest
-
-    w = np.frombuffer(b"".join([xxh64_digest(x) for x in words]), ">u8").astype(np.uint64)
-    n = len(w) - SHINGLE + 1
-    h = np.zeros(n, np.uint64)
-    for j in range(SHINGLE):
-        h += w[j : j + n] * _ODD[j]
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    return (h >> np.uint64(32)).astype("<u4")
-
-
-def paragraphs(docs: DataFrame, with_shingles: bool) -> DataFrame:
-    """Paragraphs of at least MIN_WORDS words: doc_id, row_key, at, start, length, n_words, h and, if asked, shingles.
-
-    `at` counts them in the text; start and length are in characters and take in the white space that follows; row_key
-    is a hash of doc_id and text. h hashes the paragraph's lower-cased words. A null text has none.
+
+
+def paragraphs_of(line_ends: np.ndarray, first: int, last: int) -> list[tuple[int, int]]:
+    """First word and word after the last of each paragraph of the words from `first` to before `last`.
+
+    Paragraphs are lines; those of under MIN_WORDS words join the one before, the first ones the next. `line_ends` has
+    the words before each line end. Near copies of Jaccard 0.8 over five-word shingles differ by a word in about fifty, so
+    nothing shorter than a line is worth a fingerprint: of shorter stretches, only equal ones reach it, and
+    repeated_runs() finds those.
     """
-    from pyspark.sql.types import StructType
+    out, stop = [], first
+    for end in [*line_ends[np.searchsorted(line_ends, first, "right") : np.searchsorted(line_ends, last)].tolist(), last]:
+        if stop - first >= MIN_WORDS and end - stop >= MIN_WORDS:
+            out.append((first, stop))
+            first = stop
+        stop = end
+    return [*out, (first, stop)] if stop > first else out
+
+
+def _cut(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of the texts; then, for each paragraph of SHINGLE words or more, its text, its ends (in all words; the first in its text) and a hash."""
+    words, bounds, line_ends = word_hashes(texts)
+    found = [(k, *x) for k in range(len(texts)) for x in paragraphs_of(line_ends, int(bounds[k]), int(bounds[k + 1])) if x[1] - x[0] >= SHINGLE]
+    of, first, stop = np.array(found, np.int64).reshape(-1, 3).T
+    return words, of, np.stack((first, stop, first - bounds[of])), range_hashes(words, first, stop).view(np.int64)
+
 
+def _marks(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    words, _, (first, stop, _), hs = _cut(texts)
+    table = shingles(words)
+    yield from ((h, table[a : b - SHINGLE + 1]) for h, a, b in zip(hs.tolist(), first.tolist(), stop.tolist(), strict=True))
+
+
+def _marked(docs: DataFrame, with_shingles: bool) -> DataFrame:
     ship_package(docs.sparkSession)
-    names = ["doc_id", "row_key", "at", "start", "length", "n_words", "h", *["shingles"] * with_shingles]
-    schema = StructType.fromDDL("doc_id long, row_key long, at int, start int, length int, n_words int, h long" + ", shingles binary" * with_shingles)
-    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.binary()][: len(names)]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from marks((m for _, texts in together(batches, 0) for m in _marks(texts)), with_shingles)
 
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                kept = [s for s in _spans(text.as_py() or "") if len(s[2]) >= MIN_WORDS]
-                if not kept:
-                    continue
-                table = _shingles([w for s in kept for w in s[2]]) if with_shingles else None
-                first = 0
-                for at, (start, stop, words) in enumerate(kept):
-                    h = xxh3_64_intdigest(" ".join(words))
-                    row = (doc_id, key, at, start, stop - start, len(words), h - (1 << 64) if h >> 63 else h)
-                    rows.append((*row, table[first : first + len(words) - SHINGLE + 1].tobytes()) if with_shingles else row)
-                    first += len(words)
-                if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(cut, schema)
-
-
-def band_keys(distinct: DataFrame) -> DataFrame:
-    """`(key, h)`: for each paragraph of `distinct` (h, shingles) and band, the hash of the band's MinHash values."""
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = batch.column(0).to_numpy()
-            held = batch.column(1).to_pylist()
-            values = np.frombuffer(b"".join(held), "<u4")
-            starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in held])[:-1]))
-            least = []
-            for multiplier, shift in _PERMUTATIONS[: ROWS * BANDS]:
-                x = values * multiplier + shift
-                x ^= x >> np.uint32(15)
-                x *= multiplier
-                x ^= x >> np.uint32(13)
-                least.append(np.minimum.reduceat(x, starts).astype(np.uint64))
-            keys = []
-            for band in range(BANDS):
-                key = np.full(len(h), band + 1, np.uint64)
-                for row in least[band * ROWS : (band + 1) * ROWS]:
-                    key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(29)
-                keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(h, BANDS))], ["key", "h"])
-
-    return distinct.select("h", "shingles").mapInArrow(banded, "key long, h long")
-
-
-def _similar(a: bytes, b: bytes, similarity: float) -> bool:
-    x, y = np.unique(np.frombuffer(a, "<u4")), np.unique(np.frombuffer(b, "<u4"))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= similarity * (len(x) + len(y) - both)
-
-
-def _verified_pairs(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    held = distinct.select("h", "shingles")
-    left = held.select(F.col("h").alias("a"), F.col("shingles").alias("sa"))
-    right = held.select(F.col("h").alias("b"), F.col("shingles").alias("sb"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = pa.array([_similar(a, b, similarity) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield batch.select([0, 1]).filter(good)
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
-
-
-def _block_links(members: DataFrame, sizes: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """Links within crowded buckets, exact: every pair of blocks is one group, which gives at most a forest of links."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
-    dealt = members.join(sizes, "key").withColumn("blocks", blocks).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "h", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = dealt.join(distinct.select("h", "shingles"), "h")
-
-    def compare(table: pa.Table) -> pa.Table:
-        hs, own = table.column("h").to_pylist(), table.column("own").to_pylist()
-        sets = [set(np.frombuffer(s, "<u4").tolist()) for s in table.column("shingles").to_pylist()]
-        root = list(range(len(hs)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        same = len(set(own)) == 1
-        out: list[tuple[int, int]] = []
-        for x in range(len(hs)):
-            for y in range(x):
-                if (same or own[x] != own[y]) and find(x) != find(y):
-                    both = len(sets[x] & sets[y])
-                    if both >= similarity * (len(sets[x]) + len(sets[y]) - both):
-                        root[find(x)] = find(y)
-                        out.append((hs[x], hs[y]))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    return full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
-
-
-def similar_links(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links `(a, b)` between different paragraphs of exact Jaccard `similarity` or more that meet in a band.
-
-    Buckets of up to CROWDED members are joined with themselves; in larger ones, blocks of about BLOCK members are
-    compared pair by pair of blocks, so that no task holds a bucket and no list of all pairs is made.
+    return docs.select("text").mapInArrow(mark, "h long, shingles binary" if with_shingles else "key long, h long")
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """Every paragraph of SHINGLE words or more: doc_id, row_key, at, first_word, n_words, h.
+
+    `at` counts them in the text, first_word its words, cut at white space; row_key is a hash of doc_id and text, h one of
+    the paragraph's lower-cased words. A null text has none.
     """
-    keys = band_keys(distinct)
-    sizes = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = checkpoint(keys.join(sizes, "key"))
-    few = members.where(F.col("n") <= CROWDED).select("key", "h")
-    pairs = few.withColumnRenamed("h", "a").join(few.withColumnRenamed("h", "b"), "key").where("a < b").select("a", "b").distinct()
-    links = _verified_pairs(pairs, distinct, similarity)
-    crowded = members.where(F.col("n") > CROWDED)
-    if not crowded.isEmpty():
-        links = links.union(_block_links(crowded.select("key", "h"), sizes.where(F.col("n") > CROWDED), distinct, similarity))
-    return links
+    ship_package(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in together(batches, 2):
+            _, of, (first, stop, own), hs = _cut(texts)
+            at = np.arange(len(of)) - np.searchsorted(of, of)
+            places = [pa.array(x.astype(np.int32)) for x in (at, own, stop - first)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), *places, pa.array(hs)], ["doc_id", "row_key", "at", "first_word", "n_words", "h"])
+
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(cut, "doc_id long, row_key long, at int, first_word int, n_words int, h long")
 
 
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """Paragraphs that belong to passages found elsewhere: one row for each occurrence, with its class.
+    """Stretches of texts that belong to passages found elsewhere: one row for each occurrence, with its class.
 
-    doc_id, row_key, at, start, length, n_words, class_id, copies (occurrences of the same words), passage_words (words
-    of the run of repeated paragraphs that it lies in, at least `passage_words`) and removed: false for the occurrence
-    of the smallest (doc_id, at) of its class, nulls last, which stays; true for all others. Texts that share a doc_id, or
-    have none, come one after the other in the order of row_key.
+    doc_id, row_key, at, first_word, n_words, class_id, copies (occurrences of the same words), passage_words (words of
+    the run of repeated paragraphs that it lies in, at least `passage_words`) and removed: false for the occurrence of the
+    smallest (doc_id, at) of its class, nulls last, which stays; true for all others. Texts that share a doc_id, or have
+    none, come one after the other in the order of row_key.
 
     Paragraphs of equal lower-cased words are one; those of exact Jaccard `similarity` over five-word shingles are
     linked; classes are the components. Rows that repeat a doc_id and its text are one document. Empty tables, null and
-    short texts give no row; extra columns are left out.
-
-    Beside paragraphs, runs of 50 equal words or more have rows of their own (repeated_runs; `at` is null), to the word and
-    wherever they begin; they may overlap paragraphs.
+    short texts give no row; extra columns are left out. Runs of equal words that begin or end within a paragraph have
+    rows of their own (repeated_runs; `at` is null); they may overlap paragraphs.
     """
     return similar_paragraphs(docs, similarity, passage_words).unionByName(repeated_runs(docs))
 
 
-def similar_paragraphs(docs: DataFrame, similarity: float, passage_words: int) -> DataFrame:
+def similar_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """The rows of repeated_paragraphs that are paragraphs."""
-    firsts = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "at")).alias("first")
-    whole = paragraphs(docs, with_shingles=True)
-    distinct = stored_by(whole.groupBy("h").agg(firsts, F.count("*").alias("copies"), F.max("shingles").alias("shingles")), "h")
-    labels = connected_components(similar_links(distinct, similarity), "a", "b").withColumnRenamed("node", "h")
-    bare = distinct.select("h", "first", "copies")
-    linked = bare.join(labels, "h")
-    alone = bare.where("copies > 1").join(labels.select("h"), "h", "left_anti").withColumn("component", F.col("h"))
-    classed = linked.unionByName(alone)
-    keeper = classed.groupBy("component").agg(F.min("first").alias("keeper"))
-    classed = checkpoint(classed.join(keeper, "component").select("h", F.col("component").alias("class_id"), "copies", "keeper"))
-
-    found = paragraphs(docs, with_shingles=False).join(classed, "h").dropDuplicates(["doc_id", "row_key", "at"])
+    links = similar_links(_marked(docs, False), _marked(docs, True), similarity)
+    labels = stored(connected_components(links, "a", "b").select(F.col("node").alias("h"), "component"))
+    whole = paragraphs(docs)
+    known = whole.groupBy("h").agg(F.count("*").alias("copies")).join(labels, "h", "left").where("copies > 1 or component is not null")
+    known = stored(known.select("h", "copies", F.coalesce("component", "h").alias("class_id")))
+    found = stored(whole.join(known, "h").dropDuplicates(["doc_id", "row_key", "at"]))
+    keeper = stored(found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "at")).alias("keeper")))
+    found = found.join(keeper, "class_id")
     of_doc = Window.partitionBy("doc_id", "row_key")
     found = found.withColumn("run", F.col("at") - F.row_number().over(of_doc.orderBy("at")))
     found = found.withColumn("passage_words", F.sum("n_words").over(Window.partitionBy("doc_id", "row_key", "run"))).where(F.col("passage_words") >= passage_words)
-    kept = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "at").eqNullSafe(F.col("keeper"))
-    return found.select("doc_id", "row_key", "at", "start", "length", "n_words", "class_id", "copies", "passage_words", (~kept).alias("removed"))
+    kept = (F.col("row_key") == F.col("keeper.row_key")) & (F.col("at") == F.col("keeper.at"))
+    return found.select("doc_id", "row_key", "at", "first_word", "n_words", "class_id", "copies", "passage_words", (~kept).alias("removed"))
 
 
-def _without(text: Column, spans: Column) -> Column:
-    """The text without its spans of start and length, sorted; they may overlap."""
-    zero = F.struct(F.lit(0).alias("stop"), F.lit("").alias("kept"))
-    step = lambda s, x: F.struct(F.greatest(s["stop"], x["start"] + x["length"]).alias("stop"), F.concat(s["kept"], F.substring(text, s["stop"] + 1, F.greatest(x["start"] - s["stop"], F.lit(0)))).alias("kept"))
-    return F.aggregate(spans, zero, step, lambda s: F.concat(s["kept"], F.substring(text, s["stop"] + 1, F.length(text))))
+def without_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without its words of `spans` (first word, words), each with the white space after it; spans may overlap."""
+    starts = [m.start() for m in re.finditer(r"\S+", text)]
+    out, kept = [], 0
+    for first, n in sorted(spans):
+        begin, stop = starts[first], starts[first + n] if first + n < len(starts) else len(text)
+        if begin > kept:
+            out.append(text[kept:begin])
+        kept = max(kept, stop)
+    return "".join([*out, text[kept:]])
 
 
 def drop_repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """`docs` with all but one occurrence of each repeated passage cut from the texts; other columns stay as they are.
 
-    Rows that keep no word of a text that had one are dropped; rows without a repeated passage stay untouched.
+    Rows that keep no word of a text that had one are dropped; rows without a repeated passage stay untouched, null and
+    empty texts among them. An empty table stays empty; columns of any name are kept.
     """
+    ship_package(docs.sparkSession)
     found = repeated_paragraphs(docs, passage_words=passage_words).where("removed")
-    spans = found.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("__spans"))
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(spans.withColumnRenamed("row_key", "__key"), "__key", "left")
-    left = keyed.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__spans"))))
-    return left.where(F.col("__spans").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+    spans = found.groupBy("row_key").agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans"))
+    names = docs.columns
+    wide = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)])
+    text = f"c{names.index('text')}"
+    joined = wide.withColumn("row_key", F.xxhash64(f"c{names.index('doc_id')}", text)).join(spans, "row_key", "left").drop("row_key")
+    at = names.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(len(names)).to_pylist()
+            texts = [t.as_py() if s is None else without_words(t.as_py(), [(x["first_word"], x["n_words"]) for x in s]) for t, s in zip(batch.column(at), held, strict=True)]
+            columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
+            stay = pa.array([s is None or bool(t.strip()) for t, s in zip(texts, held, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, names).filter(stay)
+
+    whole = StructType(docs.schema.fields)
+    return joined.mapInArrow(cut, whole)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every occurrence, in all documents, of a paragraph that belongs to a passage found elsewhere."""
+    """Every occurrence, in all documents, of a stretch that belongs to a passage found elsewhere."""
     return repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,8 +1,7 @@
-"""Exact repeats: runs of RUN_WORDS words or more that stand elsewhere too, wherever sentences and lines end."""
+"""Exact repeats: runs of words that stand elsewhere too, wherever sentences and lines begin and end."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,175 +9,136 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.llm.words import grams, range_hashes, together, word_hashes
 from geoloom.session import ship_package, stored
 
 RUN_WORDS = 50
-#: Words of an anchor: of each run of RUN_WORDS words, the anchor of the least hash is kept, so equal runs share it.
-GRAM = 15
+#: Words of an anchor: in each run of RUN_WORDS words, the anchor of the least hash is kept, so equal runs share it.
+GRAM = 30
 WINDOW = RUN_WORDS - GRAM + 1
+#: Words by which a run is carried on past its outermost anchors, and how often: up to WINDOW - 1 words.
+STEP, STEPS = 5, 4
 
-_WORD = re.compile(r"\S+")
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def _anchors(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Places of the least of every WINDOW neighbouring anchors of a text, the last one of equals; and its first and last one.
 
-
-def _hashes(text: str) -> np.ndarray:
-    from xxhash import xxh64_digest
-
-    return np.frombuffer(b"".join([xxh64_digest(w) for w in text.lower().split()]), ">u8").astype(np.uint64)
-
-
-def _grams(words: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every n neighbouring words, from sums of word hashes times powers of an odd base."""
-    if len(words) < n:
-        return np.empty(0, np.uint64)
-    if len(_POWERS[0]) < len(words):
-        for k, base in enumerate((_BASE, _INVERSE)):
-            _POWERS[k] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * len(words), base, np.uint64))), dtype=np.uint64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * _POWERS[0][: len(words)], dtype=np.uint64)))
-    h = (sums[n:] - sums[:-n]) * _POWERS[1][: len(words) - n + 1]
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ h >> np.uint64(29)
-
-
-def _anchors(h: np.ndarray) -> np.ndarray:
-    """Places of the least of every WINDOW neighbouring hashes, the last one of equals."""
-    turned = h[::-1]
-    found = []
+    `h` has the hashes of all stretches of GRAM words, texts one after another from each of `bounds` on.
+    """
+    long = np.flatnonzero(np.diff(bounds) >= RUN_WORDS)
+    found = [bounds[long], bounds[long + 1] - GRAM]
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     for begin in range(0, len(h) - WINDOW + 1, 1 << 15):
-        view = np.lib.stride_tricks.sliding_window_view(turned[begin : begin + (1 << 15) + WINDOW - 1], WINDOW)
-        found.append(len(h) - 1 - begin - np.arange(len(view)) - view.argmin(axis=1))
+        view = np.lib.stride_tricks.sliding_window_view(h[begin : begin + (1 << 15) + WINDOW - 1], WINDOW)
+        at = begin + np.arange(len(view))
+        inside = text[at] == text[at + RUN_WORDS - 1]
+        found.append((at + WINDOW - 1 - view[:, ::-1].argmin(axis=1))[inside])
     return np.unique(np.concatenate(found))
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """`(tk, h, pos)` for each anchor of a text; a row of pos < 0 gives the words of the text, negated."""
+def _sides(words: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit hashes of the STEP, 2 * STEP, ... words before each anchor, and of those after it; 0: too few in its text."""
+    out = np.zeros((2, len(at)), np.uint64)
+    text = np.searchsorted(bounds, at, "right") - 1
+    for k in range(STEPS):
+        n = STEP * (k + 1)
+        for side, first in ((0, at - n), (1, at + GRAM)):
+            inside = np.flatnonzero((first >= bounds[text]) & (first + n <= bounds[text + 1]))
+            h = range_hashes(words, first[inside], first[inside] + n) >> np.uint64(48)
+            out[side, inside] |= np.maximum(h, np.uint64(1)) << np.uint64(16 * k)
+    return out[0].view(np.int64), out[1].view(np.int64)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, hs, places = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = _hashes(text.as_py() or "")
-                if len(words) < RUN_WORDS:
-                    continue
-                h = _grams(words, GRAM)
-                at = _anchors(h)
-                keys.append(np.full(len(at) + 1, key, np.int64))
-                hs.append(np.concatenate((h[at], np.zeros(1, np.uint64))).view(np.int64))
-                places.append(np.concatenate((at, [-len(words)])).astype(np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, hs, places)], ["tk", "h", "pos"])
-
-    return docs.select("tk", "text").mapInArrow(cut, "tk long, h long, pos int")
 
-
-def _window_rows(docs: DataFrame) -> DataFrame:
-    """`(w, doc_id, row_key, pos, start, stop, share)` for each run of RUN_WORDS words about an anchor in `places`."""
+def _anchor_rows(docs: DataFrame) -> DataFrame:
+    """`(g, doc_id, row_key, pos, before, after)` for each anchor of a text of RUN_WORDS words or more."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["w", "doc_id", "row_key", "pos", "start", "stop", "share"]
-        for batch in batches:
-            for doc_id, row_key, share, places, text in zip(*[batch.column(k).to_pylist() for k in range(4)], batch.column(4), strict=True):
-                text = text.as_py()
-                w = _grams(_hashes(text), RUN_WORDS)
-                wanted = np.zeros(len(w), bool)
-                for p in places:
-                    wanted[max(0, p - WINDOW + 1) : p + 1] = True
-                at = np.flatnonzero(wanted)
-                edges = np.array([0, *[m.start() for m in _WORD.finditer(text)][1:], len(text)], np.int32)
-                n = len(at)
-                columns = [pa.array(w[at].view(np.int64)), pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, row_key, np.int64)), pa.array(at.astype(np.int32))]
-                columns += [pa.array(edges[at]), pa.array(edges[at + RUN_WORDS]), pa.array(np.full(n, share, np.float64))]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = "w long, doc_id long, row_key long, pos int, start int, stop int, share double"
-    return docs.select("doc_id", "row_key", "share", "places", "text").mapInArrow(cut, schema)
+        for batch, texts in together(batches, 2):
+            words, bounds, _ = word_hashes(texts)
+            h = grams(words, GRAM)
+            at = _anchors(h, bounds)
+            text = np.searchsorted(bounds, at, "right") - 1
+            of = pa.array(text)
+            sides = [pa.array(side) for side in _sides(words, bounds, at)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array((at - bounds[text]).astype(np.int32)), *sides], ["g", "doc_id", "row_key", "pos", "before", "after"])
+
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(cut, "g long, doc_id long, row_key long, pos int, before long, after long")
 
 
 def _merged(spans: list[tuple]) -> list[list]:
-    """Unions of sorted (pos, start, stop_pos, stop, name, copies) that meet; the name is the first one's."""
+    """Unions of (first, stop, name, copies) that meet; the name is the first one's."""
     out: list[list] = []
     for x in sorted(spans):
-        if out and x[0] <= out[-1][2]:
-            if x[2] > out[-1][2]:
-                out[-1][2:4] = x[2:4]
-            out[-1][5] = max(out[-1][5], x[5])
+        if out and x[0] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], x[1])
+            out[-1][3] = max(out[-1][3], x[3])
         else:
             out.append(list(x))
     return out
 
 
-def _labelled(spans: list[tuple], whole: tuple | None) -> list[tuple]:
-    """Runs of one text as (start, length, n_words, class_id, copies, removed): those that go, and the rest of the first ones."""
-    gone = _merged([(s["from_pos"], s["from_start"], s["stop_pos"], s["stop"], s["w"], s["copies"]) for s in spans if s["removed"]])
-    first = [(s["from_pos"], s["from_start"], s["stop_pos"], s["stop"], s["w"], s["copies"]) for s in spans if not s["removed"]]
+def _labelled(spans: list[dict]) -> list[tuple]:
+    """Runs of one text as (first_word, n_words, class_id, copies, removed): those that go, and the rest of the first ones."""
+    gone = _merged([(s["first"], s["stop"], s["g"], s["copies"]) for s in spans if s["removed"] and s["first"] < s["stop"]])
     out = [(*x, True) for x in gone]
-    for a, start, b, stop, name, copies in _merged(first + ([whole] if whole else [])):
+    for a, b, name, copies in _merged([(s["first"], s["stop"], s["g"], s["copies"]) for s in spans if not s["removed"]]):
         for x in gone:
-            if a < x[2] and x[0] < b:
+            if a < x[1] and x[0] < b:
                 if a < x[0]:
-                    out.append((a, start, x[0], x[1], name, copies, False))
-                a, start = x[2], x[3]
+                    out.append((a, x[0], name, copies, False))
+                a = x[1]
         if a < b:
-            out.append((a, start, b, stop, name, copies, False))
-    return [(start, stop - start, b - a, name, copies, removed) for a, start, b, stop, name, copies, removed in out]
+            out.append((a, b, name, copies, False))
+    return [(a, b - a, name, copies, removed) for a, b, name, copies, removed in out]
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """Runs of words that lie in RUN_WORDS equal lower-cased words found elsewhere, as rows of repeated_paragraphs.
+    """Runs of words that stand elsewhere too, as rows of repeated_paragraphs; every run of RUN_WORDS equal words is found.
 
-    Of equal runs of RUN_WORDS words, the one of the smallest (doc_id, row_key, place) stays, nulls last; a word that lies
-    in any other one is removed. Where a run overlaps its own repeat, as in periodic text, the first RUN_WORDS words stay.
-    `at` is null; class_id is a hash of the run's first RUN_WORDS words, or of the text where a whole text repeats.
+    Texts are lower-cased and cut at white space. Anchors are stretches of GRAM words: the one of the least hash in every
+    RUN_WORDS words (winnowing), so equal runs share anchors, and the first and last one of each text. An anchor that
+    stands in several places stays in the first of them, by (doc_id, row_key, place), nulls last, and goes from all
+    others; so do up to STEP * STEPS words beside it, in steps, that equal those beside the first one, by 16-bit hashes. Of a run,
+    at most STEP - 1 words stay at either end where its anchors' first places hold all of it, else WINDOW - 1. Where a
+    stretch overlaps its own repeat, as in periodic text, the first GRAM words stay.
 
-    Anchors (winnowing) find the candidates: equal runs of RUN_WORDS words share one, so none is missed. Only runs about
-    anchors that repeat in different texts, or twice in one, are compared. Equal texts are compared once.
+    `at` is null; class_id is a hash of an anchor's words. Anchors are counted with a map-side combine before they are
+    joined, and the first places are summed alike, so no task holds all places of a stretch that many texts share.
     """
     ship_package(docs.sparkSession)
-    keyed = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.xxhash64("text").alias("tk"), "text")
-    rows = keyed.groupBy("tk", "row_key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("m"), F.first(F.length("text")).alias("chars"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "m")).alias("first")
-    anchors = stored(_anchor_rows(keyed).distinct())
-    sizes = anchors.where("pos < 0").select("tk", (-F.col("pos")).alias("words"))
-    rows = stored(rows.join(sizes, "tk"))
-    owners = rows.groupBy("tk").agg(first, F.count("*").alias("n"), F.first("chars").alias("chars"), F.first("words").alias("words"))
-
-    ties = anchors.where("pos >= 0").groupBy("h").agg(F.min("tk").alias("a"), F.max("tk").alias("b"), F.count("*").alias("n")).where("a <> b or n > 1")
-    places = anchors.where("pos >= 0").join(ties.select("h"), "h", "left_semi").groupBy("tk").agg(F.collect_set("pos").alias("places"))
-    wanted = owners.join(places, "tk").select(F.col("first.row_key").alias("row_key"), (F.col("n") / F.col("first.m")).alias("share"), "places")
-    windows = stored(_window_rows(keyed.join(wanted, "row_key")))
-
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "pos", "stop")
-    classes = windows.groupBy("w").agg(F.min(place).alias("f"), F.round(F.sum("share")).cast("long").alias("copies")).where("copies > 1")
-    own = F.col("row_key") == F.col("f.row_key")
-    meets = own & (F.col("pos") < F.col("f.pos") + RUN_WORDS) & (F.col("pos") > F.col("f.pos"))
+    rows = _anchor_rows(docs.where("text is not null"))
+    many = stored(rows.groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1"))
+    held = stored(rows.join(many, "g").distinct())
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "pos")
+    firsts = stored(held.groupBy("g").agg(F.min(F.struct(place.alias("place"), F.col("before"), F.col("after"))).alias("f")))
+    same_row = F.col("row_key") == F.col("f.place.row_key")
+    removed = ~(same_row & (F.col("pos") == F.col("f.place.pos")))
+    meets = same_row & removed & (F.col("pos") < F.col("f.place.pos") + GRAM)
+
+    def beside(side: str):
+        part = lambda c, k: F.shiftrightunsigned(c, 16 * k).bitwiseAND(0xFFFF)
+        equal = [(part(side, k) == part(f"f.{side}", k)) & (part(side, k) != 0) for k in range(STEPS)]
+        reached = F.lit(0)
+        for k in reversed(range(STEPS)):
+            reached = F.when(equal[k], STEP + reached).otherwise(0)
+        return F.when(same_row | ~removed, 0).otherwise(reached)
+
     span = F.struct(
-        (~(own & (F.col("pos") == F.col("f.pos")))).alias("removed"),
-        F.when(meets, F.col("f.pos") + RUN_WORDS).otherwise(F.col("pos")).alias("from_pos"),
-        F.when(meets, F.col("f.stop")).otherwise(F.col("start")).alias("from_start"),
-        (F.col("pos") + RUN_WORDS).alias("stop_pos"),
-        "stop",
-        "w",
+        removed.alias("removed"),
+        F.when(meets, F.col("f.place.pos") + GRAM).otherwise(F.col("pos") - beside("before")).alias("first"),
+        (F.col("pos") + GRAM + beside("after")).alias("stop"),
+        "g",
         "copies",
     )
-    spans = windows.join(classes, "w").groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.collect_set(span).alias("spans"))
-    wholes = owners.where("n > 1").select(F.col("first.row_key").alias("row_key"), F.col("first.doc_id").alias("owner"), F.struct("tk", "n", "chars", "words").alias("whole"))
-    by_row = spans.join(wholes, "row_key", "full").select(F.when(F.col("whole").isNull(), F.col("doc_id")).otherwise(F.col("owner")).alias("doc_id"), "row_key", "spans", "whole")
+    of_row = held.join(firsts, "g").groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(span).alias("spans"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+        names = ["doc_id", "row_key", "first_word", "n_words", "class_id", "copies", "removed"]
         for batch in batches:
             out = []
-            for doc_id, key, spans, whole in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                base = (0, 0, whole["words"], whole["chars"], whole["tk"], whole["n"]) if whole else None
-                out += [(doc_id, key, *x) for x in _labelled(spans or [], base)]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-            names = ["doc_id", "row_key", "start", "length", "n_words", "class_id", "copies", "removed"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names)
-
-    parts = by_row.mapInArrow(label, "doc_id long, row_key long, start int, length int, n_words int, class_id long, copies long, removed boolean")
-    again = rows.join(owners.where("n > 1").select("tk", "first", "n"), "tk").where(F.col("row_key") != F.col("first.row_key"))
-    again = again.select("doc_id", "row_key", F.lit(0).alias("start"), F.col("chars").alias("length"), F.col("words").alias("n_words"), F.col("tk").alias("class_id"), F.col("n").alias("copies"), F.lit(True).alias("removed"))
-    found = parts.unionByName(again)
-    return found.select("doc_id", "row_key", F.lit(None).cast("int").alias("at"), "start", "length", "n_words", "class_id", "copies", F.col("n_words").cast("long").alias("passage_words"), "removed")
+            for doc_id, key, spans in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                out += [(doc_id, key, *x) for x in _labelled(spans)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names)
+
+    found = of_row.select("doc_id", "row_key", "spans").mapInArrow(label, "doc_id long, row_key long, first_word int, n_words int, class_id long, copies long, removed boolean")
+    return found.select("doc_id", "row_key", F.lit(None).cast("int").alias("at"), "first_word", "n_words", "class_id", "copies", F.col("n_words").cast("long").alias("passage_words"), "removed")

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.langid import small
-from geoloom.llm.passages import SHINGLE, SIMILARITY, _shingles, similar_links
+from geoloom.llm.minhash import SHINGLE, SIMILARITY, marks, shingles, similar_links
+from geoloom.llm.words import range_hashes, together, word_hashes
 from geoloom.operators.components import connected_components
-from geoloom.session import checkpoint, ship_package, stored_by
+from geoloom.session import checkpoint, ship_package, stored
 
 DISTANCE = 3
 #: Fingerprints that share a 32-bit half: up to so many are compared one by one, more are linked through hubs.
@@ -107,7 +107,8 @@ def _hub_links(prints: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     centre = F.min(F.when(F.col("near"), F.col("fp"))).over(Window.partitionBy("hub"))
-    return at_hub.withColumn("centre", centre).where("centre is not null and centre <> fp").select(F.col("fp").alias("a"), F.col("centre").alias("b"))
+    tied = at_hub.withColumn("centre", centre).where("centre is not null and centre <> fp").select(F.col("fp").alias("a"), F.col("centre").alias("b"))
+    return tied.where(_distance("a", "b") <= DISTANCE)
 
 
 def near_links(prints: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
@@ -115,7 +116,7 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, dense: int = DENSE)
 
     Multi-index hashing: of two fingerprints within 3, one half differs by at most one bit. Each half's ball of radius 1
     is looked up in the table of that half, and full distances are verified. Where over `dense` fingerprints share a
-    half exactly, as in large groups of near copies, links go through hubs: each tie is verified by construction.
+    half exactly, as in large groups of near copies, links go through hubs, and their full distances are verified too.
     """
     if distance != 3:
         raise ValueError("the balls and hubs are those of distance 3")
@@ -129,7 +130,8 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, dense: int = DENSE)
     links = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     if any_crowded:
         members = checkpoint(probes.join(crowded, ["half", "value"], "left_semi").select("fp").distinct())
-        links = links.union(_hub_links(members))
+        parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each makes some 500 rows: a small table, but much work
+        links = links.union(_hub_links(members.repartition(parts, "fp")))
     return links.distinct()
 
 
@@ -153,39 +155,57 @@ def near_groups(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     return marked.join(of_print.join(ids, "component").select("fingerprint", "component_id"), "fingerprint")
 
 
-def _worded(placed: DataFrame) -> DataFrame:
-    """`(doc_id, row, h, shingles)`: a hash of the lower-cased words, and the text's five-word shingles, empty below five."""
-    ship_package(placed.sparkSession)
+def _whole_texts(docs: DataFrame, with_shingles: bool) -> DataFrame:
+    """marks() of the lower-cased words of whole texts."""
+    ship_package(docs.sparkSession)
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        for _, texts in together(batches, 0):
+            words, bounds, _ = word_hashes(texts)
+            table = shingles(words)
+            hs = range_hashes(words, bounds[:-1], bounds[1:]).view(np.int64)
+            yield from ((h, table[a : max(a, b - SHINGLE + 1)]) for h, a, b in zip(hs.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+
+    return docs.select("text").mapInArrow(lambda batches: marks(sequences(batches), with_shingles), "h long, shingles binary" if with_shingles else "key long, h long")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
 
-        for batch in small(batches):
-            words = [(t.as_py() or "").lower().split() for t in batch.column(2)]
-            h = np.array([xxh3_64_intdigest(" ".join(w)) for w in words], np.uint64).view(np.int64)
-            shingles = [_shingles(w).tobytes() if len(w) >= SHINGLE else b"" for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h), pa.array(shingles, pa.binary())], ["doc_id", "row", "h", "shingles"])
+def _named(docs: DataFrame) -> DataFrame:
+    """`(doc_id, row_key, h)` of every row: row_key is a hash of doc_id and text, h one of the lower-cased words."""
+    ship_package(docs.sparkSession)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in together(batches, 2):
+            words, bounds, _ = word_hashes(texts)
+            h = range_hashes(words, bounds[:-1], bounds[1:]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h)], ["doc_id", "row_key", "h"])
 
-    return placed.select("doc_id", F.col("__row").alias("row"), "text").mapInArrow(cut, "doc_id long, row long, h long, shingles binary")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(mark, "doc_id long, row_key long, h long")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """`docs` with one row of each group, that of the smallest doc_id; its columns stay as they are.
 
-    Texts of equal lower-cased words are one; those of exact Jaccard `similarity` over five-word shingles are linked, and
-    groups are the components. Candidates meet in MinHash bands (a pair at the threshold is found with probability 0.994):
-    fingerprints at 0.8 differ in up to 11 bits or more, which no ball of bits covers. Of repeated rows, one stays; a row
-    without doc_id stays only if its group has no other. `docs` has to read the same each time, as a table does: rows are
-    known by their place in it.
+    Texts of equal lower-cased words are one, those without a word (null ones too) among them; those of exact Jaccard
+    `similarity` over five-word shingles are linked, and groups are the components. Candidates meet in MinHash bands (a
+    pair at the threshold is found with probability 0.994): fingerprints at 0.8 differ in up to 11 bits or more, which no
+    ball of bits covers. Rows are known by a hash of doc_id and text; of rows that repeat both, any one stays. A row
+    without doc_id stays only if its group has no other. Texts of any length are compared whole; an empty table stays
+    empty; columns of any name are kept.
     """
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
-    distinct = stored_by(_worded(placed).groupBy("h").agg(first, F.max("shingles").alias("shingles")), "h")
-    links = similar_links(distinct.where(F.length("shingles") > 0), similarity)
-    labels = connected_components(links, "a", "b").withColumnRenamed("node", "h")
-    grouped = distinct.select("h", "first").join(labels, "h", "left")
+    links = similar_links(_whole_texts(docs, False), _whole_texts(docs, True), similarity)
+    labels = connected_components(links, "a", "b").select(F.col("node").alias("h"), "component")
+    rows = stored(_named(docs).groupBy("h", "doc_id", "row_key").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "n")).alias("first")
+    grouped = rows.groupBy("h").agg(first).join(labels, "h", "left")
     kept = grouped.groupBy(F.coalesce("component", "h").alias("component")).agg(F.min("first").alias("first"))
-    return placed.join(kept.select(F.col("first.row").alias("__row")), "__row", "left_semi").drop("__row")
+    kept = stored(kept.select("first.row_key", "first.n"))
+    names = docs.columns
+    wide = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(names)])
+    joined = wide.join(kept, "row_key")
+    out = joined.where("n = 1")
+    if not kept.where("n > 1").isEmpty():
+        out = out.union(joined.where("n > 1").dropDuplicates(["row_key"]))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

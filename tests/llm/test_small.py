@@ -1,7 +1,7 @@
 """Each operator on small odd tables: defined results for nulls, empty, long and repeated texts, ties and clashing names."""
 
+import itertools
 import random
-import re
 import zlib
 
 import numpy as np
@@ -9,8 +9,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontamination, fixity, langid, licences, packing, passages, quality, sharding, simhash, toxicity
+from geoloom.llm import decontamination, fixity, langid, licences, minhash, packing, passages, quality, sharding, simhash, toxicity
 from geoloom.llm import runs as runs_
+from geoloom.llm import words as words_
 from tests.llm.conftest import PROSE, make
 
 
@@ -226,8 +227,8 @@ def _sentence(draw, n=12):
 
 @pytest.mark.parametrize("crowded", [64, 2])
 def test_passages(spark, monkeypatch, crowded):
-    monkeypatch.setattr(passages, "CROWDED", crowded)
-    monkeypatch.setattr(passages, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "CROWDED", crowded)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
     draw = random.Random(5)
     passage = " ".join(_sentence(draw) for _ in range(6))
     edited = passage.split()
@@ -256,12 +257,15 @@ def test_passages(spark, monkeypatch, crowded):
 
 def test_similarity_is_exact():
     a, b = np.arange(10, dtype="<u4"), np.arange(1, 11, dtype="<u4")
-    assert passages._similar(a.tobytes(), b.tobytes(), 0.8) and not passages._similar(a.tobytes(), b.tobytes(), 0.82)
+    assert minhash.jaccard_reaches(a.tobytes(), b.tobytes(), 0.8) and not minhash.jaccard_reaches(a.tobytes(), b.tobytes(), 0.82)
     assert zlib.crc32(a.tobytes()) != zlib.crc32(b.tobytes())
 
 
 def test_runs_of_fifty_words_against_brute_force(spark):
-    """Passages in mid-sentence and in short lines, nested, periodic and whole: words that stay, against all windows."""
+    """Passages in mid-sentence and in short lines, nested, periodic and whole, against all windows of 50 words.
+
+    Nothing that stands nowhere else goes; of each run, only words at its ends may stay.
+    """
     draw = random.Random(11)
     word = lambda: f"w{draw.randrange(9000)}"
     passages_ = [[word() + draw.choice(["", "", "", ".", "\n"]) for _ in range(n)] for n in (52, 60, 80, 120)]
@@ -277,7 +281,7 @@ def test_runs_of_fifty_words_against_brute_force(spark):
     found = runs_.repeated_runs(table).where("removed").collect()
     keys = {(r.doc_id, r.text): r.k for r in table.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k")).collect()}
     order = sorted({(i is None, i or 0, keys[i, t], t) for i, t, _ in rows if t})
-    first = {}
+    first, seen, repeated, stayed = {}, {}, 0, 0
     for doc, (_, _, key, text) in enumerate(order):
         words = text.lower().split()
         gone = set()
@@ -285,28 +289,51 @@ def test_runs_of_fifty_words_against_brute_force(spark):
             d, f = first.setdefault(tuple(words[p : p + 50]), (doc, p))
             if (d, f) != (doc, p):
                 gone |= set(range(max(p, f + 50) if d == doc else p, p + 50))
-        spans = [(r.start, r.start + r.length) for r in found if r.row_key == key]
-        starts = [m.start() for m in re.finditer(r"\S+", text)]
-        assert {k for k, s in enumerate(starts) if any(a <= s < b for a, b in spans)} == gone
+        out = {k for r in found if r.row_key == key for k in range(r.first_word, r.first_word + r.n_words)}
+        grams = [tuple(words[p : p + runs_.GRAM]) for p in range(len(words) - runs_.GRAM + 1)]
+        elsewhere = {k for p, g in enumerate(grams) for k in range(p - 20, p + runs_.GRAM + 20) if seen.setdefault(g, (doc, p)) != (doc, p)}
+        assert out <= elsewhere
+        for _, part in itertools.groupby(sorted(gone), lambda k, c=itertools.count(): k - next(c)):
+            part = list(part)
+            stay = [k for k in part if k not in out]
+            assert all(k < part[0] + runs_.WINDOW or k > part[-1] - runs_.WINDOW for k in stay)
+            repeated, stayed = repeated + len(part), stayed + len(stay)
+    assert repeated > 2000 and stayed < 0.06 * repeated
     left = {r.doc_id: r.text for r in passages.drop_repeated_passages(table).collect()}
     assert 60 not in left and left[63] == "few words"
 
 
 def test_paragraphs_keep_every_word():
-    text = "one two three. four\n five six seven eight nine ten.\n\n" + " ".join(f"v{i}" for i in range(200)) + ". end\n"
-    spans = list(passages._spans(text))
-    assert [w for s in spans for w in s[2]] == text.lower().split()
-    assert all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[0][0] == 0 and spans[-1][1] == len(text)
-    assert all(len(s[2]) >= passages.MIN_WORDS for s in spans)
+    text = "one two three.\nfour\n five six seven eight nine ten.\n\n" + " ".join(f"v{i}" for i in range(200)) + ". end\nlast words\n"
+    hashes, bounds, ends = words_.word_hashes(["", text, None, " \n ", text])
+    assert bounds.tolist() == [0, 0, 213, 213, 213, 426] and hashes[:213].tolist() == hashes[213:].tolist()
+    assert passages.paragraphs_of(ends, 0, 213) == [(0, 10), (10, 213)] and passages.paragraphs_of(ends, 213, 426) == [(213, 223), (223, 426)]
+    assert passages.paragraphs_of(ends, 213, 213) == []
+    assert len(set(hashes[:213].tolist())) == len(set(text.split()))
+    assert words_.word_hashes([" x\u00a0TWO\u2003three "])[0].tolist() == words_.word_hashes(["X", "two three"])[0].tolist()
+
+
+def test_long_texts_are_hashed_in_blocks(monkeypatch):
+    text = "one two " * 30 + "x" * 50 + " three"
+    whole = words_.word_hashes([text])[0]
+    monkeypatch.setattr(words_, "BLOCK", 20)
+    assert words_.word_hashes([text])[0].tolist() == whole.tolist() and words_.word_hashes([None])[0].size == 0
+    assert words_.grams(whole, 3)[0] == words_.grams(whole, 3)[2] != words_.grams(whole, 3)[1]
+
+
+def test_words_are_cut_with_their_white_space():
+    text = " a b  c\n\nd e"
+    assert passages.without_words(text, [(1, 2)]) == " a d e" and passages.without_words(text, [(0, 3), (1, 1), (4, 1)]) == " d "
+    assert passages.without_words(text, [(0, 5)]) == " "
 
 
 @pytest.mark.parametrize("doc_id", [7, None])
 def test_one_text_of_a_shared_doc_id_keeps_the_passage(spark, doc_id):
     draw = random.Random(2)
     passage = " ".join(_sentence(draw) for _ in range(3))
-    table = make(spark, [(doc_id, f"{passage} {_sentence(draw)}", "en") for _ in range(4)])
+    table = make(spark, [(doc_id, f"{passage}\n{_sentence(draw)}", "en") for _ in range(4)])
     got = passages.similar_paragraphs(table, 0.8, 20).collect()
-    assert len(got) == 12 and sum(not r.removed for r in got) == 3
+    assert len(got) == 4 and sum(not r.removed for r in got) == 1
     assert len({r.row_key for r in got if not r.removed}) == 1
     assert sum(passage in r.text for r in passages.drop_repeated_passages(table).collect()) == 1
 
