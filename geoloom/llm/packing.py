@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from geoloom.session import ship_package
 
 CAPACITY = 2048
+#: Reciprocal classes; the last one takes all shorter lengths too.
+CLASSES = 64
 #: Id that ends each document.
 END_ID = 1
 #: Words whose ids a worker remembers; beyond it, new words are encoded each time.
@@ -98,43 +100,89 @@ def added_tokens() -> dict[str, int]:
         return {x["content"]: x["id"] for x in json.load(held)["added_tokens"]}
 
 
-def piece_lengths(tokens: int, capacity: int = CAPACITY) -> list[int]:
-    """A document's cuts: full sequences, then lengths capacity / 2, capacity / 4, ... as its rest has them."""
-    rest = tokens % capacity
-    return [capacity] * (tokens // capacity) + [1 << b for b in range(capacity.bit_length() - 2, -1, -1) if rest >> b & 1]
+Piece = tuple[int | None, int, np.ndarray, int]  # doc_id, start, ids, doc_tokens
 
 
 class _Bins:
-    """One worker's bins. The class of length capacity / k takes exactly k pieces to a bin; ids count up from `first`."""
-
-    def __init__(self, capacity: int, first: int):
-        self.capacity, self.next, self.open = capacity, first, {}
-
-    def place(self, length: int) -> tuple[int, int]:
-        bin_id, used = self.open.get(length, (None, self.capacity))
-        if used == self.capacity:
-            bin_id, used, self.next = self.next, 0, self.next + 1
-        self.open[length] = (bin_id, used + length)
-        return bin_id, used
-
-
-def _last_bins(rows: list[tuple[int, int]], length: int, capacity: int, first: int) -> tuple[list[tuple[int, int]], int]:
-    """The pieces of a class that don't fill a bin go to bins of 2^b pieces, whose totals are powers of two."""
-    out, left = [], len(rows)
-    for b in range(capacity.bit_length(), -1, -1):
-        if left >> b & 1:
-            out += [(first, i * length) for i in range(1 << b)]
-            first += 1
-    return out, first
+    """One worker's open bins, one for each class; sequence ids count up from `first`.
 
+    Class k takes k pieces of lengths over capacity / (k + 1) up to capacity / k, the last class all shorter ones too. A
+    bin that has its k pieces is closed by cutting what it lacks from the documents that come next, so it has no padding.
+    """
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, ranks_path: str | None = None) -> DataFrame:
+    def __init__(self, capacity: int, classes: int, first: int):
+        self.capacity, self.classes, self.next = capacity, classes, first
+        self.open: dict[int, list[Piece]] = {}
+        self.closing: list[Piece] = []
+        self.lacks = 0
+
+    def sequence(self, pieces: list[Piece]) -> list[tuple]:
+        """Rows of a finished sequence."""
+        rows, used = [], 0
+        for doc_id, start, ids, doc_tokens in pieces:
+            rows.append((doc_id, start, len(ids), ids.tobytes(), doc_tokens, self.next, used))
+            used += len(ids)
+        self.next += 1
+        return rows
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> list[tuple]:
+        """Place a document; the rows of the sequences that this finishes."""
+        rows, start, n = [], 0, len(ids)
+
+        def cut(length: int) -> Piece:
+            nonlocal start
+            start += length
+            return doc_id, start - length, ids[start - length : start], n
+
+        if self.closing:
+            piece = cut(min(n, self.lacks))
+            self.closing.append(piece)
+            self.lacks -= len(piece[2])
+            if not self.lacks:
+                rows += self.sequence(self.closing)
+                self.closing = []
+        while n - start >= self.capacity:
+            rows += self.sequence([cut(self.capacity)])
+        if start < n:
+            k = min(self.capacity // (n - start), self.classes)
+            bin_ = self.open.setdefault(k, [])
+            bin_.append(cut(n - start))
+            if len(bin_) == k:
+                del self.open[k]
+                self.lacks = self.capacity - sum(len(p[2]) for p in bin_)
+                if self.lacks:
+                    self.closing = bin_
+                else:
+                    rows += self.sequence(bin_)
+        return rows
+
+    def rest(self) -> list[tuple]:
+        """What open bins hold in the end: poured into full sequences, the last tokens into sequences of powers of two."""
+        waiting = [p for pieces in (self.closing, *self.open.values()) for p in pieces]
+        left = sum(len(p[2]) for p in waiting)
+        sizes = [self.capacity] * (left // self.capacity)
+        sizes += [1 << b for b in range(self.capacity.bit_length() - 2, -1, -1) if left % self.capacity >> b & 1]
+        rows = []
+        for size in sizes:
+            pieces: list[Piece] = []
+            while size:
+                doc_id, start, ids, n = waiting.pop(0)
+                pieces.append((doc_id, start, ids[:size], n))
+                if len(ids) > size:
+                    waiting.insert(0, (doc_id, start + size, ids[size:], n))
+                size -= len(pieces[-1][2])
+            rows += self.sequence(pieces)
+        return rows
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, ranks_path: str | None = None, classes: int = CLASSES) -> DataFrame:
     """Pieces of all `docs` in sequences of `capacity` tokens (a power of two), with no padding at all.
 
-    Lengths fall into the reciprocal classes capacity / k, k = 1, 2, 4, ...: a document is cut into full sequences and
-    the powers of two of its rest, and a bin of class k takes exactly k pieces. Each worker fills its own bins, so
-    nothing is shuffled; what is left in a class at the end of a worker's rows goes to bins of 2^b pieces. Every
-    sequence holds `capacity` tokens or a power of two of them.
+    A document of `capacity` tokens or more gives full sequences first. Lengths, and what is left of such documents, fall
+    into the reciprocal classes capacity / k for k = 1 to `classes`, and a bin of class k takes k of them; a bin is closed
+    by cutting what it lacks from the next documents, the only other cuts. Each worker fills its own bins, so nothing is
+    shuffled; what its open bins hold in the end is poured together. Every sequence holds `capacity` tokens or, at the end
+    of a worker's rows, a power of two of them. A worker holds `classes` open bins at most.
 
     Returns doc_id, start, length, ids (the piece as little-endian unsigned 32-bit ids), doc_tokens, sequence_id and
     offset. A null or empty text is the end id alone. Repeated rows, tied lengths and null doc_ids are packed like any
@@ -147,31 +195,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, ranks_
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _with_added(_encoder(ranks_path), added_tokens() if ranks_path is None else {})
-        bins = _Bins(capacity, TaskContext.get().partitionId() << 40)
-        waiting: dict[int, list[tuple]] = {}  # by length, of the open bin only: at most `capacity` ids in each
+        bins = _Bins(capacity, classes, TaskContext.get().partitionId() << 40)
         rows: list[tuple] = []
         held = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                start, doc_id = 0, doc_id.as_py()
-                for length in piece_lengths(len(ids), capacity):
-                    piece = (doc_id, start, length, ids[start : start + length].tobytes(), len(ids))
-                    start += length
-                    kept = waiting.setdefault(length, [])
-                    kept.append(piece)
-                    if len(kept) * length == capacity:
-                        rows += [(*x, *bins.place(length)) for x in kept]
-                        held += capacity
-                        kept.clear()
+                found = bins.add(doc_id.as_py(), np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4"))
+                rows += found
+                held += sum(r[2] for r in found)
                 if held >= BATCH_IDS:
                     yield _batch(rows)
                     rows, held = [], 0
-        first = bins.next
-        for length, kept in sorted(waiting.items()):
-            places, first = _last_bins(kept, length, capacity, first)
-            rows += [(*x, *p) for x, p in zip(kept, places, strict=True)]
-        yield _batch(rows)
+        yield _batch(rows + bins.rest())
 
     return docs.select("doc_id", "text").mapInArrow(packed, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
