@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geoloom.session import checkpoint
+from geoloom.session import checkpoint, stored
 
 #: Children of a tree node.
 FANOUT = 16
@@ -46,13 +46,14 @@ def _leaf_hash() -> Column:
 def tree(leaves: DataFrame, depth: int, fanout: int = FANOUT) -> list[DataFrame]:
     """Levels `(archive, node, hash)` from the leaves (0) to the roots (depth).
 
-    A node hashes its children's hashes in the order of their offsets; it has `fanout` children at most.
+    A node hashes its children's hashes in the order of their offsets; it has `fanout` children at most. Each level above
+    the leaves is stored once, so that a comparison reads it and builds nothing anew.
     """
     levels = [leaves.select("archive", F.col("ordinal").cast("bigint").alias("node"), _leaf_hash().alias("hash"))]
     for _ in range(depth):
         child = levels[-1].select("archive", F.floor(F.col("node") / fanout).alias("node"), F.struct("node", "hash").alias("child"))
         hashed = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("child")), lambda c: F.concat(c["node"].cast("string"), F.lit("="), c["hash"])), ",").cast("binary"), 256)
-        levels.append(child.groupBy("archive", "node").agg(hashed.alias("hash")))
+        levels.append(stored(child.groupBy("archive", "node").agg(hashed.alias("hash"))))
     return levels
 
 
