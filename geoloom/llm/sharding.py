@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geoloom.session import stored
+
 #: Rows of one (shard, bucket) group that are numbered by one task.
 ROWS_PER_BUCKET = 50_000
 
@@ -38,16 +40,27 @@ def winner(drawn: Column) -> Column:
 def with_slots(rows: DataFrame, shard: str, order: Sequence[str], buckets: int, bucket_key: Column) -> DataFrame:
     """Number the rows of each shard from 0 without a gap, in column `slot`.
 
-    A shard's rows are dealt over `buckets` by a hash of bucket_key; each bucket is numbered by itself in the given
-    order and starts where the buckets before it end. No task holds a whole shard, whatever its size.
+    Rows that are equal in all columns are counted first, with a map-side combine, and numbered as one: a row that a third
+    of the table repeats makes no bucket larger. A shard's different rows are dealt over `buckets` by a hash of
+    bucket_key; each bucket is numbered by itself in the given order and starts where the buckets before it end. No task
+    holds a whole shard, whatever its size. Nulls sort first; ties in the order take any slots next to each other; an
+    empty table stays empty. Columns have to be comparable (no maps) and not to begin with `_slots_`.
     """
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(bucket_key), F.lit(buckets)).cast("int"))
-    starts = dealt.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(shard, "_bucket").orderBy(*order)
-    numbered = dealt.withColumn("_rank", F.row_number().over(within) - 1)
-    return numbered.join(starts, [shard, "_bucket"]).withColumn("slot", F.col("_start") + F.col("_rank")).drop("_bucket", "_start", "_rank")
+    names = rows.columns
+    dealt = stored(rows.groupBy(*names).agg(F.count("*").alias("_slots_n")).withColumn("_slots_bucket", F.pmod(F.xxhash64(bucket_key), F.lit(buckets)).cast("int")))
+    starts = dealt.groupBy(shard, "_slots_bucket").agg(F.sum("_slots_n").alias("_slots_all"))
+    before = Window.partitionBy(shard).orderBy("_slots_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(shard, "_slots_bucket", F.coalesce(F.sum("_slots_all").over(before), F.lit(0)).alias("_slots_start"))
+    within = Window.partitionBy(shard, "_slots_bucket").orderBy(*order, *[c for c in names if c not in order]).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = dealt.withColumn("_slots_rank", F.coalesce(F.sum("_slots_n").over(within), F.lit(0)))
+    first = numbered.join(starts, [shard, "_slots_bucket"]).withColumn("_slots_first", F.col("_slots_start") + F.col("_slots_rank"))
+    # Copies are given out in two steps, so that those of one row can be dealt over tasks.
+    parts = F.sequence(F.lit(0).cast("bigint"), F.col("_slots_n") - 1, F.lit(ROWS_PER_BUCKET).cast("bigint"))
+    parted = first.withColumn("_slots_part", F.explode(parts))
+    if not dealt.where(F.col("_slots_n") > ROWS_PER_BUCKET).isEmpty():
+        parted = parted.repartition(F.col("_slots_first"), F.col("_slots_part"))
+    copies = F.sequence(F.col("_slots_part"), F.least(F.col("_slots_n"), F.col("_slots_part") + ROWS_PER_BUCKET) - 1)
+    return parted.select(*names, "_slots_first", F.explode(copies).alias("_slots_copy")).select(*names, (F.col("_slots_first") + F.col("_slots_copy")).alias("slot"))
 
 
 def assign_shards(docs: DataFrame, shards: int, weights: Mapping[int, float] | None = None) -> DataFrame:
@@ -61,7 +74,10 @@ def assign_shards(docs: DataFrame, shards: int, weights: Mapping[int, float] | N
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
-    """One folder for each shard; every task writes the rows it holds, so no shard passes through one task."""
+    """One folder for each shard; every task writes the rows it holds, so no shard passes through one task.
+
+    An empty table makes no folder for a shard; a column `shard` of nulls would get a folder of its own.
+    """
     placed.write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
