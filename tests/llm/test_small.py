@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -138,11 +139,31 @@ def test_words_have_the_ids_of_the_whole_text(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    encode = packing._encoder(None)
+    encode = packing._with_added(packing._encoder(None), packing.added_tokens())
     assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_harmonic_classes_cut_little(spark):
+    """Bins of class k hold k rests of that class and what closes them; documents are cut only to close a bin."""
+    draw = random.Random(6)
+    bins, rows, lengths = packing._Bins(64, 8, 0), [], [draw.randrange(1, 200) for _ in range(500)]
+    for i, n in enumerate(lengths):
+        rows += bins.add(i, np.arange(n, dtype="<u4"))
+    rows += bins.rest()
+    by_doc, by_sequence = {}, {}
+    for doc_id, start, length, ids, n, sequence, offset in rows:
+        by_doc.setdefault(doc_id, []).append((start, np.frombuffer(ids, "<u4")))
+        by_sequence.setdefault(sequence, []).append((offset, length))
+        assert n == lengths[doc_id] and length == len(ids) // 4
+    assert all(np.concatenate([x for _, x in sorted(by_doc[i], key=lambda x: x[0])]).tolist() == list(range(n)) for i, n in enumerate(lengths))
+    for parts in by_sequence.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+    totals = [sum(n for _, n in parts) for parts in by_sequence.values()]
+    assert all(t & (t - 1) == 0 and t <= 64 for t in totals) and sum(t < 64 for t in totals) <= 6
+    assert len(rows) <= sum(n // 64 + 1 for n in lengths) + len(totals)
+
+
 def test_sharding_moves_few_rows(spark, odd, empty):
     placed = sharding.assign_shards(spark.range(3000).withColumnRenamed("id", "doc_id"), 10).collect()
     moved = [r for r in placed if r.shard != r.grown_shard]
@@ -153,14 +174,51 @@ def test_sharding_moves_few_rows(spark, odd, empty):
     for shard in {r.shard for r in again}:
         assert sorted(r.slot for r in again if r.shard == shard) == list(range(sum(r.shard == shard for r in again)))
     assert sharding.assign_shards(empty, 4).count() == 0
+    hot = sharding.with_slots(spark.range(250_000).selectExpr("1 AS shard", "id % 2 * (id % 1000) AS doc_id"), "shard", ["doc_id"], 4, F.col("doc_id").cast("string"))
+    assert hot.agg(F.min("slot"), F.max("slot"), F.count_distinct("slot")).first() == (0, 249_999, 250_000)
 
 
-def test_licences(spark, empty):
-    texts = ["Foo bar Released under the MIT License. More", "x\nThis work is licensed under the GNU General Public License, version 3.\ny", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "the license of words", "", None]
+def test_licences(spark, odd, empty):
+    texts = ["Foo bar Released under the MIT License. More", "x\nThis work is licensed under the GNU General Public License, version 3.\ny", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "the license of words", "", None, "All  rights   reserved."]
     got = {r.doc_id: r for r in licences.scan_licences(make(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
-    assert [got[i].licences for i in range(6)] == ["MIT", "GPL-3.0-only", "Apache-2.0", "", "", ""]
-    assert got[2].licence_sentences == "apache-header,apache-comply" and got[5].n_licence_sentences == 0
+    assert [got[i].licences for i in range(7)] == ["MIT", "GPL-3.0-only", "Apache-2.0", "", "", "", "LicenseRef-All-Rights-Reserved"]
+    assert got[2].n_licence_sentences == 2 and got[5].n_licence_sentences == 0
     assert licences.scan_licences(empty).count() == 0
+    own = odd.withColumns({"licences": F.lit("own"), "ids": F.lit("kept"), "c0": F.lit("kept")})
+    assert {(r.licences, r.ids, r.c0) for r in licences.scan_licences(own).collect()} == {("", "kept", "kept")}
+
+
+def _gnu(name, mark, version, work="program"):
+    return f"This {work} is free software{mark} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation{version}"
+
+
+def test_whole_licence_texts(spark):
+    """Public texts, on one line for each paragraph, wrapped, and wrapped in comments; in very long surroundings too."""
+    later = "either version {} of the License, or (at your option) any later version."
+    lc = licences
+    cases = [
+        ("MIT", "Copyright (c) 2020 A. N. Other\n\n" + lc.MIT),
+        ("BSD-2-Clause", "Copyright (c) 2020, A. N. Other. All rights reserved.\n\n" + lc.BSD_CONDITIONS + "\n\n" + lc.BSD_DISCLAIMER),
+        ("BSD-3-Clause", "Copyright (c) 2020, A. N. Other\nAll rights reserved.\n\n" + lc.BSD_CONDITIONS + "\n\n" + lc.BSD_NAMES + "\n\n" + lc.BSD_DISCLAIMER),
+        ("ISC", lc.ISC), ("Apache-2.0", lc.APACHE), ("MPL-2.0", lc.MPL), ("Zlib", lc.ZLIB), ("Unlicense", lc.UNLICENSE), ("BSL-1.0", lc.BOOST),
+        ("GPL-2.0-or-later", _gnu("GNU General Public License", ";", "; " + later.format(2))),
+        ("GPL-2.0-only", _gnu("GNU General Public License", ";", "; version 2.")),
+        ("GPL-3.0-or-later", _gnu("GNU General Public License", ":", ", " + later.format(3))),
+        ("GPL-3.0-only", _gnu("GNU General Public License", ":", ", version 3 of the License.")),
+        ("LGPL-2.1-or-later", _gnu("GNU Lesser General Public License", ";", "; " + later.format("2.1"), "library")),
+        ("LGPL-3.0-only", _gnu("GNU Lesser General Public License", ":", ", version 3.", "library")),
+        ("AGPL-3.0-or-later", _gnu("GNU Affero General Public License", ":", ", " + later.format(3))),
+    ]
+    rows, want = [], {}
+    for licence, text in cases:
+        wrapped = "\n".join("\n".join(textwrap.wrap(p, 62)) for p in text.split("\n"))
+        commented = "\n".join(f" * {line}" for line in wrapped.split("\n"))
+        for form in (text, wrapped, f"/*\n{commented}\n */\nint x;", "lorem ipsum dolor. " * 4000 + "\n\n" + wrapped):
+            want[len(rows)] = licence
+            rows.append((len(rows), form, None))
+    got = {r.doc_id: r.licences for r in licences.scan_licences(make(spark, rows)).collect()}
+    assert got == want
+    assert all(any(c in s for c in licences.CUES) for s in [*licences.SENTENCES, *licences.SHORT])
 
 
 def test_quality(spark, odd, empty):
