@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.llm.words import sliced
 from geoloom.session import stored
 
 SHINGLE = 5
@@ -88,9 +89,17 @@ def marks(sequences: Iterator[tuple[int, np.ndarray]], with_shingles: bool) -> I
     yield batch()
 
 
-def jaccard_reaches(a: bytes, b: bytes, similarity: float) -> bool:
-    x, y = np.unique(np.frombuffer(a, "<u4")), np.unique(np.frombuffer(b, "<u4"))
-    both = len(np.intersect1d(x, y, assume_unique=True))
+def distinct_values(table: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(table, "<u4"))
+
+
+def jaccard_reaches(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted arrays of different values, not empty, is `similarity` or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < similarity * len(y):
+        return False
+    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
     return both >= similarity * (len(x) + len(y) - both)
 
 
@@ -99,8 +108,9 @@ def _verified_pairs(pairs: DataFrame, held: DataFrame, similarity: float) -> Dat
     right = held.select(F.col("h").alias("b"), F.col("shingles").alias("sb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = pa.array([jaccard_reaches(a, b, similarity) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+        for batch in sliced(batches):
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            good = pa.array([jaccard_reaches(distinct_values(a), distinct_values(b), similarity) for a, b in pairs], pa.bool_())
             yield batch.select([0, 1]).filter(good)
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
@@ -117,7 +127,7 @@ def _block_links(members: DataFrame, sizes: DataFrame, held: DataFrame, similari
 
     def compare(table: pa.Table) -> pa.Table:
         hs, own = table.column("h").to_pylist(), table.column("own").to_pylist()
-        sets = [set(np.frombuffer(s, "<u4").tolist()) for s in table.column("shingles").to_pylist()]
+        sets = [distinct_values(s.as_buffer()) for s in table.column("shingles")]
         root = list(range(len(hs)))
 
         def find(x: int) -> int:
@@ -130,11 +140,9 @@ def _block_links(members: DataFrame, sizes: DataFrame, held: DataFrame, similari
         out: list[tuple[int, int]] = []
         for x in range(len(hs)):
             for y in range(x):
-                if (same or own[x] != own[y]) and find(x) != find(y):
-                    both = len(sets[x] & sets[y])
-                    if both >= similarity * (len(sets[x]) + len(sets[y]) - both):
-                        root[find(x)] = find(y)
-                        out.append((hs[x], hs[y]))
+                if (same or own[x] != own[y]) and find(x) != find(y) and jaccard_reaches(sets[x], sets[y], similarity):
+                    root[find(x)] = find(y)
+                    out.append((hs[x], hs[y]))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")

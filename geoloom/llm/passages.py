@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from geoloom.llm.minhash import SHINGLE, SIMILARITY, marks, shingles, similar_links
 from geoloom.llm.runs import repeated_runs
-from geoloom.llm.words import range_hashes, together, word_hashes
+from geoloom.llm.words import range_hashes, sliced, together, word_hashes
 from geoloom.operators.components import connected_components
 from geoloom.session import ship_package, stored
 
@@ -142,7 +142,7 @@ def drop_repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS)
     at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             held = batch.column(len(names)).to_pylist()
             texts = [t.as_py() if s is None else without_words(t.as_py(), [(x["first_word"], x["n_words"]) for x in s]) for t, s in zip(batch.column(at), held, strict=True)]
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.words import grams, range_hashes, together, word_hashes
+from geoloom.llm.words import grams, range_hashes, sliced, together, word_hashes
 from geoloom.session import ship_package, stored
 
 RUN_WORDS = 50
@@ -134,7 +134,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
         names = ["doc_id", "row_key", "first_word", "n_words", "class_id", "copies", "removed"]
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for doc_id, key, spans in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 out += [(doc_id, key, *x) for x in _labelled(spans)]

@@ -45,6 +45,12 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return range_hashes(words, at, at + n) if len(at) else np.empty(0, np.uint64)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few values are Python objects at a time."""
+    for batch in batches:
+        yield from (batch.slice(begin, rows) for begin in range(0, batch.num_rows, rows))
+
+
 def together(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """The rows in slices with the texts of `column`: up to BLOCK characters, or one longer text, at a time."""
     for batch in batches:
