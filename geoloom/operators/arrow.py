@@ -2,44 +2,57 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _keep(points: list[tuple[float, ...]], tolerance: float) -> list[int]:
-    kept, stack = {0, len(points) - 1}, [(0, len(points) - 1)]
-    while stack:
-        a, b = stack.pop()
-        if b - a < 2:
-            continue
-        p, q = points[a], points[b]
-        d = [y - x for x, y in zip(p, q, strict=True)]
-        n2 = sum(v * v for v in d)
-        far, at = -1.0, a
-        for k in range(a + 1, b):
-            r = [y - x for x, y in zip(p, points[k], strict=True)]
-            t = 0.0 if n2 == 0 else max(0.0, min(1.0, sum(u * v for u, v in zip(r, d, strict=True)) / n2))
-            off = sum((u - t * v) ** 2 for u, v in zip(r, d, strict=True)) ** 0.5
-            if off > far:
-                far, at = off, k
-        if far > tolerance:
-            kept.add(at)
-            stack += [(a, at), (at, b)]
-    return sorted(kept)
+def kept_points(points: np.ndarray, starts: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points of many lines stay, all lines at once: `points` (rows) one line after another, `starts` where each begins.
+
+    Every round looks at all stretches that are still open, of all lines together: the point furthest off its stretch's
+    chord, the first of equals, stays if it is over `tolerance` off, and parts the stretch in two.
+    """
+    stops = np.append(starts[1:], len(points)) - 1
+    kept = np.zeros(len(points), bool)
+    kept[starts], kept[stops] = True, True
+    a, b = starts, stops
+    while True:
+        wide = b - a > 1
+        a, b = a[wide], b[wide]
+        if not len(a):
+            return kept
+        inner = b - a - 1
+        of = np.repeat(np.arange(len(a)), inner)
+        begins = np.concatenate(([0], np.cumsum(inner)[:-1]))
+        at = np.repeat(a + 1 - begins, inner) + np.arange(len(of))
+        chord, away = (points[b] - points[a])[of], points[at] - points[a][of]
+        length = (chord * chord).sum(axis=1)
+        share = np.clip((chord * away).sum(axis=1) / np.where(length == 0, 1, length), 0, 1)
+        off = np.sqrt(((away - share[:, None] * chord) ** 2).sum(axis=1))
+        most = np.maximum.reduceat(off, begins)
+        hit = np.flatnonzero(off == most[of])
+        middle = at[hit[np.unique(of[hit], return_index=True)[1]]]
+        parted = most > tolerance
+        a, b, middle = a[parted], b[parted], middle[parted]
+        kept[middle] = True
+        a, b = np.concatenate((a, middle)), np.concatenate((middle, b))
 
 
 def simplify(lines: DataFrame, key: str, points: str, tolerance: float, z_weight: float = 1.0) -> DataFrame:
-    """Douglas-Peucker of each line (an array of coordinate arrays); the last coordinate of three counts z_weight times."""
+    """The points of each line (an array of coordinate arrays) that keep it within `tolerance`; the last coordinate of three counts z_weight times."""
 
     @F.pandas_udf("array<int>")
     def kept(s: pd.Series) -> pd.Series:
-        def one(line):
-            p = [tuple(float(v) for v in x) for x in line]
-            p = [(*x[:2], x[2] * z_weight) if len(x) == 3 else x for x in p]
-            return _keep(p, tolerance) if len(p) > 2 else list(range(len(p)))
-
-        return s.map(one)
+        sizes = np.array([len(line) for line in s], np.int64)
+        flat = np.zeros((sizes.sum(), 3))
+        for k, point in enumerate(p for line in s for p in line):
+            flat[k, : len(point)] = point
+        flat[:, 2] *= z_weight
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        stay = kept_points(flat, starts[sizes > 0], tolerance)
+        return pd.Series([np.flatnonzero(stay[a : a + n]).astype("int32") for a, n in zip(starts, sizes, strict=True)])
 
     return lines.select(key, kept(F.col(points)).alias("kept"))
 
@@ -83,19 +96,28 @@ def assemble_rings(fragments: DataFrame, keys: list[str]) -> DataFrame:
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = pdf.sort_values("way_id").to_dict("records")
+        ways = pdf.sort_values("way_id").to_dict("records")
+        at_point: dict[str, list[int]] = {}  # fragments by either end, the last way first
+        for k in reversed(range(len(ways))):
+            for point in {ways[k]["first"], ways[k]["last"]}:
+                at_point.setdefault(point, []).append(k)
+        used = [False] * len(ways)
         out, ring = [], 0
-        while rest:
-            first = rest.pop(0)
-            chain, start, end = [(first["way_id"], False)], first["first"], first["last"]
+        for k in range(len(ways)):
+            if used[k]:
+                continue
+            used[k] = True
+            chain, start, end = [(ways[k]["way_id"], False)], ways[k]["first"], ways[k]["last"]
             while start != end:
-                hit = next(((k, r) for k, r in enumerate(rest) if end in (r["first"], r["last"])), None)
-                if hit is None:
+                waiting = at_point[end]
+                while waiting and used[waiting[-1]]:
+                    waiting.pop()
+                if not waiting:
                     break
-                k, r = hit
-                rest.pop(k)
-                chain.append((r["way_id"], r["first"] != end))
-                end = r["last"] if r["first"] == end else r["first"]
+                used[waiting[-1]] = True
+                way = ways[waiting.pop()]
+                chain.append((way["way_id"], way["first"] != end))
+                end = way["last"] if way["first"] == end else way["first"]
             out += [{**{c: pdf[c].iloc[0] for c in keys}, "ring": ring, "seq": n, "way_id": w, "reversed": b, "closed": start == end} for n, (w, b) in enumerate(chain)]
             ring += 1
         return pd.DataFrame(out)
@@ -110,8 +132,6 @@ def relax_surface(cells: DataFrame, key: str, rounds: int = 200) -> DataFrame:
 
     `cells` are (key, x, z, fixed) with fixed null where free; a body is one group, bodies run in parallel.
     """
-    import numpy as np
-
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x, z = pdf.x.to_numpy() - pdf.x.min() + 1, pdf.z.to_numpy() - pdf.z.min() + 1
         shape = (x.max() + 2, z.max() + 2)
