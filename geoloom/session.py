@@ -31,34 +31,25 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in `spark.checkpoint.dir`, or set before; on one machine (a local master) a temporary one is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="geoloom-checkpoint-"))
+    return context.getCheckpointDir()
 
-    The folder is the cluster's `spark.checkpoint.dir`; only a session that names none (a test) gets a temporary one.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="geoloom-checkpoint-"))
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the checkpoint folder: for wide tables, a fraction of a checkpoint's size."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="geoloom-checkpoint-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    """`df` as a Parquet table in the shared folder: for wide tables, a fraction of a checkpoint's size."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def stored_by(df: DataFrame, column: str) -> DataFrame:
-    """`df` as a bucketed table in the checkpoint folder: later joins on `column` read it where it lies, without a shuffle."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="geoloom-checkpoint-"))
-    name = f"geoloom_{uuid.uuid4().hex}"
-    writer = df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column)
-    writer.option("path", f"{context.getCheckpointDir()}/{name}").saveAsTable(name)
-    return spark.table(name)
