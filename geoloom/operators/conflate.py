@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.geometry import METRES_PER_DEGREE, axial_difference, box_distance_metres, segment_place
 from geoloom.operators.osm import segments
-from geoloom.operators.spatial import metres_e7, near_pairs, nearest, points_in_polygons, square_edges
+from geoloom.operators.spatial import metres_e7, near_pairs, nearest, points_in_polygons, square_edges, with_boxes_near
 
 
 def heights_by_id_or_place(buildings: DataFrame, points: DataFrame, reach: float = 20.0) -> DataFrame:
@@ -17,7 +17,7 @@ def heights_by_id_or_place(buildings: DataFrame, points: DataFrame, reach: float
     by_id = buildings.join(named, buildings["id"] == named["osm_id"]).select("id", "height", F.lit("id").alias("how"))
     rest = buildings.join(by_id.select("id"), "id", "left_anti")
     others = points.select("point_id", "height", F.col("lat_e7").alias("p_lat"), F.col("lon_e7").alias("p_lon"))
-    pairs = near_pairs(rest, others, 5000, ("lat_e7", "lon_e7"), ("p_lat", "p_lon"))
+    pairs = near_pairs(rest, others, reach, ("lat_e7", "lon_e7"), ("p_lat", "p_lon"))
     far = metres_e7(F.col("lat_e7"), F.col("lon_e7"), F.col("p_lat"), F.col("p_lon"))
     close = nearest(pairs.withColumn("d", far).where(F.col("d") < reach), "id", "d", "point_id")
     return by_id.union(close.select("id", "height", F.lit("near").alias("how")))
@@ -29,16 +29,21 @@ def tallest_inside(buildings: DataFrame, points: DataFrame) -> DataFrame:
     return inside.join(points.select("point_id", "height"), "point_id").groupBy("id").agg(F.max("height").alias("height"))
 
 
+def _names(stem: str) -> tuple[str, str, str, str]:
+    return f"{stem}_south", f"{stem}_west", f"{stem}_north", f"{stem}_east"
+
+
+def _corners(lat: str, lon: str, stem: str) -> list[F.Column]:
+    """South, west, north and east of footprints given by centre and half sides, named by `stem`."""
+    return [(F.col(c) + s * F.col(h)).alias(n) for (c, h, s), n in zip(((lat, "half_lat", -1), (lon, "half_lon", -1), (lat, "half_lat", 1), (lon, "half_lon", 1)), _names(stem), strict=True)]
+
+
 def registry_match(buildings: DataFrame, registry: DataFrame, reach: float = 8.0) -> DataFrame:
     """`(id, reg_id, source_order)`: by source in order, the registry building that holds the centre, else the nearest box."""
     own = buildings.select("id", "lat_e7", "lon_e7")
-    boxes = registry.select(
-        "reg_id", "source_order", F.col("lat_e7").alias("r_lat"), F.col("lon_e7").alias("r_lon"),
-        *[((F.col("lat_e7") + s * F.col("half_lat")) / 1e7).alias(n) for s, n in ((-1, "south"), (1, "north"))],
-        *[((F.col("lon_e7") + s * F.col("half_lon")) / 1e7).alias(n) for s, n in ((-1, "west"), (1, "east"))],
-    )
-    pairs = near_pairs(own, boxes, 100_000, ("lat_e7", "lon_e7"), ("r_lat", "r_lon"))
-    d = box_distance_metres(F.col("lat_e7") / 1e7, F.col("lon_e7") / 1e7, F.col("south"), F.col("west"), F.col("north"), F.col("east"))
+    boxes = registry.select("reg_id", "source_order", *_corners("lat_e7", "lon_e7", "r"))
+    pairs = with_boxes_near(own, boxes, reach, ("lat_e7", "lon_e7", "lat_e7", "lon_e7"), _names("r"))
+    d = box_distance_metres(F.col("lat_e7") / 1e7, F.col("lon_e7") / 1e7, *[F.col(c) / 1e7 for c in _names("r")])
     good = pairs.withColumn("d", d).where(F.col("d") < reach)
     best = Window.partitionBy("id").orderBy("source_order", F.round("d", 6), "reg_id")
     return good.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("id", "reg_id", "source_order")
@@ -62,8 +67,8 @@ def missing_buildings(buildings: DataFrame, others: DataFrame, pad: float = 2.0)
     Footprints are axis-parallel boxes here, so the exact test is the gap between boxes.
     """
     wanted = others.where("not is_underground and geometry_source <> 'OpenStreetMap'")
-    mapped = buildings.select(F.col("lat_e7").alias("m_lat"), F.col("lon_e7").alias("m_lon"), F.col("half_lat").alias("m_hy"), F.col("half_lon").alias("m_hx"))
-    pairs = near_pairs(wanted, mapped, 100_000, ("lat_e7", "lon_e7"), ("m_lat", "m_lon"))
+    mapped = buildings.select(F.col("lat_e7").alias("m_lat"), F.col("lon_e7").alias("m_lon"), F.col("half_lat").alias("m_hy"), F.col("half_lon").alias("m_hx"), *_corners("lat_e7", "lon_e7", "m"))
+    pairs = with_boxes_near(wanted.select("*", *_corners("lat_e7", "lon_e7", "o")), mapped, pad, _names("o"), _names("m"))
     gap_y = F.greatest(F.abs(F.col("lat_e7") - F.col("m_lat")) - F.col("half_lat") - F.col("m_hy"), F.lit(0)) / 1e7 * METRES_PER_DEGREE
     gap_x = F.greatest(F.abs(F.col("lon_e7") - F.col("m_lon")) - F.col("half_lon") - F.col("m_hx"), F.lit(0)) / 1e7 * METRES_PER_DEGREE * F.cos(F.radians(F.col("lat_e7") / 1e7))
     touched = pairs.where(F.sqrt(gap_y * gap_y + gap_x * gap_x) <= pad).select("other_id").distinct()
@@ -98,23 +103,24 @@ def line_samples(points: DataFrame, line: str, order: str, count: F.Column, plac
     return hit.select(line, "i", "n", "total", lat.alias("s_lat"), lon.alias("s_lon"), F.pmod(F.degrees(F.atan2("dx", "dy")), F.lit(180.0)).alias("s_bearing"))
 
 
-def sample_hits(samples: DataFrame, lines: DataFrame, reach: float, degrees: float, step_e7: int = 20_000, piece_m: float = 60.0) -> DataFrame:
+def sample_hits(samples: DataFrame, lines: DataFrame, reach: float, degrees: float, piece_m: float = 60.0) -> DataFrame:
     """Each sample with every segment of `lines` (seg_id, seq, lat_e7, lon_e7) within `reach` metres and `degrees`.
 
-    Segments are filed under the cells along them every `piece_m` metres, so long ones are found too.
+    Segments are filed under the cells along them every `piece_m` metres, so long ones are found too. What a sample meets
+    is tested before it is made distinct, so near misses aren't shuffled again.
     """
     seg = segments(lines, "seg_id", "seq")
     pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.col("metres") / piece_m).cast("int")), lambda k: k / F.greatest(F.ceil(F.col("metres") / piece_m), F.lit(1)))
     filed = seg.withColumn("t", F.explode(pieces)).withColumns({"g_lat": F.col("lat_e7") + F.col("t") * (F.col("lat2_e7") - F.col("lat_e7")), "g_lon": F.col("lon_e7") + F.col("t") * (F.col("lon2_e7") - F.col("lon_e7"))})
     filed = filed.select("seg_id", "seq", "g_lat", "g_lon", "lat_e7", "lon_e7", "dx", "dy", "metres")
-    pairs = near_pairs(samples, filed, step_e7, ("s_lat", "s_lon"), ("g_lat", "g_lon")).drop("g_lat", "g_lon").distinct()
+    pairs = near_pairs(samples, filed, reach + piece_m / 2, ("s_lat", "s_lon"), ("g_lat", "g_lon")).drop("g_lat", "g_lon")
     scale = METRES_PER_DEGREE * F.cos(F.radians(F.col("lat_e7") / 1e7)) / 1e7
     px, py = (F.col("s_lon") - F.col("lon_e7")) * scale, (F.col("s_lat") - F.col("lat_e7")) / 1e7 * METRES_PER_DEGREE
     zero = F.lit(0.0)
     t = segment_place(px, py, zero, zero, F.col("dx"), F.col("dy"))
     ex, ey = px - t * F.col("dx"), py - t * F.col("dy")
     turned = axial_difference(F.col("s_bearing"), F.pmod(F.degrees(F.atan2("dx", "dy")), F.lit(180.0)))
-    return pairs.withColumns({"d": F.sqrt(ex * ex + ey * ey), "turn": turned}).where((F.col("d") <= reach) & (F.col("turn") <= degrees))
+    return pairs.withColumns({"d": F.sqrt(ex * ex + ey * ey), "turn": turned}).where((F.col("d") <= reach) & (F.col("turn") <= degrees)).distinct()
 
 
 def road_attributes(points: DataFrame, surveyed: DataFrame, attributes: DataFrame, reach: float = 7.0, degrees: float = 35.0) -> DataFrame:

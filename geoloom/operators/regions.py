@@ -14,7 +14,7 @@ def river_widths(points: DataFrame, stretches: DataFrame, widths: DataFrame, rea
     """Upper-middle width of the stretches along each line, if at least half of its 3 to 40 samples meet one."""
     count = F.when(F.col("total") >= least_m, F.least(F.greatest(F.floor(F.col("total") / 100), F.lit(3)), F.lit(40))).otherwise(0)
     samples = line_samples(points, "way_id", "seq", count, F.col("total") * (F.col("i") + 0.5) / F.col("n"))
-    hits = sample_hits(samples, stretches, reach, degrees, step_e7=120_000, piece_m=400.0).join(widths, "seg_id")
+    hits = sample_hits(samples, stretches, reach, degrees, piece_m=400.0).join(widths, "seg_id")
     first = Window.partitionBy("way_id", "i").orderBy(F.round("d", 6), "seg_id", "seq")
     taken = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     whole = Window.partitionBy("way_id")
@@ -80,9 +80,7 @@ def point_profile(points: DataFrame, layers: dict[str, DataFrame], keys: list[st
     return out
 
 
-
-
-def crossings(points: DataFrame, layers: DataFrame, step_e7: int = 20_000, piece_m: float = 60.0) -> DataFrame:
+def crossings(points: DataFrame, layers: DataFrame, piece_m: float = 60.0) -> DataFrame:
     """Where a way crosses one of a lower layer: `(way_id, other_id, along, drop)`, metres along the upper way.
 
     Segments are filed under the cells along them and meet in neighbouring cells; crossings at the ends don't count.
@@ -93,14 +91,14 @@ def crossings(points: DataFrame, layers: DataFrame, step_e7: int = 20_000, piece
     pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.col("metres") / piece_m).cast("int")), lambda k: k / F.greatest(F.ceil(F.col("metres") / piece_m), F.lit(1)))
     filed = seg.withColumn("t", F.explode(pieces)).withColumns({"g_lat": F.col("lat_e7") + F.col("t") * (F.col("lat2_e7") - F.col("lat_e7")), "g_lon": F.col("lon_e7") + F.col("t") * (F.col("lon2_e7") - F.col("lon_e7"))})
     side = lambda p: filed.select(*[F.col(c).alias(f"{p}_{c}") for c in ("way_id", "seq", "layer", "lat_e7", "lon_e7", "lat2_e7", "lon2_e7", "before", "metres", "g_lat", "g_lon")])
-    pairs = near_pairs(side("a"), side("b"), step_e7, ("a_g_lat", "a_g_lon"), ("b_g_lat", "b_g_lon")).where("a_way_id <> b_way_id and a_layer > b_layer")
-    pairs = pairs.drop("a_g_lat", "a_g_lon", "b_g_lat", "b_g_lon").distinct()
+    pairs = near_pairs(side("a"), side("b"), piece_m, ("a_g_lat", "a_g_lon"), ("b_g_lat", "b_g_lon")).where("a_way_id <> b_way_id and a_layer > b_layer")
+    pairs = pairs.drop("a_g_lat", "a_g_lon", "b_g_lat", "b_g_lon")
     ay, ax, by, bx = (F.col(c).cast("double") for c in ("a_lat_e7", "a_lon_e7", "b_lat_e7", "b_lon_e7"))
     ry, rx, sy, sx = F.col("a_lat2_e7") - ay, F.col("a_lon2_e7") - ax, F.col("b_lat2_e7") - by, F.col("b_lon2_e7") - bx
     det = rx * sy - ry * sx
     safe = F.when(det == 0, F.lit(1.0)).otherwise(det)
     t, u = ((bx - ax) * sy - (by - ay) * sx) / safe, ((bx - ax) * ry - (by - ay) * rx) / safe
-    met = pairs.withColumns({"det": det, "t": t, "u": u}).where("det <> 0 and t > 0 and t < 1 and u > 0 and u < 1")
+    met = pairs.withColumns({"det": det, "t": t, "u": u}).where("det <> 0 and t > 0 and t < 1 and u > 0 and u < 1")  # tested first; that a pair meets in several cells doesn't matter below
     out = met.groupBy(F.col("a_way_id").alias("way_id"), F.col("b_way_id").alias("other_id"))
     return out.agg(F.min(F.col("a_before") + F.col("t") * F.col("a_metres")).alias("along"), F.max(F.col("a_layer") - F.col("b_layer")).alias("drop"))
 
@@ -127,3 +125,16 @@ def best_entry(cells: DataFrame, roads: DataFrame, body: str, reach: int = 4) ->
     met = edge.select(body, "x", "z", F.inline(near)).withColumns({"rx": F.col("x") + F.col("a"), "rz": F.col("z") + F.col("b")}).join(roads.select(F.col("x").alias("rx"), F.col("z").alias("rz")).distinct(), ["rx", "rz"])
     scored = met.withColumn("d2", F.col("a") * F.col("a") + F.col("b") * F.col("b"))
     return scored.groupBy(body).agg(F.min(F.struct("d2", "x", "z")).alias("best")).select(body, "best.x", "best.z", "best.d2")
+
+
+def stacked_parts(bands: DataFrame, cell: str) -> DataFrame:
+    """The parts (cell, id, bottom, top) that stay in each cell: the newest first, each unless it overlaps one that stays.
+
+    So of a chain where the middle one is the newest, both ends go; where it is the oldest, both ends stay. The parts over
+    one cell of a map are few; they are folded as one array.
+    """
+    newest = F.array_sort(F.collect_list(F.struct((-F.col("id")).alias("turn"), "id", "bottom", "top")))
+    none = F.array().cast(f"array<struct<turn:bigint,id:bigint,bottom:{dict(bands.dtypes)['bottom']},top:{dict(bands.dtypes)['top']}>>")
+    over = lambda kept, b: F.exists(kept, lambda k: (k["bottom"] < b["top"]) & (b["bottom"] < k["top"]))
+    kept = F.aggregate("parts", none, lambda kept, b: F.when(over(kept, b), kept).otherwise(F.array_append(kept, b)))
+    return bands.groupBy(cell).agg(newest.alias("parts")).select(cell, F.inline(kept)).select(cell, "id", "bottom", "top")

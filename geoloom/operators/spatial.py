@@ -7,24 +7,59 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.geometry import METRES_PER_DEGREE
 
+HALF_TURN = 1_800_000_000
+
 
 def metres_e7(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Metres between fixed-point positions on the local scale of the first."""
+    """Metres between fixed-point positions on the local scale of the first, the shorter way round the globe."""
     dy = (lat2 - lat1) / 1e7 * METRES_PER_DEGREE
-    dx = (lon2 - lon1) / 1e7 * METRES_PER_DEGREE * F.cos(F.radians(lat1 / 1e7))
+    turn = F.when(lon2 - lon1 > HALF_TURN, -2 * HALF_TURN).when(lon2 - lon1 < -HALF_TURN, 2 * HALF_TURN).otherwise(0)
+    dx = (lon2 - lon1 + turn) / 1e7 * METRES_PER_DEGREE * F.cos(F.radians(lat1 / 1e7))
     return F.sqrt(dx * dx + dy * dy)
 
 
-def near_pairs(left: DataFrame, right: DataFrame, step_e7: int, left_at: tuple[str, str], right_at: tuple[str, str]) -> DataFrame:
-    """Pairs of rows in the same or neighbouring cells: all pairs within one step of each other, and some more.
+def _columns(band: Column, height_e7: int, reach: float) -> Column:
+    """Columns of a latitude band, none narrower than `reach` metres at the band's latitude furthest from the equator."""
+    far = F.least(F.greatest(F.abs(band * height_e7), F.abs((band + 1) * height_e7)) / 1e7, F.lit(90.0))
+    return F.greatest(F.floor(360 * METRES_PER_DEGREE * F.cos(F.radians(far)) / reach), F.lit(1).cast("bigint"))
+
 
-    The right side is given the nine cells round it, so each pair meets once. A search radius has to be within a step.
+def near_pairs(left: DataFrame, right: DataFrame, reach: float, left_at: tuple[str, str], right_at: tuple[str, str], also: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """Pairs of rows (positions in 1e-7 degrees) that may lie within `reach` metres: all that do, at any latitude, and some more.
+
+    Cells are latitude bands of `reach` metres, each cut into as many columns as its narrow side allows, all round the
+    globe. The right side is given three bands and in each of them three of the band's own columns, so each pair meets
+    once, across the 180th meridian too. `also`: pairs of columns that have to be equal, joined on with the cell. Rows of
+    null positions meet none.
+    """
+    if reach <= 0:
+        raise ValueError("reach has to be above zero")
+    height = int(-(-reach * 1e7 // METRES_PER_DEGREE))
+    place = lambda lon, n: F.pmod(F.floor((lon + HALF_TURN) / (2.0 * HALF_TURN) * n), n)
+    band = F.floor(F.col(left_at[0]) / height)
+    own = left.withColumn("_cy", band).withColumn("_cx", place(F.col(left_at[1]), _columns(F.col("_cy"), height, reach)))
+    spread = right.withColumn("_cy", F.explode(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.floor(F.col(right_at[0]) / height) + d)))
+    n = _columns(F.col("_cy"), height, reach)
+    beside = F.array_distinct(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.pmod(place(F.col(right_at[1]), n) + d, n)))
+    spread = spread.withColumn("_cx", F.explode(beside))
+    keys = [*[F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("_cy", "_cx")], *[F.col(f"l.{a}") == F.col(f"r.{b}") for a, b in also]]
+    met = own.alias("l").join(spread.alias("r"), keys)
+    return met.select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in right.columns])
+
+
+def with_boxes_near(left: DataFrame, boxes: DataFrame, reach: float | Column, left_box: tuple[str, str, str, str], box: tuple[str, str, str, str], step_e7: int = 100_000) -> DataFrame:
+    """Pairs of boxes (south, west, north, east in 1e-7 degrees; a point is a box of no size) that may come within `reach` metres.
+
+    The reach may be a column of `boxes`.
+    Both are filed under the cells that they touch, those of `boxes` grown by the reach at their latitude, so boxes of any
+    size are found; a pair meets in each cell that both touch. Boxes don't cross the 180th meridian.
     """
-    ly, lx = F.floor(F.col(left_at[0]) / step_e7), F.floor(F.col(left_at[1]) / step_e7)
-    ry, rx = F.floor(F.col(right_at[0]) / step_e7), F.floor(F.col(right_at[1]) / step_e7)
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    spread = right.withColumn("_o", F.explode(offsets)).withColumns({"_cy": ry + F.col("_o.dy"), "_cx": rx + F.col("_o.dx")}).drop("_o")
-    return left.withColumns({"_cy": ly, "_cx": lx}).join(spread, ["_cy", "_cx"]).drop("_cy", "_cx")
+    pad = reach / METRES_PER_DEGREE * 1e7
+    south, west, north, east = (F.col(c) for c in box)
+    wide = pad / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs(south), F.abs(north)) + pad, F.lit(9e8)) / 1e7)), F.lit(1e-3))
+    grown = boxes.withColumns({"_s": south - pad, "_w": west - wide, "_n": north + pad, "_e": east + wide})
+    filed = box_cells(grown, step_e7, "_s", "_w", "_n", "_e").drop("_s", "_w", "_n", "_e")
+    return box_cells(left, step_e7, *left_box).join(filed, ["cell_lat", "cell_lon"]).drop("cell_lat", "cell_lon")
 
 
 def nearest(pairs: DataFrame, left_id: str, distance: str, tie: str) -> DataFrame:

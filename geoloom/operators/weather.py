@@ -18,13 +18,12 @@ def seconds(ts: Column) -> Column:
 def nearest_station(asked: DataFrame, stations: DataFrame, key: str, km: float = 30.0, minutes: int = STATION_MINUTES) -> DataFrame:
     """For each question (key, lat_e7, lon_e7, at): the nearest station report within `km` and the last `minutes`.
 
-    Of one place's reports, the newest; ties by event id. Buckets are cells of 0.6 degrees and hours, so the join is on
-    equality in place and time.
+    Of one place's reports, the newest; ties by event id. The join is on equality in cell and hour.
     """
     slots = F.sequence(F.floor((seconds(F.col("at")) - minutes * 60) / 3600), F.floor(seconds(F.col("at")) / 3600))
     asked = asked.withColumn("_h", F.explode(slots))
     reports = stations.select("event_id", F.col("lat_e7").alias("s_lat"), F.col("lon_e7").alias("s_lon"), F.col("ts").alias("s_ts"), "wx", "temp_c", F.floor(seconds(F.col("ts")) / 3600).alias("_sh"))
-    pairs = near_pairs(asked, reports, 6_000_000, ("lat_e7", "lon_e7"), ("s_lat", "s_lon")).where("_h = _sh")
+    pairs = near_pairs(asked, reports, km * 1000, ("lat_e7", "lon_e7"), ("s_lat", "s_lon"), (("_h", "_sh"),))
     age = seconds(F.col("at")) - seconds(F.col("s_ts"))
     near = pairs.withColumns({"d": metres_e7(F.col("lat_e7"), F.col("lon_e7"), F.col("s_lat"), F.col("s_lon")), "age": age}).where((F.col("d") <= km * 1000) & (F.col("age") >= 0) & (F.col("age") <= minutes * 60))
     best = Window.partitionBy(key).orderBy(F.round("d", 3), "age", "event_id")
@@ -57,7 +56,7 @@ def latest_by_cell(events: DataFrame, value: str, width: str, step_e7: int) -> D
 def reading_or_mean(asked: DataFrame, readings: DataFrame, key: str, metres: float) -> DataFrame:
     """The nearest reading within reach, else the mean of all."""
     r = readings.select(F.col("lat_e7").alias("r_lat"), F.col("lon_e7").alias("r_lon"), "reading_id", "temp")
-    pairs = near_pairs(asked, r, 500_000, ("lat_e7", "lon_e7"), ("r_lat", "r_lon"))
+    pairs = near_pairs(asked, r, metres, ("lat_e7", "lon_e7"), ("r_lat", "r_lon"))
     d = metres_e7(F.col("lat_e7"), F.col("lon_e7"), F.col("r_lat"), F.col("r_lon"))
     best = pairs.withColumn("d", d).where(F.col("d") <= metres).groupBy(key).agg(F.min_by("temp", F.struct(F.round("d", 3), F.col("reading_id"))).alias("near"))
     mean = readings.agg(F.avg("temp").alias("mean"))

@@ -130,12 +130,14 @@ def lake_depths(read):
 def lake_outlet(read):
     """JN-21: the outlet that fits a lake best by area ratio and distance."""
     from geoloom.functions.geometry import box_distance_metres
-    from geoloom.operators.spatial import near_pairs, nearest
+    from geoloom.operators.spatial import nearest, with_boxes_near
 
     own = (F.col("half_lat") * 2 / 90.0) * (F.col("half_lon") * 2 / 180.0) / 1e6
     lakes = read("lakes").withColumn("own", own)
     outlets = read("lake_outlets").select("outlet_id", F.col("lat_e7").alias("o_lat"), F.col("lon_e7").alias("o_lon"), "area_km2")
-    pairs = near_pairs(lakes, outlets, 500_000, ("lat_e7", "lon_e7"), ("o_lat", "o_lon"))
+    boxed = lakes.select("*", *[(F.col(c) + s * F.col(h)).alias(n) for n, c, h, s in (("south", "lat_e7", "half_lat", -1), ("west", "lon_e7", "half_lon", -1), ("north", "lat_e7", "half_lat", 1), ("east", "lon_e7", "half_lon", 1))])
+    reach = F.greatest(F.lit(150.0), 0.05 * F.sqrt(F.col("own") * 1e6))
+    pairs = with_boxes_near(outlets, boxed, reach, ("o_lat", "o_lon", "o_lat", "o_lon"), ("south", "west", "north", "east")).drop("south", "west", "north", "east")
     side = lambda c, h, s: (F.col(c) + s * F.col(h)) / 1e7
     far = box_distance_metres(F.col("o_lat") / 1e7, F.col("o_lon") / 1e7, side("lat_e7", "half_lat", -1), side("lon_e7", "half_lon", -1), side("lat_e7", "half_lat", 1), side("lon_e7", "half_lon", 1))
     scored = pairs.withColumns({"ratio": F.col("area_km2") / F.col("own"), "far": far})
@@ -174,6 +176,6 @@ def suppressed(read):
     from geoloom.operators.spatial import metres_e7, near_pairs
 
     marks = read("places").where("category = 'museum'").select(F.col("lat_e7").alias("m_lat"), F.col("lon_e7").alias("m_lon"))
-    pairs = near_pairs(read("buildings").select("id", "lat_e7", "lon_e7"), marks, 100_000, ("lat_e7", "lon_e7"), ("m_lat", "m_lon"))
+    pairs = near_pairs(read("buildings").select("id", "lat_e7", "lon_e7"), marks, 400.0, ("lat_e7", "lon_e7"), ("m_lat", "m_lon"))
     near = pairs.where(metres_e7(F.col("lat_e7"), F.col("lon_e7"), F.col("m_lat"), F.col("m_lon")) <= 400).select("id").distinct()
     return read("buildings").select("id").join(near, "id", "left_anti")

@@ -17,11 +17,12 @@ def _profile(read, filled=True):
     return read("grid").select(F.col("r").alias("line"), F.col("c").alias("i"), (v / 100.0).alias("value"))
 
 
-@query("wn02_moving_average", f"""WITH {_Q}, a AS (SELECT *, avg(value) OVER (PARTITION BY line ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS m FROM p)
-    SELECT line, i, round(value + (least(greatest(m, value - 1), value + 1) - value) * least(least(i, 63 - i) / 4.0, 1), 5) AS smooth FROM a""")
+@query("wn02_moving_average", """WITH p AS (SELECT r AS line, c AS i, coalesce(value, 0) AS value FROM {grid}), a AS (SELECT *, avg(value) OVER (PARTITION BY line ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS m FROM p)
+    SELECT line, i, round((value + (least(greatest(m, value - 100), value + 100) - value) * least(least(i, 63 - i) / 4.0, 1)) / 100.0, 5) AS smooth FROM a""")
 def moving_average(read):
-    """WN-02: centred average, clamped to the raw value, blended to the pinned ends."""
-    return lines.smooth(_profile(read), 4).select("line", "i", F.round("smooth", 5).alias("smooth"))
+    """WN-02: centred average, clamped to the raw value, blended to the pinned ends; over whole hundredths, whose sums have no order."""
+    p = read("grid").select(F.col("r").alias("line"), F.col("c").alias("i"), F.coalesce("value", F.lit(0)).alias("value"))
+    return lines.smooth(p, 4, 100.0).select("line", "i", F.round(F.col("smooth") / 100.0, 5).alias("smooth"))
 
 
 @query("wn03_ramp_cone", f"""WITH {_Q} SELECT line, i, round(greatest(max(value + 0.125 * i) OVER (PARTITION BY line ORDER BY i) - 0.125 * i, max(value - 0.125 * i) OVER (PARTITION BY line ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 0.125 * i), 5) AS ramp FROM p""")
@@ -114,21 +115,20 @@ def months(read):
     return m.select("station", "m", F.rank().over(Window.partitionBy("station").orderBy(F.round("t", 6), "m")).alias("coldness"))
 
 
-@query("so05_eight_nearest", """WITH n AS (SELECT l.lake_id, p.place_id, round(sqrt(((p.lon_e7 - l.lon_e7) / 1e7 * 111320.0 * cos(radians(l.lat_e7 / 1e7))) ** 2 + ((p.lat_e7 - l.lat_e7) / 1e7 * 111320.0) ** 2), 3) AS d FROM {lakes} l JOIN {places} p ON abs(CAST(floor(p.lat_e7 / 1000000.0) AS BIGINT) - CAST(floor(l.lat_e7 / 1000000.0) AS BIGINT)) <= 1 AND abs(CAST(floor(p.lon_e7 / 1000000.0) AS BIGINT) - CAST(floor(l.lon_e7 / 1000000.0) AS BIGINT)) <= 1)
-    SELECT lake_id, place_id, d FROM n QUALIFY row_number() OVER (PARTITION BY lake_id ORDER BY d, place_id) <= 8""")
+@query("so05_eight_nearest", """WITH n AS (SELECT l.lake_id, p.place_id, round(sqrt(((p.lon_e7 - l.lon_e7) / 1e7 * 111320.0 * cos(radians(l.lat_e7 / 1e7))) ** 2 + ((p.lat_e7 - l.lat_e7) / 1e7 * 111320.0) ** 2), 3) AS d FROM {lakes} l JOIN {places} p  ON true) SELECT lake_id, place_id, d FROM n WHERE d <= 10000 QUALIFY row_number() OVER (PARTITION BY lake_id ORDER BY d, place_id) <= 8""")
 def eight_nearest(read):
-    """SO-05: the eight nearest places in the cells round a lake."""
+    """SO-05: the eight nearest places within 10 km of a lake."""
     from geoloom.operators.spatial import metres_e7, near_pairs
 
     p = read("places").select("place_id", F.col("lat_e7").alias("p_lat"), F.col("lon_e7").alias("p_lon"))
-    n = near_pairs(read("lakes"), p, 1_000_000, ("lat_e7", "lon_e7"), ("p_lat", "p_lon")).withColumn("d", F.round(metres_e7(F.col("lat_e7"), F.col("lon_e7"), F.col("p_lat"), F.col("p_lon")), 3))
+    n = near_pairs(read("lakes"), p, 10_000.0, ("lat_e7", "lon_e7"), ("p_lat", "p_lon")).withColumn("d", F.round(metres_e7(F.col("lat_e7"), F.col("lon_e7"), F.col("p_lat"), F.col("p_lon")), 3)).where("d <= 10000")
     return n.withColumn("_n", F.row_number().over(Window.partitionBy("lake_id").orderBy("d", "place_id"))).where("_n <= 8").select("lake_id", "place_id", "d")
 
 
-@query("ag13_monthly_normals", """SELECT station, month(day) AS m, round(avg(temp), 6) AS temp, round(avg(precip) * 30, 6) AS rain, count(*) AS days FROM {daily_weather} GROUP BY 1, 2""")
+@query("ag13_monthly_normals", """SELECT station, month(day) AS m, round(avg(temp), 1) AS temp, round(avg(precip) * avg(day(last_day(day))), 6) AS rain, count(*) AS days FROM {daily_weather} GROUP BY 1, 2""")
 def normals(read):
-    """AG-13: mean temperature and rain of each month (of thirty days)."""
-    return read("daily_weather").groupBy("station", F.month("day").cast("bigint").alias("m")).agg(F.round(F.avg("temp"), 6).alias("temp"), F.round(F.avg("precip") * 30, 6).alias("rain"), F.count("*").alias("days"))
+    """AG-13: mean temperature to one decimal, and mean daily rain times the length of the month; nulls are skipped."""
+    return read("daily_weather").groupBy("station", F.month("day").cast("bigint").alias("m")).agg(F.round(F.avg("temp"), 1).alias("temp"), F.round(F.avg("precip") * F.avg(F.dayofmonth(F.last_day("day"))), 6).alias("rain"), F.count("*").alias("days"))
 
 
 @query("ag14_winter_precipitation", """SELECT station, round(sum(CASE WHEN station % 3 = 0 AND month(day) IN (10, 11, 12, 1, 2, 3, 4) THEN precip WHEN station % 3 = 1 AND month(day) BETWEEN 4 AND 10 THEN precip WHEN station % 3 = 2 THEN precip * 7 / 12 ELSE 0 END), 4) AS winter FROM {daily_weather} GROUP BY 1""")
