@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geoloom.operators import regions
@@ -21,11 +20,11 @@ def rivers(read):
     return regions.river_widths(read("way_points").select("way_id", "seq", "lat_e7", "lon_e7"), s.select("seg_id", "seq", "lat_e7", "lon_e7"), s.where("width_m is not null").select("seg_id", "width_m").distinct())
 
 
-@query("jn19_soundings_in_lakes", f"SELECT lake_id, count(*) AS n, max(p.height) AS deepest FROM {{lakes}} b JOIN {{height_points}} p ON {_IN} GROUP BY lake_id HAVING count(*) >= 2 AND max(p.height) > 0.5")
+@query("jn19_soundings_in_lakes", f"SELECT lake_id, count(*) AS n, max(p.height) AS deepest FROM {{lakes}} b JOIN {{height_points}} p ON {_IN} GROUP BY lake_id HAVING count(*) >= 8 AND max(p.height) > 0.5")
 def soundings(read):
     """JN-19, JN-22: points inside each body, enough of them, one deep enough."""
     inside = points_in_polygons(read("height_points"), square_edges(read("lakes"), "lake_id"), "point_id", "lake_id", ("lat_e7", "lon_e7"))
-    return inside.join(read("height_points").select("point_id", "height"), "point_id").groupBy("lake_id").agg(F.count("*").alias("n"), F.max("height").alias("deepest")).where("n >= 2 and deepest > 0.5")
+    return inside.join(read("height_points").select("point_id", "height"), "point_id").groupBy("lake_id").agg(F.count("*").alias("n"), F.max("height").alias("deepest")).where("n >= 8 and deepest > 0.5")
 
 
 _CELLS = "SELECT b.lake_id, i * 10 + j AS cell, lat_e7 - half_lat + (2 * i + 1) * half_lat / 10.0 AS y, lon_e7 - half_lon + (2 * j + 1) * half_lon / 10.0 AS x FROM {lakes} b, range(10) p(i), range(10) q(j)"
@@ -72,13 +71,13 @@ def blend(read):
     return v.select("r", "c", F.round(out, 5).alias("v"))
 
 
-@query("jn33_snow_depth", """SELECT a.r, a.c, round(CASE WHEN a.class > 0 AND a.r % 3 = 0 THEN a.class * 0.2 WHEN b.class % 3 = 1 THEN greatest(a.c / 100.0, 0.05) WHEN b.class % 3 = 2 THEN greatest(0, a.c / 100.0 - 0.3) ELSE a.c / 100.0 END, 4) AS depth FROM {grid_class} a JOIN {grid_class} b ON b.r = a.c AND b.c = a.r % 64 WHERE a.r < 64""")
+@query("jn33_snow_depth", """SELECT a.r, a.c, round(CASE WHEN a.class > 0 AND a.r % 3 = 0 THEN a.class * 0.2 WHEN b.class % 3 = 1 THEN greatest(a.c / 100.0, 0.05) WHEN b.class % 3 = 2 THEN greatest(0, a.c / 100.0 - 0.3) ELSE a.c / 100.0 END, 4) AS depth FROM {grid_class} a JOIN {grid_class} b ON b.r = a.c AND b.c = a.r % 64""")
 def snow(read):
     """JN-33: a national grid where there is one, else the model corrected by what is seen."""
     from geoloom.functions.physics import corrected_snow
 
     b = read("grid_class").select(F.col("r").alias("c"), F.col("c").alias("rr"), F.col("class").alias("seen"))
-    a = read("grid_class").where("r < 64").withColumn("rr", F.col("r") % 64).join(b, ["c", "rr"])
+    a = read("grid_class").withColumn("rr", F.col("r") % 64).join(b, ["c", "rr"])
     seen = F.when(F.col("seen") % 3 == 1, "snow").when(F.col("seen") % 3 == 2, "bare")
     national = F.when((F.col("class") > 0) & (F.col("r") % 3 == 0), F.col("class") * 0.2)
     return a.select("r", "c", F.round(F.coalesce(national, corrected_snow(F.col("c") / 100.0, seen)), 4).alias("depth"))
@@ -214,15 +213,17 @@ def pieces(read):
     return read("registry").groupBy((F.col("reg_id") % 50).alias("id")).agg(F.count("*").alias("pieces"), F.bool_or("flat").alias("flat"), F.max("floors").alias("floors"))
 
 
-@query("ag32_stacked_parts", """WITH b AS (SELECT id % 40 AS cell, id, CAST(id % 7 * 4 AS DOUBLE) AS bottom, CAST(id % 7 * 4 + 3 AS DOUBLE) AS top FROM {buildings}), n AS (SELECT *, row_number() OVER (PARTITION BY cell, bottom ORDER BY id DESC) AS k FROM b) SELECT cell, id, bottom, top FROM n WHERE k = 1""")
+_BANDS = "SELECT CAST(floor(id / 40.0) AS BIGINT) AS cell, id, CAST(id * 7 % 23 AS DOUBLE) AS bottom, CAST(id * 7 % 23 + 2 + id % 4 AS DOUBLE) AS top FROM {buildings}"
+
+
+@query("ag32_stacked_parts", f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY id DESC) AS k FROM ({_BANDS})),
+    s AS (SELECT cell, k, [struct_pack(id := id, bottom := bottom, top := top)] AS kept FROM r WHERE k = 1
+      UNION ALL SELECT s.cell, r.k, CASE WHEN len(list_filter(kept, lambda x: x.bottom < r.top AND r.bottom < x.top)) = 0 THEN list_append(kept, struct_pack(id := r.id, bottom := r.bottom, top := r.top)) ELSE kept END FROM s JOIN r ON r.cell = s.cell AND r.k = s.k + 1),
+    l AS (SELECT cell, unnest(max_by(kept, k)) AS b FROM s GROUP BY cell) SELECT cell, b.id AS id, b.bottom AS bottom, b.top AS top FROM l""")
 def stacked(read):
     """AG-32: bands of a cell that don't overlap stay above each other; of overlapping ones, the newest."""
-    b = read("buildings").select((F.col("id") % 40).alias("cell"), "id", (F.col("id") % 7 * 4).cast("double").alias("bottom"), (F.col("id") % 7 * 4 + 3).cast("double").alias("top"))
-    w = Window.partitionBy("cell").orderBy("bottom", "top")
-    reach = F.max("top").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    grouped = b.withColumn("_g", F.sum(F.when(reach.isNull() | (F.col("bottom") >= reach), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    newest = Window.partitionBy("cell", "_g").orderBy(F.col("id").desc())
-    return grouped.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("cell", "id", "bottom", "top")
+    bands = read("buildings").select(F.floor(F.col("id") / 40).alias("cell"), "id", (F.col("id") * 7 % 23).cast("double").alias("bottom"), (F.col("id") * 7 % 23 + 2 + F.col("id") % 4).cast("double").alias("top"))
+    return regions.stacked_parts(bands, "cell")
 
 
 @query("ag34_shoulders", """WITH road AS (SELECT r, c, value FROM {grid} WHERE (r + 2 * c) % 13 = 0 AND value IS NOT NULL), g AS (SELECT r, c, value FROM {grid} WHERE (r + 2 * c) % 13 <> 0 AND value IS NOT NULL),

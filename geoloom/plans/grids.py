@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from geoloom.operators import grids
 from geoloom.plans.register import query
 
-_POINTS = "pts AS (SELECT r * 100 + c AS k, r + 0.37 AS y, c + 0.21 AS x, r, c FROM {grid} WHERE r < 60 AND c % 3 = 0)"
+_POINTS = "pts AS (SELECT r * 100 + c AS k, r + 0.37 AS y, c + 0.21 AS x, r, c FROM {grid})"
 
 
 def _points(read):
-    return read("grid").where("r < 60 and c % 3 = 0").select((F.col("r") * 100 + F.col("c")).alias("k"), (F.col("r") + 0.37).alias("y"), (F.col("c") + 0.21).alias("x"), "r", "c")
+    return read("grid").select((F.col("r") * 100 + F.col("c")).alias("k"), (F.col("r") + 0.37).alias("y"), (F.col("c") + 0.21).alias("x"), "r", "c")
 
 
 @query("ag01_mode_pooling", """WITH v AS (SELECT CAST(floor(r / 4.0) AS BIGINT) AS r, CAST(floor(c / 4.0) AS BIGINT) AS c, class, count(*) AS n FROM {grid_class} GROUP BY 1, 2, 3)
@@ -52,11 +52,12 @@ def _cubic(t, d):
 
 
 @query("jn27_bicubic", f"""WITH {_POINTS}, d AS (SELECT unnest(range(-1, 3)) AS d), n AS (SELECT k, g.value, ({_cubic("(x - p.c)", "b.d")}) * ({_cubic("(y - p.r)", "a.d")}) AS w
-      FROM pts p, d a, d b, {{grid}} g WHERE g.r = least(greatest(p.r + a.d, 0), 199) AND g.c = (p.c + b.d + 64) % 64 AND g.value IS NOT NULL)
+      FROM pts p, d a, d b, {{grid}} g WHERE g.r = least(greatest(p.r + a.d, 0), (SELECT max(r) FROM {{grid}})) AND g.c = (p.c + b.d + 64) % 64 AND g.value IS NOT NULL)
     SELECT k, round(v, 4) AS value FROM pts LEFT JOIN (SELECT k, sum(w * value) AS v FROM n GROUP BY k HAVING count(*) = 16) USING (k)""")
 def bicubic(read):
     """JN-27: sixteen pixels with Catmull-Rom weights, columns wrapping round."""
-    return grids.bicubic(_points(read), read("grid"), "k", 64, 200).withColumn("value", F.round("value", 4))
+    height = read("grid").agg(F.max("r")).first()[0] + 1
+    return grids.bicubic(_points(read), read("grid"), "k", 64, height).withColumn("value", F.round("value", 4))
 
 
 @query("jn25_pixel_at_point", f"WITH {_POINTS} SELECT k, class FROM pts p JOIN {{grid_class}} g ON g.r = p.r AND g.c = p.c")
@@ -144,11 +145,11 @@ def near_maximum(read):
     return grids.offsets(_points(read), grids.square(2)).join(pixels, ["pr", "pc"]).groupBy("k").agg(F.max("value").alias("highest"))
 
 
-@query("jn29_priority_sources", "SELECT a.r, a.c, coalesce(a.value, CASE WHEN b.class > 0 THEN b.class * 100 END, -1) AS value, CASE WHEN a.value IS NOT NULL THEN 'first' WHEN b.class > 0 THEN 'second' ELSE 'last' END AS source FROM {grid} a JOIN {grid_class} b ON b.r = a.c AND b.c = a.r % 64 WHERE a.r < 64")
+@query("jn29_priority_sources", "SELECT a.r, a.c, coalesce(a.value, CASE WHEN b.class > 0 THEN b.class * 100 END, -1) AS value, CASE WHEN a.value IS NOT NULL THEN 'first' WHEN b.class > 0 THEN 'second' ELSE 'last' END AS source FROM {grid} a JOIN {grid_class} b ON b.r = a.c AND b.c = a.r % 64")
 def priority(read):
     """JN-29, UD-01, UD-03: the first covering source with a value, with its name."""
     b = read("grid_class").select(F.col("r").alias("c"), F.col("c").alias("rr"), "class")
-    a = read("grid").where("r < 64").withColumn("rr", F.col("r") % 64).join(b, ["c", "rr"])
+    a = read("grid").withColumn("rr", F.col("r") % 64).join(b, ["c", "rr"])
     second = F.when(F.col("class") > 0, F.col("class") * 100)
     return a.select("r", "c", F.coalesce("value", second, F.lit(-1)).alias("value"), F.when(F.col("value").isNotNull(), "first").when(second.isNotNull(), "second").otherwise("last").alias("source"))
 

@@ -87,11 +87,12 @@ def levels(read):
     return read("buildings").select("id", tags.default_levels(F.col("building"), F.col("id")).cast("bigint").alias("levels"))
 
 
-@query("fl04_fl06_boxes_and_ranges", """SELECT way_id, floor(min(lat_e7) / 1e6) * 0.1 - 0.005 AS south, ceil(max(lon_e7) / 1e6) * 0.1 + 0.005 AS east FROM {way_points} WHERE way_id % 97 BETWEEN 2 AND 60 GROUP BY 1""")
+@query("fl04_fl06_boxes_and_ranges", """SELECT way_id, floor(min(lat_e7) / 1e6) * 0.1 - 0.005 AS south, ceil(max(lon_e7) / 1e6) * 0.1 + 0.005 AS east FROM {way_points} GROUP BY 1 HAVING max(lat_e7) - min(lat_e7) BETWEEN 2000 AND 5000""")
 def snapped(read):
     """FL-04, FL-06: boxes snapped outward to cells and a margin; ranges of measurements."""
-    p = read("way_points").where((F.col("way_id") % 97).between(2, 60)).groupBy("way_id")
-    return p.agg((F.floor(F.min("lat_e7") / 1e6) * 0.1 - 0.005).alias("south"), (F.ceil(F.max("lon_e7") / 1e6) * 0.1 + 0.005).alias("east"))
+    p = read("way_points").groupBy("way_id")
+    boxed = p.agg((F.floor(F.min("lat_e7") / 1e6) * 0.1 - 0.005).alias("south"), (F.ceil(F.max("lon_e7") / 1e6) * 0.1 + 0.005).alias("east"), (F.max("lat_e7") - F.min("lat_e7")).alias("tall"))
+    return boxed.where(F.col("tall").between(2000, 5000)).drop("tall")
 
 
 @query("src11_tile_pixels", "SELECT r, c, CAST(floor((least(greatest(value, 0), 200) + 32768) / 256.0) AS BIGINT) AS red, CAST(floor((least(greatest(value, 0), 200) + 32768)) % 256 AS BIGINT) AS green, CAST(least(greatest(value, 0), 200) AS DOUBLE) AS again FROM {grid} WHERE value IS NOT NULL")
