@@ -36,13 +36,60 @@ PITCH_SURFACE = {"artificial_turf": "PITCH_ARTIFICIAL", "artificial_grass": "PIT
 AREA_KEYS = ["building", "building:part", "landuse", "leisure", "amenity", "natural", "water", "place", "aeroway", "military", "tourism", "shop", "office", "historic", "man_made", "power"]
 LINE_KEYS = ["highway", "barrier", "waterway", "railway", "route"]
 LINEAR = {"natural": ["coastline", "tree_row", "cliff", "ridge", "valley", "arete"], "man_made": ["embankment", "pipeline", "cutline", "dyke", "goods_conveyor", "breakwater", "groyne"], "power": ["line", "minor_line"]}
-# Words of a place category and the tag they make; the first that holds one decides.
-CATEGORY: list[tuple[str, list[str]]] = [
-    ("amenity=fast_food", ["fast_food", "burger", "pizza", "kebab", "sandwich"]), ("amenity=cafe", ["coffee", "cafe", "tea_room", "bubble_tea"]), ("shop=bakery", ["bakery", "patisserie", "pastry"]), ("amenity=ice_cream", ["ice_cream", "dessert", "chocolat"]),
-    ("amenity=restaurant", ["restaurant", "bistro", "diner", "steakhouse", "sushi", "food_court", "cafeteria"]), ("tourism=hostel", ["hostel"]), ("tourism=hotel", ["hotel", "motel", "bed_and_breakfast", "resort", "guest_house", "lodging"]), ("tourism=museum", ["museum"]),
-    ("amenity=library", ["library"]), ("shop=books", ["bookstore", "book_store"]), ("amenity=pharmacy", ["pharmacy", "drugstore", "chemist"]), ("amenity=hospital", ["hospital", "emergency_room", "medical_center"]), ("amenity=dentist", ["dentist", "dental"]),
-    ("shop=supermarket", ["supermarket", "grocery", "hypermarket"]), ("shop=convenience", ["convenience"]), ("amenity=bank", ["bank", "credit_union", "currency_exchange"]), ("amenity=university", ["university", "college"]), ("amenity=school", ["school", "education", "tutoring"]), ("amenity=police", ["police"]),
+# Words of a place category and the tag they make; the first rule that matches decides. A word counts
+# anywhere in the category; "=word" is all of it, "word$" its end.
+CATEGORY_FOOD = [
+    ("amenity=fast_food", "fast_food burger pizza kebab sandwich"), ("amenity=bar", "=bar _bar$ pub$ beer_garden brewery lounge"), ("amenity=nightclub", "night_club nightclub dance_club casino"), ("amenity=cafe", "coffee =cafe _cafe tea_room bubble_tea"),
+    ("shop=bakery", "bakery patisserie pastry"), ("amenity=ice_cream", "ice_cream dessert chocolat"), ("amenity=restaurant", "restaurant bistro diner steakhouse sushi food_court cafeteria"),
 ]
+CATEGORY_CULTURE = [
+    ("tourism=hostel", "hostel"), ("tourism=hotel", "hotel motel bed_and_breakfast resort guest_house lodging"), ("tourism=museum", "museum"), ("tourism=gallery", "art_gallery =gallery art_museum"), ("tourism=aquarium", "aquarium"), ("amenity=cinema", "movie_theater cinema"),
+    ("amenity=theatre", "theater theatre performing_arts_venue concert_hall concert_venue opera_house music_venue comedy_club"), ("amenity=library", "library"), ("shop=books", "bookstore book_store"),
+]
+CATEGORY_HEALTH = [
+    ("amenity=pharmacy", "pharmacy drugstore chemist"), ("amenity=hospital", "hospital emergency_room medical_center medical_centre"), ("amenity=dentist", "dentist dental"), ("amenity=doctors", "doctor physician clinic physiotherap chiropract psycholog optometr"),
+    ("amenity=veterinary", "veterinar animal_hospital"), ("shop=optician", "optician eyewear"), ("leisure=fitness_centre", "gym fitness yoga pilates crossfit martial_arts boxing"), ("leisure=sports_centre", "sports_club sports_center sports_centre swimming_pool climbing bowling ice_rink"),
+]
+CATEGORY_SHOPS = [
+    ("shop=supermarket", "supermarket grocery hypermarket"), ("shop=convenience", "convenience"), ("shop=department_store", "department_store"), ("shop=mall", "shopping_center shopping_centre shopping_mall =mall"), ("shop=seafood", "seafood fish_market fishmonger"), ("shop=butcher", "butcher meat_shop"),
+    ("shop=alcohol", "liquor wine_store wine_shop beverage_store"), ("shop=florist", "florist flower"), ("shop=jewelry", "jewel watch_store"), ("shop=shoes", "shoe"), ("shop=clothes", "clothing fashion boutique apparel lingerie menswear womenswear"),
+    ("shop=electronics", "electronics computer mobile_phone cell_phone camera_store"), ("shop=hardware", "hardware home_improvement paint_store tool"), ("shop=furniture", "furniture home_decor interior_design kitchen mattress"), ("shop=toys", "toy game_store hobby"),
+    ("shop=bicycle", "bike_shop bicycle"), ("shop=sports", "sporting_goods sports_wear outdoor_gear"), ("shop=hairdresser", "hair barber beauty nail_salon cosmetic spa"), ("shop=tattoo", "tattoo piercing"), ("shop=pet", "pet_store pet_shop"), ("shop=gift", "gift souvenir"),
+    ("shop=music", "music_store record_store musical_instrument"), ("shop=stationery", "art_supply craft_store stationery office_supply"), ("shop=travel_agency", "travel_agen"), ("shop=car", "car_dealer auto_dealer"), ("shop=tobacco", "tobacco vape"), ("shop=confectionery", "candy confection"),
+    ("shop=second_hand", "thrift second_hand antique vintage"), ("shop=yes", "_store$ _shop$ retail"),
+]
+CATEGORY_PUBLIC = [
+    ("amenity=bank", "bank credit_union currency_exchange"), ("amenity=university", "university college"), ("amenity=kindergarten", "kindergarten preschool day_care child_care"), ("amenity=school", "school education tutoring"),
+    ("amenity=place_of_worship", "church cathedral chapel mosque synagogue temple place_of_worship religious"), ("amenity=post_office", "post_office"), ("amenity=police", "police"), ("amenity=fire_station", "fire_station fire_department"), ("amenity=townhall", "city_hall town_hall courthouse embassy"),
+    ("office=government", "government public_service public_administration"), ("amenity=community_centre", "community_center community_centre cultural_center cultural_centre event_venue conference"), ("tourism=information", "tourist_information visitor_center visitor_centre"),
+    ("office=yes", "lawyer attorney law_firm accountant real_estate insurance consult advertising marketing architect engineering software it_service recruit financial office professional_services business_service media publisher telecommunication energy shipping logistics"),
+]
+CATEGORY = CATEGORY_FOOD + CATEGORY_CULTURE + CATEGORY_HEALTH + CATEGORY_SHOPS + CATEGORY_PUBLIC
+#: Tags that say little: a primary category of one of them yields to an alternate of another tag.
+GENERIC = ["office=yes", "shop=yes"]
+# Kinds of ways by tag, key by key; draw priorities and default widths in metres; what a coarse map keeps.
+WAY_KIND: dict[str, dict[str, str]] = {
+    "highway": {
+        **dict.fromkeys("motorway trunk primary secondary tertiary unclassified residential motorway_link trunk_link primary_link secondary_link tertiary_link living_street service road busway raceway".split(), "ROAD"),
+        "track": "TRACK", **dict.fromkeys("footway path pedestrian cycleway bridleway corridor sidewalk".split(), "PATH"), "steps": "STEPS",
+    },
+    "railway": dict.fromkeys("rail light_rail narrow_gauge tram monorail preserved miniature funicular disused".split(), "RAIL"),
+    "aeroway": {"runway": "RUNWAY", "taxiway": "TAXIWAY"},
+    "man_made": dict.fromkeys("pier breakwater groyne".split(), "PIER"),
+    "leisure": {"track": "PATH"},
+}
+DRAW_PRIORITY = {
+    "motorway": 100, "trunk": 95, "motorway_link": 90, "trunk_link": 90, "primary": 85, "primary_link": 80, "secondary": 75, "secondary_link": 70, "tertiary": 65, "tertiary_link": 60, "residential": 55, "unclassified": 55, "road": 55, "busway": 55, "raceway": 55,
+    "living_street": 50, "service": 45, "pedestrian": 40, "track": 35, "cycleway": 30, "steps": 28, "footway": 25, "sidewalk": 25, "corridor": 25, "bridleway": 20, "path": 20,
+}
+OTHER_PRIORITY = {"highway": 10, "railway": 58, "aeroway": 99, "man_made": 42}
+WAY_WIDTH = {
+    "motorway": 16.0, "trunk": 14.0, "primary": 10.0, "secondary": 9.0, "tertiary": 8.0, "motorway_link": 6.0, "trunk_link": 6.0, "primary_link": 6.0, "secondary_link": 6.0, "tertiary_link": 5.0, "residential": 6.0, "unclassified": 6.0, "road": 6.0, "living_street": 5.0, "service": 4.0, "busway": 7.0, "raceway": 12.0,
+    "pedestrian": 5.0, "cycleway": 2.5, "footway": 2.0, "sidewalk": 2.0,
+}
+KIND_WIDTH = {"RAIL": 3.5, "RUNWAY": 45.0, "TAXIWAY": 23.0, "PIER": 3.0, "STEPS": 2.0, "TRACK": 3.0, "PATH": 1.5, "ROAD": 6.0}
+MAJOR = ["motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link"]
+CLEARANCE_OVER = {"RAIL": 6.5, "PATH": 3.5, "STEPS": 3.5, "TRACK": 3.5}
 
 
 def mapped(value: Column, table: dict[str, str]) -> Column:
@@ -91,18 +138,53 @@ def is_area(tag: Tag) -> Column:
     return F.when(tag("area") == "no", False).when(tag("area") == "yes", True).when(line, False).otherwise(area)
 
 
-def category_tag(category: Column) -> Column:
-    """The tag of a place category, null for unknown ones."""
-    out = None
-    for name, words in CATEGORY:
-        hit = F.lower(category).rlike("|".join(words))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+def category_tag(category: Column, rules: list[tuple[str, str]] = CATEGORY) -> Column:
+    """The tag of a place category by the first of `rules` that matches, null for unknown ones."""
+    out, low = F.lit(None).cast("string"), F.lower(category)
+    for name, words in reversed(rules):
+        pattern = "|".join(f"^{w[1:]}$" if w[0] == "=" else w for w in words.split())
+        out = F.when(low.rlike(pattern), name).otherwise(out)
     return out
 
 
 def place_tag(primary: Column, alternates: Column) -> Column:
-    """The primary category's tag; an unknown one yields to the first known alternate."""
-    return F.coalesce(category_tag(primary), F.get(F.filter(F.transform(alternates, category_tag), lambda t: t.isNotNull()), F.lit(0)))
+    """The primary category's tag; an unknown or generic one yields to the first alternate of a known tag that is not."""
+    own = category_tag(primary)
+    better = F.get(F.filter(F.transform(alternates, lambda c: category_tag(c)), lambda t: t.isNotNull() & ~t.isin(GENERIC)), F.lit(0))
+    return F.when(own.isNull() | own.isin(GENERIC), F.coalesce(better, own)).otherwise(own)
+
+
+def way_kind(tag: Tag) -> Column:
+    """Kind of a way: the first key that it has decides, but `man_made` and `leisure` only where they give a kind; areas have none."""
+    out = F.coalesce(mapped(tag("aeroway"), WAY_KIND["aeroway"]), mapped(tag("man_made"), WAY_KIND["man_made"]), mapped(tag("leisure"), WAY_KIND["leisure"]))
+    for key in ("railway", "highway"):
+        out = F.when(tag(key).isNotNull(), mapped(tag(key), WAY_KIND[key])).otherwise(out)
+    return F.when(F.coalesce(tag("area") == "yes", F.lit(False)), F.lit(None).cast("string")).otherwise(out)
+
+
+def draw_priority(tag: Tag) -> Column:
+    """The greater is drawn over the lesser."""
+    out = F.lit(15)
+    for key in reversed(OTHER_PRIORITY):
+        by_value = F.coalesce(mapped(tag(key), {k: str(v) for k, v in DRAW_PRIORITY.items()}).cast("int"), F.lit(OTHER_PRIORITY[key])) if key == "highway" else F.lit(OTHER_PRIORITY[key])
+        out = F.when(tag(key).isNotNull(), by_value).otherwise(out)
+    return out
+
+
+def is_major(kind: Column, highway: Column) -> Column:
+    """Whether a coarse map keeps the way: railways, runways and the larger roads."""
+    return F.coalesce(kind.isin("RAIL", "RUNWAY") | ((kind == "ROAD") & highway.isin(MAJOR)), F.lit(False))
+
+
+def bridge_clearance(kind: Column, highway: Column) -> Column:
+    """Metres of a bridge over the ground: main roads and railways, other roads, the rest."""
+    main = (kind == "ROAD") & highway.rlike("^(motorway|trunk|primary|secondary)")
+    return F.when((kind == "RAIL") | F.coalesce(main, F.lit(False)), 5.0).when(kind == "ROAD", 3.0).otherwise(2.0)
+
+
+def clearance_over(under: Column) -> Column:
+    """Metres that a bridge leaves over what passes under it."""
+    return F.coalesce(mapped(under, {k: str(v) for k, v in CLEARANCE_OVER.items()}).cast("double"), F.lit(5.5))
 
 
 def layer(bridge: Column, tunnel: Column, given: Column) -> Column:
@@ -111,10 +193,16 @@ def layer(bridge: Column, tunnel: Column, given: Column) -> Column:
     return F.when(F.coalesce(bridge, F.lit("no")) != "no", F.greatest(own, F.lit(1))).when(F.coalesce(tunnel, F.lit("no")) != "no", F.least(own, F.lit(-1))).otherwise(own)
 
 
-def road_width(kind: Column, lanes: Column) -> Column:
-    """Metres by lanes (3.25 each and one more), else by kind."""
-    by_kind = F.when(kind == "motorway", 11.0).when(kind == "primary", 9.0).when(kind == "secondary", 8.0).when(kind == "footway", 2.0).otherwise(6.0)
-    return F.when(lanes > 0, lanes * 3.25 + 1).otherwise(by_kind)
+def road_width(kind: Column, highway: Column, lanes: Column, railway: Column | None = None, man_made: Column | None = None) -> Column:
+    """Metres of a way: roads by lanes (3.25 each and one more) where known, else by highway, else by kind; trams and breakwaters differ."""
+    by_highway = mapped(highway, {k: str(v) for k, v in WAY_WIDTH.items()}).cast("double")
+    by_kind = mapped(kind, {k: str(v) for k, v in KIND_WIDTH.items()}).cast("double")
+    out = F.when(kind.isin("ROAD", "PATH"), F.coalesce(by_highway, by_kind)).otherwise(by_kind)
+    if railway is not None:
+        out = F.when((kind == "RAIL") & F.coalesce(railway == "tram", F.lit(False)), 2.5).otherwise(out)
+    if man_made is not None:
+        out = F.when((kind == "PIER") & F.coalesce(man_made == "breakwater", F.lit(False)), 5.0).otherwise(out)
+    return F.when((kind == "ROAD") & (lanes > 0), lanes * 3.25 + 1).otherwise(out)
 
 
 def ground_class(r: Column, g: Column, b: Column) -> Column:

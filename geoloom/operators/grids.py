@@ -42,15 +42,24 @@ def square(k: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(-k, k + 1) for b in range(-k, k + 1)]
 
 
-def bilinear(points: DataFrame, grid: DataFrame, key: str, least: float = 1e-6) -> DataFrame:
-    """Value at fractional `(y, x)`: the four pixels round it, weights of those present summing to one."""
+def bilinear(points: DataFrame, grid: DataFrame, key: str, least: float = 1e-6, rings: int = 3) -> DataFrame:
+    """Value at fractional `(y, x)`: the four pixels round it, weights of those present summing to one.
+
+    Where none is present, the nearest pixel that is, within `rings` square rings round the nearest place of a pixel; ties
+    by ring, then row, then column offset. Null beyond.
+    """
     near = offsets(points.withColumns({"r": F.floor("y"), "c": F.floor("x")}), [(0, 0), (0, 1), (1, 0), (1, 1)])
     fy, fx = F.col("y") - F.col("r"), F.col("x") - F.col("c")
     weight = F.when(F.col("dr") == 1, fy).otherwise(1 - fy) * F.when(F.col("dc") == 1, fx).otherwise(1 - fx)
     pixels = grid.where("value is not null").select(F.col("r").alias("pr"), F.col("c").alias("pc"), "value")
     met = near.withColumn("w", weight).join(pixels, ["pr", "pc"])
     summed = met.groupBy(key).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("value")).alias("s")).where(F.col("w") > least)
-    return points.select(key).join(summed.select(key, (F.col("s") / F.col("w")).alias("value")), key, "left")
+    near_four = summed.select(key, (F.col("s") / F.col("w")).alias("four"))
+    rest = points.join(near_four, key, "left_anti").select(key, F.floor(F.col("y") + 0.5).alias("r"), F.floor(F.col("x") + 0.5).alias("c"))
+    ring = F.greatest(F.abs("dr"), F.abs("dc"))
+    beyond = offsets(rest, square(rings)).join(pixels, ["pr", "pc"]).groupBy(key).agg(F.min_by("value", F.struct(ring, F.col("dr"), F.col("dc"))).cast("double").alias("ringed"))
+    out = points.select(key).join(near_four, key, "left").join(beyond, key, "left")
+    return out.select(key, F.coalesce("four", "ringed").alias("value"))
 
 
 def catmull_rom(t: Column, k: Column) -> Column:

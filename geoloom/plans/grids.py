@@ -40,11 +40,19 @@ def pyramid(read):
     return grids.pyramid_level(read("grid"), 3).withColumn("value", F.col("value").cast("bigint"))
 
 
-@query("jn26_bilinear", f"""WITH {_POINTS}, n AS (SELECT k, g.value, (CASE WHEN dr = 1 THEN y - p.r ELSE 1 - (y - p.r) END) * (CASE WHEN dc = 1 THEN x - p.c ELSE 1 - (x - p.c) END) AS w FROM pts p, range(2) a(dr), range(2) b(dc), {{grid}} g WHERE g.r = p.r + dr AND g.c = p.c + dc AND g.value IS NOT NULL)
-    SELECT k, round(s / w, 4) AS value FROM pts LEFT JOIN (SELECT k, sum(w) AS w, sum(w * value) AS s FROM n GROUP BY k HAVING sum(w) > 1e-6) USING (k)""")
+_HOLED = "holed AS (SELECT r, c, CASE WHEN (CAST(floor(r / 5.0) AS BIGINT) + CAST(floor(c / 5.0) AS BIGINT)) % 4 <> 0 AND (r < 20 OR r > 29 OR c > 15) THEN value END AS value FROM {grid})"
+
+
+@query("jn26_bilinear", f"""WITH {_POINTS}, {_HOLED}, n AS (SELECT k, g.value, (CASE WHEN dr = 1 THEN y - p.r ELSE 1 - (y - p.r) END) * (CASE WHEN dc = 1 THEN x - p.c ELSE 1 - (x - p.c) END) AS w FROM pts p, range(2) a(dr), range(2) b(dc), holed g WHERE g.r = p.r + dr AND g.c = p.c + dc AND g.value IS NOT NULL),
+    f AS (SELECT k, sum(w * value) / sum(w) AS v FROM n GROUP BY k HAVING sum(w) > 1e-6),
+    h AS (SELECT k, min_by(g.value, (greatest(abs(a), abs(b)), a, b)) AS v FROM pts p, range(-3, 4) q(a), range(-3, 4) s(b), holed g WHERE g.r = p.r + a AND g.c = p.c + b AND g.value IS NOT NULL GROUP BY k)
+    SELECT k, round(coalesce(f.v, h.v), 4) AS value FROM pts LEFT JOIN f USING (k) LEFT JOIN h USING (k)""")
 def bilinear(read):
-    """JN-26: four pixels, the weights of those present renormalised."""
-    return grids.bilinear(_points(read), read("grid"), "k").withColumn("value", F.round("value", 4))
+    """JN-26: four pixels, the weights of those present renormalised; in holes the nearest within three rings."""
+    block = F.floor(F.col("r") / 5) + F.floor(F.col("c") / 5)
+    there = (block % 4 != 0) & ((F.col("r") < 20) | (F.col("r") > 29) | (F.col("c") > 15))
+    holed = read("grid").select("r", "c", F.when(there, F.col("value")).alias("value"))
+    return grids.bilinear(_points(read), holed, "k").withColumn("value", F.round("value", 4))
 
 
 def _cubic(t, d):

@@ -52,19 +52,49 @@ def area_test(read):
     return read("tagged").select("id", tags.is_area(_tag).alias("is_area"))
 
 
-@query("sc34_place_tags", """SELECT place_id, CASE WHEN place_id % 5 = 0 THEN 'tourism=hotel' ELSE CASE category WHEN 'restaurant' THEN 'amenity=restaurant' WHEN 'cafe' THEN 'amenity=cafe' WHEN 'hotel' THEN 'tourism=hotel' WHEN 'pharmacy' THEN 'amenity=pharmacy' WHEN 'museum' THEN 'tourism=museum' ELSE 'amenity=school' END END AS tag FROM {places} WHERE confidence >= 0.35""")
+#: Categories as a place source writes them, and the tags they have to get, stated by hand.
+PLACE_CASES = [
+    ("cafe", "amenity=cafe"), ("internet_cafe", "amenity=cafe"), ("cafeteria", "amenity=restaurant"), ("bar", "amenity=bar"), ("barber", "shop=hairdresser"), ("gastropub", "amenity=bar"), ("public_library", "amenity=library"), ("preschool", "amenity=kindergarten"), ("high_school", "amenity=school"),
+    ("veterinarian", "amenity=veterinary"), ("animal_hospital", "amenity=hospital"), ("Hotel", "tourism=hotel"), ("beach_resort", "tourism=hotel"), ("art_museum", "tourism=museum"), ("movie_theater", "amenity=cinema"), ("comedy_club", "amenity=theatre"), ("night_club", "amenity=nightclub"), ("medical_center", "amenity=hospital"),
+    ("bike_shop", "shop=bicycle"), ("sporting_goods", "shop=sports"), ("shoe_store", "shop=shoes"), ("lamp_store", "shop=yes"), ("professional_services", "office=yes"), ("fire_department", "amenity=fire_station"), ("mall", "shop=mall"), ("small", None), ("embassy", "amenity=townhall"), ("unheard_of", None), ("bowling_alley", "leisure=sports_centre"), ("law_firm", "office=yes"),
+]
+_CASES = ", ".join(f"({k}, '{c}', {repr(t) if t else 'NULL'})" for k, (c, t) in enumerate(PLACE_CASES))
+
+
+@query("sc34_place_tags", f"""WITH k(k, category, tag) AS (VALUES {_CASES}), a AS (SELECT place_id, p.tag AS own, CASE WHEN place_id % 3 = 0 THEN q.tag END AS other FROM {{places}} JOIN k p ON p.k = place_id % {len(PLACE_CASES)} JOIN k q ON q.k = (place_id + 7) % {len(PLACE_CASES)} WHERE confidence >= 0.35)
+    SELECT place_id, CASE WHEN (own IS NULL OR own IN ('office=yes', 'shop=yes')) AND other IS NOT NULL AND other NOT IN ('office=yes', 'shop=yes') THEN other ELSE own END AS tag FROM a""")
 def place_tags(read):
-    """SC-34, FL-07, SRC-07: category to tag; an unknown primary yields to an alternate."""
-    primary = F.when(F.col("place_id") % 5 == 0, F.lit("unheard_of")).otherwise(F.col("category"))
-    return read("places").where("confidence >= 0.35").select("place_id", tags.place_tag(primary, F.array(F.lit("nothing"), F.lit("beach_resort"))).alias("tag"))
+    """SC-34, FL-07, SRC-07: category to tag; an unknown or generic primary yields to a specific alternate."""
+    names = F.array(*[F.lit(c) for c, _ in PLACE_CASES])
+    at = lambda k: F.get(names, F.pmod(F.col("place_id") + k, F.lit(len(PLACE_CASES))).cast("int"))
+    others = F.when(F.col("place_id") % 3 == 0, F.array(F.lit("nothing"), at(7))).otherwise(F.array(F.lit("nothing")))
+    return read("places").where("confidence >= 0.35").select("place_id", tags.place_tag(at(0), others).alias("tag"))
+
+
+#: Tags of a way (key, value), lanes, and by hand: kind, priority, width, major, clearance over the ground, and over the way itself.
+WAY_CASES = [
+    ("highway", "motorway", 0, "ROAD", 100, 16.0, True, 5.0, 5.5), ("highway", "motorway", 4, "ROAD", 100, 14.0, True, 5.0, 5.5), ("highway", "secondary_link", 0, "ROAD", 70, 6.0, True, 5.0, 5.5), ("highway", "residential", 2, "ROAD", 55, 7.5, False, 3.0, 5.5), ("highway", "service", 0, "ROAD", 45, 4.0, False, 3.0, 5.5),
+    ("highway", "track", 2, "TRACK", 35, 3.0, False, 2.0, 3.5), ("highway", "steps", 0, "STEPS", 28, 2.0, False, 2.0, 3.5), ("highway", "cycleway", 0, "PATH", 30, 2.5, False, 2.0, 3.5), ("highway", "path", 0, "PATH", 20, 1.5, False, 2.0, 3.5), ("highway", "platform", 0, None, 10, None, False, 2.0, 5.5),
+    ("railway", "rail", 0, "RAIL", 58, 3.5, True, 5.0, 6.5), ("railway", "tram", 0, "RAIL", 58, 2.5, True, 5.0, 6.5), ("railway", "abandoned", 0, None, 58, None, False, 2.0, 5.5), ("aeroway", "runway", 0, "RUNWAY", 99, 45.0, True, 2.0, 5.5), ("aeroway", "taxiway", 0, "TAXIWAY", 99, 23.0, False, 2.0, 5.5),
+    ("man_made", "breakwater", 0, "PIER", 42, 5.0, False, 2.0, 5.5), ("man_made", "pier", 0, "PIER", 42, 3.0, False, 2.0, 5.5), ("leisure", "track", 0, "PATH", 15, 1.5, False, 2.0, 3.5), ("waterway", "river", 0, None, 15, None, False, 2.0, 5.5),
+]
+_sql = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+_WAYS = ", ".join(f"({k}, {', '.join(_sql(v) for v in case[3:])})" for k, case in enumerate(WAY_CASES))
 
 
-@query("sc42_sc43_roads", """SELECT way_id, CASE WHEN bridge = 'yes' THEN greatest(layer, 1) WHEN way_id % 7 = 0 THEN least(layer, -1) ELSE layer END AS level, CASE WHEN way_id % 4 > 0 THEN (way_id % 4) * 3.25 + 1 ELSE CASE highway WHEN 'motorway' THEN 11.0 WHEN 'primary' THEN 9.0 WHEN 'secondary' THEN 8.0 WHEN 'footway' THEN 2.0 ELSE 6.0 END END::DOUBLE AS width FROM {ways}""")
+@query("sc42_sc43_roads", f"""WITH k(k, kind, priority, width, major, ground, over_it) AS (VALUES {_WAYS}) SELECT way_id, CASE WHEN bridge = 'yes' THEN greatest(layer, 1) WHEN way_id % 7 = 0 THEN least(layer, -1) ELSE layer END AS level, k.kind, k.priority, CAST(k.width AS DOUBLE) AS width, k.major, CAST(ground AS DOUBLE) AS ground, CAST(over_it AS DOUBLE) AS over_it FROM {{ways}} JOIN k ON k.k = way_id % {len(WAY_CASES)}""")
 def roads(read):
-    """SC-42, SC-43: layer and default width."""
-    w = read("ways")
-    tunnel = F.when(F.col("way_id") % 7 == 0, "yes")
-    return w.select("way_id", tags.layer(F.col("bridge"), tunnel, F.col("layer")).alias("level"), tags.road_width(F.col("highway"), F.col("way_id") % 4).alias("width"))
+    """SC-42, SC-43: kind, draw priority, default width, the coarse map's choice, layer and clearances."""
+    at = F.pmod(F.col("way_id"), F.lit(len(WAY_CASES))).cast("int")
+    of = lambda k: F.get(F.array(*[F.lit(case[k]) for case in WAY_CASES]), at)
+    w = read("ways").select("way_id", "bridge", "layer", of(0).alias("key"), of(1).alias("value"), of(2).alias("lanes"))
+    tag = lambda key: F.when(F.col("key") == key, F.col("value"))
+    kind, tunnel = tags.way_kind(tag), F.when(F.col("way_id") % 7 == 0, "yes")
+    width = tags.road_width(kind, tag("highway"), F.col("lanes"), tag("railway"), tag("man_made"))
+    return w.select(
+        "way_id", tags.layer(F.col("bridge"), tunnel, F.col("layer")).alias("level"), kind.alias("kind"), tags.draw_priority(tag).alias("priority"), width.alias("width"),
+        tags.is_major(kind, tag("highway")).alias("major"), tags.bridge_clearance(kind, tag("highway")).alias("ground"), tags.clearance_over(kind).alias("over_it"),
+    )
 
 
 @query(
