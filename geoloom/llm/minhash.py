@@ -113,7 +113,7 @@ def _verified_pairs(pairs: DataFrame, held: DataFrame, similarity: float) -> Dat
             good = pa.array([jaccard_reaches(distinct_values(a), distinct_values(b), similarity) for a, b in pairs], pa.bool_())
             yield batch.select([0, 1]).filter(good)
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
 def _block_links(members: DataFrame, sizes: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
@@ -155,12 +155,12 @@ def similar_links(keys: DataFrame, tables: DataFrame, similarity: float = SIMILA
     different sequences share, by their least and greatest h, with a map-side combine; only their members go on, so of
     all other sequences nothing but the keys is shuffled. Buckets of up to CROWDED members are joined with themselves;
     in larger ones, blocks of about BLOCK members are compared pair by pair of blocks, so that no task holds a bucket
-    and no list of all pairs is made.
+    and no list of all pairs is made. Both sides of the joins grow with the input, so they are merged at every size.
     """
     shared = stored(keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least < most").select("key"))
-    members = stored(keys.join(shared, "key").distinct())
+    members = stored(keys.join(shared.hint("merge"), "key").distinct())
     sizes = stored(members.groupBy("key").agg(F.count("*").alias("n")))
-    held = stored(tables.join(members.select("h").distinct(), "h").groupBy("h").agg(F.first("shingles").alias("shingles")))
+    held = stored(tables.join(members.select("h").distinct().hint("merge"), "h").groupBy("h").agg(F.first("shingles").alias("shingles")))
     few = members.join(sizes.where(F.col("n") <= CROWDED), "key").select("key", "h")
     pairs = few.withColumnRenamed("h", "a").join(few.withColumnRenamed("h", "b"), "key").where("a < b").select("a", "b").distinct()
     links = _verified_pairs(pairs, held, similarity)

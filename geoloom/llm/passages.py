@@ -104,7 +104,7 @@ def similar_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, passage_
     whole = paragraphs(docs)
     known = whole.groupBy("h").agg(F.count("*").alias("copies")).join(labels, "h", "left").where("copies > 1 or component is not null")
     known = stored(known.select("h", "copies", F.coalesce("component", "h").alias("class_id")))
-    found = stored(whole.join(known, "h").dropDuplicates(["doc_id", "row_key", "at"]))
+    found = stored(whole.join(known.hint("merge"), "h").dropDuplicates(["doc_id", "row_key", "at"]))
     keeper = stored(found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "at")).alias("keeper")))
     found = found.join(keeper, "class_id")
     of_doc = Window.partitionBy("doc_id", "row_key")
@@ -138,7 +138,7 @@ def drop_repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS)
     names = docs.columns
     wide = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)])
     text = f"c{names.index('text')}"
-    joined = wide.withColumn("row_key", F.xxhash64(f"c{names.index('doc_id')}", text)).join(spans, "row_key", "left").drop("row_key")
+    joined = wide.withColumn("row_key", F.xxhash64(f"c{names.index('doc_id')}", text)).join(spans.hint("merge"), "row_key", "left").drop("row_key")
     at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,7 +107,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
     rows = _anchor_rows(docs.where("text is not null"))
     many = stored(rows.groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1"))
-    held = stored(rows.join(many, "g").distinct())
+    held = stored(rows.join(many.hint("merge"), "g").distinct())
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "pos")
     firsts = stored(held.groupBy("g").agg(F.min(F.struct(place.alias("place"), F.col("before"), F.col("after"))).alias("f")))
     same_row = F.col("row_key") == F.col("f.place.row_key")
@@ -129,7 +129,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         "g",
         "copies",
     )
-    of_row = held.join(firsts, "g").groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(span).alias("spans"))
+    of_row = held.join(firsts.hint("merge"), "g").groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(span).alias("spans"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]

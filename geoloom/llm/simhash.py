@@ -201,7 +201,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     kept = stored(kept.select("first.row_key", "first.n"))
     names = docs.columns
     wide = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(names)])
-    joined = wide.join(kept, "row_key")
+    joined = wide.join(kept.hint("merge"), "row_key")
     out = joined.where("n = 1")
     if not kept.where("n > 1").isEmpty():
         out = out.union(joined.where("n > 1").dropDuplicates(["row_key"]))
