@@ -74,7 +74,7 @@ def pixel(read):
     return _points(read).join(read("grid_class"), ["r", "c"]).select("k", "class")
 
 
-@query("jn28_nearest_class", f"""WITH {_POINTS}, o AS (SELECT a, b FROM range(-5, 6) x(a), range(-5, 6) y(b)), h AS (SELECT k, class, greatest(abs(a), abs(b)) AS ring, a, b FROM pts p, o JOIN {{grid_class}} g ON true WHERE g.r = p.r + a AND g.c = p.c + b AND class > 5)
+@query("jn28_nearest_class", f"""WITH {_POINTS}, q AS MATERIALIZED (SELECT k, r + a AS rr, c + b AS cc, a, b FROM pts, range(-5, 6) x(a), range(-5, 6) y(b)), h AS (SELECT k, class, greatest(abs(a), abs(b)) AS ring, a, b FROM q JOIN {{grid_class}} g ON g.r = rr AND g.c = cc WHERE class > 5)
     SELECT k, class FROM pts LEFT JOIN (SELECT k, min_by(class, (ring, a, b)) AS class FROM h GROUP BY k) USING (k)""")
 def nearest_class(read):
     """JN-28: the nearest pixel of a class above 5 within five rings."""
