@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from geoloom.operators.weather import latest_by_cell
 from geoloom.session import checkpoint
+from geoloom.sources.sinks import merge_as_set, overwrite_cells
 
 EVENT_SCHEMA = "event_id long, station string, user_id long, lat_e7 long, lon_e7 long, ts timestamp, wx string, temp_c double"
 
@@ -86,27 +87,79 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def upsert_cells(path: str):
-    """A foreachBatch sink: the newest version of a cell wins, only the cells of the batch are rewritten."""
+def upsert_cells(path: str, cells_a_part: int = 100):
+    """A foreachBatch sink: the newest version of a cell wins; only the parts that hold the batch's cells are rewritten.
+
+    A part is a square of `cells_a_part` cells a side, so that files stay few. A batch that runs again changes nothing.
+    """
+    part = {f"part_{a}": F.floor(F.col(f"cell_{a}") / cells_a_part) for a in ("lat", "lon")}
+
+    def newest_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("cell_lat", "cell_lon").agg(F.max_by(F.struct("version", "value"), "version").alias("v")).select("cell_lat", "cell_lon", "v.*").withColumns(part)
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark, newest = batch.sparkSession, newest_of(batch)
+        if _exists(spark, path):
+            held = spark.read.parquet(path).join(newest.select(*part).distinct(), [*part], "left_semi").select(*newest.columns)
+            newest = checkpoint(newest_of(held.unionByName(newest)))  # the store is read before it is written
+        newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(path)
+
+    return write
+
+
+def add_places(path: str, step_e7: int = 1_000_000):
+    """A foreachBatch sink: new places join those that their cell holds, identical rows once; other cells stay as they are.
+
+    A batch that runs again changes nothing. With the `availableNow` trigger, it imports what has come since the last run.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        newest = batch.groupBy("cell_lat", "cell_lon").agg(F.max_by(F.struct("version", "value"), "version").alias("v")).select("cell_lat", "cell_lon", "v.*")
+        new = batch.withColumns({"cell_lat": F.floor(F.col("lat_e7") / step_e7), "cell_lon": F.floor(F.col("lon_e7") / step_e7)}).dropDuplicates()
         if _exists(spark, path):
-            held = spark.read.parquet(path).join(newest.select("cell_lat", "cell_lon"), ["cell_lat", "cell_lon"], "left_semi").select(*newest.columns)
-            both = held.unionByName(newest).groupBy("cell_lat", "cell_lon").agg(F.max_by(F.struct("version", "value"), "version").alias("v"))
-            newest = checkpoint(both.select("cell_lat", "cell_lon", "v.*"))  # the store is read before it is written
-        newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cell_lat", "cell_lon").parquet(path)
+            held = spark.read.parquet(path).join(new.select("cell_lat", "cell_lon").distinct(), ["cell_lat", "cell_lon"], "left_semi").select(*new.columns)
+            new = checkpoint(merge_as_set(held, new))  # the store is read before it is written
+        overwrite_cells(new, path)
 
     return write
 
 
-def dwellers(positions: DataFrame, covered: DataFrame, dwell_s: int = 60, step_e7: int = 1_000_000) -> DataFrame:
-    """Entities that stay outside all covered cells for at least `dwell_s` seconds: one offer per session."""
-    keyed = positions.withColumns({"cell_lat": F.floor(F.col("lat_e7") / step_e7), "cell_lon": F.floor(F.col("lon_e7") / step_e7)})
-    outside = keyed.join(covered.select("cell_lat", "cell_lon").distinct().withColumn("held", F.lit(True)), ["cell_lat", "cell_lon"], "left").where("held is null")
-    s = outside.groupBy("station", F.session_window("ts", "10 minutes").alias("w")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    return s.where(F.unix_timestamp("last") - F.unix_timestamp("first") >= dwell_s).select("station", "first", "last")
+def dwellers(positions: DataFrame, covered: DataFrame, dwell_s: int = 60, again_s: int = 600, step_e7: int = 1_000_000) -> DataFrame:
+    """One offer for each entity that has been outside all covered cells for `dwell_s` seconds, no other for `again_s` seconds.
+
+    A position inside ends the stay; the last offer is remembered across stays. A position older than the newest one seen is
+    ignored, as is one without a time; of positions at one time, an inside one comes last. State holds three numbers for each
+    entity and goes `again_s` seconds of event time after its newest position. `positions` carries a watermark.
+    """
+    cells = covered.select("cell_lat", "cell_lon").distinct().withColumn("held", F.lit(True))
+    keyed = positions.where("ts is not null").withColumns({"cell_lat": F.floor(F.col("lat_e7") / step_e7), "cell_lon": F.floor(F.col("lon_e7") / step_e7)})
+    marked = keyed.join(cells, ["cell_lat", "cell_lon"], "left").select("station", "ts", F.col("held").isNotNull().alias("inside"))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        newest, since, offered = state.get if state.exists else (-1, -1, -1)
+        offers = []
+        for frame in frames:
+            for r in frame.sort_values(["ts", "inside"]).itertuples():
+                at = int(r.ts.timestamp() * 1_000_000)
+                if at < newest:
+                    continue
+                newest = at
+                if r.inside:
+                    since = -1
+                    continue
+                since = at if since < 0 else since
+                if at - since >= dwell_s * 1_000_000 and (offered < 0 or at - offered >= again_s * 1_000_000):
+                    offered = at
+                    offers.append((key[0], since, at))
+        state.update((newest, since, offered))
+        state.setTimeoutTimestamp(max(newest // 1000 + again_s * 1000, state.getCurrentWatermarkMs() + 1))
+        if offers:
+            yield pd.DataFrame(offers, columns=["station", "since", "offered"])
+
+    return marked.groupBy("station").applyInPandasWithState(step, "station string, since long, offered long", "newest long, since long, offered long", "append", "EventTimeTimeout")
 
 
 def readiness(positions: DataFrame, ready: DataFrame, reach: int = 2, step_e7: int = 1_000_000) -> DataFrame:

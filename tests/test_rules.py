@@ -92,6 +92,62 @@ def test_upsert_keeps_the_newest_version(spark, tmp_path):
     assert got == {(1, 2, 0.9), (2, 3, 0.7), (3, 1, 0.2)}
 
 
+def _positions(spark, rows, folder):
+    """Positions of (station, minute, second, inside); cell (600, 50) is the covered one. One file for each of two halves."""
+    rows = [(k, s, k, 600_000_000 if inside else 610_000_000, 50_000_000, f"2024-01-01 00:{m:02d}:{sec:02d}", "", 0.0) for k, (s, m, sec, inside) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "event_id long, station string, user_id long, lat_e7 long, lon_e7 long, ts string, wx string, temp_c double").withColumn("ts", F.col("ts").cast("timestamp"))
+    half = len(rows) // 2
+    df.where(F.col("event_id") < half).repartition(1).write.parquet(f"{folder}/1")
+    df.where(F.col("event_id") >= half).repartition(1).write.parquet(f"{folder}/2")
+    return df
+
+
+def test_dwellers_are_offered_once_in_ten_minutes(spark, tmp_path):
+    rows = [("A", 0, 0, False), ("A", 0, 30, False), ("A", 1, 0, False), ("A", 3, 0, False)]  # out for a minute: an offer at 1:00
+    rows += [("B", 0, 0, False), ("B", 0, 50, False), ("B", 0, 55, True), ("B", 1, 30, False)]  # a visit inside ends the stay
+    rows += [("A", 5, 0, True), ("A", 6, 0, False), ("A", 8, 0, False), ("A", 12, 0, False), ("A", 15, 0, False)]  # again only ten minutes after 1:00
+    rows += [("B", 2, 29, False), ("B", 2, 30, False), ("C", 4, 0, False), ("C", 4, 59, False), ("C", 20, 0, True)]  # C is never out for a minute
+    _positions(spark, rows, str(tmp_path / "in"))
+    covered = spark.createDataFrame([(600, 50)], "cell_lat long, cell_lon long")
+    stream = observations.fresh(observations.read_observations(spark, str(tmp_path / "in/*")), 30)
+    got = _drain(observations.dwellers(stream, covered), "offers", "append", spark)
+    start = int(spark.sql("SELECT unix_micros(timestamp'2024-01-01 00:00:00')").first()[0])
+    assert {(s, (a - start) // 1_000_000, (b - start) // 1_000_000) for s, a, b in got} == {("A", 0, 60), ("A", 360, 720), ("B", 90, 150)}
+
+
+def test_fused_streams_meet_within_their_tolerance(spark, tmp_path):
+    rows = [("S", m, 0, inside) for m, inside in ((0, True), (5, False), (10, True), (20, True), (40, False), (50, True))]
+    table = _positions(spark, rows, str(tmp_path / "in"))
+    parts = {}
+    for name, rest in (("radar", 1), ("stations", 0)):
+        table.where(F.col("event_id") % 2 == rest).repartition(1).write.parquet(str(tmp_path / name))
+        parts[name] = observations.read_observations(spark, str(tmp_path / name))
+    pairs = _drain(observations.fused_streams(parts["radar"], parts["stations"], 15).where("s_id is not null").select("r_id", "s_id"), "fused", "append", spark)
+    cell = {k: inside for k, (_, _, _, inside) in enumerate(rows)}
+    minute = {k: m for k, (_, m, _, _) in enumerate(rows)}
+    assert pairs == {(r, s) for r in (1, 3, 5) for s in (0, 2, 4) if cell[r] == cell[s] and 0 <= minute[r] - minute[s] <= 15}
+    assert pairs
+
+
+def test_places_are_added_to_what_their_cell_holds(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "place_id long, lat_e7 long, lon_e7 long, name string")
+    old, near, far = (1, 600_000_000, 50_000_000, "a"), (2, 600_000_001, 50_000_000, "b"), (3, 700_000_000, -1, None)
+    rows(old, old).write.parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(rows(old).schema).parquet(str(tmp_path / "in"))
+        q = stream.writeStream.foreachBatch(observations.add_places(str(tmp_path / "map"))).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "map")).select("place_id", "lat_e7", "lon_e7", "name").collect())
+
+    assert run() == [old]
+    rows(old, near, far).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == [old, near, far]
+    assert run() == [old, near, far]
+    observations.add_places(str(tmp_path / "map"))(rows(near), 7)  # a batch that runs again
+    assert spark.read.parquet(str(tmp_path / "map")).count() == 3
+
+
 def test_cell_store_round_trip(spark, tmp_path):
     from geoloom.operators import osm
 
