@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.session import stored
+
 
 def union_runs(runs: DataFrame) -> DataFrame:
     """Runs `(row, start, end)` with inclusive ends; those that touch or overlap become one."""
@@ -112,3 +116,29 @@ def two_decks(cells: DataFrame) -> DataFrame:
     w = Window.partitionBy("x", "z").orderBy(F.col("layer").desc(), F.col("priority").desc(), "id")
     ranked = cells.withColumn("_n", F.row_number().over(w)).where("_n <= 2")
     return ranked.groupBy("x", "z").agg(F.max(F.when(F.col("_n") == 1, F.col("id"))).alias("top"), F.max(F.when(F.col("_n") == 2, F.col("id"))).alias("under"))
+
+
+def nearest_cell(points: DataFrame, runs: DataFrame, key: str, block: int = 16) -> DataFrame:
+    """`(key, row, col)`: the cell of the runs `(row, start, end)` that is nearest to each point `(key, x, z)`.
+
+    Points look for runs in their own square block of cells and the eight round it; what lies within a block's side is
+    the nearest of all. Points that find nothing so near look again in blocks of twice the side. Ties go to the smaller
+    row, then column. Points of null positions, and all points where there are no runs, get no cell.
+    """
+    runs = stored(union_runs(runs.where("row is not null and start <= end")))
+    left = points.select(key, "x", "z").where("x is not null and z is not null")
+    if runs.isEmpty():
+        return left.select(key, F.lit(0).alias("row"), F.lit(0).alias("col")).limit(0)
+    side = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    parts = []
+    while True:
+        filed = runs.withColumns({"_bx": F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("end") / block))), "_bz": F.floor(F.col("row") / block)})
+        spread = left.withColumn("_bx", F.explode(F.transform(side, lambda d: F.floor(F.col("x") / block) + d))).withColumn("_bz", F.explode(F.transform(side, lambda d: F.floor(F.col("z") / block) + d)))
+        col = F.least(F.greatest(F.col("x"), F.col("start")), F.col("end"))
+        d2 = (col - F.col("x")) * (col - F.col("x")) + (F.col("row") - F.col("z")) * (F.col("row") - F.col("z"))
+        best = spread.join(filed, ["_bx", "_bz"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), F.col("row"), col.alias("col"))).alias("best"))
+        parts.append(stored(best.where(F.col("best.d2") <= block * block).select(key, "best.row", "best.col")))
+        left = stored(left.join(parts[-1], key, "left_anti"))
+        if left.isEmpty():
+            return reduce(DataFrame.union, parts)
+        block *= 2

@@ -133,18 +133,25 @@ def relax_surface(cells: DataFrame, key: str, rounds: int = 200) -> DataFrame:
     `cells` are (key, x, z, fixed) with fixed null where free; a body is one group, bodies run in parallel.
     """
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, z = pdf.x.to_numpy() - pdf.x.min() + 1, pdf.z.to_numpy() - pdf.z.min() + 1
-        shape = (x.max() + 2, z.max() + 2)
-        inside, value, fixed = np.zeros(shape), np.zeros(shape), np.zeros(shape, bool)
         held = pdf.fixed.to_numpy(dtype=float)
-        inside[x, z] = 1
-        fixed[x, z] = ~np.isnan(held)
-        value[x, z] = np.where(np.isnan(held), np.nanmean(held) if fixed.any() else 0.0, held)
-        for _ in range(rounds if fixed.any() else 0):
-            total = sum(np.roll(value * inside, s, a) for a in (0, 1) for s in (1, -1))
-            n = sum(np.roll(inside, s, a) for a in (0, 1) for s in (1, -1))
-            value = np.where(fixed | (inside == 0) | (n == 0), value, total / np.maximum(n, 1))
-        return pdf.assign(level=value[x, z])[[key, "x", "z", "level"]]
+        if np.isnan(held).all():
+            return pdf.assign(level=0.0)[[key, "x", "z", "level"]]
+        x, z = pdf.x.to_numpy(dtype=np.int64), pdf.z.to_numpy(dtype=np.int64)
+        wide = z.max() - z.min() + 3
+        place = (x - x.min()) * wide + z - z.min() + 1
+        order = np.argsort(place)
+        ranked = place[order]
+        beside = np.empty((4, len(place)), np.int64)  # the neighbours' rows, one past the end where there is none
+        for k, step in enumerate((wide, -wide, 1, -1)):
+            at = np.minimum(np.searchsorted(ranked, place + step), len(place) - 1)
+            beside[k] = np.where(ranked[at] == place + step, order[at], len(place))
+        n = (beside < len(place)).sum(axis=0)
+        free = np.flatnonzero(np.isnan(held) & (n > 0))
+        value = np.append(np.where(np.isnan(held), np.nanmean(held), held), 0.0)
+        beside, n = beside[:, free], n[free]
+        for _ in range(rounds):
+            value[free] = value[beside].sum(axis=0) / n
+        return pdf.assign(level=value[:-1])[[key, "x", "z", "level"]]
 
     kind = dict(cells.dtypes)
     return cells.groupBy(key).applyInPandas(one, f"{key} {kind[key]}, x {kind['x']}, z {kind['z']}, level double")

@@ -8,7 +8,7 @@ from geoloom.operators import areas, arrow
 from geoloom.operators.components import connected_components
 from geoloom.plans.register import query
 
-_CELLS = "cells AS (SELECT shape_order, x, z, subtract FROM {selection_shapes}, range(0, 60) a(x), range(0, 50) b(z) WHERE x >= x0 AND x < x1 AND z >= z0 AND z < z1), sel AS (SELECT x, z FROM (SELECT x, z, max_by(subtract, shape_order) AS gone FROM cells GROUP BY x, z) WHERE NOT gone)"
+_CELLS = "cells AS (SELECT shape_order, x, unnest(range(z0, z1)) AS z, subtract FROM (SELECT *, unnest(range(x0, x1)) AS x FROM {selection_shapes})), sel AS (SELECT x, z FROM (SELECT x, z, max_by(subtract, shape_order) AS gone FROM cells GROUP BY x, z) WHERE NOT gone)"
 
 
 def shape_cells(read):
@@ -79,13 +79,13 @@ def _runs(read):
     return s.select(F.col("z0").alias("row"), F.col("x0").alias("start"), F.col("x1").alias("end")).union(s.where("shape_order % 2 = 0").select("z0", F.col("x0") + 6, F.col("x1") + 9))
 
 
-@query("wn09_interval_union", f"""WITH {_RUNS}, c AS (SELECT DISTINCT "row", x FROM r, range(0, 80) t(x) WHERE x BETWEEN s AND e) SELECT "row", CAST(min(x) AS INTEGER) AS "start", CAST(max(x) AS INTEGER) AS "end" FROM (SELECT "row", x, x - row_number() OVER (PARTITION BY "row" ORDER BY x) AS i FROM c) GROUP BY "row", i""")
+@query("wn09_interval_union", f"""WITH {_RUNS}, c AS (SELECT DISTINCT "row", unnest(range(s, e + 1)) AS x FROM r) SELECT "row", CAST(min(x) AS INTEGER) AS "start", CAST(max(x) AS INTEGER) AS "end" FROM (SELECT "row", x, x - row_number() OVER (PARTITION BY "row" ORDER BY x) AS i FROM c) GROUP BY "row", i""")
 def interval_union(read):
     """WN-09: touching runs merge."""
     return areas.union_runs(_runs(read))
 
 
-@query("wn10_interval_difference", f"""WITH {_RUNS}, c AS (SELECT DISTINCT "row", x FROM r, range(0, 80) t(x) WHERE x BETWEEN s AND e AND x % 9 <> 4) SELECT "row", CAST(min(x) AS INTEGER) AS "start", CAST(max(x) AS INTEGER) AS "end" FROM (SELECT "row", x, x - row_number() OVER (PARTITION BY "row" ORDER BY x) AS i FROM c) GROUP BY "row", i""")
+@query("wn10_interval_difference", f"""WITH {_RUNS}, c AS (SELECT DISTINCT "row", x FROM (SELECT "row", unnest(range(s, e + 1)) AS x FROM r) WHERE x % 9 <> 4) SELECT "row", CAST(min(x) AS INTEGER) AS "start", CAST(max(x) AS INTEGER) AS "end" FROM (SELECT "row", x, x - row_number() OVER (PARTITION BY "row" ORDER BY x) AS i FROM c) GROUP BY "row", i""")
 def interval_difference(read):
     """WN-10: what one set of runs covers and another doesn't."""
     a = areas.union_runs(_runs(read))
@@ -93,7 +93,7 @@ def interval_difference(read):
     return areas.subtract_runs(a, b)
 
 
-@query("ag21_line_raster", """WITH s AS (SELECT shape_order, x0 + 0.3 AS x1, z0 + 0.2 AS z1, x1 + 0.6 AS x2, z1 + 0.9 AS z2 FROM {selection_shapes}), c AS (SELECT s.*, x, z FROM s, range(-5, 70) a(x), range(-5, 60) b(z)),
+@query("ag21_line_raster", """WITH s AS (SELECT shape_order, x0 + 0.3 AS x1, z0 + 0.2 AS z1, x1 + 0.6 AS x2, z1 + 0.9 AS z2, range(x0 - 4, x1 + 5) AS xs, range(z0 - 4, z1 + 5) AS zs FROM {selection_shapes}), c AS (SELECT * EXCLUDE (zs), unnest(zs) AS z FROM (SELECT * EXCLUDE (xs), unnest(xs) AS x FROM s)),
     t AS (SELECT *, least(greatest(((x + 0.5 - x1) * (x2 - x1) + (z + 0.5 - z1) * (z2 - z1)) / ((x2 - x1) ** 2 + (z2 - z1) ** 2), 0), 1) AS t FROM c), d AS (SELECT *, sqrt((x + 0.5 - x1 - t * (x2 - x1)) ** 2 + (z + 0.5 - z1 - t * (z2 - z1)) ** 2) AS d FROM t)
     SELECT shape_order, CAST(x AS INTEGER) AS x, CAST(z AS INTEGER) AS z, round(d, 5) AS d FROM d WHERE d <= 2.2""")
 def line_raster(read):
@@ -128,7 +128,7 @@ def components(read):
     return connected_components(edges)
 
 
-@query("ag25_distance_transform", f"WITH {_CELLS}, c AS (SELECT shape_order, x, z FROM cells), o AS (SELECT a, b FROM range(-14, 15) p(a), range(-14, 15) q(b)) SELECT c.shape_order, CAST(c.x AS INTEGER) AS x, CAST(c.z AS INTEGER) AS z, round(min(sqrt(a * a + b * b)), 5) AS d FROM c, o WHERE NOT EXISTS (SELECT 1 FROM c k WHERE k.shape_order = c.shape_order AND k.x = c.x + a AND k.z = c.z + b) GROUP BY 1, 2, 3")
+@query("ag25_distance_transform", f"WITH {_CELLS}, c AS (SELECT shape_order, x, z FROM cells), o AS (SELECT a, b FROM range(-5, 6) p(a), range(-5, 6) q(b)) SELECT c.shape_order, CAST(c.x AS INTEGER) AS x, CAST(c.z AS INTEGER) AS z, round(min(sqrt(a * a + b * b)), 5) AS d FROM c, o WHERE NOT EXISTS (SELECT 1 FROM c k WHERE k.shape_order = c.shape_order AND k.x = c.x + a AND k.z = c.z + b) GROUP BY 1, 2, 3")
 def distances(read):
     """AG-25: distance of each cell to the outside of its body."""
     return areas.distance_to_outside(shape_cells(read), "shape_order").withColumn("d", F.round("d", 5))

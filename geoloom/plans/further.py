@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import regions
+from geoloom.operators import areas, regions
 from geoloom.operators.spatial import points_in_polygons, square_edges
 from geoloom.plans.elements import SEGMENTS
 from geoloom.plans.register import query
@@ -125,14 +125,14 @@ def name_lookup(read):
     return read("named_features").select(F.col("feature_id").alias("asked"), "name").join(p, "name").groupBy("asked").agg(F.min_by("place_id", F.struct(F.col("place_id") % 4, F.col("place_id"))).alias("found"))
 
 
-@query("jn51_nearest_selected_cell", """WITH s AS (SELECT z0 AS "row", x0 AS a, x1 AS b FROM {selection_shapes}), p AS (SELECT place_id, place_id % 50 AS px, place_id % 37 AS pz FROM {places}), d AS (SELECT place_id, "row", least(greatest(px, a), b) AS col, (least(greatest(px, a), b) - px) ** 2 + ("row" - pz) ** 2 AS d FROM p, s)
+@query("jn51_nearest_selected_cell", """WITH s AS (SELECT z0 AS "row", x0 AS a, x1 AS b FROM {selection_shapes}), p AS (SELECT place_id, place_id * 17 % 480 AS px, CAST(floor(place_id / 150.0) * 50 + place_id * 13 % 70 AS BIGINT) AS pz FROM {places}), d AS (SELECT place_id, "row", least(greatest(px, a), b) AS col, (least(greatest(px, a), b) - px) ** 2 + ("row" - pz) ** 2 AS d FROM p, s)
     SELECT place_id, min_by("row", (d, "row", col)) AS "row", min_by(col, (d, "row", col)) AS col FROM d GROUP BY place_id""")
 def nearest_cell(read):
-    """JN-51: the nearest selected cell; the runs of a selection are few and ride along as one array."""
-    runs = read("selection_shapes").agg(F.collect_list(F.struct(F.col("z0").alias("row"), F.col("x0").alias("a"), F.col("x1").alias("b"))).alias("runs"), F.lit(1).alias("_k"))
-    p = read("places").select("place_id", (F.col("place_id") % 50).alias("px"), (F.col("place_id") % 37).alias("pz"), F.lit(1).alias("_k")).join(F.broadcast(runs), "_k")
-    each = F.transform("runs", lambda u: F.struct((F.pow(F.least(F.greatest(F.col("px"), u["a"]), u["b"]) - F.col("px"), 2) + F.pow(u["row"] - F.col("pz"), 2)).alias("d"), u["row"].alias("row"), F.least(F.greatest(F.col("px"), u["a"]), u["b"]).alias("col")))
-    return p.withColumn("best", F.array_min(each)).select("place_id", "best.row", "best.col")
+    """JN-51: the nearest selected cell of every place."""
+    k = F.col("place_id")
+    runs = read("selection_shapes").select(F.col("z0").alias("row"), F.col("x0").alias("start"), F.col("x1").alias("end"))
+    p = read("places").select("place_id", (k * 17 % 480).alias("x"), (F.floor(k / 150) * 50 + k * 13 % 70).alias("z"))
+    return areas.nearest_cell(p, runs, "place_id")
 
 
 @query("jn52_legend_colours", """WITH n AS (SELECT CAST(floor(r / 8.0) AS BIGINT) AS tile, class AS colour, count(*) AS n FROM {grid_class} GROUP BY 1, 2), k AS (SELECT tile, colour FROM n WHERE n >= 30 AND colour > 0) SELECT n.tile, n.colour, min_by(k.colour, (abs(k.colour - n.colour), k.colour)) AS class FROM n JOIN k ON k.tile = n.tile AND abs(k.colour - n.colour) <= 2 WHERE n.colour > 0 GROUP BY 1, 2""")
@@ -261,16 +261,17 @@ def oriented(read):
     return b.select("way_id", F.round("bearing", 3).alias("bearing"), F.round("half_length", 3).alias("half_length"), F.round("half_width", 3).alias("half_width"))
 
 
-_SHAPES = "cells AS (SELECT shape_order, x, z FROM {selection_shapes}, range(0, 60) a(x), range(0, 50) b(z) WHERE x >= x0 AND x < x1 AND z >= z0 AND z < z1)"
+_SHAPES = "cells AS (SELECT shape_order, x, unnest(range(z0, z1)) AS z FROM (SELECT *, unnest(range(x0, x1)) AS x FROM {selection_shapes}))"
 
 
-@query("ag31_best_entry", f"""WITH {_SHAPES}, e AS (SELECT DISTINCT c.shape_order, c.x, c.z FROM cells c, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(a, b) WHERE NOT EXISTS (SELECT 1 FROM cells k WHERE k.shape_order = c.shape_order AND k.x = c.x + a AND k.z = c.z + b)), r AS (SELECT x, z FROM range(-5, 70) a(x), range(-5, 60) b(z) WHERE (x + 2 * z) % 11 = 0 AND x >= 0 AND z >= 0)
-    SELECT e.shape_order, CAST(min_by(e.x, ((e.x - r.x) ** 2 + (e.z - r.z) ** 2, e.x, e.z)) AS INTEGER) AS x, CAST(min_by(e.z, ((e.x - r.x) ** 2 + (e.z - r.z) ** 2, e.x, e.z)) AS INTEGER) AS z, CAST(min((e.x - r.x) ** 2 + (e.z - r.z) ** 2) AS INTEGER) AS d2 FROM e JOIN r ON abs(e.x - r.x) <= 4 AND abs(e.z - r.z) <= 4 GROUP BY 1""")
+@query("ag31_best_entry", f"""WITH {_SHAPES}, e AS (SELECT DISTINCT c.shape_order, c.x, c.z FROM cells c, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(a, b) WHERE NOT EXISTS (SELECT 1 FROM cells k WHERE k.shape_order = c.shape_order AND k.x = c.x + a AND k.z = c.z + b)), r AS (SELECT DISTINCT x, z FROM (SELECT x, unnest(range(z0 - 4, z1 + 5)) AS z FROM (SELECT *, unnest(range(x0 - 4, x1 + 5)) AS x FROM {{selection_shapes}})) WHERE (x + 2 * z) % 11 = 0 AND x >= 0 AND z >= 0),
+    n AS (SELECT e.*, e.x + a AS rx, e.z + b AS rz FROM e, range(-4, 5) p(a), range(-4, 5) q(b)), m AS (SELECT n.*, (n.x - rx) ** 2 + (n.z - rz) ** 2 AS d2 FROM n JOIN r ON r.x = rx AND r.z = rz)
+    SELECT shape_order, CAST(min_by(x, (d2, x, z)) AS INTEGER) AS x, CAST(min_by(z, (d2, x, z)) AS INTEGER) AS z, CAST(min(d2) AS INTEGER) AS d2 FROM m GROUP BY 1""")
 def entries(read):
     """AG-31: the edge cell of each body nearest to a road."""
     from geoloom.plans.areas import shape_cells
 
     cells = shape_cells(read)
-    xs = read("selection_shapes").select(F.explode(F.sequence(F.lit(0), F.lit(69))).alias("x")).distinct()
-    roads = xs.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(59)))).where((F.col("x") + 2 * F.col("z")) % 11 == 0)
+    around = read("selection_shapes").select(F.explode(F.sequence(F.col("x0") - 4, F.col("x1") + 4)).alias("x"), "z0", "z1").select("x", F.explode(F.sequence(F.col("z0") - 4, F.col("z1") + 4)).alias("z"))
+    roads = around.where("(x + 2 * z) % 11 = 0 and x >= 0 and z >= 0").distinct()
     return regions.best_entry(cells, roads, "shape_order")

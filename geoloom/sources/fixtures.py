@@ -53,8 +53,9 @@ SQL: dict[str, str] = {
     "surveys": """SELECT CAST(o_orderkey AS BIGINT) AS survey_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE floor(CAST(o_totalprice AS DOUBLE) / 1000.0) END AS stated_max, CASE WHEN o_orderstatus = 'P' THEN 'x' END AS flag FROM {orders}""",
     "readings": """SELECT CAST(l_orderkey AS BIGINT) AS survey_id, CAST(l_orderkey AS BIGINT) * 16 + l_linenumber AS reading_id, CAST(max(l_quantity) AS DOUBLE) - 5 AS thickness FROM {lineitem} GROUP BY 1, 2""",
     "road_records": "SELECT CAST(l_orderkey AS BIGINT) AS link, CAST(l_linenumber AS INT) AS part, CAST(l_linenumber % 4 AS INT) AS lanes, CAST(l_quantity AS DOUBLE) AS width FROM {lineitem}",
-    "selection_shapes": """SELECT CAST(n_nationkey AS INT) AS shape_order, n_nationkey % 3 = 0 AS subtract, CAST(n_nationkey * 7 % 40 AS INT) AS x0, CAST(n_nationkey * 11 % 30 AS INT) AS z0,
-        CAST(n_nationkey * 7 % 40 + 4 + n_nationkey % 9 AS INT) AS x1, CAST(n_nationkey * 11 % 30 + 3 + n_nationkey % 7 AS INT) AS z1 FROM {nation}""",
+    "selection_shapes": """SELECT k AS shape_order, k % 3 = 0 AS subtract, CAST(k * 7 % 40 + block % 8 * 60 AS INT) AS x0, CAST(k * 11 % 30 + floor(k / 200.0) * 50 AS INT) AS z0,
+        CAST(k * 7 % 40 + block % 8 * 60 + 4 + k % 9 AS INT) AS x1, CAST(k * 11 % 30 + floor(k / 200.0) * 50 + 3 + k % 7 AS INT) AS z1
+        FROM (SELECT CAST(p_partkey AS INT) AS k, CAST(floor(CAST(p_partkey AS INT) / 25.0) AS INT) AS block FROM {part}) t""",
     "files": "SELECT concat(source, '_', lang, '_', CAST(doc_id AS STRING)) AS path, CAST(n_chars AS BIGINT) AS size FROM {documents}",
     "data_sources": "SELECT DISTINCT source AS prefix FROM {documents} UNION ALL SELECT DISTINCT concat(source, '_fr') FROM {documents} WHERE lang = 'fr'",
     "lakes": f"""SELECT CAST(s_suppkey AS BIGINT) AS lake_id, {_base("s_suppkey")}, (200 + CAST(s_suppkey AS BIGINT) % 400) * 45 AS half_lat, (200 + CAST(s_suppkey AS BIGINT) % 400) * 90 AS half_lon FROM {{supplier}}""",
