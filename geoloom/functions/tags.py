@@ -283,3 +283,75 @@ def rock(text: Column) -> Column:
     last = F.try_element_at(adjectives, F.lit(-1))["rock"]
     mafic = F.exists(adjectives, lambda h: h["rock"] == "MAFIC")
     return F.coalesce(F.get(nouns, F.lit(0))["rock"], F.when((last == "VOLCANIC") & mafic, "BASALT").otherwise(last), F.when(F.size(hits) > 0, "LOOSE"))
+
+
+# Tags of street furniture in the order in which they are tried, stems of tree genera, and values of fences and walls.
+FURNITURE = [
+    ("natural", "tree", "TREE"), ("natural", "shrub", "BUSH"), ("highway", "street_lamp", "LAMP"), ("highway", "traffic_signals", "TRAFFIC_SIGNAL"), ("highway", "crossing", "CROSSING"), ("highway", "bus_stop", "BUS_STOP"), ("amenity", "bench", "BENCH"),
+    ("amenity", "fountain", "FOUNTAIN"), ("amenity", "waste_basket", "WASTE_BASKET"), ("amenity", "shelter", "SHELTER"), ("power", "tower", "POWER_TOWER"), ("power", "pole", "POWER_POLE"), ("man_made", "flagpole", "FLAGPOLE"), ("man_made", "mast", "MAST"),
+    ("man_made", "tower", "MAST"), ("man_made", "communications_tower", "MAST"), ("man_made", "lighthouse", "LIGHTHOUSE"), ("barrier", "bollard", "BOLLARD"), ("historic", "wayside_cross", "CROSS"), ("cemetery", "grave", "CROSS"),
+]
+TREES = {
+    "SPRUCE": "picea abies pseudotsuga larix thuja cupressus juniperus taxus", "PINE": "pinus cedrus sequoia araucaria", "POPLAR": "populus", "BIRCH": "betula salix alnus", "CHERRY": "prunus malus magnolia",
+    "OAK": "quercus fagus acer tilia ulmus fraxinus aesculus platanus carpinus juglans", "PALM": "phoenix cocos washingtonia arecaceae palm", "JUNGLE": "eucalyptus ficus", "ACACIA": "acacia",
+}
+METAL_FENCES, WOODEN_FENCES = ["chain_link", "railing", "metal_bars", "wire", "barbed_wire"], ["wood", "split_rail", "pole"]
+# What makes a building a monument without rooms, or open below.
+MONUMENTS = ["ruins", "archaeological_site", "monument", "memorial", "tomb", "pyramid", "city_gate", "citywalls", "wayside_shrine"]
+SOLID_TYPES = ["wall", "city_wall", "pyramid", "sphinx", "monument", "triumphal_arch", "ruins", "stupa", "tomb", "mausoleum", "obelisk"]
+OPEN_TYPES = ["tower", "bridge", "roof", "shelter", "carport", "triumphal_arch", "monument", "gate", "city_gate", "pagoda", "stadium", "grandstand", "transformer_tower", "water_tower", "mast", "communications_tower", "canopy"]
+MINARET_NAMES = ["مئذنة", "منارة", "minaret"]
+
+
+def _any(*tests: Column) -> Column:
+    """Whether one of the tests holds; null tests don't."""
+    return F.greatest(*[F.coalesce(t, F.lit(False)) for t in tests]) if len(tests) > 1 else F.coalesce(tests[0], F.lit(False))
+
+
+def furniture(tag: Tag) -> Column:
+    """Kind of street furniture or plant that a node's tags name, null for none."""
+    return F.coalesce(*[F.when(tag(key) == value, kind) for key, value, kind in FURNITURE])
+
+
+def tree_species(tag: Tag) -> Column:
+    """Kind of tree by its genus (else species), then by its leaves; AUTO for neither."""
+    name = F.lower(F.coalesce(tag("genus"), tag("species")))
+    by_name = F.coalesce(*[F.when(name.rlike(f"^({stems.replace(' ', '|')})"), kind) for kind, stems in TREES.items()])
+    return F.coalesce(by_name, F.when(tag("leaf_type") == "needleleaved", "SPRUCE").when(tag("leaf_type") == "broadleaved", "OAK"), F.lit("AUTO"))
+
+
+def fence_material(tag: Tag) -> Column:
+    material, kind = tag("material"), tag("fence_type")
+    metal = _any(kind.isin(METAL_FENCES), material.isin("metal", "steel"))
+    return F.when(metal, "METAL").when(material.isin("concrete", "stone"), "STONE").when(_any(material == "wood", kind.isin(WOODEN_FENCES)), "WOOD").otherwise("METAL")
+
+
+def wall_material(tag: Tag) -> Column:
+    material, kind = tag("material"), tag("wall")
+    return F.when(_any(material == "brick", kind == "brick"), "BRICK").when(_any(material == "concrete", kind.isin("concrete", "noise_barrier")), "CONCRETE").otherwise("STONE")
+
+
+def is_domed(tag: Tag) -> Column:
+    """Whether a building has a dome: by its roof if that is tagged, else by its other tags."""
+    worship = (tag("amenity") == "place_of_worship") & tag("religion").isin("sikh", "muslim")
+    other = _any(tag("dome") == "yes", tag("man_made").isin("dome", "observatory"), tag("building").isin("dome", "gurdwara", "mosque"), tag("building:part") == "dome", worship, tag("amenity") == "planetarium")
+    return F.when(tag("roof:shape").isNotNull(), tag("roof:shape").isin("dome", "onion")).otherwise(other)
+
+
+def is_minaret(tag: Tag) -> Column:
+    named = (tag("man_made") == "tower") & F.lower(tag("name")).rlike("|".join(MINARET_NAMES))
+    return _any(*[tag(key) == "minaret" for key in ("man_made", "tower:type", "building", "building:part")], named)
+
+
+def is_shrine(tag: Tag) -> Column:
+    return _any(tag("building").isin("religious", "shrine"))
+
+
+def is_solid_monument(tag: Tag) -> Column:
+    """Whether there are no rooms behind the walls."""
+    return _any(tag("historic").isin(MONUMENTS), tag("building").isin(SOLID_TYPES))
+
+
+def is_enclosed(building: Column) -> Column:
+    """Whether a building of this type is closed below its upper parts; null counts as closed."""
+    return ~_any(building.isin(OPEN_TYPES))

@@ -64,9 +64,10 @@ def stretch_in_box(points: DataFrame, line: str, order: str, south: float, west:
     return cut.groupBy(line).agg(F.min(F.col("before") + F.col("t0") * F.col("metres")).alias("enter"), F.max(F.col("before") + F.col("t1") * F.col("metres")).alias("leave"))
 
 
-def side_by_side(points: DataFrame, layers: DataFrame, reach: float = 12.0, degrees: float = 25.842) -> DataFrame:
-    """Pairs of different ways of one layer that run side by side somewhere (samples at three places)."""
-    samples = line_samples(points, "way_id", "seq", F.lit(3), F.col("total") * (F.col("i") + 1) / (F.col("n") + 1))
+def side_by_side(points: DataFrame, layers: DataFrame, reach: float = 12.0, degrees: float = 25.842, step: float = 6.0) -> DataFrame:
+    """Pairs of different ways of one layer that run side by side somewhere: samples every `step` metres, the first at 2 m or half way."""
+    begin = F.least(F.lit(2.0), F.col("total") / 2)
+    samples = line_samples(points, "way_id", "seq", F.floor((F.col("total") - begin) / step) + 1, begin + F.col("i") * step)
     hits = sample_hits(samples, points.withColumnRenamed("way_id", "seg_id"), reach, degrees).where("way_id <> seg_id")
     a, b = layers.select("way_id", F.col("layer").alias("la")), layers.select(F.col("way_id").alias("seg_id"), F.col("layer").alias("lb"))
     return hits.select("way_id", "seg_id").distinct().join(a, "way_id").join(b, "seg_id").where("la = lb").select("way_id", "seg_id")

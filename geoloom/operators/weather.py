@@ -84,3 +84,17 @@ def synthetic_year(mean: Column, coldest_quarter: Column, south: Column) -> Colu
     """Twelve monthly temperatures from the mean and the coldest quarter; the swing is (mean - coldest) / 0.911."""
     swing = (mean - coldest_quarter) / 0.911
     return F.transform(F.sequence(F.lit(0), F.lit(11)), lambda m: mean - swing * F.cos((m - F.when(south, F.lit(6)).otherwise(F.lit(0))) * 3.141592653589793 / 6))
+
+
+def nearest_grid_cell(points: DataFrame, cells: DataFrame, key: str, bucket_e7: int = 100_000) -> DataFrame:
+    """`(key, cell_id, value)`: the cell `(cell_id, lat_e7, lon_e7, value)` nearest to each point among the 3 x 3 buckets round it.
+
+    Points without a cell so near get no row; ties go to the smaller cell_id.
+    """
+    own = points.select(key, F.col("lat_e7").alias("_y"), F.col("lon_e7").alias("_x"), F.floor(F.col("lat_e7") / bucket_e7).alias("_by"), F.floor(F.col("lon_e7") / bucket_e7).alias("_bx"))
+    for axis in ("_by", "_bx"):
+        own = own.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
+    filed = cells.withColumns({"_by": F.floor(F.col("lat_e7") / bucket_e7), "_bx": F.floor(F.col("lon_e7") / bucket_e7)})
+    dy, dx = F.col("lat_e7") - F.col("_y"), (F.col("lon_e7") - F.col("_x")) * F.cos(F.radians(F.col("_y") / 1e7))
+    best = own.join(filed, ["_by", "_bx"]).groupBy(key).agg(F.min(F.struct(F.round(dy * dy + dx * dx, 2).alias("d2"), "cell_id", "value")).alias("best"))
+    return best.select(key, "best.cell_id", "best.value")

@@ -179,3 +179,48 @@ _RANK = "CASE {z} WHEN 'ICE_CAP' THEN 0 WHEN 'TUNDRA' THEN 1 WHEN 'ALPINE' THEN
 def zones(read):
     """SC-51: climate zone by class, temperature, height and rain."""
     return read("climates").select("id", physics.climate_zone(F.col("kg"), F.col("t"), F.col("elev"), F.col("lat"), F.col("rain"), F.col("dz")).alias("zone"))
+
+
+_SITE = {
+    "natural": (["tree", "shrub", "water"], 3, 7), "highway": (["street_lamp", "traffic_signals", "crossing", "bus_stop", "primary"], 7, 8), "amenity": (["bench", "fountain", "waste_basket", "shelter", "place_of_worship", "planetarium"], 11, 7), "power": (["tower", "pole", "line"], 13, 8),
+    "man_made": (["flagpole", "mast", "tower", "communications_tower", "lighthouse", "dome", "observatory", "minaret"], 17, 5), "barrier": (["bollard", "fence"], 19, 7), "historic": ([*tags.MONUMENTS, "wayside_cross", "castle"], 23, 16), "cemetery": (["grave", "sector"], 29, 9),
+    "genus": (["Quercus", "picea", "Pinus", "populus", "Betula", "prunus", "phoenix", "Ficus", "acacia", "Rosa"], 31, 7), "species": (["Tilia cordata", "Larix decidua"], 37, 3), "leaf_type": (["needleleaved", "broadleaved"], 41, 3),
+    "material": (["metal", "steel", "concrete", "stone", "wood", "brick"], 43, 5), "fence_type": (["chain_link", "wire", "wood", "split_rail", "hedge"], 47, 4), "wall": (["brick", "noise_barrier", "dry_stone"], 53, 4),
+    "building": ([*tags.SOLID_TYPES, "gurdwara", "mosque", "shrine", "religious", "house", "tower", "carport", "minaret"], 59, 10), "building:part": (["dome", "yes", "minaret"], 61, 14), "roof:shape": (["dome", "onion", "flat"], 67, 10), "dome": (["yes", "no"], 71, 9),
+    "religion": (["sikh", "muslim", "christian"], 73, 2), "tower:type": (["minaret", "bell_tower"], 79, 9), "name": (["Old Minaret", "منارة قديمة", "Tower"], 83, 2),
+}
+fixtures.SQL["site_tags"] = "SELECT id, " + ", ".join(f"{_cycle(*spec)} AS {key.replace(':', '_')}" for key, spec in _SITE.items()) + " FROM {buildings}"
+
+
+def _site(key):
+    return F.col(key.replace(":", "_"))
+
+
+@query(
+    "sc44_furniture",
+    """WITH g AS (SELECT *, lower(coalesce(genus, species)) AS g FROM {site_tags}) SELECT id,
+    CASE WHEN "natural" = 'tree' THEN 'TREE' WHEN "natural" = 'shrub' THEN 'BUSH' WHEN highway IN ('traffic_signals', 'crossing', 'bus_stop') THEN rtrim(upper(highway), 'S')
+      WHEN highway = 'street_lamp' THEN 'LAMP' WHEN amenity IN ('bench', 'fountain', 'waste_basket', 'shelter') THEN upper(amenity) WHEN power IN ('tower', 'pole') THEN 'POWER_' || upper(power) WHEN man_made IN ('flagpole', 'lighthouse') THEN upper(man_made)
+      WHEN man_made IN ('mast', 'tower', 'communications_tower') THEN 'MAST' WHEN barrier = 'bollard' THEN 'BOLLARD' WHEN historic = 'wayside_cross' OR cemetery = 'grave' THEN 'CROSS' END AS kind,
+    CASE WHEN g LIKE 'picea%' OR g LIKE 'larix%' THEN 'SPRUCE' WHEN g LIKE 'pinus%' THEN 'PINE' WHEN g LIKE 'populus%' THEN 'POPLAR' WHEN g LIKE 'betula%' THEN 'BIRCH' WHEN g LIKE 'prunus%' THEN 'CHERRY' WHEN g LIKE 'quercus%' OR g LIKE 'tilia%' THEN 'OAK'
+      WHEN g LIKE 'phoenix%' THEN 'PALM' WHEN g LIKE 'ficus%' THEN 'JUNGLE' WHEN g LIKE 'acacia%' THEN 'ACACIA' WHEN leaf_type = 'needleleaved' THEN 'SPRUCE' WHEN leaf_type = 'broadleaved' THEN 'OAK' ELSE 'AUTO' END AS species,
+    CASE WHEN fence_type IN ('chain_link', 'wire') OR material IN ('metal', 'steel') THEN 'METAL' WHEN material IN ('concrete', 'stone') THEN 'STONE' WHEN material = 'wood' OR fence_type IN ('wood', 'split_rail') THEN 'WOOD' ELSE 'METAL' END AS fence,
+    CASE WHEN material = 'brick' OR wall = 'brick' THEN 'BRICK' WHEN material = 'concrete' OR wall = 'noise_barrier' THEN 'CONCRETE' ELSE 'STONE' END AS built FROM g""",
+)
+def furniture(read):
+    """SC-44: furniture and plants, kinds of trees, materials of fences and walls."""
+    t = read("site_tags")
+    return t.select("id", tags.furniture(_site).alias("kind"), tags.tree_species(_site).alias("species"), tags.fence_material(_site).alias("fence"), tags.wall_material(_site).alias("built"))
+
+
+@query(
+    "sc66_building_traits",
+    """SELECT id, CASE WHEN roof_shape IS NOT NULL THEN roof_shape <> 'flat' ELSE coalesce(dome = 'yes' OR man_made IN ('dome', 'observatory') OR building IN ('gurdwara', 'mosque') OR building_part = 'dome' OR amenity = 'planetarium' OR (amenity = 'place_of_worship' AND religion <> 'christian'), false) END AS domed,
+    coalesce('minaret' IN (man_made, tower_type, building, building_part) OR (man_made = 'tower' AND name <> 'Tower'), false) AS minaret, coalesce(building IN ('religious', 'shrine'), false) AS shrine,
+    coalesce(historic NOT IN ('wayside_cross', 'castle'), false) OR coalesce(building NOT IN ('gurdwara', 'mosque', 'shrine', 'religious', 'house', 'tower', 'carport', 'minaret'), false) AS solid,
+    coalesce(building NOT IN ('tower', 'carport', 'triumphal_arch', 'monument'), true) AS enclosed FROM {site_tags}""",
+)
+def traits(read):
+    """SC-66: domes, minarets, shrines, solid monuments and what is closed below."""
+    t = read("site_tags")
+    return t.select("id", tags.is_domed(_site).alias("domed"), tags.is_minaret(_site).alias("minaret"), tags.is_shrine(_site).alias("shrine"), tags.is_solid_monument(_site).alias("solid"), tags.is_enclosed(F.col("building")).alias("enclosed"))

@@ -124,3 +124,12 @@ def synthetic(read):
     """SC-69: twelve months from a mean and a coldest quarter."""
     s = F.col("size").cast("double")
     return read("buildings").select("id", F.posexplode(weather.synthetic_year(s - 10, s - 22, F.col("id") % 2 == 0)).alias("month", "t")).select("id", F.col("month").cast("bigint").alias("month"), F.round("t", 5).alias("temp"))
+
+
+@query("jn34_nearest_grid_cell", """WITH c AS (SELECT id AS cell_id, lat_e7 + 37000 AS y, lon_e7 + 21000 AS x, size AS value FROM {buildings}), p AS (SELECT place_id, lat_e7 AS py, lon_e7 AS px, CAST(floor(lat_e7 / 100000.0) AS BIGINT) + a AS cy, CAST(floor(lon_e7 / 100000.0) AS BIGINT) + b AS cx FROM {places}, range(-1, 2) u(a), range(-1, 2) v(b)),
+    m AS (SELECT place_id, cell_id, value, round(CAST(y - py AS DOUBLE) ** 2 + ((x - px) * cos(radians(py / 1e7))) ** 2, 2) AS d2 FROM p JOIN c ON CAST(floor(y / 100000.0) AS BIGINT) = cy AND CAST(floor(x / 100000.0) AS BIGINT) = cx)
+    SELECT place_id, min_by(cell_id, (d2, cell_id)) AS cell_id, min_by(value, (d2, cell_id)) AS value FROM m GROUP BY place_id""")
+def grid_cell(read):
+    """JN-34: the nearest cell of a grid of points."""
+    cells = read("buildings").select(F.col("id").alias("cell_id"), (F.col("lat_e7") + 37_000).alias("lat_e7"), (F.col("lon_e7") + 21_000).alias("lon_e7"), F.col("size").alias("value"))
+    return weather.nearest_grid_cell(read("places"), cells, "place_id")

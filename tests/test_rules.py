@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry, text
-from geoloom.operators import areas, lines
+from geoloom.operators import areas, lines, regions, weather
 from geoloom.operators.components import connected_components
 from geoloom.streaming import observations
 
@@ -156,3 +156,24 @@ def test_cell_store_round_trip(spark, tmp_path):
     store = spark.read.parquet(str(tmp_path / "store"))
     assert store.count() == 3
     assert [r.way_id for r in osm.read_cells(store, "way_id", 600000000, 50000000, 602000000, 51000000).collect()] == [1]
+
+
+def test_ways_side_by_side_on_a_short_stretch(spark):
+    """A stretch of 40 m in a kilometre is found, a crossing and another layer aren't."""
+    lon = lambda metres: 50_000_000 + int(metres / (111_320 * 0.5) * 1e7)
+    lat = lambda metres: 600_000_000 + int(metres / 111_320 * 1e7)
+    lines = {1: [(0, 0), (1000, 0)], 2: [(300, 400), (310, 8), (350, 8), (360, 400)], 3: [(700, -200), (700, 200)], 4: [(100, 5), (200, 5)]}
+    points = spark.createDataFrame([(way, k, lat(z), lon(x)) for way, line in lines.items() for k, (x, z) in enumerate(line)], "way_id long, seq long, lat_e7 long, lon_e7 long")
+    layers = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1)], "way_id long, layer int")
+    assert {tuple(r) for r in regions.side_by_side(points, layers).collect()} == {(1, 2), (2, 1)}
+
+
+def test_nearest_grid_cell_and_nearest_selected_cell(spark):
+    points = spark.createDataFrame([(1, 0, 0), (2, -250_000, 999), (3, None, 5), (4, 5_000_000, 0)], "k long, lat_e7 long, lon_e7 long")
+    cells = spark.createDataFrame([(7, -60_000, -90_000, 1.5), (8, 60_000, 90_000, 2.5), (9, -300_000, 0, None)], "cell_id long, lat_e7 long, lon_e7 long, value double")
+    assert {tuple(r) for r in weather.nearest_grid_cell(points, cells, "k").collect()} == {(1, 7, 1.5), (2, 9, None)}
+    asked = spark.createDataFrame([(1, 0, 0), (2, -3000, 40), (3, 2, 5), (4, None, 1)], "k long, x long, z long")
+    runs = spark.createDataFrame([(0, 10, 20), (0, -10, -10), (5, 0, 3), (5, 2, 4)], "row long, start long, end long")
+    found = {tuple(r) for r in areas.nearest_cell(asked, runs, "k", block=4).collect()}
+    assert found == {(1, 5, 0), (2, 0, -10), (3, 5, 2)}
+    assert areas.nearest_cell(asked, runs.limit(0), "k").count() == 0
