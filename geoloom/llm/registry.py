@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontamination, fixity, langid, licences, packing, passages, quality, sharding, simhash, toxicity
+from geoloom.llm import decontamination, fixity, langid, licences, packing, passages, pieces, quality, sharding, simhash, toxicity, variants, whitening
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_merkle_fixity": fixity.op9_merkle_fixity,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_feast_whitening": whitening.op11_feast_whitening,
+        "op12_spelling_variants": variants.op12_spelling_variants,
+        "op13_sentencepiece": pieces.op13_sentencepiece,
     }
 
 
@@ -26,4 +29,5 @@ def oracle_sql():
         "op6_rendezvous_sharding": sharding.OP6_SQL,
         "op7_licence_scan": licences.OP7_SQL,
         "op9_merkle_fixity": fixity.OP9_SQL,
+        "op12_spelling_variants": variants.OP12_SQL,
     }
