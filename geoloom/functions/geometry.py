@@ -45,9 +45,11 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
 
 
 def box_distance_metres(lat: Column, lon: Column, south: Column, west: Column, north: Column, east: Column) -> Column:
-    """Metres from a point to a box, 0 inside."""
+    """Metres from a point to a box, 0 inside; the shorter way round the globe. A west beyond the east is across the 180th meridian."""
     dy = F.greatest(south - lat, lat - north, F.lit(0.0)) * METRES_PER_DEGREE
-    dx = F.greatest(west - lon, lon - east, F.lit(0.0)) * METRES_PER_DEGREE * F.cos(F.radians(lat))
+    over = F.when(west > east, east + 360).otherwise(east)
+    apart = F.least(*[F.greatest(west - lon - turn, lon + turn - over, F.lit(0.0)) for turn in (-360, 0, 360)])
+    dx = apart * METRES_PER_DEGREE * F.cos(F.radians(lat))
     return F.sqrt(dx * dx + dy * dy)
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.functions.geometry import METRES_PER_DEGREE, axial_difference, box_distance_metres, segment_place
-from geoloom.operators.osm import segments
-from geoloom.operators.spatial import metres_e7, near_pairs, nearest, points_in_polygons, square_edges, with_boxes_near
+from geoloom.functions.geometry import METRES_PER_DEGREE, box_distance_metres
+from geoloom.operators import linear
+from geoloom.operators.spatial import metres_e7, near_pairs, nearest, points_in_polygons, square_edges, turned, with_boxes_near
 
 
 def heights_by_id_or_place(buildings: DataFrame, points: DataFrame, reach: float = 20.0) -> DataFrame:
@@ -70,7 +70,7 @@ def missing_buildings(buildings: DataFrame, others: DataFrame, pad: float = 2.0)
     mapped = buildings.select(F.col("lat_e7").alias("m_lat"), F.col("lon_e7").alias("m_lon"), F.col("half_lat").alias("m_hy"), F.col("half_lon").alias("m_hx"), *_corners("lat_e7", "lon_e7", "m"))
     pairs = with_boxes_near(wanted.select("*", *_corners("lat_e7", "lon_e7", "o")), mapped, pad, _names("o"), _names("m"))
     gap_y = F.greatest(F.abs(F.col("lat_e7") - F.col("m_lat")) - F.col("half_lat") - F.col("m_hy"), F.lit(0)) / 1e7 * METRES_PER_DEGREE
-    gap_x = F.greatest(F.abs(F.col("lon_e7") - F.col("m_lon")) - F.col("half_lon") - F.col("m_hx"), F.lit(0)) / 1e7 * METRES_PER_DEGREE * F.cos(F.radians(F.col("lat_e7") / 1e7))
+    gap_x = F.greatest(F.abs(turned(F.col("lon_e7") - F.col("m_lon"))) - F.col("half_lon") - F.col("m_hx"), F.lit(0)) / 1e7 * METRES_PER_DEGREE * F.cos(F.radians(F.col("lat_e7") / 1e7))
     touched = pairs.where(F.sqrt(gap_y * gap_y + gap_x * gap_x) <= pad).select("other_id").distinct()
     return wanted.join(touched, "other_id", "left_anti")
 
@@ -93,34 +93,15 @@ def line_samples(points: DataFrame, line: str, order: str, count: F.Column, plac
 
     `count` is a column of the line's metres `total`; `place` one of `i`, `n` and `total` that gives metres along it.
     """
-    seg = segments(points, line, order)
-    totals = seg.groupBy(line).agg(F.sum("metres").alias("total"))
-    wanted = totals.withColumn("n", count.cast("int")).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("along", place)
-    hit = wanted.join(seg, line).where((F.col("along") >= F.col("before")) & (F.col("along") < F.col("before") + F.col("metres")))
-    t = (F.col("along") - F.col("before")) / F.col("metres")
-    lat = F.col("lat_e7") + t * (F.col("lat2_e7") - F.col("lat_e7"))
-    lon = F.col("lon_e7") + t * (F.col("lon2_e7") - F.col("lon_e7"))
-    return hit.select(line, "i", "n", "total", lat.alias("s_lat"), lon.alias("s_lon"), F.pmod(F.degrees(F.atan2("dx", "dy")), F.lit(180.0)).alias("s_bearing"))
+    lines = linear.measured(points, line, order)
+    totals = lines.where("last").select(line, "total")
+    wanted = totals.withColumn("n", count.cast("int")).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("at", place)
+    return linear.points_at(lines, wanted, line).select(line, "i", "n", "total", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.pmod("bearing", F.lit(180.0)).alias("s_bearing"))
 
 
 def sample_hits(samples: DataFrame, lines: DataFrame, reach: float, degrees: float, piece_m: float = 60.0) -> DataFrame:
-    """Each sample with every segment of `lines` (seg_id, seq, lat_e7, lon_e7) within `reach` metres and `degrees`.
-
-    Segments are filed under the cells along them every `piece_m` metres, so long ones are found too. What a sample meets
-    is tested before it is made distinct, so near misses aren't shuffled again.
-    """
-    seg = segments(lines, "seg_id", "seq")
-    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.col("metres") / piece_m).cast("int")), lambda k: k / F.greatest(F.ceil(F.col("metres") / piece_m), F.lit(1)))
-    filed = seg.withColumn("t", F.explode(pieces)).withColumns({"g_lat": F.col("lat_e7") + F.col("t") * (F.col("lat2_e7") - F.col("lat_e7")), "g_lon": F.col("lon_e7") + F.col("t") * (F.col("lon2_e7") - F.col("lon_e7"))})
-    filed = filed.select("seg_id", "seq", "g_lat", "g_lon", "lat_e7", "lon_e7", "dx", "dy", "metres")
-    pairs = near_pairs(samples, filed, reach + piece_m / 2, ("s_lat", "s_lon"), ("g_lat", "g_lon")).drop("g_lat", "g_lon")
-    scale = METRES_PER_DEGREE * F.cos(F.radians(F.col("lat_e7") / 1e7)) / 1e7
-    px, py = (F.col("s_lon") - F.col("lon_e7")) * scale, (F.col("s_lat") - F.col("lat_e7")) / 1e7 * METRES_PER_DEGREE
-    zero = F.lit(0.0)
-    t = segment_place(px, py, zero, zero, F.col("dx"), F.col("dy"))
-    ex, ey = px - t * F.col("dx"), py - t * F.col("dy")
-    turned = axial_difference(F.col("s_bearing"), F.pmod(F.degrees(F.atan2("dx", "dy")), F.lit(180.0)))
-    return pairs.withColumns({"d": F.sqrt(ex * ex + ey * ey), "turn": turned}).where((F.col("d") <= reach) & (F.col("turn") <= degrees)).distinct()
+    """Each sample with every segment of `lines` (seg_id, seq, lat_e7, lon_e7) within `reach` metres and `degrees`, once, with its distance `d`."""
+    return linear.near_segments(samples, linear.measured(lines, "seg_id", "seq"), reach, ("s_lat", "s_lon"), piece_m, "s_bearing", degrees)
 
 
 def road_attributes(points: DataFrame, surveyed: DataFrame, attributes: DataFrame, reach: float = 7.0, degrees: float = 35.0) -> DataFrame:

@@ -54,12 +54,23 @@ def tilt(p: DataFrame, value: str, start: Column, end: Column) -> DataFrame:
     return p.withColumn("tilted", F.col(value) + (start - first) * (1 - share) + (end - last) * share)
 
 
-def deck(p: DataFrame, grade: float) -> DataFrame:
-    """Bridge deck: the straight line between the ends, or what crossing ways below need, ramped."""
+def _straight() -> Column:
+    """The straight line between the grounds at the first and the last position."""
     whole = _along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first, last, n = F.first("ground").over(whole), F.last("ground").over(whole), F.max("i").over(whole)
-    straight = F.when(n == 0, first).otherwise(first + (last - first) * F.col("i") / n)
-    return ramp_up(p.withColumn("_need", F.greatest(straight, F.coalesce("need", straight))), "_need", grade).withColumn("deck", F.col("ramp")).drop("_need", "ramp")
+    return F.when(n == 0, first).otherwise(first + (last - first) * F.col("i") / n)
+
+
+def deck(p: DataFrame, grade: float) -> DataFrame:
+    """Bridge deck: the straight line between the ends, or what crossing ways below need, ramped."""
+    straight = p.withColumn("_line", _straight())
+    return ramp_up(straight.withColumn("_need", F.greatest("_line", F.coalesce("need", "_line"))), "_need", grade).withColumn("deck", F.col("ramp")).drop("_line", "_need", "ramp")
+
+
+def bore(p: DataFrame, grade: float) -> DataFrame:
+    """Tunnel floor: the straight line between the ends, or what crossing ways above leave free, ramped."""
+    straight = p.withColumn("_line", _straight())
+    return ramp_down(straight.withColumn("_cap", F.least("_line", F.coalesce("need", "_line"))), "_cap", grade).withColumn("bore", F.col("cap")).drop("_line", "_cap", "cap")
 
 
 def slope_limited(p: DataFrame, grade: float) -> DataFrame:

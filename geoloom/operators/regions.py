@@ -81,29 +81,6 @@ def point_profile(points: DataFrame, layers: dict[str, DataFrame], keys: list[st
     return out
 
 
-def crossings(points: DataFrame, layers: DataFrame, piece_m: float = 60.0) -> DataFrame:
-    """Where a way crosses one of a lower layer: `(way_id, other_id, along, drop)`, metres along the upper way.
-
-    Segments are filed under the cells along them and meet in neighbouring cells; crossings at the ends don't count.
-    """
-    from geoloom.operators.spatial import near_pairs
-
-    seg = segments(points, "way_id", "seq").join(layers.select("way_id", "layer"), "way_id")
-    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.col("metres") / piece_m).cast("int")), lambda k: k / F.greatest(F.ceil(F.col("metres") / piece_m), F.lit(1)))
-    filed = seg.withColumn("t", F.explode(pieces)).withColumns({"g_lat": F.col("lat_e7") + F.col("t") * (F.col("lat2_e7") - F.col("lat_e7")), "g_lon": F.col("lon_e7") + F.col("t") * (F.col("lon2_e7") - F.col("lon_e7"))})
-    side = lambda p: filed.select(*[F.col(c).alias(f"{p}_{c}") for c in ("way_id", "seq", "layer", "lat_e7", "lon_e7", "lat2_e7", "lon2_e7", "before", "metres", "g_lat", "g_lon")])
-    pairs = near_pairs(side("a"), side("b"), piece_m, ("a_g_lat", "a_g_lon"), ("b_g_lat", "b_g_lon")).where("a_way_id <> b_way_id and a_layer > b_layer")
-    pairs = pairs.drop("a_g_lat", "a_g_lon", "b_g_lat", "b_g_lon")
-    ay, ax, by, bx = (F.col(c).cast("double") for c in ("a_lat_e7", "a_lon_e7", "b_lat_e7", "b_lon_e7"))
-    ry, rx, sy, sx = F.col("a_lat2_e7") - ay, F.col("a_lon2_e7") - ax, F.col("b_lat2_e7") - by, F.col("b_lon2_e7") - bx
-    det = rx * sy - ry * sx
-    safe = F.when(det == 0, F.lit(1.0)).otherwise(det)
-    t, u = ((bx - ax) * sy - (by - ay) * sx) / safe, ((bx - ax) * ry - (by - ay) * rx) / safe
-    met = pairs.withColumns({"det": det, "t": t, "u": u}).where("det <> 0 and t > 0 and t < 1 and u > 0 and u < 1")  # tested first; that a pair meets in several cells doesn't matter below
-    out = met.groupBy(F.col("a_way_id").alias("way_id"), F.col("b_way_id").alias("other_id"))
-    return out.agg(F.min(F.col("a_before") + F.col("t") * F.col("a_metres")).alias("along"), F.max(F.col("a_layer") - F.col("b_layer")).alias("drop"))
-
-
 def oriented_box(points: DataFrame, line: str = "way_id", order: str = "seq") -> DataFrame:
     """Box along the longest segment of each line: bearing (0 to 180), half length and half width in metres."""
     seg = segments(points, line, order)

@@ -47,19 +47,36 @@ def near_pairs(left: DataFrame, right: DataFrame, reach: float, left_at: tuple[s
     return met.select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in right.columns])
 
 
+def _filed(boxes: DataFrame, step_e7: int, south: Column, west: Column, north: Column, east: Column) -> DataFrame:
+    """`boxes` under every cell they touch (`_cy`, `_cx`), the columns counted round the globe; a west beyond the east is across the 180th meridian."""
+    n = 2 * HALF_TURN // step_e7
+    column = lambda x: F.floor((x + HALF_TURN) / (2.0 * HALF_TURN) * n)
+    over = F.when(west > east, east + 2 * HALF_TURN).otherwise(east)
+    rows = boxes.withColumn("_cy", F.explode(F.sequence(F.floor(south / step_e7), F.floor(north / step_e7))))
+    last = F.least(column(over), column(west) + n - 1)
+    return rows.withColumn("_cx", F.explode(F.sequence(column(west), last))).withColumn("_cx", F.pmod(F.col("_cx"), F.lit(n)))
+
+
 def with_boxes_near(left: DataFrame, boxes: DataFrame, reach: float | Column, left_box: tuple[str, str, str, str], box: tuple[str, str, str, str], step_e7: int = 100_000) -> DataFrame:
     """Pairs of boxes (south, west, north, east in 1e-7 degrees; a point is a box of no size) that may come within `reach` metres.
 
     The reach may be a column of `boxes`.
     Both are filed under the cells that they touch, those of `boxes` grown by the reach at their latitude, so boxes of any
-    size are found; a pair meets in each cell that both touch. Boxes don't cross the 180th meridian.
+    size are found; a pair meets in each cell that both touch. Columns run all round the globe: a box may reach beyond
+    +-180 degrees, or have its west beyond its east, and meets what lies on the other side of the meridian.
     """
     pad = reach / METRES_PER_DEGREE * 1e7
     south, west, north, east = (F.col(c) for c in box)
     wide = pad / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs(south), F.abs(north)) + pad, F.lit(9e8)) / 1e7)), F.lit(1e-3))
-    grown = boxes.withColumns({"_s": south - pad, "_w": west - wide, "_n": north + pad, "_e": east + wide})
-    filed = box_cells(grown, step_e7, "_s", "_w", "_n", "_e").drop("_s", "_w", "_n", "_e")
-    return box_cells(left, step_e7, *left_box).join(filed, ["cell_lat", "cell_lon"]).drop("cell_lat", "cell_lon")
+    over = F.when(west > east, east + 2 * HALF_TURN).otherwise(east)
+    grown = boxes.withColumns({"_s": south - pad, "_w": west - wide, "_n": north + pad, "_e": over + wide})
+    filed = _filed(grown, step_e7, *(F.col(c) for c in ("_s", "_w", "_n", "_e"))).drop("_s", "_w", "_n", "_e")
+    return _filed(left, step_e7, *(F.col(c) for c in left_box)).join(filed, ["_cy", "_cx"]).drop("_cy", "_cx")
+
+
+def turned(lon: Column) -> Column:
+    """A difference of longitudes (1e-7 degrees), the shorter way round the globe."""
+    return F.when(lon > HALF_TURN, lon - 2 * HALF_TURN).when(lon < -HALF_TURN, lon + 2 * HALF_TURN).otherwise(lon)
 
 
 def nearest(pairs: DataFrame, left_id: str, distance: str, tie: str) -> DataFrame:

@@ -241,19 +241,6 @@ def shoulders(read):
     return n.select("r", "c", F.round(F.col("h") + (F.col("value") - F.col("h")) * F.least(F.col("d") / 4.0, F.lit(1.0)), 4).alias("height"))
 
 
-@query(
-    "jn42_crossings",
-    f"""WITH {_PRE}, s AS (SELECT p.*, layer FROM pre p JOIN {{ways}} USING (way_id)), c AS (SELECT a.way_id, b.way_id AS other_id, a.before, a.metres, a.layer - b.layer AS d, CAST(a.lat2 - a.lat_e7 AS DOUBLE) AS ry, CAST(a.lon2 - a.lon_e7 AS DOUBLE) AS rx, CAST(b.lat2 - b.lat_e7 AS DOUBLE) AS sy, CAST(b.lon2 - b.lon_e7 AS DOUBLE) AS sx, CAST(b.lat_e7 - a.lat_e7 AS DOUBLE) AS qy, CAST(b.lon_e7 - a.lon_e7 AS DOUBLE) AS qx
-      FROM s a JOIN s b ON a.way_id <> b.way_id AND a.layer > b.layer AND abs(a.lat_e7 - b.lat_e7) < 15000 AND abs(a.lon_e7 - b.lon_e7) < 15000),
-    t AS (SELECT *, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS t, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS u FROM c WHERE rx * sy - ry * sx <> 0)
-    SELECT way_id, other_id, round(min(before + t * metres), 3) AS along, max(d) AS "drop" FROM t WHERE t > 0 AND t < 1 AND u > 0 AND u < 1 GROUP BY 1, 2""",
-)
-def crossed(read):
-    """JN-42: where a way passes over one of a lower layer."""
-    got = regions.crossings(read("way_points").select("way_id", "seq", "lat_e7", "lon_e7"), read("ways").select("way_id", "layer"))
-    return got.withColumn("along", F.round("along", 3))
-
-
 @query("sc22_oriented_boxes")
 def oriented(read):
     """SC-22: box along the longest segment."""

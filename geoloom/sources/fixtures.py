@@ -61,6 +61,18 @@ SQL: dict[str, str] = {
     "lakes": f"""SELECT CAST(s_suppkey AS BIGINT) AS lake_id, {_base("s_suppkey")}, (200 + CAST(s_suppkey AS BIGINT) % 400) * 45 AS half_lat, (200 + CAST(s_suppkey AS BIGINT) % 400) * 90 AS half_lon FROM {{supplier}}""",
     "lake_outlets": "SELECT lake_id AS outlet_id, lat_e7, lon_e7 + half_lon + lake_id % 9 * 500 AS lon_e7, (half_lat * 2 / 90.0) * (half_lon * 2 / 180.0) / 1e6 * (1 + lake_id % 5) AS area_km2, CASE WHEN lake_id % 4 = 0 THEN 0.0 ELSE CAST(lake_id % 60 AS DOUBLE) END AS dmax_m FROM {lakes}",
 }
+_P = "SELECT way_id, max(CASE WHEN seq = 1 THEN lat_e7 END) AS y0, max(CASE WHEN seq = 1 THEN lon_e7 END) AS x0, max(CASE WHEN seq = 2 THEN lat_e7 END) AS y1, max(CASE WHEN seq = 2 THEN lon_e7 END) AS x1 FROM {way_points} GROUP BY way_id HAVING max(seq) >= 2"
+# Ways of three layers: those of `ways`, one across each first segment, one from its start (a shared end) and one 3 m beside it.
+SQL |= {
+    "bridge_points": f"""SELECT way_id, seq, lat_e7, lon_e7, CASE WHEN way_id % 41 = 0 AND seq = 1 THEN NULL ELSE CAST((lat_e7 + lon_e7) % 4700 AS DOUBLE) / 100 END AS z FROM (
+        SELECT way_id * 10 AS way_id, seq, lat_e7, lon_e7 FROM {{way_points}}
+        UNION ALL SELECT way_id * 10 + 1 + CAST(floor(j / 2.0) AS BIGINT), CAST(j % 2 AS BIGINT),
+          CASE j WHEN 0 THEN CAST(floor((y0 + y1) / 2.0) AS BIGINT) - 2000 WHEN 1 THEN CAST(floor((y0 + y1) / 2.0) AS BIGINT) + 2100 WHEN 2 THEN y0 WHEN 3 THEN y1 + 200 WHEN 4 THEN y0 + 250 ELSE y1 + 250 END,
+          CASE j WHEN 0 THEN CAST(floor((x0 + x1) / 2.0) AS BIGINT) + 1500 WHEN 1 THEN CAST(floor((x0 + x1) / 2.0) AS BIGINT) - 1600 WHEN 2 THEN x0 WHEN 3 THEN x1 + 300 WHEN 4 THEN x0 + 150 ELSE x1 + 150 END
+          FROM ({_P}) p CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) v(j) WHERE CASE WHEN j < 2 THEN way_id % 2 = 0 WHEN j < 4 THEN way_id % 3 = 0 ELSE way_id % 5 < 3 END) t""",
+    "bridge_ways": """SELECT way_id, CASE way_id % 10 WHEN 0 THEN CAST(floor(way_id / 10.0) AS INT) % 3 WHEN 1 THEN CAST(floor(way_id / 10.0) AS INT) % 2 * 2 ELSE 1 END AS layer, CAST(2 + way_id % 3 AS DOUBLE) AS half_width,
+        way_id % 7 <> 0 AS carries, CAST(CASE way_id % 4 WHEN 0 THEN 6 WHEN 1 THEN 5 ELSE 3 END AS DOUBLE) AS room FROM (SELECT DISTINCT way_id FROM {bridge_points}) t""",
+}
 SQL["grid"] = "SELECT CAST(vec_id AS BIGINT) AS r, CAST(c AS BIGINT) AS c, CASE WHEN (vec_id * 7 + c * 3) % 11 = 0 THEN NULL ELSE CAST(floor(CAST(e AS DOUBLE) * 1000) AS BIGINT) END AS value FROM (SELECT vec_id, posexplode(embedding) AS (c, e) FROM {embeddings}) t"
 DUCK: dict[str, str] = {
     "grid": SQL["grid"].replace("(SELECT vec_id, posexplode(embedding) AS (c, e) FROM {embeddings})", "(SELECT vec_id, unnest(range(len(embedding))) AS c, unnest(embedding) AS e FROM {embeddings})"),
