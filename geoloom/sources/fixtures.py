@@ -73,6 +73,23 @@ SQL |= {
     "bridge_ways": """SELECT way_id, CASE way_id % 10 WHEN 0 THEN CAST(floor(way_id / 10.0) AS INT) % 3 WHEN 1 THEN CAST(floor(way_id / 10.0) AS INT) % 2 * 2 ELSE 1 END AS layer, CAST(2 + way_id % 3 AS DOUBLE) AS half_width,
         way_id % 7 <> 0 AS carries, CAST(CASE way_id % 4 WHEN 0 THEN 6 WHEN 1 THEN 5 ELSE 3 END AS DOUBLE) AS room FROM (SELECT DISTINCT way_id FROM {bridge_points}) t""",
 }
+# Bores along ways: a first and a second piece that meet (or miss by height, or lack the second), the other tube, one across, one that forks off.
+SQL |= {
+    "bores": """SELECT way_id * 10 + 1 AS bore_id, seq, lat_e7 + 120 AS lat_e7, lon_e7 + 90 AS lon_e7, CAST(10 + seq AS DOUBLE) AS z FROM {way_points} WHERE seq <= 3
+        UNION ALL SELECT way_id * 10 + 2, seq, lat_e7 + 130, lon_e7 + 100, CAST(10 + seq + CASE way_id % 3 WHEN 1 THEN 1 ELSE 5 END AS DOUBLE) FROM {way_points} WHERE seq >= 3 AND way_id % 3 <> 0
+        UNION ALL SELECT way_id * 10 + 3, seq, lat_e7 + 450, lon_e7 + 450, CASE WHEN way_id % 7 = 0 AND seq = 2 THEN NULL ELSE CAST(40 AS DOUBLE) END FROM {way_points} WHERE way_id % 4 <> 2
+        UNION ALL SELECT way_id * 10 + 4, seq, lat_e7 + CASE WHEN way_id % 4 = 0 THEN seq * 900 ELSE 0 END, lon_e7 - CASE WHEN way_id % 4 = 0 THEN 0 ELSE seq * 1500 END, CAST(20 AS DOUBLE) FROM {way_points} WHERE way_id % 2 = 0 AND seq <= 2
+        UNION ALL SELECT way_id * 10 + 5, CAST(seq + 10 AS BIGINT), lat_e7 + 125 + CASE WHEN seq = 4 THEN 400 ELSE 0 END, lon_e7 + 95, CAST(9 + seq AS DOUBLE) FROM {way_points} WHERE way_id % 5 = 0 AND seq BETWEEN 3 AND 4""",
+}
+# Buildings with an axis, and a surface round each: flat, gabled (along or across), hipped or uneven, with noise and holes.
+SQL |= {
+    "axis_buildings": """SELECT id, id * 64.0 + 32.25 AS cy, 32.75 AS cx, CASE id % 3 WHEN 0 THEN 0.6 WHEN 1 THEN 1.0 ELSE 0.8 END AS ay, CASE id % 3 WHEN 0 THEN 0.8 WHEN 1 THEN 0.0 ELSE -0.6 END AS ax,
+        CAST(2 + size % 10 AS DOUBLE) + 0.5 AS half_a, CAST(2 + size % 6 AS DOUBLE) AS half_b, CAST(100 + id % 50 AS DOUBLE) AS base, CASE WHEN id % 11 = 0 THEN 1 ELSE CAST(4 + size % 8 AS BIGINT) END AS eave, CAST(id % 6 AS INT) AS kind FROM {buildings}""",
+    "surface": """SELECT r, c, CASE WHEN (r * 11 + c * 5) % 13 = 0 OR (id % 17 = 0 AND c % 5 <> 0) THEN NULL ELSE base + eave + (r * 7 + c * 3) % 5 / 20.0 + CASE kind WHEN 0 THEN 0.0 WHEN 1 THEN 4.0 * greatest(1 - abs(v) / half_b, 0.0) WHEN 2 THEN 4.0 * greatest(least(1 - abs(v) / half_b, 1.5 - 1.5 * abs(u) / half_a), 0.0)
+          WHEN 3 THEN 5.0 * greatest(1 - abs(u) / half_a, 0.0) WHEN 4 THEN CAST((r * 5 + c * 11) % 7 AS DOUBLE) ELSE 3.0 * CASE WHEN v > 0 THEN 1 ELSE 0 END END END AS value
+        FROM (SELECT *, (r + 0.5 - cy) * ay + (c + 0.5 - cx) * ax AS u, (r + 0.5 - cy) * ax - (c + 0.5 - cx) * ay AS v FROM (SELECT b.*, CAST(floor(cy) AS BIGINT) - 14 + i.k AS r, CAST(floor(cx) AS BIGINT) - 14 + j.k AS c
+          FROM {axis_buildings} b CROSS JOIN (VALUES NUMBERS) i(k) CROSS JOIN (VALUES NUMBERS) j(k)) p) q""".replace("NUMBERS", ", ".join(f"({k})" for k in range(29))),
+}
 SQL["grid"] = "SELECT CAST(vec_id AS BIGINT) AS r, CAST(c AS BIGINT) AS c, CASE WHEN (vec_id * 7 + c * 3) % 11 = 0 THEN NULL ELSE CAST(floor(CAST(e AS DOUBLE) * 1000) AS BIGINT) END AS value FROM (SELECT vec_id, posexplode(embedding) AS (c, e) FROM {embeddings}) t"
 DUCK: dict[str, str] = {
     "grid": SQL["grid"].replace("(SELECT vec_id, posexplode(embedding) AS (c, e) FROM {embeddings})", "(SELECT vec_id, unnest(range(len(embedding))) AS c, unnest(embedding) AS e FROM {embeddings})"),
