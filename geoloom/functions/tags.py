@@ -355,3 +355,67 @@ def is_solid_monument(tag: Tag) -> Column:
 def is_enclosed(building: Column) -> Column:
     """Whether a building of this type is closed below its upper parts; null counts as closed."""
     return ~_any(building.isin(OPEN_TYPES))
+
+
+#: Building types with flat roofs, and those that people live in.
+FLAT_ROOF_TYPES = (
+    "apartments", "commercial", "office", "industrial", "retail", "warehouse", "parking", "hospital", "school",
+    "university", "college", "hotel", "public", "civic", "government", "supermarket", "kiosk", "service",
+    "transportation", "train_station", "sports_hall", "stadium", "factory", "hangar", "water_tower",
+    "tower", "bunker", "garages", "data_center", "manufacture", "depot", "fire_station", "police",
+    "transformer_tower", "multi-storey", "mall", "storage_tank", "silo", "container",
+)
+LIVED_IN_TYPES = (
+    "house", "detached", "semidetached_house", "terrace", "residential", "bungalow", "farm", "cabin",
+    "hut", "villa", "dormitory", "houseboat", "static_caravan", "ger", "yes",
+)
+#: How roof shapes are tagged.
+ROOF_SHAPES = {
+    "flat": ("flat",),
+    "gabled": ("gabled", "gable", "pitched"),
+    "hipped": ("hipped", "hip"),
+    "half_hipped": ("half-hipped", "half_hipped", "jerkinhead"),
+    "pyramidal": ("pyramidal", "pyramid"),
+    "skillion": ("skillion", "shed", "lean_to", "mono-pitched", "monopitch"),
+    "gambrel": ("gambrel",),
+    "mansard": ("mansard",),
+    "round": ("round", "barrel", "vault", "quarter-round"),
+    "dome": ("dome", "hemisphere"),
+    "onion": ("onion",),
+    "cone": ("cone", "conical", "spire"),
+    "saltbox": ("saltbox",),
+}
+
+
+def tagged_roof(value: Column) -> Column:
+    """The roof shape that a tag names, null for none and for unknown ones."""
+    v = F.lower(F.trim(value))
+    return F.coalesce(*[F.when(v.isin(*names), shape) for shape, names in ROOF_SHAPES.items()])
+
+
+def lot(key: Column) -> Column:
+    """A number from 0 to 99 that the key alone decides."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % 100
+
+
+def default_roof(shape_tag: Column, domed: Column, part: Column, kind: Column, levels: Column, half_width: Column, key: Column) -> Column:
+    """Roof shape of a building: as tagged; a dome; flat for a part or a wall; else by its type, levels, width and a lot of its key.
+
+    Nulls: a type that is not given counts as `yes`, no levels as one, no width as narrow.
+    """
+    t, n, wide, r = F.coalesce(kind, F.lit("yes")), F.coalesce(levels, F.lit(1)), F.coalesce(half_width, F.lit(0.0)), lot(key)
+    one_of = lambda *shares: F.coalesce(*[F.when(r < below, shape) for below, shape in shares])
+    lived_in = F.when(n >= 6, "flat").when(wide > 14, one_of((50, "flat"), (100, "hipped"))).otherwise(one_of((62, "gabled"), (90, "hipped"), (100, "flat")))
+    by_type = (
+        F.when(t.isin("silo", "storage_tank"), "cone")
+        .when(t == "water_tower", "flat")
+        .when(t.isin("greenhouse", "barn", "farm_auxiliary", "stable", "cowshed", "church", "cathedral", "chapel"), "gabled")
+        .when(t.isin("garage", "garages", "shed", "carport"), one_of((50, "flat"), (100, "gabled")))
+        .when(t.isin("roof", "shelter"), one_of((60, "flat"), (100, "gabled")))
+        .when(t.isin(*FLAT_ROOF_TYPES), "flat")
+        .when(t == "dormitory", F.when(n >= 4, "flat").otherwise(one_of((60, "gabled"), (100, "hipped"))))
+        .when(t.isin(*LIVED_IN_TYPES), lived_in)
+        .otherwise(F.when(wide > 12, "flat").otherwise(one_of((50, "gabled"), (70, "hipped"), (100, "flat"))))
+    )
+    untagged = F.when(F.coalesce(domed, F.lit(False)), "dome").when(F.coalesce(part, F.lit(False)) | (t == "wall"), "flat").otherwise(by_type)
+    return F.coalesce(tagged_roof(shape_tag), untagged)

@@ -49,15 +49,19 @@ def registry_match(buildings: DataFrame, registry: DataFrame, reach: float = 8.0
     return good.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("id", "reg_id", "source_order")
 
 
-def resolved_heights(buildings: DataFrame, registry: DataFrame, matches: DataFrame, atlas: DataFrame, storey: float = 3.0) -> DataFrame:
-    """`(id, height, height_source)` by the cascade tag, levels, registry (floors without a height), atlas, default."""
+def resolved_heights(buildings: DataFrame, registry: DataFrame, matches: DataFrame, atlas: DataFrame, storey: float = 3.0, surface: DataFrame | None = None) -> DataFrame:
+    """`(id, height, height_source)` by the cascade tag, levels, surface (id, height), registry (floors without a height), atlas, default."""
     of_registry = matches.join(registry.select("reg_id", F.col("height").alias("r_height"), "floors"), "reg_id").select("id", F.coalesce("r_height", F.when(F.col("floors") > 0, F.col("floors") * storey)).alias("r"))
     tag = F.expr("try_cast(regexp_extract(height, '(-?[0-9]+(?:\\\\.[0-9]+)?)', 1) AS double)")
     levels = F.expr("try_cast(levels AS double)") * storey
     default = F.when(F.col("building") == "church", 12.0).when(F.col("building") == "garage", 3.0).when(F.col("building") == "apartments", 12.0).otherwise(6.0)
     all_of = buildings.join(of_registry, "id", "left").join(atlas.select("id", F.col("height").alias("a")), "id", "left")
     accept = lambda c: F.when(c >= 2, c)
-    chain = [("tag", accept(tag)), ("levels", accept(levels)), ("registry", accept(F.col("r"))), ("atlas", accept(F.col("a"))), ("default", default)]
+    measured = []
+    if surface is not None:
+        all_of = all_of.join(surface.select("id", F.col("height").alias("_surface")), "id", "left")
+        measured = [("surface", accept(F.col("_surface")))]
+    chain = [("tag", accept(tag)), ("levels", accept(levels)), *measured, ("registry", accept(F.col("r"))), ("atlas", accept(F.col("a"))), ("default", default)]
     return all_of.select("id", F.coalesce(*[c for _, c in chain]).alias("height"), F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in chain]).alias("height_source"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import conflate
+from geoloom.operators import conflate, roofs
 from geoloom.operators.spatial import points_in_polygons, square_edges
 from geoloom.plans.elements import SEGMENTS
+from geoloom.plans.measured import samples_sql
 from geoloom.plans.register import query
 
 _FAR = "sqrt(((p.lon_e7 - b.lon_e7) / 1e7 * 111320.0 * cos(radians(b.lat_e7 / 1e7))) ** 2 + ((p.lat_e7 - b.lat_e7) / 1e7 * 111320.0) ** 2)"
@@ -49,6 +50,22 @@ def cascade(read):
     return conflate.resolved_heights(b, read("registry"), conflate.registry_match(b, read("registry")), conflate.heights_by_id_or_place(b, read("height_points")))
 
 
+@query(
+    "jn09_cascade_with_surface",
+    f"""WITH {_ATLAS}, {_REG}, {samples_sql(5, 5, 0.7)}, o AS (SELECT id, list(v ORDER BY v) AS o FROM n GROUP BY 1), sf AS (SELECT id, o[CAST(least(floor(len(o) * 0.8), len(o) - 1) AS INTEGER) + 1] AS sh FROM o WHERE len(o) >= 3),
+    c AS (SELECT b.id, building, try_cast(regexp_extract(b.height, '(-?[0-9]+(\\.[0-9]+)?)', 1) AS DOUBLE) AS tag, CAST(levels AS DOUBLE) * 3 AS lev, sh, coalesce(r.height, CASE WHEN floors > 0 THEN floors * 3.0 END) AS rh, a.height AS atl
+      FROM {{buildings}} b LEFT JOIN reg USING (id) LEFT JOIN {{registry}} r USING (reg_id) LEFT JOIN atlas a ON a.id = b.id LEFT JOIN sf ON sf.id = b.id)
+    SELECT id, round(CASE WHEN tag >= 2 THEN tag WHEN lev >= 2 THEN lev WHEN sh >= 2 THEN sh WHEN rh >= 2 THEN rh WHEN atl >= 2 THEN atl WHEN building IN ('church', 'apartments') THEN 12.0 WHEN building = 'garage' THEN 3.0 ELSE 6.0 END, 4) AS height,
+      CASE WHEN tag >= 2 THEN 'tag' WHEN lev >= 2 THEN 'levels' WHEN sh >= 2 THEN 'surface' WHEN rh >= 2 THEN 'registry' WHEN atl >= 2 THEN 'atlas' ELSE 'default' END AS height_source FROM c""",
+)
+def cascade_with_surface(read):
+    """JN-09 on AG-08: the surface model comes after the building's own tags."""
+    b = read("buildings")
+    surface = roofs.surface_heights(read("axis_buildings"), read("surface"))
+    got = conflate.resolved_heights(b, read("registry"), conflate.registry_match(b, read("registry")), conflate.heights_by_id_or_place(b, read("height_points")), surface=surface)
+    return got.withColumn("height", F.round("height", 4))
+
+
 @query(
     "jn10_gap_fill_buildings",
     """SELECT other_id, lat_e7, lon_e7 FROM {other_buildings} o WHERE NOT is_underground AND geometry_source <> 'OpenStreetMap' AND NOT EXISTS (SELECT 1 FROM {buildings} b

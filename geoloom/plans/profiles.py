@@ -18,11 +18,11 @@ def _profile(read, filled=True):
 
 
 @query("wn02_moving_average", """WITH p AS (SELECT r AS line, c AS i, coalesce(value, 0) AS value FROM {grid}), a AS (SELECT *, avg(value) OVER (PARTITION BY line ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS m FROM p)
-    SELECT line, i, round((value + (least(greatest(m, value - 100), value + 100) - value) * least(least(i, 63 - i) / 4.0, 1)) / 100.0, 5) AS smooth FROM a""")
+    SELECT line, i, round((value + (least(greatest(m, value - 100), value + 100) - value) * least(least(i, 63 - i) / 4.0, 1)) / 100.0, 8) AS smooth FROM a""")
 def moving_average(read):
     """WN-02: centred average, clamped to the raw value, blended to the pinned ends; over whole hundredths, whose sums have no order."""
     p = read("grid").select(F.col("r").alias("line"), F.col("c").alias("i"), F.coalesce("value", F.lit(0)).alias("value"))
-    return lines.smooth(p, 4, 100.0).select("line", "i", F.round(F.col("smooth") / 100.0, 5).alias("smooth"))
+    return lines.smooth(p, 4, 100.0).select("line", "i", F.round(F.col("smooth") / 100.0, 8).alias("smooth"))
 
 
 @query("wn03_ramp_cone", f"""WITH {_Q} SELECT line, i, round(greatest(max(value + 0.125 * i) OVER (PARTITION BY line ORDER BY i) - 0.125 * i, max(value - 0.125 * i) OVER (PARTITION BY line ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 0.125 * i), 5) AS ramp FROM p""")

@@ -224,3 +224,27 @@ def traits(read):
     """SC-66: domes, minarets, shrines, solid monuments and what is closed below."""
     t = read("site_tags")
     return t.select("id", tags.is_domed(_site).alias("domed"), tags.is_minaret(_site).alias("minaret"), tags.is_shrine(_site).alias("shrine"), tags.is_solid_monument(_site).alias("solid"), tags.is_enclosed(F.col("building")).alias("enclosed"))
+
+
+_ROOF = "lower(trim(roof_tag))"
+_LOT = "CAST(('0x' || md5(CAST(id AS VARCHAR))[:8]) AS BIGINT) % 100"
+_KINDS = ["house", "apartments", "church", "garage", "yes", "silo", "water_tower", "barn", "roof", "dormitory", "wall", "office", "mosque", "villa", "kindergarten"]
+fixtures.SQL["roof_buildings"] = (
+    "SELECT id, CASE id % 9 WHEN 0 THEN ' Hip ' WHEN 1 THEN 'gable' WHEN 2 THEN 'bell' ELSE NULL END AS roof_tag, id % 13 = 0 AS domed, CASE WHEN id % 10 = 0 THEN NULL ELSE id % 8 = 1 END AS part, "
+    + "CASE id % 16 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_KINDS)) + " END AS kind, CASE WHEN id % 7 <> 0 THEN CAST(size % 9 + 1 AS INT) END AS levels, CAST(size % 18 AS DOUBLE) AS half_width FROM {buildings}"
+)
+
+
+@query(
+    "sc66_roof_shapes",
+    f"""WITH b AS (SELECT *, coalesce(kind, 'yes') AS t, coalesce(levels, 1) AS n, {_LOT} AS r FROM {{roof_buildings}})
+    SELECT id, CASE WHEN {_ROOF} IN ('hipped', 'hip') THEN 'hipped' WHEN {_ROOF} = 'gable' THEN 'gabled' WHEN domed THEN 'dome' WHEN part OR t = 'wall' THEN 'flat' WHEN t = 'silo' THEN 'cone' WHEN t = 'water_tower' THEN 'flat' WHEN t IN ('barn', 'church') THEN 'gabled'
+      WHEN t = 'garage' THEN CASE WHEN r < 50 THEN 'flat' ELSE 'gabled' END WHEN t = 'roof' THEN CASE WHEN r < 60 THEN 'flat' ELSE 'gabled' END WHEN t IN ('apartments', 'office') THEN 'flat'
+      WHEN t = 'dormitory' THEN CASE WHEN n >= 4 THEN 'flat' WHEN r < 60 THEN 'gabled' ELSE 'hipped' END
+      WHEN t IN ('house', 'yes', 'villa') THEN CASE WHEN n >= 6 THEN 'flat' WHEN half_width > 14 THEN CASE WHEN r < 50 THEN 'flat' ELSE 'hipped' END WHEN r < 62 THEN 'gabled' WHEN r < 90 THEN 'hipped' ELSE 'flat' END
+      WHEN half_width > 12 THEN 'flat' WHEN r < 50 THEN 'gabled' WHEN r < 70 THEN 'hipped' ELSE 'flat' END AS shape FROM b""",
+)
+def roof_shapes(read):
+    """SC-66: roof shape by tag, dome, part, type, levels, width and a lot of the id."""
+    c = F.col
+    return read("roof_buildings").select("id", tags.default_roof(c("roof_tag"), c("domed"), c("part"), c("kind"), c("levels"), c("half_width"), c("id")).alias("shape"))
