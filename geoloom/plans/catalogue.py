@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.plans import areas, conflation, elements, further, grids, measured, profiles, scalar, tagged, weather  # noqa: F401
+from geoloom.plans import areas, conflation, elements, further, grids, measured, profiles, rasters, scalar, tagged, weather  # noqa: F401
 from geoloom.plans.register import ORACLES, QUERIES
 
 

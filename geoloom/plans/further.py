@@ -61,16 +61,6 @@ def preferred(read):
     return s.groupBy("cell").agg(F.min_by("id", F.struct("pref", "id")).alias("store"))
 
 
-@query("jn32_feathered_blend", """WITH v AS (SELECT r, c, value / 100.0 AS m, value / 100.0 + 3 AS g, least(1, (c % 16) * 50 / 400.0) AS t FROM {grid} WHERE value IS NOT NULL) SELECT r, c, round(CASE WHEN abs(m) <= 0.5 THEN m ELSE CASE WHEN m > 0.5 THEN greatest(m + t * t * (3 - 2 * t) * (g - m), 0.51) ELSE m + t * t * (3 - 2 * t) * (g - m) END END, 5) AS v FROM v""")
-def blend(read):
-    """JN-32: two models blended by distance from the surveyed part; near-zero kept, land stays land."""
-    t = F.least(F.lit(1.0), F.col("c") % 16 * 50 / 400.0)
-    v = read("grid").where("value is not null").select("r", "c", (F.col("value") / 100.0).alias("m"), (F.col("value") / 100.0 + 3).alias("g"), t.alias("t"))
-    mixed = F.col("m") + F.col("t") * F.col("t") * (3 - 2 * F.col("t")) * (F.col("g") - F.col("m"))
-    out = F.when(F.abs("m") <= 0.5, F.col("m")).when(F.col("m") > 0.5, F.greatest(mixed, F.lit(0.51))).otherwise(mixed)
-    return v.select("r", "c", F.round(out, 5).alias("v"))
-
-
 @query("jn33_snow_depth", """SELECT a.r, a.c, round(CASE WHEN a.class > 0 AND a.r % 3 = 0 THEN a.class * 0.2 WHEN b.class % 3 = 1 THEN greatest(a.c / 100.0, 0.05) WHEN b.class % 3 = 2 THEN greatest(0, a.c / 100.0 - 0.3) ELSE a.c / 100.0 END, 4) AS depth FROM {grid_class} a JOIN {grid_class} b ON b.r = a.c AND b.c = a.r % 64""")
 def snow(read):
     """JN-33: a national grid where there is one, else the model corrected by what is seen."""

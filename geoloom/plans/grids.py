@@ -133,10 +133,10 @@ def runs(read):
     return grids.run_length(read("grid_class"))
 
 
-@query("jn35_run_lookup", f'WITH {_RUNS}, p AS (SELECT r, c FROM {{grid_class}} WHERE c % 5 = 0) SELECT p.r, p.c, coalesce(class, 0) AS class FROM p LEFT JOIN runs ON runs.r = p.r AND p.c >= "start" AND p.c < "end"')
+@query("jn35_run_lookup", f'WITH {_RUNS}, p AS (SELECT r, c FROM {{grid_class}}) SELECT p.r, p.c, coalesce(class, 0) AS class FROM p LEFT JOIN runs ON runs.r = p.r AND p.c >= "start" AND p.c < "end"')
 def lookup(read):
     """JN-35: which run holds a column, by row and bucket."""
-    return grids.run_lookup(read("grid_class").where("c % 5 = 0").select("r", "c"), grids.run_length(read("grid_class")))
+    return grids.run_lookup(read("grid_class").select("r", "c"), grids.run_length(read("grid_class")))
 
 
 @query("ag11_gaussian_disc", f"""WITH {_POINTS}, o AS (SELECT a, b, exp(-(a * a + b * b) / 4.5) AS w FROM range(-3, 4) x(a), range(-3, 4) y(b) WHERE a * a + b * b <= 9)
@@ -174,19 +174,6 @@ def land_sea(read):
     return s.select("r", "c", F.round(F.when((F.col("land").isNull() | (F.col("land") <= 0.5)) & (F.col("depth") < 0), wet).otherwise(F.col("land")), 4).alias("height"))
 
 
-@query("jn31_finest_ancestor", """WITH t AS (SELECT r, c, value FROM {grid} WHERE value IS NOT NULL), l AS (SELECT 3 AS z, r, c, value FROM t WHERE r % 5 = 0 UNION ALL SELECT 2, CAST(floor(r / 2.0) AS BIGINT), CAST(floor(c / 2.0) AS BIGINT), min(value) FROM t WHERE r % 4 < 2 GROUP BY 2, 3 UNION ALL SELECT 1, CAST(floor(r / 4.0) AS BIGINT), CAST(floor(c / 4.0) AS BIGINT), min(value) FROM t GROUP BY 2, 3),
-    p AS (SELECT r, c FROM {grid} WHERE c % 7 = 0)
-    SELECT p.r, p.c, max(z) AS z, max_by(l.value, z) AS value FROM p JOIN l ON l.r = CAST(floor(p.r / (2 ** (3 - z))) AS BIGINT) AND l.c = CAST(floor(p.c / (2 ** (3 - z))) AS BIGINT) GROUP BY 1, 2""")
-def ancestors(read):
-    """JN-31: the finest zoom that has a tile over a pixel."""
-    t = read("grid").where("value is not null")
-    level = lambda z, f, keep: t.where(keep).groupBy(F.floor(F.col("r") / f).alias("tr"), F.floor(F.col("c") / f).alias("tc")).agg(F.min("value").alias("value")).withColumn("z", F.lit(z))
-    held = level(3, 1, "r % 5 = 0").unionByName(level(2, 2, "r % 4 < 2")).unionByName(level(1, 4, "true"))
-    p = read("grid").where("c % 7 = 0").select("r", "c", F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.floor(F.col("r") / f).alias("tr"), F.floor(F.col("c") / f).alias("tc")) for z, f in ((3, 1), (2, 2), (1, 4))])).alias("a"))
-    met = p.select("r", "c", "a.*").join(held, ["z", "tr", "tc"])
-    return met.groupBy("r", "c").agg(F.max("z").alias("z"), F.max_by("value", "z").alias("value"))
-
-
 @query("fl08_plausible_tiles", "SELECT CAST(floor(r / 4.0) AS BIGINT) AS r, CAST(floor(c / 4.0) AS BIGINT) AS c, max(value) AS top FROM {grid} GROUP BY 1, 2 HAVING bool_and(coalesce(value BETWEEN -350 AND 350, true))")
 def plausible(read):
     """FL-08: tiles all of whose pixels are plausible."""

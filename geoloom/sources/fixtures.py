@@ -73,6 +73,19 @@ SQL |= {
     "bridge_ways": """SELECT way_id, CASE way_id % 10 WHEN 0 THEN CAST(floor(way_id / 10.0) AS INT) % 3 WHEN 1 THEN CAST(floor(way_id / 10.0) AS INT) % 2 * 2 ELSE 1 END AS layer, CAST(2 + way_id % 3 AS DOUBLE) AS half_width,
         way_id % 7 <> 0 AS carries, CAST(CASE way_id % 4 WHEN 0 THEN 6 WHEN 1 THEN 5 ELSE 3 END AS DOUBLE) AS room FROM (SELECT DISTINCT way_id FROM {bridge_points}) t""",
 }
+# For each supplier a block of 16 by 16 cells with a coast: an island, a lake, a slanted shore, a ring of both directions, a diamond through corners.
+_RINGS = {0: ((3.5, 11.5), (3.5, 3.5), (11.5, 3.5), (11.5, 11.5), (3.5, 11.5)), 1: ((3.5, 3.5), (3.5, 11.5), (11.5, 11.5), (11.5, 3.5), (3.5, 3.5)), 2: ((2.3, -0.5), (13.7, 16.5)), 4: ((2.0, 8.0), (8.0, 2.0), (14.0, 8.0), (8.0, 14.0), (2.0, 8.0))}
+_COAST = [(kind, *a, *b) for kind, ring in _RINGS.items() for a, b in zip(ring, ring[1:], strict=False)] + [(3, 3.5, 11.5, 3.5, 3.5), (3, 3.5, 3.5, 11.5, 3.5), (3, 11.5, 11.5, 11.5, 3.5), (3, 11.5, 11.5, 3.5, 11.5)]
+SQL |= {
+    "coast_cells": """SELECT k * 20 + i AS r, j AS c, CASE WHEN (k + i * 3 + j) % 19 = 0 THEN NULL ELSE CAST((k + i * 7 + j * 5) % 9 - 4 AS DOUBLE) END AS elevation
+        FROM (SELECT CAST(s_suppkey AS BIGINT) AS k FROM {supplier}) s CROSS JOIN (VALUES NUMBERS) a(i) CROSS JOIN (VALUES NUMBERS) b(j)""".replace("NUMBERS", ", ".join(f"({k})" for k in range(16))),
+    "coast_lines": f"""SELECT k * 20 + CAST(ay AS DOUBLE) + shift AS ay, CAST(ax AS DOUBLE) + shift AS ax, k * 20 + CAST(ey AS DOUBLE) + shift AS ey, CAST(ex AS DOUBLE) + shift AS ex
+        FROM (SELECT CAST(s_suppkey AS BIGINT) AS k, CASE WHEN s_suppkey % 5 = 4 THEN 0 ELSE s_suppkey % 3 * 0.25 END AS shift FROM {{supplier}}) s CROSS JOIN (VALUES {", ".join(map(str, _COAST))}) v(kind, ay, ax, ey, ex) WHERE k % 5 = kind""",
+}
+# Pixels of three zooms of tiles of 8: the finest lacks some tiles and holds wrong values in others, the next lacks some.
+SQL["zoom_pixels"] = """SELECT 3 AS z, r, c, CASE WHEN (tr + tc) % 11 = 0 AND r % 8 = 0 AND c % 8 = 0 THEN 99999.0 ELSE v END AS value FROM (SELECT r, c, CAST(coalesce(value, 0) AS DOUBLE) AS v, CAST(floor(r / 8.0) AS BIGINT) AS tr, CAST(floor(c / 8.0) AS BIGINT) AS tc FROM {grid}) a WHERE (tr * 5 + tc * 3) % 7 <> 0
+    UNION ALL SELECT 2, CAST(floor(r / 2.0) AS BIGINT), CAST(floor(c / 2.0) AS BIGINT), CAST(coalesce(value, 0) + 100 AS DOUBLE) FROM {grid} WHERE r % 2 = 0 AND c % 2 = 0 AND CAST(floor(r / 16.0) + floor(c / 16.0) AS BIGINT) % 3 <> 0
+    UNION ALL SELECT 1, CAST(floor(r / 4.0) AS BIGINT), CAST(floor(c / 4.0) AS BIGINT), CAST(coalesce(value, 0) + 200 AS DOUBLE) FROM {grid} WHERE r % 4 = 0 AND c % 4 = 0"""
 # Bores along ways: a first and a second piece that meet (or miss by height, or lack the second), the other tube, one across, one that forks off.
 SQL |= {
     "bores": """SELECT way_id * 10 + 1 AS bore_id, seq, lat_e7 + 120 AS lat_e7, lon_e7 + 90 AS lon_e7, CAST(10 + seq AS DOUBLE) AS z FROM {way_points} WHERE seq <= 3
