@@ -17,33 +17,50 @@ from geoloom.llm.words import range_hashes, sliced, together, word_hashes
 from geoloom.operators.components import connected_components
 from geoloom.session import ship_package, stored
 
-#: Shorter lines are joined with their neighbours; a text of fewer than SHINGLE words has no paragraph.
+#: Shorter sentences and lines are joined with their neighbours; a text of fewer than SHINGLE words has no paragraph.
 MIN_WORDS = 8
+#: Longer ones are cut after words whose hash is the least of LOCAL words on either side.
+LONG_WORDS, LOCAL = 96, 12
 #: Words of a run of repeated paragraphs from which it is a passage.
 PASSAGE_WORDS = 20
 
 
-def paragraphs_of(line_ends: np.ndarray, first: int, last: int) -> list[tuple[int, int]]:
+def local_cuts(words: np.ndarray) -> np.ndarray:
+    """Places in a long sentence (word hashes) at which it is cut: whether one is a cut hangs on LOCAL words on either side alone."""
+    n, most = len(words), np.full(LOCAL, 2**64 - 1, np.uint64)
+    near = np.lib.stride_tricks.sliding_window_view(np.concatenate((most, words, most)), LOCAL).min(axis=1)
+    least = (words < near[:n]) & (words <= near[LOCAL + 1 :])
+    return np.flatnonzero(least[MIN_WORDS - 1 : n - MIN_WORDS]) + MIN_WORDS
+
+
+def paragraphs_of(words: np.ndarray, ends: np.ndarray, first: int, last: int) -> list[tuple[int, int]]:
     """First word and word after the last of each paragraph of the words from `first` to before `last`.
 
-    Paragraphs are lines; those of under MIN_WORDS words join the one before, the first ones the next. `line_ends` has
-    the words before each line end. Near copies of Jaccard 0.8 over five-word shingles differ by a word in about fifty, so
-    nothing shorter than a line is worth a fingerprint: of shorter stretches, only equal ones reach it, and
-    repeated_runs() finds those.
+    Paragraphs are sentences and lines, which end at `ends`; those of under MIN_WORDS words join the one before, the first
+    ones the next. Those of over LONG_WORDS words are cut by their content, so a stretch that is copied into another
+    sentence is cut alike there.
     """
     out, stop = [], first
-    for end in [*line_ends[np.searchsorted(line_ends, first, "right") : np.searchsorted(line_ends, last)].tolist(), last]:
+    for end in [*ends[np.searchsorted(ends, first, "right") : np.searchsorted(ends, last)].tolist(), last]:
         if stop - first >= MIN_WORDS and end - stop >= MIN_WORDS:
             out.append((first, stop))
             first = stop
         stop = end
-    return [*out, (first, stop)] if stop > first else out
+    if stop > first:
+        out.append((first, stop))
+    if all(b - a <= LONG_WORDS for a, b in out):
+        return out
+    cut = []
+    for a, b in out:
+        places = [a, *(local_cuts(words[a:b]) + a).tolist(), b] if b - a > LONG_WORDS else [a, b]
+        cut += zip(places, places[1:], strict=False)
+    return cut
 
 
 def _cut(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of the texts; then, for each paragraph of SHINGLE words or more, its text, its ends (in all words; the first in its text) and a hash."""
-    words, bounds, line_ends = word_hashes(texts)
-    found = [(k, *x) for k in range(len(texts)) for x in paragraphs_of(line_ends, int(bounds[k]), int(bounds[k + 1])) if x[1] - x[0] >= SHINGLE]
+    words, bounds, ends = word_hashes(texts, sentences=True)
+    found = [(k, *x) for k in range(len(texts)) for x in paragraphs_of(words, ends, int(bounds[k]), int(bounds[k + 1])) if x[1] - x[0] >= SHINGLE]
     of, first, stop = np.array(found, np.int64).reshape(-1, 3).T
     return words, of, np.stack((first, stop, first - bounds[of])), range_hashes(words, first, stop).view(np.int64)
 

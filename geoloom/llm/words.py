@@ -66,10 +66,11 @@ def together(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
             yield batch.slice(begin), texts
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], sentences: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The 64-bit hashes of the lower-cased words of all texts, as white space parts them, one text after another.
 
-    And the place of each text's first word, with one more at the end; and the words before each line end.
+    And the place of each text's first word, with one more at the end; and the words before each line end (of a sentence
+    too, if `sentences`: a word that ends in a full stop, exclamation or question mark).
     """
     low = [(t or "").lower() for t in texts]
     offsets = np.cumsum([0, *[len(x) + 1 for x in low]])
@@ -86,4 +87,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
         parts.append(range_hashes(x, starts[begin:end] - base, stops[begin:end] - base))
         begin = end
     hashes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    return hashes, np.searchsorted(starts, offsets), np.searchsorted(starts, np.flatnonzero(code == 10))
+    ends = np.searchsorted(starts, np.flatnonzero(code == 10))
+    if sentences:
+        ends = np.union1d(ends, np.flatnonzero(np.isin(code[stops - 1], [33, 46, 63])) + 1)
+    return hashes, np.searchsorted(starts, offsets), ends

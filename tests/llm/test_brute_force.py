@@ -12,6 +12,7 @@ import xxhash
 
 import corpus_pipeline
 from geoloom.llm import langid, passages, quality, registry, runs, toxicity
+from geoloom.llm.words import word_hashes
 
 SF = "/root/testdata/sf0.001"
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -60,16 +61,23 @@ def similar(a, b):
 
 
 def cut_paragraphs(text):
-    """(first word, its words) of each paragraph: lines, those of under MIN_WORDS words joined to the one before, the first ones to the next."""
+    """(first word, its words) of each paragraph: sentences and lines, those of under MIN_WORDS words joined to the one before, the first ones to the next; long ones cut by word hashes."""
     out, first = [], 0
-    for words in ([w.lower() for w in line.split()] for line in (text or "").split("\n")):
+    for words in (piece.lower().split() for piece in re.split(r"(?<=[.!?])\s+|\n", text or "")):
         if out and (len(words) < passages.MIN_WORDS or len(out[-1]) < passages.MIN_WORDS):
             out[-1] = out[-1] + words
         else:
             out.append(words)
     for words in out:
-        if len(words) >= 5:
-            yield first, words
+        begin = 0
+        if len(words) > passages.LONG_WORDS:
+            h, local = word_hashes([" ".join(words)])[0].tolist(), passages.LOCAL
+            for k in range(passages.MIN_WORDS - 1, len(h) - passages.MIN_WORDS):
+                if h[k] < min(h[max(0, k - local) : k], default=2**64) and h[k] <= min(h[k + 1 : k + 1 + local], default=2**64):
+                    yield first + begin, words[begin : k + 1]
+                    begin = k + 1
+        if len(words) - begin >= 5:
+            yield first + begin, words[begin:]
         first += len(words)
 
 

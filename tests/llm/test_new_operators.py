@@ -12,7 +12,7 @@ import pytest
 import re
 import sentencepiece
 
-from geoloom.llm import pieces, registry, variants, whitening
+from geoloom.llm import passages, pieces, registry, variants, whitening
 
 SF = "/root/testdata/sf0.001"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -221,3 +221,35 @@ def test_any_ids_are_decoded_like_the_library(model, library):
     for _ in range(3000):
         ids = [r.choice([0, 1, 2, 3 + r.randrange(256), 3 + r.randrange(128, 256), 259, 29871, r.randrange(260, 32000)]) for _ in range(r.randrange(9))]
         assert model.decode(np.array(ids, int)) == library.decode(ids)
+
+
+# Near-copied stretches inside lines
+
+
+@pytest.mark.parametrize("length,changes,ended,least_pairs,least_words", [(60, 1, True, 0.95, 0.95), (90, 1, True, 0.95, 0.95), (160, 3, False, 0.9, 0.5), (200, 2, True, 0.9, 0.6), (30, 0, True, 0.95, 0.95)])
+def test_near_copied_stretches_inside_lines(spark, length, changes, ended, least_pairs, least_words):
+    """Pairs of one-line texts with a stretch in common that differs by a few words, its place known here and not to the code."""
+    draw = random.Random(length)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randrange(4, 9)))
+    sentences = lambda: " ".join(" ".join(word() for _ in range(draw.randrange(9, 20))) + "." for _ in range(5))
+    rows, spans = [], {}
+    for pair in range(40):
+        stretch = [word() for _ in range(length)]
+        for copy in (0, 1):
+            mine = list(stretch)
+            for k in range(changes if copy else 0):
+                mine[(k + 1) * length // (changes + 1)] = word()
+            if ended:
+                mine[-1] += "."
+            before = sentences()
+            spans[2 * pair + copy] = (len(before.split()), length)
+            rows.append((2 * pair + copy, " ".join([before, *mine, sentences()])))
+    found = passages.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).where("removed").collect()
+    out = {d: set() for d in spans}
+    for r in found:
+        out[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    held = {d: set(range(a, a + n)) for d, (a, n) in spans.items()}
+    shares = [len((out[2 * p] & held[2 * p]) | (out[2 * p + 1] & held[2 * p + 1])) / length for p in range(40)]
+    print(length, changes, sum(s > 0 for s in shares) / 40, sum(shares) / 40)
+    assert sum(s > 0 for s in shares) >= least_pairs * 40 and sum(shares) >= least_words * 40
+    assert sum(len(out[d] - held[d]) for d in out) <= 0.02 * 40 * length

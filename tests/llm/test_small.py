@@ -364,10 +364,12 @@ def test_runs_of_fifty_words_against_brute_force(spark):
 
 def test_paragraphs_keep_every_word():
     text = "one two three.\nfour\n five six seven eight nine ten.\n\n" + " ".join(f"v{i}" for i in range(200)) + ". end\nlast words\n"
-    hashes, bounds, ends = words_.word_hashes(["", text, None, " \n ", text])
+    hashes, bounds, ends = words_.word_hashes(["", text, None, " \n ", text], sentences=True)
     assert bounds.tolist() == [0, 0, 213, 213, 213, 426] and hashes[:213].tolist() == hashes[213:].tolist()
-    assert passages.paragraphs_of(ends, 0, 213) == [(0, 10), (10, 213)] and passages.paragraphs_of(ends, 213, 426) == [(213, 223), (223, 426)]
-    assert passages.paragraphs_of(ends, 213, 213) == []
+    own = passages.paragraphs_of(hashes, ends, 0, 213)
+    assert own[0] == (0, 10) and own[-1][1] == 213 and len(own) > 4 and all(a[1] == b[0] for a, b in itertools.pairwise(own)) and all(b - a >= passages.MIN_WORDS for a, b in own)
+    assert passages.paragraphs_of(hashes, ends, 213, 426) == [(a + 213, b + 213) for a, b in own]
+    assert passages.paragraphs_of(hashes, ends, 213, 213) == []
     assert len(set(hashes[:213].tolist())) == len(set(text.split()))
     assert words_.word_hashes([" x\u00a0TWO\u2003three "])[0].tolist() == words_.word_hashes(["X", "two three"])[0].tolist()
 
