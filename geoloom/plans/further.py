@@ -125,15 +125,6 @@ def nearest_cell(read):
     return areas.nearest_cell(p, runs, "place_id")
 
 
-@query("jn52_legend_colours", """WITH n AS (SELECT CAST(floor(r / 8.0) AS BIGINT) AS tile, class AS colour, count(*) AS n FROM {grid_class} GROUP BY 1, 2), k AS (SELECT tile, colour FROM n WHERE n >= 30 AND colour > 0) SELECT n.tile, n.colour, min_by(k.colour, (abs(k.colour - n.colour), k.colour)) AS class FROM n JOIN k ON k.tile = n.tile AND abs(k.colour - n.colour) <= 2 WHERE n.colour > 0 GROUP BY 1, 2""")
-def legend(read):
-    """JN-52: exact colours that are frequent, else the nearest such colour of the tile."""
-    n = read("grid_class").where("class > 0").groupBy(F.floor(F.col("r") / 8).alias("tile"), F.col("class").alias("colour")).agg(F.count("*").alias("n"))
-    known = n.where("n >= 30").select("tile", F.col("colour").alias("k"))
-    met = n.join(known, "tile").where("abs(k - colour) <= 2")
-    return met.groupBy("tile", "colour").agg(F.min_by("k", F.struct(F.abs(F.col("k") - F.col("colour")), F.col("k"))).alias("class"))
-
-
 @query("sc24_stretch_in_box", f"""WITH {_PRE}, t AS (SELECT *, CAST(lat2 - lat_e7 AS DOUBLE) AS dy, CAST(lon2 - lon_e7 AS DOUBLE) AS dx FROM pre), q AS (SELECT *, greatest(0, CASE WHEN dy <> 0 THEN least((601000000 - lat_e7) / dy, (603000000 - lat_e7) / dy) ELSE 0 END, CASE WHEN dx <> 0 THEN least((51000000 - lon_e7) / dx, (56000000 - lon_e7) / dx) ELSE 0 END) AS t0,
       least(1, CASE WHEN dy <> 0 THEN greatest((601000000 - lat_e7) / dy, (603000000 - lat_e7) / dy) ELSE 1 END, CASE WHEN dx <> 0 THEN greatest((51000000 - lon_e7) / dx, (56000000 - lon_e7) / dx) ELSE 1 END) AS t1, (dy = 0 AND lat_e7 NOT BETWEEN 601000000 AND 603000000) OR (dx = 0 AND lon_e7 NOT BETWEEN 51000000 AND 56000000) AS out FROM t)
     SELECT way_id, round(min(before + t0 * metres), 3) AS enter, round(max(before + t1 * metres), 3) AS leave FROM q WHERE NOT out AND t0 <= t1 GROUP BY way_id""")
@@ -168,10 +159,18 @@ def wall(read):
     return read("buildings").select("id", roof.alias("roof"), (h - roof - bottom).alias("wall"), bottom.alias("bottom"))
 
 
-@query("src06_pruned_box", "SELECT id, lat_e7, lon_e7 FROM {buildings} WHERE lat_e7 BETWEEN 601000000 AND 603000000 AND lon_e7 BETWEEN 51000000 AND 56000000")
+@query("src06_pruned_box", "SELECT id, lat_e7, lon_e7 FROM {buildings} WHERE lat_e7 - half_lat <= 603000000 AND lat_e7 + half_lat >= 601000000 AND lon_e7 - half_lon <= 56000000 AND lon_e7 + half_lon >= 51000000")
 def pruned(read):
-    """SRC-06: a box filter on four columns."""
-    return read("buildings").select("id", "lat_e7", "lon_e7").where(F.col("lat_e7").between(601000000, 603000000) & F.col("lon_e7").between(51000000, 56000000))
+    """SRC-06: buildings written along a curve with a nested box, and read by box."""
+    from uuid import uuid4
+
+    from geoloom.session import shared_folder
+    from geoloom.sources.boxes import read_boxes, write_boxes
+
+    b = read("buildings").withColumns({"s": F.col("lat_e7") - F.col("half_lat"), "w": F.col("lon_e7") - F.col("half_lon"), "n": F.col("lat_e7") + F.col("half_lat"), "e": F.col("lon_e7") + F.col("half_lon")})
+    path = f"{shared_folder(b.sparkSession)}/boxes-{uuid4().hex}"
+    write_boxes(b, path, ("s", "w", "n", "e"))
+    return read_boxes(b.sparkSession, path, 601000000, 51000000, 603000000, 56000000).select("id", "lat_e7", "lon_e7")
 
 
 @query("src02_overpass_elements", "SELECT way_id, name, count(*) AS points FROM {way_points} JOIN {ways} USING (way_id) GROUP BY 1, 2")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import coast, pyramids
+from geoloom.operators import coast, legends, pyramids
 from geoloom.plans.register import query
 
 _CLIP = """p AS (SELECT s.*, CAST(floor(least(ay, ey)) AS BIGINT) + i AS r, CAST(floor(least(ax, ex)) AS BIGINT) + j AS c FROM {coast_lines} s, range(20) y(i), range(20) x(j) WHERE floor(least(ay, ey)) + i <= greatest(ay, ey) AND floor(least(ax, ex)) + j <= greatest(ax, ex)),
@@ -79,3 +79,33 @@ def blend(read):
     tiles = g.select(F.floor(F.col("r") / 16).alias("tr"), F.floor(F.col("c") / 16).alias("tc")).distinct()
     model = g.where("(r + c) % 9 <> 0").select("r", "c", (F.col("value") / 100.0 + 3).alias("model"))
     return pyramids.feathered(pixels, tiles.where("(tr * 3 + tc) % 5 = 0"), model, 16, 200.0, 4, rings=2).withColumn("value", F.round("value", 5))
+
+
+_RGB = lambda c: (f"(({c} >> 16) & 255)", f"(({c} >> 8) & 255)", f"({c} & 255)")
+_SPREAD = "abs({0} - {1}) < 6 AND abs({1} - {2}) < 6 AND abs({0} - {2}) < 6".format(*_RGB("rgb"))
+_D2 = " + ".join(f"({a} - {b}) ** 2" for a, b in zip(_RGB("u.rgb"), _RGB("l.rgb"), strict=True))
+_ROUND = """w{n} AS (SELECT tile, r, c, min(class) AS class FROM (SELECT u.tile, u.r, u.c, p.class, count(*) AS v, max(count(*)) OVER (PARTITION BY u.tile, u.r, u.c) AS most FROM s{m} u JOIN s{m} p ON p.tile = u.tile AND p.class IS NOT NULL AND u.class IS NULL AND p.r BETWEEN u.r - 1 AND u.r + 1 AND p.c BETWEEN u.c - 1 AND u.c + 1 GROUP BY 1, 2, 3, 4) WHERE v = most GROUP BY 1, 2, 3),
+    s{n} AS MATERIALIZED (SELECT s.tile, s.r, s.c, coalesce(s.class, w.class) AS class FROM s{m} s LEFT JOIN w{n} w USING (tile, r, c))"""
+
+
+@query(
+    "jn52_legend_colours",
+    f"""WITH q AS MATERIALIZED (SELECT *, {_SPREAD} AS grey FROM {{map_pixels}} WHERE alpha >= 128), l AS (SELECT DISTINCT q.tile, q.rgb, m.class FROM q JOIN {{map_legend}} m USING (rgb) WHERE NOT grey),
+    u AS (SELECT DISTINCT tile, rgb FROM q WHERE NOT grey AND rgb NOT IN (SELECT rgb FROM {{map_legend}})), n AS (SELECT u.tile, u.rgb, min_by(l.class, ({_D2}, l.rgb)) AS class FROM u JOIN l ON l.tile = u.tile WHERE {_D2} < 3600 GROUP BY 1, 2),
+    k AS (SELECT * FROM l UNION ALL SELECT * FROM n), s0 AS MATERIALIZED (SELECT q.tile, r, c, class FROM q LEFT JOIN k ON k.tile = q.tile AND k.rgb = q.rgb AND NOT grey),
+    {", ".join(_ROUND.format(n=n, m=n - 1) for n in range(1, 9))}
+    SELECT tile, r, c, coalesce(class, 0) AS class FROM s8 UNION ALL SELECT tile, r, c, 0 FROM {{map_pixels}} WHERE alpha < 128""",
+)
+def legend(read):
+    """JN-52: classes by exact colour, by the nearest colour of the tile, and for lines and labels by the pixels around."""
+    return legends.classify(read("map_pixels"), read("map_legend"))
+
+
+@query("ud07_cells_of", "SELECT shape_order, CAST(z AS INTEGER) AS z, CAST(x AS INTEGER) AS x FROM (SELECT shape_order, x, unnest(range(z0, z1)) AS z FROM (SELECT *, unnest(range(x0, x1)) AS x FROM {selection_shapes}))")
+def cells_of(read):
+    """UD-07: the cells of each shape by a table function in SQL."""
+    from geoloom.functions import tables
+
+    shapes = read("selection_shapes")
+    tables.register(shapes.sparkSession)
+    return shapes.sparkSession.sql("SELECT s.shape_order, c.z, c.x FROM {shapes} s, LATERAL cells_of(array(z0, z0, z1, z1), array(x0, x1, x1, x0)) c", shapes=shapes)

@@ -82,6 +82,13 @@ SQL |= {
     "coast_lines": f"""SELECT k * 20 + CAST(ay AS DOUBLE) + shift AS ay, CAST(ax AS DOUBLE) + shift AS ax, k * 20 + CAST(ey AS DOUBLE) + shift AS ey, CAST(ex AS DOUBLE) + shift AS ex
         FROM (SELECT CAST(s_suppkey AS BIGINT) AS k, CASE WHEN s_suppkey % 5 = 4 THEN 0 ELSE s_suppkey % 3 * 0.25 END AS shift FROM {{supplier}}) s CROSS JOIN (VALUES {", ".join(map(str, _COAST))}) v(kind, ay, ax, ey, ex) WHERE k % 5 = kind""",
 }
+# Map tiles of 16 by 16 pixels in the colours of a legend, with grey lines, soft edges, colours near none and clear parts; blocks of one colour are 4 wide.
+SQL |= {
+    "map_legend": "SELECT DISTINCT class * 20 * 65536 + (255 - class * 17) * 256 + 90 AS rgb, class + 1 AS class FROM (SELECT class FROM {grid_class} WHERE class BETWEEN 1 AND 11) t WHERE class % 5 <> 0",
+    "map_pixels": """SELECT CAST(floor(r / 16.0) AS BIGINT) * 4 + CAST(floor(c / 16.0) AS BIGINT) AS tile, r, c, CASE WHEN (r * 7 + c * 3) % 10 = 0 OR r % 16 BETWEEN 5 AND 7 AND c % 16 > 8 THEN 100 * 65536 + 103 * 256 + 101 WHEN (r * 7 + c * 3) % 10 = 1 THEN (k * 20 + 10) * 65536 + (255 - k * 17 - 12) * 256 + 95 WHEN (r * 7 + c * 3) % 10 = 2 THEN 250 * 65536 + 10 * 256 + 250
+          ELSE k * 20 * 65536 + (255 - k * 17) * 256 + 90 END AS rgb, CASE WHEN (r + c) % 23 = 0 THEN 0 ELSE 255 END AS alpha
+        FROM (SELECT g.r, g.c, (CAST(floor(g.r / 4.0) AS BIGINT) * 5 + CAST(floor(g.c / 4.0) AS BIGINT) * 3 + CAST(floor(g.r / 16.0) AS BIGINT)) % 11 + 1 AS k FROM {grid_class} g) t""",
+}
 # Pixels of three zooms of tiles of 8: the finest lacks some tiles and holds wrong values in others, the next lacks some.
 SQL["zoom_pixels"] = """SELECT 3 AS z, r, c, CASE WHEN (tr + tc) % 11 = 0 AND r % 8 = 0 AND c % 8 = 0 THEN 99999.0 ELSE v END AS value FROM (SELECT r, c, CAST(coalesce(value, 0) AS DOUBLE) AS v, CAST(floor(r / 8.0) AS BIGINT) AS tr, CAST(floor(c / 8.0) AS BIGINT) AS tc FROM {grid}) a WHERE (tr * 5 + tc * 3) % 7 <> 0
     UNION ALL SELECT 2, CAST(floor(r / 2.0) AS BIGINT), CAST(floor(c / 2.0) AS BIGINT), CAST(coalesce(value, 0) + 100 AS DOUBLE) FROM {grid} WHERE r % 2 = 0 AND c % 2 = 0 AND CAST(floor(r / 16.0) + floor(c / 16.0) AS BIGINT) % 3 <> 0
