@@ -196,12 +196,6 @@ def largest(read):
     return read("buildings").groupBy((F.col("id") % 20).alias("area")).agg(F.max_by("id", F.struct(F.col("half_lat").cast("double") * F.col("half_lon"), F.col("id"))).alias("part"))
 
 
-@query("ag30_pieces_merged", "SELECT reg_id % 50 AS id, count(*) AS pieces, bool_or(flat) AS flat, max(floors) AS floors FROM {registry} GROUP BY 1")
-def pieces(read):
-    """AG-30: pieces of one id from several tiles."""
-    return read("registry").groupBy((F.col("reg_id") % 50).alias("id")).agg(F.count("*").alias("pieces"), F.bool_or("flat").alias("flat"), F.max("floors").alias("floors"))
-
-
 _BANDS = "SELECT CAST(floor(id / 40.0) AS BIGINT) AS cell, id, CAST(id * 7 % 23 AS DOUBLE) AS bottom, CAST(id * 7 % 23 + 2 + id % 4 AS DOUBLE) AS top FROM {buildings}"
 
 

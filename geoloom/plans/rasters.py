@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import coast, legends, pyramids
+from geoloom.operators import coast, dissolve, legends, pyramids
 from geoloom.plans.register import query
 
 _CLIP = """p AS (SELECT s.*, CAST(floor(least(ay, ey)) AS BIGINT) + i AS r, CAST(floor(least(ax, ex)) AS BIGINT) + j AS c FROM {coast_lines} s, range(20) y(i), range(20) x(j) WHERE floor(least(ay, ey)) + i <= greatest(ay, ey) AND floor(least(ax, ex)) + j <= greatest(ax, ex)),
@@ -109,3 +109,20 @@ def cells_of(read):
     shapes = read("selection_shapes")
     tables.register(shapes.sparkSession)
     return shapes.sparkSession.sql("SELECT s.shape_order, c.z, c.x FROM {shapes} s, LATERAL cells_of(array(z0, z0, z1, z1), array(x0, x1, x1, x0)) c", shapes=shapes)
+
+
+@query(
+    "ag30_pieces_merged",
+    """WITH p AS (SELECT id, count(*) AS pieces FROM {cut_footprints} GROUP BY 1)
+    SELECT reg_id AS id, pieces, 1 AS rings, CAST(8 * half_lat * half_lon AS BIGINT) AS area, flat, floors, lat_e7 - half_lat AS south, lat_e7 + half_lat AS north FROM {registry} JOIN p ON id = reg_id""",
+)
+def merged(read):
+    """AG-30: footprints cut at tile borders, put together again: rings and twice the area are those of the whole."""
+    cut = read("cut_footprints")
+    edge = lambda a, b, c, d: F.struct(F.col(a).alias("ay"), F.col(b).alias("ax"), F.col(c).alias("by"), F.col(d).alias("bx"))
+    edges = cut.select("id", F.inline(F.array(edge("s", "w", "s", "e"), edge("s", "e", "n", "e"), edge("n", "e", "n", "w"), edge("n", "w", "s", "w"))))
+    rings = dissolve.dissolve(edges, "id", 2500)
+    sides = rings.groupBy("id").agg(F.min("y").alias("south"), F.max("y").alias("north"))
+    areas = dissolve.ring_areas(rings, "id").groupBy("id").agg(F.count("*").cast("int").alias("rings"), F.sum("area").alias("area"))
+    facts = cut.groupBy("id").agg(F.count("*").alias("pieces"), F.bool_or("flat").alias("flat"), F.max("floors").alias("floors"))
+    return facts.join(areas, "id").join(sides, "id").select("id", "pieces", "rings", "area", "flat", "floors", "south", "north")

@@ -89,6 +89,13 @@ SQL |= {
           ELSE k * 20 * 65536 + (255 - k * 17) * 256 + 90 END AS rgb, CASE WHEN (r + c) % 23 = 0 THEN 0 ELSE 255 END AS alpha
         FROM (SELECT g.r, g.c, (CAST(floor(g.r / 4.0) AS BIGINT) * 5 + CAST(floor(g.c / 4.0) AS BIGINT) * 3 + CAST(floor(g.r / 16.0) AS BIGINT)) % 11 + 1 AS k FROM {grid_class} g) t""",
 }
+# Footprints cut at tiles of 5,000 units, every other row of tiles in two, so that corners of one piece lie on edges of its neighbour.
+_PARTS = "(VALUES " + ", ".join(f"({i}, {j})" for i in range(6) for j in range(12)) + ") v(i, j)"
+SQL |= {
+    "cut_footprints": f"""SELECT id, flat, floors, s, n, w, e FROM (SELECT id, flat, floors, greatest(s0, ty * 5000) AS s, least(n0, ty * 5000 + 5000) AS n, greatest(w0, tx * half) AS w, least(e0, tx * half + half) AS e FROM (
+        SELECT *, y0 + i AS ty, CASE WHEN (y0 + i) % 2 = 0 THEN 5000 ELSE 2500 END AS half, CAST(floor(w0 / CASE WHEN (y0 + i) % 2 = 0 THEN 5000.0 ELSE 2500.0 END) AS BIGINT) + j AS tx
+        FROM (SELECT reg_id AS id, flat, floors, lat_e7 - half_lat AS s0, lat_e7 + half_lat AS n0, lon_e7 - half_lon AS w0, lon_e7 + half_lon AS e0, CAST(floor((lat_e7 - half_lat) / 5000.0) AS BIGINT) AS y0 FROM {{registry}}) r CROSS JOIN {_PARTS}) c) d WHERE s < n AND w < e""",
+}
 # Pixels of three zooms of tiles of 8: the finest lacks some tiles and holds wrong values in others, the next lacks some.
 SQL["zoom_pixels"] = """SELECT 3 AS z, r, c, CASE WHEN (tr + tc) % 11 = 0 AND r % 8 = 0 AND c % 8 = 0 THEN 99999.0 ELSE v END AS value FROM (SELECT r, c, CAST(coalesce(value, 0) AS DOUBLE) AS v, CAST(floor(r / 8.0) AS BIGINT) AS tr, CAST(floor(c / 8.0) AS BIGINT) AS tc FROM {grid}) a WHERE (tr * 5 + tc * 3) % 7 <> 0
     UNION ALL SELECT 2, CAST(floor(r / 2.0) AS BIGINT), CAST(floor(c / 2.0) AS BIGINT), CAST(coalesce(value, 0) + 100 AS DOUBLE) FROM {grid} WHERE r % 2 = 0 AND c % 2 = 0 AND CAST(floor(r / 16.0) + floor(c / 16.0) AS BIGINT) % 3 <> 0

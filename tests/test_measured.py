@@ -227,3 +227,22 @@ def test_lines_on_a_map_are_filled_from_their_edges(spark):
     assert got == {(1, 0): 1, (1, 1): 1, (1, 2): 1, (1, 3): 2, (1, 4): 2, (1, 5): 1, (1, 6): 1, (1, 7): 0, (2, 0): 0}
     assert legends.classify(pixels.limit(0), legend).count() == 0
     assert {r.rgb for r in legends.unnamed_colours(pixels, legend, 1).collect()} == {near, 0x00FF00}
+
+
+def test_pieces_with_a_hole_are_dissolved(spark):
+    from geoloom.operators import dissolve
+
+    # A ring of unit squares round a hole, cut at every line; one square is cut once more, so corners lie on edges.
+    edges = []
+    for y in range(3):
+        for x in range(3):
+            if (y, x) == (1, 1):
+                continue
+            for w, e in ([(10 * x, 10 * x + 5), (10 * x + 5, 10 * x + 10)] if (y, x) == (0, 1) else [(10 * x, 10 * x + 10)]):
+                s, n = 10 * y, 10 * y + 10
+                edges += [(1, s, w, s, e), (1, s, e, n, e), (1, n, e, n, w), (1, n, w, s, w)]
+    edges += [(2, 3, 3, 3, 7), (2, 3, 7, 8, 7), (2, 8, 7, 3, 3), (3, 1, 1, 1, 1)]
+    table = spark.createDataFrame(edges, "id long, ay long, ax long, by long, bx long")
+    rings = dissolve.ring_areas(dissolve.dissolve(table, "id", 5), "id").collect()
+    assert sorted((r.id, r.area) for r in rings) == [(1, -200), (1, 1800), (2, 20)]
+    assert dissolve.dissolve(table.limit(0), "id", 5).count() == 0
