@@ -54,6 +54,22 @@ NOTICES = {
     "This work is licensed under a Creative Commons Attribution 4.0 International License": "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
     "All rights reserved": "LicenseRef-All-Rights-Reserved",
 }
+#: The clause of the four-clause text that others lack, and the older wording of the third clause.
+BSD_ADVERTISING = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the copyright holder."
+BSD_AUTHOR = "3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission."
+#: Parts of normalised sentences in which names stand, and the words that take the place of any name: (pattern, instead).
+SLOTS = [
+    (r"^neither the names? of .+ nor the names? of .*contributors may be used to endorse or promote products", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
+    (r"^(?:the )?names? of .+ may not be used to endorse or promote products", "the name of the author may not be used to endorse or promote products"),
+    (r"^this software is provided by .+ as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    (r"^in no event shall .+ be liable for any direct indirect incidental", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental"),
+    (r"^this product includes software developed by .+", "this product includes software developed by the copyright holder"),
+    (r"^.+ is free software$", "this program is free software"),
+]
+#: Full stops of these end no sentence: they stand in the names of holders.
+_ABBREVIATED = r"\b(Inc|Ltd|Corp|Co|Dr|Mr|Mrs|Ms|St|Univ)\.([ \t\r\n,])"
+#: An identifier line, and what parts it from the words around it.
+_SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
 #: What "all rights reserved" means counts only where no licence is found beside it.
 RESERVED = "LicenseRef-All-Rights-Reserved"
 #: Each known sentence holds one of these runs of letters, which normalising can't cut; other texts are not looked at further.
@@ -67,8 +83,12 @@ _ENDED = r"([.!?:;])[ \t\n\x0b\f\r]+"
 
 def normalised(text: str) -> list[str]:
     """The sentences of a text as sentences() gives them, those without a letter or digit left out."""
-    parts = re.sub(_ENDED, "\\1\x01", re.sub(_PARTED, "\x01", re.sub(_COMMENT, "\n", "\n" + text))).split("\x01")
-    return [s for p in parts if (s := re.sub(r"[\W_]+", " ", p.lower()).strip())]
+    marked = re.sub(_ABBREVIATED, "\\1\\2", re.sub(_SPDX, "\x01spdx license identifier \\1\x01", "\n" + text))
+    parts = re.sub(_ENDED, "\\1\x01", re.sub(_PARTED, "\x01", re.sub(_COMMENT, "\n", marked))).split("\x01")
+    found = [s for p in parts if (s := re.sub(r"[\W_]+", " ", p.lower()).strip())]
+    for pattern, instead in SLOTS:
+        found = [re.sub(pattern, instead, s) for s in found]
+    return found
 
 
 def _build() -> tuple[dict[str, str], dict[str, str], list[tuple[str, list[str]]]]:
@@ -80,6 +100,9 @@ def _build() -> tuple[dict[str, str], dict[str, str], list[tuple[str, list[str]]
         return [known.setdefault(s, f"{stem}-{len(known) + 1}") for s in normalised(text) if not s.replace(" ", "").isdigit()]
 
     mit, conditions, names, disclaimer = named(MIT, "mit"), named(BSD_CONDITIONS, "bsd"), named(BSD_NAMES, "bsd-names"), named(BSD_DISCLAIMER, "bsd-disclaimer")
+    author, advertising = named(BSD_AUTHOR, "bsd-author"), named(BSD_ADVERTISING, "bsd-advertising")
+    rules += [("BSD-4-Clause", conditions + advertising + x + y) for x in (names, author, []) for y in (disclaimer, [])]
+    rules += [("BSD-3-Clause", conditions + author + y) for y in (disclaimer, [])]
     rules += [("MIT", mit), ("MIT", mit[:1]), ("BSD-3-Clause", conditions + names + disclaimer), ("BSD-3-Clause", conditions + names), ("BSD-2-Clause", conditions + disclaimer), ("BSD-2-Clause", conditions)]
     for licence, text, least in (("ISC", ISC, 1), ("Apache-2.0", APACHE, 2), ("MPL-2.0", MPL, 1), ("Zlib", ZLIB, 4), ("Unlicense", UNLICENSE, 1), ("BSL-1.0", BOOST, 1)):
         ids = named(text, licence.lower())
@@ -90,6 +113,11 @@ def _build() -> tuple[dict[str, str], dict[str, str], list[tuple[str, list[str]]
                 for mark in ";:":
                     ids = named(GNU.format(work=work, mark=mark, name=name, version=version.format(v=v)), "gnu")
                     rules.append((f"{licence}-{kind.partition(',')[0]}", ids))
+    for licence in sorted({x for x, _ in rules} | set(NOTICES.values()) - {RESERVED}):
+        rules.append((licence, named(f"SPDX-License-Identifier: {licence}", "spdx")))
+        for bare in {licence.removesuffix("-only"), licence.replace("-or-later", "+")} - {licence}:
+            if licence.endswith(("-only", "-or-later")):
+                rules.append((licence, named(f"SPDX-License-Identifier: {bare}", "spdx")))
     short: dict[str, str] = {}
     for notice, licence in NOTICES.items():
         (sentence,) = normalised(notice)
@@ -106,12 +134,21 @@ SENTENCES, SHORT, RULES = _build()
 def sentences(text: Column) -> Column:
     """Normalised sentences: lower case, letters and digits, single blanks.
 
+    Names of holders and programs are replaced by the usual words (SLOTS), and an SPDX line is a sentence of its own.
     They end at .!?:; before white space, at a blank line and before a list mark; other line ends are wrapped lines, of
     which comment marks are taken away.
     """
-    parted = F.regexp_replace(F.regexp_replace(F.concat(F.lit("\n"), text), _COMMENT, "\n"), _PARTED, "\x01")
+    marked = F.regexp_replace(F.regexp_replace(F.concat(F.lit("\n"), text), _SPDX, "\x01spdx license identifier $1\x01"), _ABBREVIATED, "$1$2")
+    parted = F.regexp_replace(F.regexp_replace(marked, _COMMENT, "\n"), _PARTED, "\x01")
     ended = F.regexp_replace(parted, _ENDED, "$1\x01")
-    return F.transform(F.split(ended, "\x01"), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
+    return F.transform(F.split(ended, "\x01"), lambda s: _filled(F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))))
+
+
+def _filled(sentence: Column) -> Column:
+    """A normalised sentence with any holder's, author's or program's name replaced by the usual words."""
+    for pattern, instead in SLOTS:
+        sentence = F.regexp_replace(sentence, pattern, instead)
+    return sentence
 
 
 def identifier(sentence: Column, known: dict[str, str] = SENTENCES, short: dict[str, str] = SHORT) -> Column:
@@ -163,12 +200,15 @@ def _oracle() -> str:
     short = ", ".join(f"('{s}', '{name}')" for s, name in SHORT.items())
     rules = ", ".join(f"({k}, '{licence}', '|{'||'.join(sequence)}|')" for k, (licence, sequence) in enumerate(RULES))
     sql = lambda x: x.replace("'", "''")
+    filled = "s"
+    for pattern, instead in SLOTS:
+        filled = f"regexp_replace({filled}, '{pattern}', '{instead}')"
     return f"""
 WITH RECURSIVE whole(s, id) AS (VALUES {whole}), short(s, id) AS (VALUES {short}), rules(k, licence, mark) AS (VALUES {rules}),
 d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-p AS (SELECT r, string_split(regexp_replace(regexp_replace(regexp_replace(chr(10) || text, '{sql(_COMMENT)}', chr(10), 'g'), '{sql(_PARTED)}', chr(1), 'g'), '{sql(_ENDED)}', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM d),
+p AS (SELECT r, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(chr(10) || text, '{sql(_SPDX)}', chr(1) || 'spdx license identifier \\1' || chr(1), 'g'), '{sql(_ABBREVIATED)}', '\\1\\2', 'g'), '{sql(_COMMENT)}', chr(10), 'g'), '{sql(_PARTED)}', chr(1), 'g'), '{sql(_ENDED)}', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM d),
 e AS (SELECT r, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM p),
-n AS (SELECT r, i, trim(regexp_replace(lower(part), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS s FROM e),
+n AS (SELECT r, i, {filled} AS s FROM (SELECT r, i, trim(regexp_replace(lower(part), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS s FROM e)),
 k AS (SELECT n.r, n.i, coalesce(max(whole.id), max_by(short.id, strlen(short.s))) AS id FROM n LEFT JOIN whole ON whole.s = n.s LEFT JOIN short ON suffix(' ' || n.s, ' ' || short.s)
       WHERE whole.id IS NOT NULL OR short.id IS NOT NULL GROUP BY n.r, n.i),
 f AS (SELECT r, string_agg(id, ',' ORDER BY i) AS ids, '|' || string_agg(id, '||' ORDER BY i) || '|' AS seq, count(*) AS n FROM k GROUP BY r),

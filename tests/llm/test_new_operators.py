@@ -253,3 +253,46 @@ def test_near_copied_stretches_inside_lines(spark, length, changes, ended, least
     print(length, changes, sum(s > 0 for s in shares) / 40, sum(shares) / 40)
     assert sum(s > 0 for s in shares) >= least_pairs * 40 and sum(shares) >= least_words * 40
     assert sum(len(out[d] - held[d]) for d in out) <= 0.02 * 40 * length
+
+
+# Licences of named holders and programs, in texts that are not taken from the module
+
+_TWO = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+_END = """
+THIS SOFTWARE IS PROVIDED BY {who} "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+_THIRD = """{mark} Neither the name of {who} nor the names of its
+   contributors may be used to endorse or promote products derived from this
+   software without specific prior written permission.
+"""
+_CASES = [
+    *[("BSD-3-Clause", _TWO + _THIRD.format(mark="3.", who=who) + _END.format(who="THE REGENTS AND CONTRIBUTORS")) for who in ("the University", "Google Inc.", "the copyright holder", "Sun Microsystems, Inc.", "Willow Garage")],
+    ("BSD-3-Clause", _TWO + "3. The name of John Doe may not be used to endorse or promote products derived from this software without specific prior written permission.\n" + _END.format(who="JOHN DOE")),
+    ("BSD-2-Clause", _TWO + _END.format(who="THE FREEBSD PROJECT")),
+    ("BSD-4-Clause", _TWO + "3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\n   This product includes software developed by the University of California.\n" + _THIRD.format(mark="4.", who="the University") + _END.format(who="THE REGENTS")),
+    ("GPL-3.0-or-later", "Foobar is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0-or-later", "/* GNU Zed is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.\n */"),
+    ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0\npackage main"),
+    ("MIT", "# SPDX-License-Identifier: MIT\nimport os"),
+    ("GPL-2.0-only", "/* SPDX-License-Identifier: GPL-2.0 */\n#include <a.h>"),
+    ("", "The name of the town is free software of a kind, as is the river."),
+]
+
+
+def test_licences_of_named_holders(spark):
+    from geoloom.llm import licences
+
+    rows = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(_CASES)], "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.scan_licences(rows).collect()}
+    assert [got[i] for i in range(len(_CASES))] == [name for name, _ in _CASES]
