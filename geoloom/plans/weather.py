@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from geoloom.operators import weather
 from geoloom.plans.register import query
 from geoloom.streaming import observations as stream
+from geoloom.streaming import state
 
 
 def _events(read, table="observations"):
@@ -75,6 +76,27 @@ def rate(read):
     return stream.trailing_rate(_events(read), "60 minutes", "30 minutes").withColumn("start", F.unix_timestamp("start"))
 
 
+@query("sm05_progress", """WITH s AS (SELECT station, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) AS n FROM {observations} WHERE ts IS NOT NULL GROUP BY 1, 2), t AS (SELECT station, count(*) + min(user_id) % 5 - 2 AS total FROM {observations} GROUP BY 1),
+    w AS (SELECT station, second, CAST(sum(n) OVER (PARTITION BY station ORDER BY second) AS BIGINT) AS done, sum(n) OVER (PARTITION BY station ORDER BY second RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) / 86400.0 AS rate FROM s)
+    SELECT station, second, done, round(CAST(rate AS DOUBLE), 8) AS rate, round(greatest((total - done) / CAST(rate AS DOUBLE), 0.0), 2) AS left_s FROM w JOIN t USING (station)""")
+def left(read):
+    """SM-05: work done, its rate over the last day, and the time left to a total."""
+    totals = read("observations").groupBy("station").agg((F.count("*") + F.min("user_id") % 5 - 2).alias("total"))
+    return state.progress(_events(read), totals, "station", 86_400).withColumns({"rate": F.round("rate", 8), "left_s": F.round("left_s", 2)})
+
+
+@query("sm07_current_readings", """WITH now AS (SELECT max(ts) AS t FROM {observations}), r AS (SELECT CAST(floor(lat_e7 / 500000.0) AS BIGINT) AS y, CAST(floor(lon_e7 / 500000.0) AS BIGINT) AS x, max_by(struct_pack(k := event_id, ts := ts, lat := lat_e7, lon := lon_e7, temp := temp_c), (ts, event_id)) AS v FROM {observations} WHERE temp_c IS NOT NULL GROUP BY 1, 2),
+    l AS (SELECT v.k AS k, v.lat AS lat, v.lon AS lon, v.temp AS temp FROM r, now WHERE epoch_us(v.ts) + 172800000000 > epoch_us(t)),
+    d AS (SELECT place_id, k, temp, sqrt(((lon - lon_e7) / 1e7 * 111320.0 * cos(radians(lat_e7 / 1e7))) ** 2 + ((lat - lat_e7) / 1e7 * 111320.0) ** 2) AS d FROM {places}, l),
+    n AS (SELECT place_id, min_by(temp, (round(d, 3), k)) AS near FROM d WHERE d <= 30000 GROUP BY place_id)
+    SELECT place_id, round(coalesce(near, (SELECT avg(temp) FROM l)), 4) AS temp, near IS NOT NULL AS measured FROM {places} LEFT JOIN n USING (place_id)""")
+def current(read):
+    """SM-07: each area's newest reading while it is fresh; a place takes the nearest within 30 km, else the mean."""
+    e = _events(read)
+    newest = e.agg(F.max("ts")).first()[0]
+    return state.temperature_at(read("places"), state.current_readings(e, F.lit(newest), 2880), "place_id").withColumn("temp", F.round("temp", 4))
+
+
 @query("sm06_held_weather", """WITH g AS (SELECT station, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) < 1800 THEN 0 ELSE 1 END AS n FROM {observations} WINDOW w AS (PARTITION BY station ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY station ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
     SELECT station, CAST(floor(epoch(min(ts))) AS BIGINT) AS "start", count(*) AS n FROM s GROUP BY station, i""")
 def held(read):
@@ -91,7 +113,7 @@ def enriched(read):
 
 @query("sm14_readiness", """WITH l AS (SELECT station, max_by(lat_e7, (ts, event_id)) AS lat, max_by(lon_e7, (ts, event_id)) AS lon FROM {observations} GROUP BY 1), r AS (SELECT DISTINCT CAST(floor(lat_e7 / 1000000.0) AS BIGINT) AS y, CAST(floor(lon_e7 / 1000000.0) AS BIGINT) AS x FROM {places}),
     n AS (SELECT station, CAST(floor(lat / 1000000.0) AS BIGINT) + a AS y, CAST(floor(lon / 1000000.0) AS BIGINT) + b AS x FROM l, range(-2, 3) p(a), range(-2, 3) q(b))
-    SELECT station, count(*) AS needed, count(r.y) AS ready FROM n LEFT JOIN r USING (y, x) GROUP BY station""")
+    SELECT station, count(*) AS needed, count(r.y) AS ready, count(r.y) = count(*) AS complete FROM n LEFT JOIN r USING (y, x) GROUP BY station""")
 def readiness(read):
     """SM-14, JN-47: ready against needed cells round the latest position."""
     ready = read("places").select(F.floor(F.col("lat_e7") / 1_000_000).alias("cell_lat"), F.floor(F.col("lon_e7") / 1_000_000).alias("cell_lon"))

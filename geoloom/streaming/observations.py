@@ -163,10 +163,11 @@ def dwellers(positions: DataFrame, covered: DataFrame, dwell_s: int = 60, again_
 
 
 def readiness(positions: DataFrame, ready: DataFrame, reach: int = 2, step_e7: int = 1_000_000) -> DataFrame:
-    """Ready against needed cells round each entity's latest position."""
+    """Ready against needed cells round each entity's latest position; `complete` says whether all of them are ready."""
     latest = positions.groupBy("station").agg(F.max_by(F.struct("lat_e7", "lon_e7"), F.struct("ts", "event_id")).alias("p"))
     cells = latest.select("station", F.floor(F.col("p.lat_e7") / step_e7).alias("y"), F.floor(F.col("p.lon_e7") / step_e7).alias("x"))
     around = F.sequence(F.lit(-reach), F.lit(reach))
     needed = cells.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around)).select("station", (F.col("y") + F.col("dy")).alias("cell_lat"), (F.col("x") + F.col("dx")).alias("cell_lon"))
     met = needed.join(ready.select("cell_lat", "cell_lon").distinct().withColumn("is_ready", F.lit(1)), ["cell_lat", "cell_lon"], "left")
-    return met.groupBy("station").agg(F.count("*").alias("needed"), F.coalesce(F.sum("is_ready"), F.lit(0)).alias("ready"))
+    counted = met.groupBy("station").agg(F.count("*").alias("needed"), F.coalesce(F.sum("is_ready"), F.lit(0)).alias("ready"))
+    return counted.withColumn("complete", F.col("ready") == F.col("needed"))
