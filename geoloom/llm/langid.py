@@ -230,10 +230,14 @@ def remainder(column: str, divisor: int) -> Column:
 
 
 def keep_identified(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The rows of `docs` that a model of `labelled` does not reject; columns stay as they are."""
-    aside = {c: f"__own_{c}" for c in ("lang_pred", "score", "rejected") if c in docs.columns}
-    kept = identify(docs.withColumnsRenamed(aside), fit_languages(labelled)).where("not rejected").drop("lang_pred", "score", "rejected")
-    return kept.withColumnsRenamed({own: c for c, own in aside.items()})
+    """The rows of `docs` that a model of `labelled` does not reject; columns stay as they are, whatever their names.
+
+    Texts that are null or have no letter go; repeated rows stay or go together; whole texts are read, however long; ties go
+    to the first centroid; an empty table stays empty.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[c if c == "text" else f"own_{i}" for i, c in enumerate(names)])
+    return identify(plain, fit_languages(labelled)).where("not rejected").drop("lang_pred", "score", "rejected").toDF(*names)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

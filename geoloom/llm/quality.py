@@ -113,13 +113,16 @@ def with_verdict(marked: DataFrame, ratios: list[float], threshold: float = THRE
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Every row of `docs` with its base counts, its score and `kept`: base_failed false and score >= threshold.
 
-    Repeated rows get equal results each; an empty table gives none; the columns that `docs` brings stay, unless they
-    bear the name of a result. Only DataFrame functions are used.
+    A null, empty or blank text has no n-gram and fails the base rules. Repeated rows get equal results each; an empty table
+    gives none; whole texts are read, however long; a score equal to the threshold keeps its row. The columns that `docs`
+    brings stay, unless they bear the name of a result in any letter case. Only DataFrame functions are used.
     """
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     docs = docs.drop(*results)
-    scored = with_verdict(base_counts(with_grams(docs)), log_ratios(docs, labels), threshold)
-    return scored.withColumn("kept", ~F.col("base_failed") & F.col("kept")).drop("__words", "__ones", "__twos", "__ends")
+    names = docs.columns
+    plain = docs.toDF(*[c if c == "text" else f"own_{i}" for i, c in enumerate(names)])
+    scored = with_verdict(base_counts(with_grams(plain)), log_ratios(docs, labels), threshold)
+    return scored.withColumn("kept", ~F.col("base_failed") & F.col("kept")).select(*plain.columns, *results).toDF(*names, *results)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

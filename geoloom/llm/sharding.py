@@ -67,10 +67,15 @@ def assign_shards(docs: DataFrame, shards: int, weights: Mapping[int, float] | N
     """`docs` with `shard` (of the given number) and `grown_shard` (of one more), both from doc_id alone.
 
     A null doc_id is the empty key; repeated rows share a shard; the text plays no part. Weights of shards beyond the
-    mapping are 1. A new shard takes only the rows whose draw it wins; no other row moves.
+    mapping are 1. A new shard takes only the rows whose draw it wins; no other row moves. An empty table stays empty. The
+    columns that `docs` brings stay, unless they are called shard or grown_shard in any letter case.
     """
-    drawn = docs.withColumn("_draws", draws(F.col("doc_id").cast("string"), shards + 1, weights))
-    return drawn.withColumns({"shard": winner(F.slice("_draws", 1, shards)), "grown_shard": winner(F.col("_draws"))}).drop("_draws")
+    docs = docs.drop("shard", "grown_shard")
+    names = docs.columns
+    plain = docs.toDF(*[c if c == "doc_id" else f"own_{i}" for i, c in enumerate(names)])
+    drawn = plain.withColumn("draws", draws(F.col("doc_id").cast("string"), shards + 1, weights))
+    placed = drawn.withColumns({"shard": winner(F.slice("draws", 1, shards)), "grown_shard": winner(F.col("draws"))}).drop("draws")
+    return placed.toDF(*names, "shard", "grown_shard")
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

@@ -457,3 +457,23 @@ def test_a_language_of_few_texts_is_learned(spark):
     rows = [(i, f"{PROSE['de']} {i % 3}", "de") for i in range(3000)] + [(i, f"{PROSE['en']} {i}", "en") for i in range(300)]
     model = langid.fit_languages(make(spark, rows), most=20)
     assert model.languages == ["de", "en"] and [r[0] for r in model.predict([PROSE["de"], PROSE["en"]])] == ["de", "en"]
+
+
+CLASHING = {"Score": "a", "__words": "b", "__Ones": "c", "_draws": "d", "draws": "e", "own_1": "f", "Rejected": "g", "LANG_PRED": "h", "__own_Score": "i"}
+
+
+@pytest.mark.parametrize("name", ["keep_identified", "quality_rules", "assign_shards"])
+def test_clashing_names_in_any_letter_case_stay(spark, name):
+    docs = make(spark, [(i, PROSE[k], k) for i, k in enumerate(("en", "de", "fr") * 3)] + [(20, None, None), (None, "12", "en")])
+    odd = docs.select("doc_id", "text", "lang", *[F.concat(F.lit(v), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(c) for c, v in CLASHING.items()])
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    out = {"keep_identified": lambda: langid.keep_identified(odd, odd), "quality_rules": lambda: quality.quality_rules(odd, labels), "assign_shards": lambda: sharding.assign_shards(odd, 4)}[name]()
+    # quality_rules has a result named score, which takes the place of the caller's.
+    kept = [c for c in CLASHING if not (name == "quality_rules" and c == "Score")]
+    assert [c for c in out.columns if c in kept] == kept
+    rows = out.select("doc_id", *kept).collect()
+    assert all(r[c] == CLASHING[c] + ("null" if r["doc_id"] is None else str(r["doc_id"])) for r in rows for c in kept)
+    assert len(rows) == (9 if name == "keep_identified" else 11)
+    plain = {"keep_identified": lambda: langid.keep_identified(docs, docs), "quality_rules": lambda: quality.quality_rules(docs, labels), "assign_shards": lambda: sharding.assign_shards(docs, 4)}[name]()
+    results = {"keep_identified": [], "quality_rules": ["score", "kept", "n_words"], "assign_shards": ["shard", "grown_shard"]}[name]
+    assert sorted(map(str, out.select("doc_id", *results).collect())) == sorted(map(str, plain.select("doc_id", *results).collect()))
