@@ -103,6 +103,31 @@ def jaccard_reaches(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both)
 
 
+def forest_links(sets: list[np.ndarray], own: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places of pairs of Jaccard `similarity` or more, enough of them to link all that such pairs link; exact.
+
+    `sets` are sorted arrays of different values, not empty. If `own` has more than one value, only pairs of different ones
+    count. Two such sets share at least `similarity` of each one's values, so among the first `1 - similarity` of the
+    values of each (and one more) there is one in common: only sets that share one of those are compared, and of them
+    only those of a fitting size that nothing has linked yet.
+    """
+    sizes, label, any_own = np.array([len(s) for s in sets]), np.arange(len(sets)), len(np.unique(own)) < 2
+    firsts = sizes - np.ceil(similarity * sizes - 1e-9).astype(int) + 1
+    holders: dict[int, list[int]] = {}
+    links: list[tuple[int, int]] = []
+    for x, values in enumerate(sets):
+        heads = values[: firsts[x]].tolist()
+        met = np.array(sorted({y for v in heads for y in holders.get(v, ())}), int)
+        met = met[(label[met] != label[x]) & (any_own | (own[met] != own[x])) & (np.minimum(sizes[met], sizes[x]) >= similarity * np.maximum(sizes[met], sizes[x]))]
+        for y in met.tolist():
+            if label[y] != label[x] and jaccard_reaches(values, sets[y], similarity):
+                label[label == label[x]] = label[y]
+                links.append((x, y))
+        for v in heads:
+            holders.setdefault(v, []).append(x)
+    return links
+
+
 def _verified_pairs(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     left = held.select(F.col("h").alias("a"), F.col("shingles").alias("sa"))
     right = held.select(F.col("h").alias("b"), F.col("shingles").alias("sb"))
@@ -126,24 +151,9 @@ def _block_links(members: DataFrame, sizes: DataFrame, held: DataFrame, similari
     full = dealt.join(held, "h").select("key", "h", "own", "i", "j", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
-        hs, own = table.column("h").to_pylist(), table.column("own").to_pylist()
-        sets = [distinct_values(s.as_buffer()) for s in table.column("shingles")]
-        root = list(range(len(hs)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        same = len(set(own)) == 1
-        out: list[tuple[int, int]] = []
-        for x in range(len(hs)):
-            for y in range(x):
-                if (same or own[x] != own[y]) and find(x) != find(y) and jaccard_reaches(sets[x], sets[y], similarity):
-                    root[find(x)] = find(y)
-                    out.append((hs[x], hs[y]))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        hs, own = table.column("h").to_pylist(), np.array(table.column("own").to_pylist())
+        found = forest_links([distinct_values(s.as_buffer()) for s in table.column("shingles")], own, similarity)
+        return pa.table({"a": pa.array([hs[x] for x, _ in found], pa.int64()), "b": pa.array([hs[y] for _, y in found], pa.int64())})
 
     return full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 

@@ -477,3 +477,28 @@ def test_clashing_names_in_any_letter_case_stay(spark, name):
     plain = {"keep_identified": lambda: langid.keep_identified(docs, docs), "quality_rules": lambda: quality.quality_rules(docs, labels), "assign_shards": lambda: sharding.assign_shards(docs, 4)}[name]()
     results = {"keep_identified": [], "quality_rules": ["score", "kept", "n_words"], "assign_shards": ["shard", "grown_shard"]}[name]
     assert sorted(map(str, out.select("doc_id", *results).collect())) == sorted(map(str, plain.select("doc_id", *results).collect()))
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95, 1.0])
+def test_links_of_crowded_blocks_join_what_all_pairs_join(similarity):
+    draw = np.random.default_rng(int(similarity * 100))
+    for _ in range(60):
+        seeds = [np.unique(draw.integers(0, 400, draw.integers(1, 40))) for _ in range(6)]
+        sets = []
+        for _ in range(int(draw.integers(1, 50))):
+            s = seeds[draw.integers(len(seeds))]
+            s = np.union1d(s[draw.random(len(s)) > draw.choice([0, 0.05, 0.3])], draw.integers(0, 400, draw.integers(0, 3)))
+            sets.append(s if len(s) else np.array([7]))
+        own = draw.integers(0, draw.integers(1, 3), len(sets))
+        mixed = len(set(own.tolist())) < 2
+        pairs = [(x, y) for x, y in itertools.combinations(range(len(sets)), 2) if (mixed or own[x] != own[y]) and len(np.intersect1d(sets[x], sets[y])) >= similarity * len(np.union1d(sets[x], sets[y]))]
+
+        def groups(links, n=len(sets)):
+            label = list(range(n))
+            for a, b in links:
+                label = [label[b] if v == label[a] else v for v in label]
+            return {frozenset(i for i in range(n) if label[i] == v) for v in label}
+
+        links = minhash.forest_links(sets, own, similarity)
+        assert groups(links) == groups(pairs) and {tuple(sorted(p)) for p in links} <= set(pairs)
+        assert len(links) == len(sets) - len(groups(pairs))
