@@ -187,3 +187,15 @@ def gates(read):
     known = F.avg(F.col("value").isNotNull().cast("double"))
     t = read("grid").groupBy(F.floor(F.col("r") / 8).alias("r"), F.floor(F.col("c") / 8).alias("c"))
     return t.agg(F.bool_and(F.coalesce(F.col("value") < 200, F.lit(True))).alias("open_sea"), F.round(known, 4).alias("known")).where("known >= 0.3")
+
+
+@query("ag10_water_surfaces", """WITH s AS (SELECT *, count(*) OVER (PARTITION BY area_id) AS n FROM {water_shores}), p AS (SELECT area_id, CAST(floor(r) AS BIGINT) AS r, CAST(floor(c) AS BIGINT) AS c FROM s WHERE seq % greatest(CAST(floor(n / 24.0) AS BIGINT), 1) = 0 AND seq < 24 * greatest(CAST(floor(n / 24.0) AS BIGINT), 1)),
+    v AS (SELECT area_id, value, row_number() OVER (PARTITION BY area_id ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY area_id) AS m FROM p JOIN {grid} USING (r, c) WHERE value IS NOT NULL), o AS (SELECT area_id, any_value(m) AS samples, max(CASE WHEN k = CAST(floor(m / 2.0) AS BIGINT) THEN value END) AS med FROM v GROUP BY 1),
+    f AS (SELECT w.*, coalesce(samples, 0) AS samples, CAST(coalesce(med, g.value, 0) AS DOUBLE) AS found FROM {water_bodies} w LEFT JOIN o USING (area_id) LEFT JOIN {grid} g ON g.r = floor(mid_r) AND g.c = floor(mid_c)),
+    t AS (SELECT *, kind = 'sea' OR tidal OR found <= 1 AS at_sea FROM f), u AS (SELECT * REPLACE (CASE WHEN at_sea AND kind NOT IN ('swimming_pool', 'fountain_basin', 'basin') THEN 'sea' ELSE kind END AS kind) FROM t)
+    SELECT area_id, kind, CASE WHEN at_sea THEN 0.0 ELSE floor(found + 0.5) END::DOUBLE AS surface, CAST(CASE kind WHEN 'sea' THEN 6 WHEN 'lake' THEN CASE WHEN area_m2 > 1000000 THEN 12 WHEN area_m2 > 100000 THEN 7 ELSE 4 END WHEN 'reservoir' THEN CASE WHEN area_m2 > 500000 THEN 10 ELSE 6 END WHEN 'river' THEN 3 WHEN 'stream' THEN 1 ELSE 2 END AS INTEGER) AS depth, at_sea, CAST(samples AS INTEGER) AS samples FROM u""")
+def water_surfaces(read):
+    """AG-10: one surface for each body of water, the sea where it is no higher."""
+    from geoloom.operators import waters
+
+    return waters.water_surfaces(read("water_bodies"), read("water_shores"), read("grid"), 0.0)

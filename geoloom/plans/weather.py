@@ -78,11 +78,11 @@ def rate(read):
 
 @query("sm05_progress", """WITH s AS (SELECT station, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) AS n FROM {observations} WHERE ts IS NOT NULL GROUP BY 1, 2), t AS (SELECT station, count(*) + min(user_id) % 5 - 2 AS total FROM {observations} GROUP BY 1),
     w AS (SELECT station, second, CAST(sum(n) OVER (PARTITION BY station ORDER BY second) AS BIGINT) AS done, sum(n) OVER (PARTITION BY station ORDER BY second RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) / 86400.0 AS rate FROM s)
-    SELECT station, second, done, round(CAST(rate AS DOUBLE), 8) AS rate, round(greatest((total - done) / CAST(rate AS DOUBLE), 0.0), 2) AS left_s FROM w JOIN t USING (station)""")
+    SELECT station, second, done, round(CAST(rate AS DOUBLE), 8) AS rate, round(greatest((total - done) / CAST(rate AS DOUBLE), 0.0), 6) AS left_s FROM w JOIN t USING (station)""")
 def left(read):
     """SM-05: work done, its rate over the last day, and the time left to a total."""
     totals = read("observations").groupBy("station").agg((F.count("*") + F.min("user_id") % 5 - 2).alias("total"))
-    return state.progress(_events(read), totals, "station", 86_400).withColumns({"rate": F.round("rate", 8), "left_s": F.round("left_s", 2)})
+    return state.progress(_events(read), totals, "station", 86_400).withColumns({"rate": F.round("rate", 8), "left_s": F.round("left_s", 6)})
 
 
 @query("sm07_current_readings", """WITH now AS (SELECT max(ts) AS t FROM {observations}), r AS (SELECT CAST(floor(lat_e7 / 500000.0) AS BIGINT) AS y, CAST(floor(lon_e7 / 500000.0) AS BIGINT) AS x, max_by(struct_pack(k := event_id, ts := ts, lat := lat_e7, lon := lon_e7, temp := temp_c), (ts, event_id)) AS v FROM {observations} WHERE temp_c IS NOT NULL GROUP BY 1, 2),

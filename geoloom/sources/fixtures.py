@@ -118,6 +118,13 @@ SQL |= {
           FROM {axis_buildings} b CROSS JOIN (VALUES NUMBERS) i(k) CROSS JOIN (VALUES NUMBERS) j(k)) p) q""".replace("NUMBERS", ", ".join(f"({k})" for k in range(29))),
 }
 SQL["grid"] = "SELECT CAST(vec_id AS BIGINT) AS r, CAST(c AS BIGINT) AS c, CASE WHEN (vec_id * 7 + c * 3) % 11 = 0 THEN NULL ELSE CAST(floor(CAST(e AS DOUBLE) * 1000) AS BIGINT) END AS value FROM (SELECT vec_id, posexplode(embedding) AS (c, e) FROM {embeddings}) t"
+# Bodies of water with 3 to 99 shore vertices over the grid; every ninth lies off it, every seventh has its middle there only.
+SQL |= {
+    "water_bodies": """SELECT lake_id AS area_id, CASE lake_id % 9 WHEN 0 THEN 'lake' WHEN 1 THEN 'reservoir' WHEN 2 THEN 'pond' WHEN 3 THEN 'river' WHEN 4 THEN 'basin' WHEN 5 THEN 'swimming_pool' WHEN 6 THEN 'stream' WHEN 7 THEN 'sea' ELSE 'lake' END AS kind,
+        lake_id % 10 = 3 AS tidal, (half_lat * 2 / 90.0) * (half_lon * 2 / 180.0) * (1 + lake_id % 4 * 3) AS area_m2, CAST(lake_id * 3 % 200 + CASE WHEN lake_id % 9 = 8 AND lake_id % 2 = 0 THEN -1000 ELSE 0 END AS DOUBLE) + 0.5 AS mid_r, CAST(lake_id * 11 % 64 AS DOUBLE) + 0.5 AS mid_c FROM {lakes}""",
+    "water_shores": """SELECT lake_id AS area_id, CAST(10 * a.k + b.k AS BIGINT) AS seq, CAST(lake_id * 3 % 200 + (10 * a.k + b.k) % 7 + CASE WHEN lake_id % 9 = 8 OR lake_id % 7 = 2 THEN -1000 ELSE 0 END AS DOUBLE) + 0.25 AS r, CAST((lake_id + (10 * a.k + b.k) * 5) % 64 AS DOUBLE) + 0.75 AS c
+        FROM {lakes} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) a(k) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) b(k) WHERE 10 * a.k + b.k < 3 + lake_id * 37 % 97""",
+}
 DUCK: dict[str, str] = {
     "grid": SQL["grid"].replace("(SELECT vec_id, posexplode(embedding) AS (c, e) FROM {embeddings})", "(SELECT vec_id, unnest(range(len(embedding))) AS c, unnest(embedding) AS e FROM {embeddings})"),
 }

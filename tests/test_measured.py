@@ -246,3 +246,18 @@ def test_pieces_with_a_hole_are_dissolved(spark):
     rings = dissolve.ring_areas(dissolve.dissolve(table, "id", 5), "id").collect()
     assert sorted((r.id, r.area) for r in rings) == [(1, -200), (1, 1800), (2, 20)]
     assert dissolve.dissolve(table.limit(0), "id", 5).count() == 0
+
+
+def test_water_surfaces(spark):
+    from geoloom.operators import waters
+
+    areas = spark.createDataFrame(
+        [(1, "lake", False, 2e6, 0.5, 0.5), (2, "lake", None, 5e4, 0.5, 90.5), (3, "basin", True, 9e9, 7.0, 7.0), (4, "pond", False, 1.0, 500.0, 0.0), (5, "lake", False, 2e5, 0.5, 90.5)],
+        "area_id long, kind string, tidal boolean, area_m2 double, mid_r double, mid_c double",
+    )
+    # Of 50 vertices every second counts, 24 of them: those after 46 don't, nor the odd ones with their height of 1000.
+    shore = spark.createDataFrame([(1, k, 3.5, k + 0.5) for k in range(50)] + [(5, k, 3.9, 60.5 + k) for k in range(4)], "area_id long, seq long, r double, c double")
+    heights = [(3, k, 1000.0 if k % 2 or k >= 48 else float(20 + k)) for k in range(50)] + [(0, 90, 30.6), (0, 0, -5.0)]
+    heights += [(3, 60, 7.0), (3, 61, 9.5), (3, 62, None)]
+    got = {r.area_id: tuple(r)[1:] for r in waters.water_surfaces(areas, shore, spark.createDataFrame(heights, "r long, c long, value double"), 2.0).collect()}
+    assert got == {1: ("lake", 44.0, 12, False, 24), 2: ("lake", 31.0, 4, False, 0), 3: ("basin", 2.0, 2, True, 0), 4: ("sea", 2.0, 6, True, 0), 5: ("lake", 10.0, 7, False, 2)}
