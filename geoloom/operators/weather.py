@@ -54,8 +54,11 @@ def latest_by_cell(events: DataFrame, value: str, width: str, step_e7: int) -> D
 
 
 def reading_or_mean(asked: DataFrame, readings: DataFrame, key: str, metres: float) -> DataFrame:
-    """The nearest reading within reach, else the mean of all."""
-    r = readings.select(F.col("lat_e7").alias("r_lat"), F.col("lon_e7").alias("r_lon"), "reading_id", "temp")
+    """The nearest reading within reach (the smaller reading_id of equally near ones), else the mean of all.
+
+    Readings of one position are brought down to the one that counts before they are joined, so a position may hold any share of them.
+    """
+    r = readings.groupBy(F.col("lat_e7").alias("r_lat"), F.col("lon_e7").alias("r_lon")).agg(F.min("reading_id").alias("reading_id"), F.min_by("temp", "reading_id").alias("temp"))
     pairs = near_pairs(asked, r, metres, ("lat_e7", "lon_e7"), ("r_lat", "r_lon"))
     d = metres_e7(F.col("lat_e7"), F.col("lon_e7"), F.col("r_lat"), F.col("r_lon"))
     best = pairs.withColumn("d", d).where(F.col("d") <= metres).groupBy(key).agg(F.min_by("temp", F.struct(F.round("d", 3), F.col("reading_id"))).alias("near"))

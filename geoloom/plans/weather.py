@@ -54,12 +54,12 @@ def provider(read):
     return read("observations").select("event_id", rule.alias("provider"))
 
 
-@query("jn40_reading_or_mean", """WITH r AS (SELECT event_id AS reading_id, lat_e7, lon_e7, temp_c AS temp FROM {observations} WHERE temp_c IS NOT NULL AND event_id % 9 = 0),
+@query("jn40_reading_or_mean", """WITH r AS (SELECT event_id AS reading_id, lat_e7, lon_e7, temp_c AS temp FROM {observations} WHERE temp_c IS NOT NULL),
     n AS (SELECT place_id, min_by(temp, (round(sqrt(((r.lon_e7 - p.lon_e7) / 1e7 * 111320.0 * cos(radians(p.lat_e7 / 1e7))) ** 2 + ((r.lat_e7 - p.lat_e7) / 1e7 * 111320.0) ** 2), 3), reading_id)) AS near FROM {places} p JOIN r ON sqrt(((r.lon_e7 - p.lon_e7) / 1e7 * 111320.0 * cos(radians(p.lat_e7 / 1e7))) ** 2 + ((r.lat_e7 - p.lat_e7) / 1e7 * 111320.0) ** 2) <= 2500 GROUP BY place_id)
     SELECT place_id, round(coalesce(near, (SELECT avg(temp) FROM r)), 4) AS temp, near IS NOT NULL AS measured FROM {places} LEFT JOIN n USING (place_id)""")
 def reading(read):
     """JN-40, SM-07: the nearest reading within reach, else the mean."""
-    r = read("observations").where("temp_c is not null and event_id % 9 = 0").select(F.col("event_id").alias("reading_id"), "lat_e7", "lon_e7", F.col("temp_c").alias("temp"))
+    r = read("observations").where("temp_c is not null").select(F.col("event_id").alias("reading_id"), "lat_e7", "lon_e7", F.col("temp_c").alias("temp"))
     return weather.reading_or_mean(read("places").select("place_id", "lat_e7", "lon_e7"), r, "place_id", 2500).withColumn("temp", F.round("temp", 4))
 
 
