@@ -10,6 +10,8 @@ from geoloom.session import stored
 
 #: Columns of a row that are taken together, and that neighbouring rows meet under.
 BLOCK, BUCKET = 4096, 64
+#: Cells between the cuts at a row and a column line that are taken for one corner: rounding parts them.
+CORNER = 1e-9
 #: How far beside the line a side is asked, and the metres between votes.
 BESIDE, APART = 1.6, 2.0
 
@@ -18,7 +20,8 @@ def line_cells(segments: DataFrame) -> DataFrame:
     """The cells `(r, c)` that segments (ay, ax, by, bx in cells) pass through, each once; neighbours share a side.
 
     A segment is cut where it meets a row or column line; each part lies in one cell. Where it passes through a corner, the
-    cell before it in rows and behind it in columns is taken too.
+    cell before it in rows and behind it in columns is taken too. Parts shorter than CORNER cells are corners, or ends on a
+    line, and have no cell of their own.
     """
     y = lambda t: F.col("ay") + t * (F.col("by") - F.col("ay"))
     x = lambda t: F.col("ax") + t * (F.col("bx") - F.col("ax"))
@@ -31,12 +34,13 @@ def line_cells(segments: DataFrame) -> DataFrame:
     ends = F.array(F.lit(0.0), F.lit(1.0))
     cut = segments.withColumn("_t", F.array_sort(F.concat(ends, cuts(F.col("ay"), F.col("by")), cuts(F.col("ax"), F.col("bx")))))
     part = cut.withColumn("_k", F.explode(F.sequence(F.lit(0), F.size("_t") - 2))).withColumns({"_a": F.get("_t", F.col("_k")), "_b": F.get("_t", F.col("_k") + 1)})
-    corner = (F.col("_a") == F.col("_b")) & (F.col("_a") > 0) & (F.col("_a") < 1)
+    short = (F.col("_b") - F.col("_a")) * F.greatest(F.abs(F.col("by") - F.col("ay")), F.abs(F.col("bx") - F.col("ax"))) < CORNER
+    corner = short & (F.col("_a") > 0) & (F.col("_b") < 1)
     middle = (F.col("_a") + F.col("_b")) / 2
     # In a corner: the row that the segment comes from, the column that it goes to.
     before = F.round(y(middle)).cast("bigint") - F.when(F.col("by") > F.col("ay"), 1).otherwise(0)
     after = F.round(x(middle)).cast("bigint") - F.when(F.col("bx") > F.col("ax"), 0).otherwise(1)
-    return part.select(F.when(corner, before).otherwise(F.floor(y(middle))).alias("r"), F.when(corner, after).otherwise(F.floor(x(middle))).alias("c")).distinct()
+    return part.where(~short | corner | ((F.col("_a") == 0) & (F.col("_b") == 1))).select(F.when(corner, before).otherwise(F.floor(y(middle))).alias("r"), F.when(corner, after).otherwise(F.floor(x(middle))).alias("c")).distinct()
 
 
 def pieces(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
