@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,3 +10,9 @@ def ranked(df: DataFrame, groups: list[str], value: str, ties: list[str]) -> Dat
     """`df` with k, the rank of its value from 0 within the group, and n, the group's rows."""
     whole = Window.partitionBy(*groups)
     return df.withColumns({"k": F.row_number().over(whole.orderBy(value, *ties)) - 1, "n": F.count("*").over(whole)})
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """`value` at so many decimals with its sign, as other engines have it: a small negative one is -0.0, which F.round makes 0.0."""
+    short = F.round(value, digits)
+    return F.when((short == 0) & (value < 0), F.lit(-0.0)).otherwise(short)
