@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.text import sky_of_symbol, wet_and_thunder
-from geoloom.operators.spatial import metres_e7, near_pairs
+from geoloom.operators.spatial import nearest_within
+from geoloom.session import stored
 
 STATION_MINUTES, RADAR_MINUTES, READING_MINUTES = 75, 30, 20
 
@@ -23,11 +24,10 @@ def nearest_station(asked: DataFrame, stations: DataFrame, key: str, km: float =
     slots = F.sequence(F.floor((seconds(F.col("at")) - minutes * 60) / 3600), F.floor(seconds(F.col("at")) / 3600))
     asked = asked.withColumn("_h", F.explode(slots))
     reports = stations.select("event_id", F.col("lat_e7").alias("s_lat"), F.col("lon_e7").alias("s_lon"), F.col("ts").alias("s_ts"), "wx", "temp_c", F.floor(seconds(F.col("ts")) / 3600).alias("_sh"))
-    pairs = near_pairs(asked, reports, km * 1000, ("lat_e7", "lon_e7"), ("s_lat", "s_lon"), (("_h", "_sh"),))
     age = seconds(F.col("at")) - seconds(F.col("s_ts"))
-    near = pairs.withColumns({"d": metres_e7(F.col("lat_e7"), F.col("lon_e7"), F.col("s_lat"), F.col("s_lon")), "age": age}).where((F.col("d") <= km * 1000) & (F.col("age") >= 0) & (F.col("age") <= minutes * 60))
-    best = Window.partitionBy(key).orderBy(F.round("d", 3), "age", "event_id")
-    return near.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(key, F.col("event_id").alias("report"), "wx", "temp_c", "s_ts")
+    own = asked.select(F.col(key).alias("_k"), F.col("lat_e7").alias("_y"), F.col("lon_e7").alias("_x"), "at", "_h")
+    near = nearest_within(own, reports, "_k", km * 1000, ("_y", "_x"), ("s_lat", "s_lon"), [age, "event_id"], also=(("_h", "_sh"),), good=(age >= 0) & (age <= minutes * 60) & (F.col("d") <= km * 1000))
+    return near.select(F.col("_k").alias(key), F.col("event_id").alias("report"), "wx", "temp_c", "s_ts")
 
 
 def fuse(rows: DataFrame) -> DataFrame:
@@ -59,9 +59,8 @@ def reading_or_mean(asked: DataFrame, readings: DataFrame, key: str, metres: flo
     Readings of one position are brought down to the one that counts before they are joined, so a position may hold any share of them.
     """
     r = readings.groupBy(F.col("lat_e7").alias("r_lat"), F.col("lon_e7").alias("r_lon")).agg(F.min("reading_id").alias("reading_id"), F.min_by("temp", "reading_id").alias("temp"))
-    pairs = near_pairs(asked, r, metres, ("lat_e7", "lon_e7"), ("r_lat", "r_lon"))
-    d = metres_e7(F.col("lat_e7"), F.col("lon_e7"), F.col("r_lat"), F.col("r_lon"))
-    best = pairs.withColumn("d", d).where(F.col("d") <= metres).groupBy(key).agg(F.min_by("temp", F.struct(F.round("d", 3), F.col("reading_id"))).alias("near"))
+    places = asked.select(F.col(key).alias("_k"), F.col("lat_e7").alias("_y"), F.col("lon_e7").alias("_x"))
+    best = nearest_within(places, r, "_k", metres, ("_y", "_x"), ("r_lat", "r_lon"), ["reading_id"], good=F.col("d") <= metres).select(F.col("_k").alias(key), F.col("temp").alias("near"))
     mean = readings.agg(F.avg("temp").alias("mean"))
     return asked.select(key).join(best, key, "left").join(F.broadcast(mean)).select(key, F.coalesce("near", "mean").alias("temp"), F.col("near").isNotNull().alias("measured"))
 
@@ -92,12 +91,23 @@ def synthetic_year(mean: Column, coldest_quarter: Column, south: Column) -> Colu
 def nearest_grid_cell(points: DataFrame, cells: DataFrame, key: str, bucket_e7: int = 100_000) -> DataFrame:
     """`(key, cell_id, value)`: the cell `(cell_id, lat_e7, lon_e7, value)` nearest to each point among the 3 x 3 buckets round it.
 
-    Points without a cell so near get no row; ties go to the smaller cell_id.
+    Points without a cell so near get no row; ties go to the smaller cell_id. A point looks in buckets of a 32nd of the
+    side first, and only where nothing lies within that side again, in four times as wide ones; so it meets few cells in a crowd.
     """
-    own = points.select(key, F.col("lat_e7").alias("_y"), F.col("lon_e7").alias("_x"), F.floor(F.col("lat_e7") / bucket_e7).alias("_by"), F.floor(F.col("lon_e7") / bucket_e7).alias("_bx"))
-    for axis in ("_by", "_bx"):
-        own = own.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
-    filed = cells.withColumns({"_by": F.floor(F.col("lat_e7") / bucket_e7), "_bx": F.floor(F.col("lon_e7") / bucket_e7)})
-    dy, dx = F.col("lat_e7") - F.col("_y"), (F.col("lon_e7") - F.col("_x")) * F.cos(F.radians(F.col("_y") / 1e7))
-    best = own.join(filed, ["_by", "_bx"]).groupBy(key).agg(F.min(F.struct(F.round(dy * dy + dx * dx, 2).alias("d2"), "cell_id", "value")).alias("best"))
-    return best.select(key, "best.cell_id", "best.value")
+    left = stored(points.select(key, F.col("lat_e7").alias("_y"), F.col("lon_e7").alias("_x")))
+    cells = stored(cells.select("cell_id", "lat_e7", "lon_e7", "value"))
+    shrunk = F.cos(F.radians(F.col("_y") / 1e7))
+    dy, dx = F.col("lat_e7") - F.col("_y"), (F.col("lon_e7") - F.col("_x")) * shrunk
+    found = None
+    for parts in (32, 8, 2, 1):
+        side = bucket_e7 / parts
+        own = left.withColumns({"_by": F.floor(F.col("_y") / side), "_bx": F.floor(F.col("_x") / side)})
+        for axis in ("_by", "_bx"):
+            own = own.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
+        filed = cells.withColumns({"_by": F.floor(F.col("lat_e7") / side), "_bx": F.floor(F.col("lon_e7") / side)})
+        met = filed.join(own.hint("merge"), ["_by", "_bx"]).groupBy(key, "_y").agg(F.min(F.struct(F.round(dy * dy + dx * dx, 2).alias("d2"), "cell_id", "value")).alias("best"))
+        if parts > 1:  # what lies nearer than a bucket's narrow side is the nearest of all
+            met = stored(met.where(F.sqrt("best.d2") < side * shrunk - 1))
+            left = stored(left.join(met.select(key).hint("merge"), key, "left_anti").select(*left.columns))
+        found = met if found is None else found.union(met)
+    return found.select(key, "best.cell_id", "best.value")

@@ -118,11 +118,11 @@ def months(read):
 @query("so05_eight_nearest", """WITH n AS (SELECT l.lake_id, p.place_id, round(sqrt(((p.lon_e7 - l.lon_e7) / 1e7 * 111320.0 * cos(radians(l.lat_e7 / 1e7))) ** 2 + ((p.lat_e7 - l.lat_e7) / 1e7 * 111320.0) ** 2), 3) AS d FROM {lakes} l JOIN {places} p  ON true) SELECT lake_id, place_id, d FROM n WHERE d <= 10000 QUALIFY row_number() OVER (PARTITION BY lake_id ORDER BY d, place_id) <= 8""")
 def eight_nearest(read):
     """SO-05: the eight nearest places within 10 km of a lake."""
-    from geoloom.operators.spatial import metres_e7, near_pairs
+    from geoloom.operators.spatial import nearest_within
 
     p = read("places").select("place_id", F.col("lat_e7").alias("p_lat"), F.col("lon_e7").alias("p_lon"))
-    n = near_pairs(read("lakes"), p, 10_000.0, ("lat_e7", "lon_e7"), ("p_lat", "p_lon")).withColumn("d", F.round(metres_e7(F.col("lat_e7"), F.col("lon_e7"), F.col("p_lat"), F.col("p_lon")), 3)).where("d <= 10000")
-    return n.withColumn("_n", F.row_number().over(Window.partitionBy("lake_id").orderBy("d", "place_id"))).where("_n <= 8").select("lake_id", "place_id", "d")
+    near = nearest_within(read("lakes").select("lake_id", "lat_e7", "lon_e7"), p, "lake_id", 10_000.0, ("lat_e7", "lon_e7"), ("p_lat", "p_lon"), ["place_id"], k=8)
+    return near.select("lake_id", "place_id", F.round("d", 3).alias("d"))
 
 
 @query("ag13_monthly_normals", """SELECT station, month(day) AS m, round(avg(temp), 1) AS temp, round(avg(precip) * avg(day(last_day(day))), 6) AS rain, count(*) AS days FROM {daily_weather} GROUP BY 1, 2""")

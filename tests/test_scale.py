@@ -1,11 +1,15 @@
 """Results that only larger tables show, and plans that hold at their size."""
 
 import math
+import random
 
-from geoloom.operators import coast
-from geoloom.plans.statistics import rounded
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from geoloom.operators import areas, coast, grids, spatial
+from geoloom.plans.statistics import rounded
+from geoloom.sources import fixtures
+
 
 def test_a_corner_that_rounding_parts_has_its_cell(spark):
     line = (2042.3, -0.5, 2053.7, 16.5)  # through the corner (2048, 8), which the two cuts miss by an ulp
@@ -16,3 +20,44 @@ def test_a_corner_that_rounding_parts_has_its_cell(spark):
 def test_a_small_negative_value_keeps_its_sign(spark):
     got = [r.v for r in spark.createDataFrame([(-0.04,), (0.04,), (0.0,), (-0.06,), (None,)], "x double").select(rounded(F.col("x"), 1).alias("v")).collect()]
     assert got == [0.0, 0.0, 0.0, -0.1, None] and [math.copysign(1, v) for v in got[:3]] == [-1, 1, 1]
+
+
+def test_the_nearest_by_rounds_are_those_of_all_pairs(spark):
+    draw = random.Random(7)
+    crowd = [(k, 600_000_000 + draw.randrange(3000), 50_000_000 + draw.randrange(3000)) for k in range(60)]
+    sparse = [(60 + k, 600_000_000 + draw.randrange(900_000), 50_000_000 + draw.randrange(900_000)) for k in range(60)]
+    right = spark.createDataFrame(crowd + sparse, "id long, y long, x long")
+    left = spark.createDataFrame([(k, y + 40, x - 30) for k, y, x in crowd[:20] + sparse] + [(999, None, 5)], "k long, lat long, lon long")
+    got = {(r.k, r.id) for r in spatial.nearest_within(left, right, "k", 3000.0, ("lat", "lon"), ("y", "x"), ["id"], k=3).collect()}
+    d = spatial.metres_e7(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))
+    best = Window.partitionBy("k").orderBy(F.round("d", 3), "id")
+    every = left.crossJoin(right).withColumn("d", d).where("round(d, 3) <= 3000").withColumn("n", F.row_number().over(best)).where("n <= 3")
+    assert got == {(r.k, r.id) for r in every.collect()} and len(got) > 100
+
+
+def test_near_pixels_are_those_of_all_offsets(spark):
+    pixels = spark.createDataFrame([(r, c) for r in range(-20, 20) for c in range(-20, 20) if (r * 7 + c) % 3], "pr long, pc long")
+    points = spark.createDataFrame([(1, -8, 7), (2, 0, 0), (3, 19, -20), (4, 40, 0)], "k long, r long, c long")
+    got = {(r.k, r.dr, r.dc) for r in grids.near_pixels(points, pixels, 5).collect()}
+    want = {(r.k, r.dr, r.dc) for r in grids.offsets(points, grids.square(5)).join(pixels, ["pr", "pc"]).collect()}
+    assert got == want and got
+
+
+def test_rows_spread_over_cells_are_not_broadcast(spark):
+    points = spark.createDataFrame([(1, 5, 5)], "p long, lat_e7 long, lon_e7 long")
+    edges = spatial.square_edges(spark.createDataFrame([(1, 0, 0, 9, 9)], "id long, lat_e7 long, lon_e7 long, half_lat long, half_lon long"), "id")
+    inside = spatial.points_in_polygons(points, edges, "p", "id", ("lat_e7", "lon_e7"))
+    assert "BroadcastHashJoin" not in inside._jdf.queryExecution().executedPlan().toString() and inside.count() == 1
+
+
+def test_a_raster_gives_each_cell_once_without_a_distinct(spark):
+    ring = [(0.0, 0.0), (8.0, 0.0), (8.0, 4.0), (5.5, 0.0), (3.5, 0.0), (3.5, 4.0), (3.5, 0.0), (0.0, 4.0)]  # spans that touch in a cell's middle
+    edges = spark.createDataFrame([(1, ax, az, bx, bz) for (ax, az), (bx, bz) in zip(ring, ring[1:] + ring[:1], strict=True)], "id long, x1 double, z1 double, x2 double, z2 double")
+    cells = areas.rasterise_polygons(edges, "id")
+    got = [(r.x, r.z) for r in cells.collect()]
+    assert len(got) == len(set(got)) > 4 and "HashAggregate" not in cells._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_that_multiply_rows_spread_what_they_read(spark):
+    surface = fixtures.table(spark, "/root/testdata/sf0.001", "surface")
+    assert surface.rdd.getNumPartitions() >= 4
