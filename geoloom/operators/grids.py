@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +35,27 @@ def pyramid_level(drawn: DataFrame, level: int) -> DataFrame:
 
 
 def offsets(points: DataFrame, near: list[tuple[int, int]]) -> DataFrame:
-    """Each row (with r and c) under the pixels at the given offsets, as `pr`, `pc`, `dr`, `dc`: the way to a pixel join."""
+    """Each row (with r and c) under the pixels at the given offsets, as `pr`, `pc`, `dr`, `dc`: the way to a pixel join.
+
+    Those joins ask for a merge: the planner takes a raster for as small as the file of its rows, and would broadcast it.
+    """
     table = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in near])
     return points.withColumn("_o", F.explode(table)).select("*", "_o.dr", "_o.dc").drop("_o").withColumns({"pr": F.col("r") + F.col("dr"), "pc": F.col("c") + F.col("dc")})
 
 
+def near_pixels(points: DataFrame, pixels: DataFrame, k: int, side: int = 8) -> DataFrame:
+    """Each row (with r and c) with the `pixels` (pr, pc, ...) at most `k` rows and columns off, and `dr`, `dc`.
+
+    Points stand under one tile, pixels under the few tiles they are near, and offsets are compared after the join: of a
+    point one row is shuffled, not one for each offset.
+    """
+    tiles = lambda p: F.sequence(F.floor((F.col(p) - k) / side), F.floor((F.col(p) + k) / side))
+    filed = pixels.withColumn("_tr", F.explode(tiles("pr"))).withColumn("_tc", F.explode(tiles("pc")))
+    own = points.withColumns({"_tr": F.floor(F.col("r") / side), "_tc": F.floor(F.col("c") / side)})
+    met = own.join(filed.hint("merge"), ["_tr", "_tc"]).drop("_tr", "_tc").withColumns({"dr": F.col("pr") - F.col("r"), "dc": F.col("pc") - F.col("c")})
+    return met.where((F.abs("dr") <= k) & (F.abs("dc") <= k))
+
+
 def square(k: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(-k, k + 1) for b in range(-k, k + 1)]
 
@@ -52,12 +70,12 @@ def bilinear(points: DataFrame, grid: DataFrame, key: str, least: float = 1e-6,
     fy, fx = F.col("y") - F.col("r"), F.col("x") - F.col("c")
     weight = F.when(F.col("dr") == 1, fy).otherwise(1 - fy) * F.when(F.col("dc") == 1, fx).otherwise(1 - fx)
     pixels = grid.where("value is not null").select(F.col("r").alias("pr"), F.col("c").alias("pc"), "value")
-    met = near.withColumn("w", weight).join(pixels, ["pr", "pc"])
+    met = near.withColumn("w", weight).join(pixels.hint("merge"), ["pr", "pc"])
     summed = met.groupBy(key).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("value")).alias("s")).where(F.col("w") > least)
     near_four = summed.select(key, (F.col("s") / F.col("w")).alias("four"))
     rest = points.join(near_four, key, "left_anti").select(key, F.floor(F.col("y") + 0.5).alias("r"), F.floor(F.col("x") + 0.5).alias("c"))
     ring = F.greatest(F.abs("dr"), F.abs("dc"))
-    beyond = offsets(rest, square(rings)).join(pixels, ["pr", "pc"]).groupBy(key).agg(F.min_by("value", F.struct(ring, F.col("dr"), F.col("dc"))).cast("double").alias("ringed"))
+    beyond = offsets(rest, square(rings)).join(pixels.hint("merge"), ["pr", "pc"]).groupBy(key).agg(F.min_by("value", F.struct(ring, F.col("dr"), F.col("dc"))).cast("double").alias("ringed"))
     out = points.select(key).join(near_four, key, "left").join(beyond, key, "left")
     return out.select(key, F.coalesce("four", "ringed").alias("value"))
 
@@ -78,23 +96,22 @@ def bicubic(points: DataFrame, grid: DataFrame, key: str, width: int, height: in
     w = catmull_rom(F.col("x") - F.col("c"), F.col("dc")) * catmull_rom(F.col("y") - F.col("r"), F.col("dr"))
     near = near.withColumns({"w": w, "pc": F.pmod("pc", F.lit(width)), "pr": F.least(F.greatest("pr", F.lit(0)), F.lit(height - 1))})
     pixels = grid.where("value is not null").select(F.col("r").alias("pr"), F.col("c").alias("pc"), "value")
-    summed = near.join(pixels, ["pr", "pc"]).groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("w") * F.col("value")).alias("value")).where("n = 16")
+    summed = near.join(pixels.hint("merge"), ["pr", "pc"]).groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("w") * F.col("value")).alias("value")).where("n = 16")
     return points.select(key).join(summed.select(key, "value"), key, "left")
 
 
 def nearest_class(points: DataFrame, classes: DataFrame, key: str, rings: int) -> DataFrame:
     """The class of the nearest pixel that has one, within square rings; ties by ring, then row, then column offset."""
-    near = offsets(points, square(rings))
     held = classes.where("class > 0").select(F.col("r").alias("pr"), F.col("c").alias("pc"), "class")
     ring = F.greatest(F.abs("dr"), F.abs("dc"))
-    best = near.join(held, ["pr", "pc"]).groupBy(key).agg(F.min_by("class", F.struct(ring, F.col("dr"), F.col("dc"))).alias("class"))
+    best = near_pixels(points, held, rings).groupBy(key).agg(F.min_by("class", F.struct(ring, F.col("dr"), F.col("dc"))).alias("class"))
     return points.select(key).join(best, key, "left")
 
 
 def majority3(classes: DataFrame) -> DataFrame:
     """3 x 3 vote of every classified pixel; unknown (0) competes, the lowest code wins ties."""
     own = classes.where("class <> 0").select("r", "c")
-    near = offsets(own, square(1)).join(classes.select(F.col("r").alias("pr"), F.col("c").alias("pc"), "class"), ["pr", "pc"])
+    near = offsets(own, square(1)).join(classes.select(F.col("r").alias("pr"), F.col("c").alias("pc"), "class").hint("merge"), ["pr", "pc"])
     votes = near.groupBy("r", "c", "class").agg(F.count("*").alias("n"))
     return votes.groupBy("r", "c").agg(F.max_by("class", F.struct("n", -F.col("class"))).alias("class"))
 
@@ -108,7 +125,7 @@ def local_maxima(grid: DataFrame, low: float, high: float, unit: float) -> DataF
     tops = grid.where(F.col("value").between(low, high)).select("r", "c", "value").withColumn("radius", F.least(F.greatest(F.floor(F.col("value") / unit / 3 + 0.5), F.lit(1)), F.lit(4)))
     near = offsets(tops, [o for o in square(4) if o != (0, 0)]).where((F.abs("dr") <= F.col("radius")) & (F.abs("dc") <= F.col("radius")))
     other = grid.where("value is not null").select(F.col("r").alias("pr"), F.col("c").alias("pc"), F.col("value").alias("o"))
-    met = near.join(other, ["pr", "pc"])
+    met = near.join(other.hint("merge"), ["pr", "pc"])
     earlier = (F.col("dr") < 0) | ((F.col("dr") == 0) & (F.col("dc") < 0))
     beaten = F.sum(((F.col("o") > F.col("value")) | ((F.col("o") == F.col("value")) & earlier)).cast("int"))
     company = F.sum(((F.abs("dr") <= 1) & (F.abs("dc") <= 1) & (F.col("o") >= 0.4 * F.col("value"))).cast("int"))
@@ -140,8 +157,10 @@ def run_lookup(points: DataFrame, runs: DataFrame, width: int = 64) -> DataFrame
 
 def gaussian_disc(points: DataFrame, grid: DataFrame, key: str, radius: int, sigma: float) -> DataFrame:
     """Gaussian-weighted mean of a disc, with negative values and absent pixels as 0."""
-    disc = [(a, b) for a, b in square(radius) if a * a + b * b <= radius * radius]
-    w = F.exp(-(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")) / (2 * sigma * sigma))
+    d2 = F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")
+    w = F.exp(-d2 / (2 * sigma * sigma))
+    whole = sum(math.exp(-(a * a + b * b) / (2 * sigma * sigma)) for a, b in square(radius) if a * a + b * b <= radius * radius)
     pixels = grid.select(F.col("r").alias("pr"), F.col("c").alias("pc"), F.greatest(F.coalesce("value", F.lit(0)), F.lit(0)).alias("value"))
-    met = offsets(points, disc).withColumn("w", w).join(pixels, ["pr", "pc"], "left")
-    return met.groupBy(key).agg((F.sum(F.col("w") * F.coalesce("value", F.lit(0))) / F.sum("w")).alias("mean"))
+    met = near_pixels(points, pixels.where("value > 0"), radius).where(d2 <= radius * radius)
+    means = met.groupBy(key).agg((F.sum(w * F.col("value")) / whole).alias("mean"))
+    return points.select(key).join(means.hint("merge"), key, "left").select(key, F.coalesce("mean", F.lit(0.0)).alias("mean"))

@@ -214,12 +214,12 @@ def stacked(read):
     SELECT r, c, round(h + (value - h) * least(d / 4.0, 1), 4) AS height FROM n""")
 def shoulders(read):
     """AG-34: cells near a graded road blend from its height to the ground."""
-    from geoloom.operators.grids import offsets, square
+    from geoloom.operators.grids import near_pixels
 
     g = read("grid").where("value is not null")
     on = (F.col("r") + 2 * F.col("c")) % 13 == 0
     road = g.where(on).select(F.col("r").alias("pr"), F.col("c").alias("pc"), F.col("value").alias("h"))
-    met = offsets(g.where(~on), square(3)).join(road, ["pr", "pc"]).withColumn("d2", F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"))
+    met = near_pixels(g.where(~on), road, 3).withColumn("d2", F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"))
     n = met.groupBy("r", "c", "value").agg(F.min_by("h", F.struct("d2", "pr", "pc")).alias("h"), F.sqrt(F.min("d2")).alias("d"))
     return n.select("r", "c", F.round(F.col("h") + (F.col("value") - F.col("h")) * F.least(F.col("d") / 4.0, F.lit(1.0)), 4).alias("height"))
 

@@ -93,7 +93,7 @@ def majority(read):
 def stand_type(read):
     """AG-18: conifer, broad or mixed by 3 x 3 counts."""
     g = read("grid_class")
-    near = grids.offsets(g.select("r", "c"), grids.square(1)).join(g.select(F.col("r").alias("pr"), F.col("c").alias("pc"), "class"), ["pr", "pc"])
+    near = grids.offsets(g.select("r", "c"), grids.square(1)).join(g.select(F.col("r").alias("pr"), F.col("c").alias("pc"), "class").hint("merge"), ["pr", "pc"])
     n = near.groupBy("r", "c").agg(F.sum(F.col("class").isin(4, 5).cast("int")).alias("needle"), F.sum(F.col("class").isin(6, 7).cast("int")).alias("broad"))
     stand = F.when(F.col("needle") + F.col("broad") == 0, "unknown").when(F.col("needle") >= 2 * F.col("broad"), "conifer").when(F.col("broad") >= 2 * F.col("needle"), "broad").otherwise("mixed")
     return n.select("r", "c", stand.alias("stand"))
@@ -150,7 +150,7 @@ def disc(read):
 def near_maximum(read):
     """JN-39: the largest value within two cells."""
     pixels = read("grid").select(F.col("r").alias("pr"), F.col("c").alias("pc"), "value")
-    return grids.offsets(_points(read), grids.square(2)).join(pixels, ["pr", "pc"]).groupBy("k").agg(F.max("value").alias("highest"))
+    return grids.near_pixels(_points(read), pixels, 2).groupBy("k").agg(F.max("value").alias("highest"))
 
 
 @query("jn29_priority_sources", "SELECT a.r, a.c, coalesce(a.value, CASE WHEN b.class > 0 THEN b.class * 100 END, -1) AS value, CASE WHEN a.value IS NOT NULL THEN 'first' WHEN b.class > 0 THEN 'second' ELSE 'last' END AS source FROM {grid} a JOIN {grid_class} b ON b.r = a.c AND b.c = a.r % 64")
