@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators.conflate import line_samples, sample_hits
+from geoloom.operators.grids import near_pixels
 from geoloom.operators.osm import segments
 from geoloom.operators.spatial import points_in_polygons
 
@@ -26,7 +27,7 @@ def overlap_share(cells: DataFrame, edges: DataFrame, body: str, survey: str, le
     """The survey that holds the largest share of a body's cells (body, cell, y, x), if over `least`."""
     inside = points_in_polygons(cells.withColumn("_p", F.struct(body, "cell")), edges, "_p", survey, ("y", "x"))
     n = cells.groupBy(body).agg(F.count("*").alias("n"))
-    shares = inside.groupBy(F.col(f"_p.{body}").alias(body), survey).agg(F.count("*").alias("k")).join(n, body).withColumn("share", F.col("k") / F.col("n"))
+    shares = inside.groupBy(F.col(f"_p.{body}").alias(body), survey).agg(F.count("*").alias("k")).join(n.hint("merge"), body).withColumn("share", F.col("k") / F.col("n"))
     best = Window.partitionBy(body).orderBy(F.col("share").desc(), survey)
     return shares.where(F.col("share") > least).withColumn("_n", F.row_number().over(best)).where("_n = 1").select(body, survey, "share")
 
@@ -98,10 +99,9 @@ def best_entry(cells: DataFrame, roads: DataFrame, body: str, reach: int = 4) ->
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
     next_to = cells.select(body, "x", "z", F.inline(around)).select(body, "x", "z", (F.col("x") + F.col("a")).alias("nx"), (F.col("z") + F.col("b")).alias("nz"))
     held = cells.select(body, F.col("x").alias("nx"), F.col("z").alias("nz"))
-    edge = next_to.join(held, [body, "nx", "nz"], "left_anti").select(body, "x", "z").distinct()
-    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)])
-    met = edge.select(body, "x", "z", F.inline(near)).withColumns({"rx": F.col("x") + F.col("a"), "rz": F.col("z") + F.col("b")}).join(roads.select(F.col("x").alias("rx"), F.col("z").alias("rz")).distinct(), ["rx", "rz"])
-    scored = met.withColumn("d2", F.col("a") * F.col("a") + F.col("b") * F.col("b"))
+    edge = next_to.join(held.hint("merge"), [body, "nx", "nz"], "left_anti").select(body, "x", "z").distinct()
+    met = near_pixels(edge.withColumns({"r": F.col("x"), "c": F.col("z")}), roads.select(F.col("x").alias("pr"), F.col("z").alias("pc")).distinct(), reach)
+    scored = met.withColumn("d2", F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"))
     return scored.groupBy(body).agg(F.min(F.struct("d2", "x", "z")).alias("best")).select(body, "best.x", "best.z", "best.d2")
 
 

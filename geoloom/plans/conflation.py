@@ -126,7 +126,7 @@ def one_way_half(read):
 def part_outline(read):
     """JN-16, JN-17: the smallest outline that holds a point."""
     inside = points_in_polygons(read("places"), square_edges(read("buildings"), "id"), "place_id", "id", ("lat_e7", "lon_e7"))
-    sized = inside.join(read("buildings").select("id", (F.col("half_lat").cast("double") * F.col("half_lon")).alias("a")), "id")
+    sized = inside.join(read("buildings").select("id", (F.col("half_lat").cast("double") * F.col("half_lon")).alias("a")).hint("merge"), "id")
     return sized.groupBy("place_id").agg(F.min_by("id", F.struct("a", "id")).alias("outline"))
 
 
