@@ -36,7 +36,8 @@ def subtract_runs(a: DataFrame, b: DataFrame) -> DataFrame:
 def rasterise_polygons(edges: DataFrame, key: str) -> DataFrame:
     """`(key, x, z)`: cells whose centre is inside by the even-odd rule, from ring edges (key, x1, z1, x2, z2).
 
-    Each edge gives its crossings with the rows of cell centres; crossings are paired in order along the row.
+    Each edge gives its crossings with the rows of cell centres; crossings are paired in order along the row. A pair begins
+    behind the cells of those before it, so each cell comes out once and none is made distinct.
     """
     low, high = F.least("z1", "z2"), F.greatest("z1", "z2")
     rows = F.sequence(F.ceil(low - 0.5).cast("int"), (F.ceil(high - 0.5) - 1).cast("int"))
@@ -45,7 +46,10 @@ def rasterise_polygons(edges: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key, "z").orderBy("x")
     paired = crossed.withColumns({"_n": F.row_number().over(w), "xb": F.lead("x").over(w)}).where("_n % 2 = 1 and xb is not null")
     a, b = F.ceil(F.col("x") - 0.5).cast("int"), F.floor(F.col("xb") - 0.5).cast("int")
-    return paired.where(b >= a).select(key, F.explode(F.sequence(a, b)).alias("x"), "z").distinct()
+    runs = paired.select(key, "z", F.col("x").alias("_x"), a.alias("_a"), b.alias("_b")).where("_b >= _a")
+    reached = F.max("_b").over(Window.partitionBy(key, "z").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("_a", F.greatest(F.col("_a"), reached + 1)).where("_b >= _a")
+    return runs.select(key, F.explode(F.sequence("_a", "_b")).alias("x"), "z")
 
 
 def rasterise_lines(segments: DataFrame, key: str, half_width: float) -> DataFrame:
@@ -60,7 +64,7 @@ def rasterise_lines(segments: DataFrame, key: str, half_width: float) -> DataFra
 
 def select_area(cells: DataFrame, shapes: DataFrame) -> DataFrame:
     """Cells `(x, z)` whose last shape adds: cells are (shape_order, x, z), shapes (shape_order, subtract)."""
-    last = cells.join(shapes, "shape_order").groupBy("x", "z").agg(F.max_by("subtract", "shape_order").alias("gone"))
+    last = cells.join(shapes.hint("merge"), "shape_order").groupBy("x", "z").agg(F.max_by("subtract", "shape_order").alias("gone"))
     return last.where("not gone").select("x", "z")
 
 
@@ -106,7 +110,7 @@ def distance_to_outside(cells: DataFrame, key: str) -> DataFrame:
     held = run.withColumn("g", g).select(key, "x", "z", "g")
     reach = held.withColumn("dx", F.explode(F.sequence(-F.col("g"), F.col("g"))))
     other = held.select(key, F.col("x").alias("ox"), "z", F.col("g").alias("og"))
-    met = reach.withColumn("ox", F.col("x") + F.col("dx")).join(other, [key, "ox", "z"], "left")
+    met = reach.withColumn("ox", F.col("x") + F.col("dx")).join(other.hint("merge"), [key, "ox", "z"], "left")
     d2 = F.col("dx") * F.col("dx") + F.coalesce("og", F.lit(0)) * F.coalesce("og", F.lit(0))
     return met.groupBy(key, "x", "z").agg(F.sqrt(F.min(d2)).alias("d"))
 
@@ -136,7 +140,7 @@ def nearest_cell(points: DataFrame, runs: DataFrame, key: str, block: int = 16)
         spread = left.withColumn("_bx", F.explode(F.transform(side, lambda d: F.floor(F.col("x") / block) + d))).withColumn("_bz", F.explode(F.transform(side, lambda d: F.floor(F.col("z") / block) + d)))
         col = F.least(F.greatest(F.col("x"), F.col("start")), F.col("end"))
         d2 = (col - F.col("x")) * (col - F.col("x")) + (F.col("row") - F.col("z")) * (F.col("row") - F.col("z"))
-        best = spread.join(filed, ["_bx", "_bz"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), F.col("row"), col.alias("col"))).alias("best"))
+        best = spread.join(filed.hint("merge"), ["_bx", "_bz"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), F.col("row"), col.alias("col"))).alias("best"))
         parts.append(stored(best.where(F.col("best.d2") <= block * block).select(key, "best.row", "best.col")))
         left = stored(left.join(parts[-1], key, "left_anti"))
         if left.isEmpty():
