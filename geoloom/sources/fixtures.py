@@ -132,12 +132,24 @@ for name in ("grid_class",):
     SQL[name] = "SELECT r, c, CASE WHEN value IS NULL THEN 0 ELSE CAST(floor((value + 600) / 100.0) AS BIGINT) END AS class FROM {grid}"
 
 
+#: Tables whose texts make many rows of one, so that what they read is spread first; of SPREAD the rows are made many by the queries.
+MULTIPLIED, SPREAD = {"surface", "coast_cells", "coast_lines", "cut_footprints", "water_shores"}, {"selection_shapes"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt by its first column over as many tasks as a shuffle has: a small file is one task, and so is all that comes of its rows."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), df.columns[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or one derived from them by its text."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = SQL[name]
-    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in sorted(set(re.findall(r"\{([a-z]\w+)\}", text)))})
+    inputs = {n: table(spark, sf_dir, n) for n in sorted(set(re.findall(r"\{([a-z]\w+)\}", text)))}
+    made = spark.sql(text, **({n: spread(df) for n, df in inputs.items()} if name in MULTIPLIED else inputs))
+    return spread(made) if name in SPREAD else made
 
 
 def oracle(body: str) -> str:
