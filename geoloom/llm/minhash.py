@@ -158,8 +158,8 @@ def _block_links(members: DataFrame, sizes: DataFrame, held: DataFrame, similari
     return full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def similar_links(keys: DataFrame, tables: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links `(a, b)` between different sequences of exact Jaccard `similarity` or more that meet in a band.
+def similar_links(keys: DataFrame, tables: DataFrame, similarity: float = SIMILARITY, also: DataFrame | None = None) -> DataFrame:
+    """Links `(a, b)` between different sequences of exact Jaccard `similarity` or more that meet in a band, or are a pair of `also`.
 
     `keys` has (key, h), `tables` (h, shingles), as marks() gives them; rows may repeat. A first pass finds the keys that
     different sequences share, by their least and greatest h, with a map-side combine; only their members go on, so of
@@ -170,9 +170,14 @@ def similar_links(keys: DataFrame, tables: DataFrame, similarity: float = SIMILA
     shared = stored(keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least < most").select("key"))
     members = stored(keys.join(shared.hint("merge"), "key").distinct())
     sizes = stored(members.groupBy("key").agg(F.count("*").alias("n")))
-    held = stored(tables.join(members.select("h").distinct().hint("merge"), "h").groupBy("h").agg(F.first("shingles").alias("shingles")))
+    wanted = members.select("h")
+    if also is not None:
+        also = stored(also.where("a < b").distinct())
+        wanted = wanted.union(also.select("a")).union(also.select("b"))
+    held = stored(tables.join(wanted.distinct().hint("merge"), "h").groupBy("h").agg(F.first("shingles").alias("shingles")))
     few = members.join(sizes.where(F.col("n") <= CROWDED), "key").select("key", "h")
-    pairs = few.withColumnRenamed("h", "a").join(few.withColumnRenamed("h", "b"), "key").where("a < b").select("a", "b").distinct()
+    pairs = few.withColumnRenamed("h", "a").join(few.withColumnRenamed("h", "b"), "key").where("a < b").select("a", "b")
+    pairs = (pairs if also is None else pairs.union(also)).distinct()
     links = _verified_pairs(pairs, held, similarity)
     crowded = sizes.where(F.col("n") > CROWDED)
     if not crowded.isEmpty():

@@ -155,7 +155,7 @@ def drop_repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS)
     names = docs.columns
     wide = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)])
     text = f"c{names.index('text')}"
-    joined = wide.withColumn("row_key", F.xxhash64(f"c{names.index('doc_id')}", text)).join(spans.hint("merge"), "row_key", "left").drop("row_key")
+    joined = wide.withColumn("row_key", F.xxhash64(f"c{names.index('doc_id')}", text)).join(spans.hint("shuffle_hash"), "row_key", "left").drop("row_key")
     at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,8 @@ from geoloom.session import checkpoint, ship_package, stored
 DISTANCE = 3
 #: Fingerprints that share a 32-bit half: up to so many are compared one by one, more are linked through hubs.
 DENSE = 32
+#: Texts whose fingerprints a task remembers for their copies.
+REMEMBERED_PRINTS = 50_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BITS = np.array([[byte >> (7 - bit) & 1 for bit in range(8)] for byte in range(256)])
@@ -170,38 +172,60 @@ def _whole_texts(docs: DataFrame, with_shingles: bool) -> DataFrame:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """`(doc_id, row_key, h)` of every row: row_key is a hash of doc_id and text, h one of the lower-cased words."""
+    """`(doc_id, row_key, h, fp)` of every row: row_key is a hash of doc_id and text, h one of the lower-cased words, fp the fingerprint."""
     ship_package(docs.sparkSession)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, int] = {}  # texts of equal words come in groups: each is taken once
         for batch, texts in together(batches, 2):
             words, bounds, _ = word_hashes(texts)
-            h = range_hashes(words, bounds[:-1], bounds[1:]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h)], ["doc_id", "row_key", "h"])
+            hs = range_hashes(words, bounds[:-1], bounds[1:]).view(np.int64)
+            if len(known) > REMEMBERED_PRINTS:
+                known.clear()
+            for h, text in zip(hs.tolist(), texts, strict=True):
+                if h not in known:
+                    known[h] = fingerprint((text or "").encode())
+            prints = pa.array([known[h] for h in hs.tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hs), prints], ["doc_id", "row_key", "h", "fp"])
+
+    named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    return named.mapInArrow(mark, "doc_id long, row_key long, h long, fp long")
+
 
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(mark, "doc_id long, row_key long, h long")
+def _print_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs `(a, b)` of texts (h, fp) whose fingerprints link: a row for each text beyond the first of a fingerprint, and for each link.
+
+    The first text of a fingerprint stands for it, so rows grow with the texts and the links, not with pairs of copies.
+    """
+    first = stored(texts.groupBy("fp").agg(F.min("h").alias("first")))
+    same = texts.join(first.hint("merge"), "fp").where("h <> first").select(F.col("h").alias("a"), F.col("first").alias("b"))
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"h_{c}")).hint("merge")
+    near = near_links(first.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+    return same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """`docs` with one row of each group, that of the smallest doc_id; its columns stay as they are.
 
     Texts of equal lower-cased words are one, those without a word (null ones too) among them; those of exact Jaccard
-    `similarity` over five-word shingles are linked, and groups are the components. Candidates meet in MinHash bands (a
-    pair at the threshold is found with probability 0.994): fingerprints at 0.8 differ in up to 11 bits or more, which no
-    ball of bits covers. Rows are known by a hash of doc_id and text; of rows that repeat both, any one stays. A row
-    without doc_id stays only if its group has no other. Texts of any length are compared whole; an empty table stays
+    `similarity` over five-word shingles are linked, and groups are the components. Candidates are texts whose SimHash
+    fingerprints link, by multi-index hashing; each such pair is checked. Fingerprints at 0.8 differ in up to 11 bits or
+    more, which no ball of bits covers: so texts that meet in MinHash bands are candidates too (a pair at the threshold is
+    found with probability 0.994). Rows are known by a hash of doc_id and text; of rows that repeat both, any one stays. A
+    row without doc_id stays only if its group has no other. Texts of any length are compared whole; an empty table stays
     empty; columns of any name are kept.
     """
-    links = similar_links(_whole_texts(docs, False), _whole_texts(docs, True), similarity)
+    rows = stored(_named(docs).groupBy("h", "fp", "doc_id", "row_key").agg(F.count("*").alias("n")))
+    pairs = _print_pairs(rows.select("h", "fp").distinct())
+    links = similar_links(_whole_texts(docs, False), _whole_texts(docs, True), similarity, pairs)
     labels = connected_components(links, "a", "b").select(F.col("node").alias("h"), "component")
-    rows = stored(_named(docs).groupBy("h", "doc_id", "row_key").agg(F.count("*").alias("n")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "n")).alias("first")
     grouped = rows.groupBy("h").agg(first).join(labels, "h", "left")
     kept = grouped.groupBy(F.coalesce("component", "h").alias("component")).agg(F.min("first").alias("first"))
     kept = stored(kept.select("first.row_key", "first.n"))
     names = docs.columns
     wide = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(names)])
-    joined = wide.join(kept.hint("merge"), "row_key")
+    joined = wide.join(kept.hint("shuffle_hash"), "row_key")  # the texts stream past a small row each: a merge would sort them
     out = joined.where("n = 1")
     if not kept.where("n > 1").isEmpty():
         out = out.union(joined.where("n > 1").dropDuplicates(["row_key"]))

@@ -502,3 +502,22 @@ def test_links_of_crowded_blocks_join_what_all_pairs_join(similarity):
         links = minhash.forest_links(sets, own, similarity)
         assert groups(links) == groups(pairs) and {tuple(sorted(p)) for p in links} <= set(pairs)
         assert len(links) == len(sets) - len(groups(pairs))
+
+
+def test_candidates_of_near_copies_are_fingerprints(spark, monkeypatch):
+    """Without MinHash bands, texts whose fingerprints link still meet, and are held to the exact Jaccard."""
+    draw = random.Random(8)
+    base = [f"w{draw.randrange(4000)}" for _ in range(1500)]
+    copy = base[:700] + ["changed"] + base[701:]
+    loop = ["x", "y", "z"] * 400
+    texts = [" ".join(base), " ".join(copy), " ".join(base[:-1]), " ".join(loop), " ".join(loop + [f"v{k}" for k in range(30)])]
+    prints = [simhash.fingerprint(t.encode()) & (1 << 64) - 1 for t in texts]
+    bits = lambda a, b: (prints[a] ^ prints[b]).bit_count()
+    assert min(bits(0, 1), bits(0, 2), bits(1, 2)) <= 3 and bits(3, 4) <= 3
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    pairs = simhash._print_pairs(simhash._named(make(spark, rows).select("doc_id", "text")).select("h", "fp").distinct()).collect()
+    assert len(pairs) >= 2
+    whole = simhash._whole_texts
+    monkeypatch.setattr(simhash, "_whole_texts", lambda docs, full: whole(docs, full) if full else whole(docs, full).where("false"))
+    kept = {r.doc_id for r in simhash.drop_near_copies(make(spark, rows)).collect()}
+    assert {3, 4} <= kept and len(kept) < len(texts)
