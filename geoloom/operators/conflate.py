@@ -9,6 +9,9 @@ from geoloom.functions.geometry import METRES_PER_DEGREE, box_distance_metres
 from geoloom.operators import linear
 from geoloom.operators.spatial import metres_e7, near_pairs, nearest, points_in_polygons, square_edges, turned, with_boxes_near
 
+#: Side of the cells that footprints meet in (1e-7 degrees), about the size of a large one: 220 m.
+FOOTPRINT_E7 = 20_000
+
 
 def heights_by_id_or_place(buildings: DataFrame, points: DataFrame, reach: float = 20.0) -> DataFrame:
     """`(id, height, how)`: the point of the building's id, however far; else the nearest within `reach` metres."""
@@ -42,7 +45,7 @@ def registry_match(buildings: DataFrame, registry: DataFrame, reach: float = 8.0
     """`(id, reg_id, source_order)`: by source in order, the registry building that holds the centre, else the nearest box."""
     own = buildings.select("id", "lat_e7", "lon_e7")
     boxes = registry.select("reg_id", "source_order", *_corners("lat_e7", "lon_e7", "r"))
-    pairs = with_boxes_near(own, boxes, reach, ("lat_e7", "lon_e7", "lat_e7", "lon_e7"), _names("r"))
+    pairs = with_boxes_near(own, boxes, reach, ("lat_e7", "lon_e7", "lat_e7", "lon_e7"), _names("r"), FOOTPRINT_E7)
     d = box_distance_metres(F.col("lat_e7") / 1e7, F.col("lon_e7") / 1e7, *[F.col(c) / 1e7 for c in _names("r")])
     good = pairs.withColumn("d", d).where(F.col("d") < reach)
     best = Window.partitionBy("id").orderBy("source_order", F.round("d", 6), "reg_id")
@@ -72,7 +75,7 @@ def missing_buildings(buildings: DataFrame, others: DataFrame, pad: float = 2.0)
     """
     wanted = others.where("not is_underground and geometry_source <> 'OpenStreetMap'")
     mapped = buildings.select(F.col("lat_e7").alias("m_lat"), F.col("lon_e7").alias("m_lon"), F.col("half_lat").alias("m_hy"), F.col("half_lon").alias("m_hx"), *_corners("lat_e7", "lon_e7", "m"))
-    pairs = with_boxes_near(wanted.select("*", *_corners("lat_e7", "lon_e7", "o")), mapped, pad, _names("o"), _names("m"))
+    pairs = with_boxes_near(wanted.select("*", *_corners("lat_e7", "lon_e7", "o")), mapped, pad, _names("o"), _names("m"), FOOTPRINT_E7)
     gap_y = F.greatest(F.abs(F.col("lat_e7") - F.col("m_lat")) - F.col("half_lat") - F.col("m_hy"), F.lit(0)) / 1e7 * METRES_PER_DEGREE
     gap_x = F.greatest(F.abs(turned(F.col("lon_e7") - F.col("m_lon"))) - F.col("half_lon") - F.col("m_hx"), F.lit(0)) / 1e7 * METRES_PER_DEGREE * F.cos(F.radians(F.col("lat_e7") / 1e7))
     touched = pairs.where(F.sqrt(gap_y * gap_y + gap_x * gap_x) <= pad).select("other_id").distinct()
@@ -103,7 +106,7 @@ def line_samples(points: DataFrame, line: str, order: str, count: F.Column, plac
     return linear.points_at(lines, wanted, line).select(line, "i", "n", "total", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.pmod("bearing", F.lit(180.0)).alias("s_bearing"))
 
 
-def sample_hits(samples: DataFrame, lines: DataFrame, reach: float, degrees: float, piece_m: float = 60.0) -> DataFrame:
+def sample_hits(samples: DataFrame, lines: DataFrame, reach: float, degrees: float, piece_m: float = linear.PIECE_M) -> DataFrame:
     """Each sample with every segment of `lines` (seg_id, seq, lat_e7, lon_e7) within `reach` metres and `degrees`, once, with its distance `d`."""
     return linear.near_segments(samples, linear.measured(lines, "seg_id", "seq"), reach, ("s_lat", "s_lon"), piece_m, "s_bearing", degrees)
 

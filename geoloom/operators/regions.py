@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.operators import linear
 from geoloom.operators.conflate import line_samples, sample_hits
 from geoloom.operators.grids import near_pixels
 from geoloom.operators.osm import segments
@@ -15,9 +16,9 @@ def river_widths(points: DataFrame, stretches: DataFrame, widths: DataFrame, rea
     """Upper-middle width of the stretches along each line, if at least half of its 3 to 40 samples meet one."""
     count = F.when(F.col("total") >= least_m, F.least(F.greatest(F.floor(F.col("total") / 100), F.lit(3)), F.lit(40))).otherwise(0)
     samples = line_samples(points, "way_id", "seq", count, F.col("total") * (F.col("i") + 0.5) / F.col("n"))
-    hits = sample_hits(samples, stretches, reach, degrees, piece_m=400.0).join(widths, "seg_id")
-    first = Window.partitionBy("way_id", "i").orderBy(F.round("d", 6), "seg_id", "seq")
-    taken = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    known = linear.measured(stretches.join(widths.select("seg_id").distinct(), "seg_id", "left_semi"), "seg_id", "seq")
+    nearest = linear.nearest_segment(samples.drop("total"), ["way_id", "i"], known, reach, ("s_lat", "s_lon"), ["seg_id", "seq"], "s_bearing", degrees)
+    taken = nearest.join(widths, "seg_id")
     whole = Window.partitionBy("way_id")
     ranked = taken.withColumns({"_r": F.row_number().over(whole.orderBy("width_m", "i")) - 1, "_c": F.count("*").over(whole)})
     return ranked.where("_c * 2 >= n and _r = cast(floor(_c / 2) as int)").select("way_id", F.col("width_m").alias("width"))

@@ -61,3 +61,18 @@ def test_a_raster_gives_each_cell_once_without_a_distinct(spark):
 def test_tables_that_multiply_rows_spread_what_they_read(spark):
     surface = fixtures.table(spark, "/root/testdata/sf0.001", "surface")
     assert surface.rdd.getNumPartitions() >= 4
+
+
+def test_nearest_segment_meets_few(spark):
+    """The nearest of many parallel lines comes out as from all of them, however crowded, also from afar."""
+    from geoloom.operators import linear
+
+    points = spark.range(200).selectExpr("id AS line", "id * 3000L AS lat_e7").selectExpr("line", "inline(array(named_struct('seq', 1L, 'lat_e7', lat_e7, 'lon_e7', 0L), named_struct('seq', 2L, 'lat_e7', lat_e7, 'lon_e7', 2000L)))")
+    asked = spark.range(20).selectExpr("id AS k", "cast(id * 37000 - 60000 AS double) AS y", "1000D AS x")
+    got = {r.k: (r.line, round(r.d, 3)) for r in linear.nearest_segment(asked, ["k"], linear.measured(points, "line", "seq"), 600.0, ("y", "x"), ["line"]).collect()}
+    want = {}
+    for k in range(20):
+        d, line = min((round(abs(k * 37000 - 60000 - n * 3000) / 1e7 * 111320.0, 6), n) for n in range(200))
+        if d <= 600:
+            want[k] = (line, round(d, 3))
+    assert got == want and 0 < len(want) < 20
