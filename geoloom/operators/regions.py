@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,11 @@ from geoloom.operators import linear
 from geoloom.operators.conflate import line_samples, sample_hits
 from geoloom.operators.grids import near_pixels
 from geoloom.operators.osm import segments
-from geoloom.operators.spatial import points_in_polygons
+from geoloom.operators.spatial import box_cells, crosses, points_in_polygons
+from geoloom.session import stored
+
+#: The smallest regions that are tried first, and the side of the cells that regions and boxes meet in (1e-7 degrees).
+FIRST_REGIONS, REGION_E7 = 4_000, 25_000
 
 
 def river_widths(points: DataFrame, stretches: DataFrame, widths: DataFrame, reach: float = 600.0, degrees: float = 40.0, least_m: float = 50.0) -> DataFrame:
@@ -34,11 +41,43 @@ def overlap_share(cells: DataFrame, edges: DataFrame, body: str, survey: str, le
 
 
 def smallest_holding_all(probes: DataFrame, edges: DataFrame, areas: DataFrame, box: str, region: str) -> DataFrame:
-    """The smallest region that holds every probe point (box, probe, y, x) of a box."""
-    inside = points_in_polygons(probes.withColumn("_p", F.struct(box, "probe")), edges, "_p", region, ("y", "x"))
-    wanted = probes.groupBy(box).agg(F.countDistinct("probe").alias("n"))
-    held = inside.groupBy(F.col(f"_p.{box}").alias(box), region).agg(F.countDistinct("_p.probe").alias("k")).join(wanted, box).where("k = n")
-    return held.join(areas, region).groupBy(box).agg(F.min_by(region, F.struct("area", region)).alias(region))
+    """The smallest region that holds every probe point (box, probe, y, x) of a box.
+
+    Only regions whose box holds all probes meet it. Small regions are tried first: of n regions the FIRST_REGIONS
+    smallest, then four times as many each round, and a box that has found one takes no part any more. So a box meets
+    about as many regions in a crowd as where they are sparse. The even-odd rule is an exclusive or over a region's edges,
+    a bit for each of up to 60 probes at a time.
+    """
+    at = F.collect_list(F.struct("y", "x"))
+    spans = probes.where("y is not null and x is not null").dropDuplicates([box, "probe"]).groupBy(box).agg(at.alias("_at"), F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1"))
+    n = F.ceil(F.size("_at") / 60).cast("int")
+    left = stored(spans.withColumns({"cell_lat": F.floor(F.col("_y0") / REGION_E7), "cell_lon": F.floor(F.col("_x0") / REGION_E7), "_parts": n}))
+    boxes = edges.groupBy(region).agg(
+        F.least(F.min("ay"), F.min("by")).alias("south_e7"), F.least(F.min("ax"), F.min("bx")).alias("west_e7"), F.greatest(F.max("ay"), F.max("by")).alias("north_e7"), F.greatest(F.max("ax"), F.max("bx")).alias("east_e7")
+    )
+    sized = stored(boxes.join(areas.select(region, "area").hint("merge"), region))
+    count = sized.count()
+    rounds = max(0, math.ceil(math.log(max(count, 1) / FIRST_REGIONS, 4)))
+    limits = sized.agg(F.percentile_approx("area", [4.0 ** (k - rounds) for k in range(rounds)], 10_000).alias("p")).first().p if rounds else None
+    parts, low = [], None
+    for high in [*sorted(set(limits or [])), None]:
+        some = sized
+        if high is not None:
+            some = some.where(F.col("area").isNull() | (F.col("area") <= high))
+        if low is not None:
+            some = some.where(F.col("area") > low)
+        met = left.join(box_cells(some, REGION_E7).hint("merge"), ["cell_lat", "cell_lon"]).where("_y0 >= south_e7 and _y1 <= north_e7 and _x0 >= west_e7 and _x1 <= east_e7")
+        met = met.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(box, region, "area", "_parts", "_part", F.slice("_at", F.col("_part") * 60 + 1, F.lit(60)).alias("_at"))
+        hit = met.join(edges.select(region, "ay", "ax", "by", "bx").hint("merge"), region)
+        over = F.aggregate(F.reverse("_at"), F.lit(0).cast("bigint"), lambda mask, p: mask * 2 + crosses(p["y"], p["x"], F.col("ay"), F.col("ax"), F.col("by"), F.col("bx")).cast("bigint"))
+        inside = hit.groupBy(box, region, "_part").agg(F.bit_xor(over).alias("_in"), F.first("area").alias("area"), F.first("_parts").alias("_parts"), F.first(F.size("_at")).alias("_k"))
+        whole = inside.where(F.col("_in") == F.expr("shiftleft(1L, _k) - 1")).groupBy(box, region).agg(F.count("*").alias("_c"), F.first("area").alias("area"), F.first("_parts").alias("_parts")).where("_c = _parts")
+        best = whole.groupBy(box).agg(F.min_by(region, F.struct("area", region)).alias(region))
+        if high is None:
+            return reduce(DataFrame.union, [*parts, best])
+        parts.append(stored(best))
+        left = stored(left.join(parts[-1].select(box).hint("merge"), box, "left_anti").select(*left.columns))
+        low = high
 
 
 def densify(points: DataFrame, line: str, order: str, step_m: float) -> DataFrame:

@@ -63,6 +63,24 @@ def test_tables_that_multiply_rows_spread_what_they_read(spark):
     assert surface.rdd.getNumPartitions() >= 4
 
 
+def test_smallest_region_by_rounds(spark, monkeypatch):
+    """Rounds of few regions give what all regions at once give; a box meets no region that is larger than the one it found before."""
+    from geoloom.operators import regions
+    from geoloom.operators.spatial import square_edges
+
+    areas = spark.range(300).selectExpr("id AS region", "id * 37 % 11 * 3000L AS lat_e7", "id * 53 % 13 * 3000L AS lon_e7", "5000L + id % 29 * 1500 AS half_lat", "5000L + id % 29 * 1500 AS half_lon")
+    probes = spark.range(40 * 70).selectExpr("id % 40 AS box", "cast(id / 40 AS bigint) AS probe", "id % 40 % 7 * 4000L + cast(id / 40 AS bigint) * 20 AS y", "id % 40 % 5 * 6000L AS x")
+    sized = areas.selectExpr("region", "cast(half_lat AS double) * half_lon AS area")
+    find = lambda: {(r.box, r.region) for r in regions.smallest_holding_all(probes, square_edges(areas, "region"), sized, "box", "region").collect()}
+    a, p = areas.collect(), probes.collect()
+    ends = {k: (min(r.y for r in p if r.box == k), max(r.y for r in p if r.box == k), k % 5 * 6000) for k in range(40)}
+    held = {k: [(r.half_lat**2, r.region) for r in a if r.lat_e7 - r.half_lat <= y0 and y1 < r.lat_e7 + r.half_lat and r.lon_e7 - r.half_lon <= x < r.lon_e7 + r.half_lon] for k, (y0, y1, x) in ends.items()}
+    want = {(k, min(v)[1]) for k, v in held.items() if v}
+    assert find() == want
+    monkeypatch.setattr(regions, "FIRST_REGIONS", 5)
+    assert want and find() == want
+
+
 def test_nearest_segment_meets_few(spark):
     """The nearest of many parallel lines comes out as from all of them, however crowded, also from afar."""
     from geoloom.operators import linear
