@@ -112,7 +112,8 @@ def lowest(read):
 def name_lookup(read):
     """JN-50: places of a name, the best rank first."""
     p = read("places").select(F.lower(F.replace("name", F.lit("-"), F.lit(" "))).alias("name"), "place_id")
-    return read("named_features").select(F.col("feature_id").alias("asked"), "name").join(p, "name").groupBy("asked").agg(F.min_by("place_id", F.struct(F.col("place_id") % 4, F.col("place_id"))).alias("found"))
+    best = p.groupBy("name").agg(F.min_by("place_id", F.struct(F.col("place_id") % 4, F.col("place_id"))).alias("found"))
+    return read("named_features").select(F.col("feature_id").alias("asked"), "name").join(best.hint("merge"), "name").groupBy("asked").agg(F.min_by("found", F.struct(F.col("found") % 4, F.col("found"))).alias("found"))
 
 
 @query("jn51_nearest_selected_cell", """WITH s AS (SELECT z0 AS "row", x0 AS a, x1 AS b FROM {selection_shapes}), p AS (SELECT place_id, place_id * 17 % 480 AS px, CAST(floor(place_id / 150.0) * 50 + place_id * 13 % 70 AS BIGINT) AS pz FROM {places}), d AS (SELECT place_id, "row", least(greatest(px, a), b) AS col, (least(greatest(px, a), b) - px) ** 2 + ("row" - pz) ** 2 AS d FROM p, s)

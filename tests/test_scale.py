@@ -94,3 +94,11 @@ def test_nearest_segment_meets_few(spark):
         if d <= 600:
             want[k] = (line, round(d, 3))
     assert got == want and 0 < len(want) < 20
+
+
+def test_names_are_looked_up_among_one_place_each(spark):
+    """A name's best place is found before features meet it, so features and places of one name make no pairs."""
+    from geoloom.plans import catalogue
+
+    plan = catalogue.queries()["jn50_name_lookup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Aggregate [name#" in line for line in plan.splitlines())
