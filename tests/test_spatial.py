@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,27 @@ def test_rings_are_joined_end_to_end(spark):
     assert [(r.ring, r.way_id, r.reversed, r.closed) for r in got] == [(0, 10, False, True), (0, 11, True, True), (0, 12, False, True), (1, 13, False, False), (2, 14, False, False)]
 
 
+def test_groups_of_many_batches_are_whole_and_share_them(spark):
+    rows = [(k, c, v) for k, c, n in ((1, "a", 2), (1, None, 7), (None, None, 1), (None, "b", 4), (2, "b", 1)) for v in range(n)]
+    frames = [pd.DataFrame(rows[a : a + 3], columns=["k", "c", "v"], dtype=object) for a in range(0, len(rows), 3)]
+    got = [[g.v.tolist() for g in np.split(pdf, begins[1:])] for pdf, begins in arrow.whole_groups(iter([frames[0], frames[0][:0], *frames[1:]]), ["k", "c"])]
+    assert sum(got, []) == [list(range(n)) for n in (2, 7, 1, 4, 1)]
+    ways = spark.createDataFrame([(k % 50, None if k % 3 else "outer", k, str(k // 50 % 4), str((k // 50 + 1) % 4)) for k in range(600)], "rel long, role string, way_id long, first string, last string")
+    rings = arrow.assemble_rings(ways, ["rel", "role"])
+    plan = rings._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "FlatMapGroups" not in arrow.relax_surface(spark.createDataFrame([], "b int, x int, z int, fixed double"), "b")._jdf.queryExecution().toString()
+    assert rings.count() == 600 and rings.select("rel", "role").distinct().count() == ways.select("rel", "role").distinct().count()
+
+
+def test_bodies_of_one_batch_are_relaxed_apart(spark):
+    body = lambda b, low, fixed: [(b, x, z, fixed.get((x, z))) for x in range(low, low + 4) for z in range(-3, 3)]
+    bodies = {1: body(1, 0, {(0, -3): 1.0, (3, 2): 5.0}), 2: body(2, -70, {(-69, 0): 2.0}), 3: body(3, 1, {}), 4: [(4, 9, 9, None), (4, 5, 5, 3.0)]}
+    of = lambda rows: {(r.b, r.x, r.z): r.level for r in arrow.relax_surface(spark.createDataFrame(rows, "b int, x int, z int, fixed double").repartition(1), "b").collect()}
+    got = of(sum(bodies.values(), []))
+    assert got == {k: v for rows in bodies.values() for k, v in of(rows).items()} and {v for (b, _, _), v in got.items() if b == 3} == {0.0}
+    assert got[1, 0, -3] == 1.0 and got[1, 3, 2] == 5.0 and 1.0 < got[1, 1, 0] < 5.0 and got[4, 9, 9] == 3.0
+
+
 def test_newest_part_wins_but_chains_keep_their_ends(spark):
     bands = lambda ids: spark.createDataFrame([(1, i, *b) for i, b in zip(ids, ((0.0, 4.0), (3.0, 7.0), (6.0, 9.0)), strict=True)], "cell long, id long, bottom double, top double")
     stay = lambda ids: {r.id for r in regions.stacked_parts(bands(ids), "cell").collect()}
