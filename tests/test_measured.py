@@ -67,6 +67,18 @@ def test_boxes_meet_across_the_meridian(spark):
     assert {(1, 7), (1, 8), (1, 9), (2, 8), (2, 9)} <= got and 3 not in {p for p, _ in got}
 
 
+def test_boxes_that_only_share_a_cell_are_left_out(spark):
+    draw = random.Random(5)
+    turn = 3_600_000_000
+    box = lambda k, low: (k, y := 700_000_000 + draw.randrange(9000), x := low + draw.randrange(9000), y + draw.randrange(1500), x + draw.randrange(1500))
+    left, right = [[box(k, low) for k, low in enumerate([1_799_995_000, -1_800_004_000] * 25)] for _ in range(2)]
+    a, b = spark.createDataFrame(left, "p long, s long, w long, n long, e long"), spark.createDataFrame(right, "b long, bs long, bw long, bn long, be long")
+    rows = with_boxes_near(a, b, 3.0, ("s", "w", "n", "e"), ("bs", "bw", "bn", "be"), 2000, once=True).select("p", "b").collect()
+    pad, wide = 3.0 / 111320.0 * 1e7, lambda r: 3.0 / 111320.0 * 1e7 / math.cos(math.radians((r[3] + 3.0 / 111320.0 * 1e7) / 1e7))
+    want = {(p[0], r[0]) for p in left for r in right if p[1] <= r[3] + pad and p[3] >= r[1] - pad and any(p[2] + k * turn <= r[4] + wide(r) and p[4] + k * turn >= r[2] - wide(r) for k in (-1, 0, 1))}
+    assert {tuple(r) for r in rows} == want and want
+
+
 def _ways(spark, rows):
     return spark.createDataFrame(rows, "way_id long, layer int, half_width double, carries boolean, room double")
 
