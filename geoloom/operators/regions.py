@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators import linear
-from geoloom.operators.conflate import line_samples, sample_hits
+from geoloom.operators.conflate import line_samples
 from geoloom.operators.grids import near_pixels
 from geoloom.operators.osm import segments
 from geoloom.operators.spatial import box_cells, crosses, points_in_polygons
@@ -109,9 +109,11 @@ def side_by_side(points: DataFrame, layers: DataFrame, reach: float = 12.0, degr
     """Pairs of different ways of one layer that run side by side somewhere: samples every `step` metres, the first at 2 m or half way."""
     begin = F.least(F.lit(2.0), F.col("total") / 2)
     samples = line_samples(points, "way_id", "seq", F.floor((F.col("total") - begin) / step) + 1, begin + F.col("i") * step)
-    hits = sample_hits(samples, points.withColumnRenamed("way_id", "seg_id"), reach, degrees).where("way_id <> seg_id")
-    a, b = layers.select("way_id", F.col("layer").alias("la")), layers.select(F.col("way_id").alias("seg_id"), F.col("layer").alias("lb"))
-    return hits.select("way_id", "seg_id").distinct().join(a, "way_id").join(b, "seg_id").where("la = lb").select("way_id", "seg_id")
+    of = lambda key: layers.where("layer is not null").select(F.col("way_id").alias(key), "layer").hint("merge")
+    own = samples.select("way_id", "s_lat", "s_lon", "s_bearing").join(of("way_id"), "way_id")
+    others = linear.measured(points.withColumnRenamed("way_id", "seg_id"), "seg_id", "seq").join(of("seg_id"), "seg_id")
+    hits = linear.near_segments(own, others, reach, ("s_lat", "s_lon"), linear.PIECE_M, "s_bearing", degrees, ("layer",))
+    return hits.where("way_id <> seg_id").select("way_id", "seg_id").distinct()
 
 
 def point_profile(points: DataFrame, layers: dict[str, DataFrame], keys: list[str]) -> DataFrame:
