@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.session import checkpoint
+from geoloom.session import checkpoint, stored
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -33,6 +33,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     raise ValueError(f"components did not settle in {max_rounds} rounds")
 
 
+def shared_cells(points: DataFrame, line: str, order: str, cell: str) -> DataFrame:
+    """`(node, component)` of every line that shares a cell with another, directly or through others; component is the smallest line.
+
+    `points` are (line, order, cell), the cell a long. Components are those of the cells, which the steps of lines tie:
+    a step is kept once, however many lines take it, so the graph grows with the cells and not with the lines. Points of
+    null lines or cells are left out.
+    """
+    known = points.where(F.col(line).isNotNull() & F.col(cell).isNotNull()).select(F.col(line).alias("node"), F.col(order).alias("at"), F.col(cell).alias("cell"))
+    along = Window.partitionBy("node").orderBy("at")
+    steps = stored(known.withColumns({"next": F.lead("cell").over(along), "n": F.row_number().over(along)}).select("node", "cell", "next", "n"))
+    tied = connected_components(steps.where("cell <> next").select("cell", "next").distinct(), "cell", "next").select(F.col("node").alias("cell"), F.col("component").alias("root"))
+    starts = steps.where("n = 1").select("node", "cell")  # all cells of a line are in one component: its first one tells which
+    held = starts.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).join(tied.hint("merge"), "cell", "left").withColumn("root", F.coalesce("root", "cell"))
+    named = held.groupBy("root").agg(F.min("low").alias("component"), F.max("high").alias("high")).where("component <> high").select("root", "component")
+    of_cell = held.select("cell", "root").join(named.hint("merge"), "root").select("cell", "component")
+    return starts.join(of_cell.hint("merge"), "cell").select("node", "component")
+
+
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's smallest neighbour."""
     both = pairs.union(pairs.select(F.col("v"), F.col("u")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.operators import areas, arrow
-from geoloom.operators.components import connected_components
+from geoloom.operators.components import shared_cells
 from geoloom.plans.register import query
 
 _CELLS = "cells AS (SELECT shape_order, x, unnest(range(z0, z1)) AS z, subtract FROM (SELECT *, unnest(range(x0, x1)) AS x FROM {selection_shapes})), sel AS (SELECT x, z FROM (SELECT x, z, max_by(subtract, shape_order) AS gone FROM cells GROUP BY x, z) WHERE NOT gone)"
@@ -122,10 +122,8 @@ def gap_fill(read):
     r(n, m) AS (SELECT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n) SELECT n AS node, min(m) AS component FROM r GROUP BY n""")
 def components(read):
     """AG-22: ways that share a small cell, directly or through others."""
-    p = read("way_points").select("way_id", F.floor(F.col("lat_e7") / 10000).alias("y"), F.floor(F.col("lon_e7") / 10000).alias("x")).distinct()
-    hub = p.groupBy("y", "x").agg(F.min("way_id").alias("hub"))
-    edges = p.join(hub, ["y", "x"]).where("way_id <> hub").select(F.col("way_id").alias("src"), F.col("hub").alias("dst"))
-    return connected_components(edges)
+    cell = F.floor(F.col("lat_e7") / 10000) * 1_000_000 + F.floor(F.col("lon_e7") / 10000)
+    return shared_cells(read("way_points").select("way_id", "seq", cell.alias("cell")), "way_id", "seq", "cell")
 
 
 @query("ag25_distance_transform", f"WITH {_CELLS}, c AS (SELECT shape_order, x, z FROM cells), o AS (SELECT a, b FROM range(-5, 6) p(a), range(-5, 6) q(b)) SELECT c.shape_order, CAST(c.x AS INTEGER) AS x, CAST(c.z AS INTEGER) AS z, round(min(sqrt(a * a + b * b)), 5) AS d FROM c, o WHERE NOT EXISTS (SELECT 1 FROM c k WHERE k.shape_order = c.shape_order AND k.x = c.x + a AND k.z = c.z + b) GROUP BY 1, 2, 3")

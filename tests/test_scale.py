@@ -6,7 +6,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from geoloom.operators import areas, coast, grids, spatial
+from geoloom.operators import areas, coast, components, grids, spatial
 from geoloom.plans.statistics import rounded
 from geoloom.sources import fixtures
 
@@ -102,3 +102,11 @@ def test_names_are_looked_up_among_one_place_each(spark):
 
     plan = catalogue.queries()["jn50_name_lookup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert any("Aggregate [name#" in line for line in plan.splitlines())
+
+
+def test_lines_that_share_cells_are_tied_by_their_steps(spark):
+    # 5 and 3 share cell 2 in their middles, 9 ties in by a cell of 3 alone; 4 is alone; 7 and 8 stand in one cell; nulls are left out.
+    lines = {5: [1, 2, 3], 3: [10, 2, 11], 9: [12, 11], 4: [20, 21, 20], 7: [30], 8: [30, None], None: [20]}
+    points = spark.createDataFrame([(k, n, c) for k, cells in lines.items() for n, c in enumerate(cells)], "way long, seq long, cell long")
+    got = {(r.node, r.component) for r in components.shared_cells(points, "way", "seq", "cell").collect()}
+    assert got == {(5, 3), (3, 3), (9, 3), (7, 7), (8, 7)}
