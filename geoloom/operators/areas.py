@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.session import stored
 
+#: Side of the square blocks of cells by which cells are dealt.
+BLOCK = 64
+
 
 def union_runs(runs: DataFrame) -> DataFrame:
     """Runs `(row, start, end)` with inclusive ends; those that touch or overlap become one."""
@@ -62,39 +65,69 @@ def rasterise_lines(segments: DataFrame, key: str, half_width: float) -> DataFra
     return box.withColumn("d", d).where(F.col("d") <= half_width).groupBy(key, "x", "z").agg(F.min("d").alias("d"))
 
 
-def select_area(cells: DataFrame, shapes: DataFrame) -> DataFrame:
+def by_blocks(cells: DataFrame, tasks: int | None = None, before: int = 0, after: int = 0) -> DataFrame:
+    """`cells` (x, z, ...) with their block `(_bx, _bz)`, dealt by it: over `tasks` tasks, else as a shuffle has.
+
+    A cell is filed under each block that holds a cell from `before` less to `after` more along x and z, so what cells
+    add to others near them meets within a block, and only the cells at its rim are shuffled more than once.
+    """
+    block = lambda c, d=0: F.floor((F.col(c) + d) / BLOCK)
+    blocks = lambda c: F.explode(F.sequence(block(c, -before), block(c, after))) if before or after else block(c)
+    filed = cells.withColumn("_bx", blocks("x")).withColumn("_bz", blocks("z"))
+    return filed.repartition(*([tasks] if tasks else []), "_bx", "_bz")
+
+
+def in_block(x: str, z: str) -> Column:
+    """Whether the cell lies in the block that the row is filed under."""
+    return (F.floor(F.col(x) / BLOCK) == F.col("_bx")) & (F.floor(F.col(z) / BLOCK) == F.col("_bz"))
+
+
+def select_area(cells: DataFrame, shapes: DataFrame, tasks: int | None = None) -> DataFrame:
     """Cells `(x, z)` whose last shape adds: cells are (shape_order, x, z), shapes (shape_order, subtract)."""
-    last = cells.join(shapes.hint("merge"), "shape_order").groupBy("x", "z").agg(F.max_by("subtract", "shape_order").alias("gone"))
+    known = cells.join(shapes.hint("merge"), "shape_order")
+    last = by_blocks(known, tasks).groupBy("_bx", "_bz", "x", "z").agg(F.max_by("subtract", "shape_order").alias("gone"))
     return last.where("not gone").select("x", "z")
 
 
+def set_sizes(a: DataFrame, b: DataFrame, tasks: int | None = None) -> DataFrame:
+    """`(op, n)`: how many different cells are in a or b (union), in a and not in b (difference), in both (common)."""
+    both = a.select("x", "z", F.lit(True).alias("a"), F.lit(False).alias("b")).union(b.select("x", "z", F.lit(False), F.lit(True)))
+    held = by_blocks(both, tasks).groupBy("_bx", "_bz", "x", "z").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    sizes = held.agg(F.count("*").alias("union"), F.count_if(F.col("a") & ~F.col("b")).alias("difference"), F.count_if(F.col("a") & F.col("b")).alias("common"))
+    return sizes.select(F.inline(F.array(*[F.struct(F.lit(op).alias("op"), F.col(op).alias("n")) for op in ("union", "difference", "common")])))
+
+
 def disc(k: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(-k, k + 1) for b in range(-k, k + 1) if a * a + b * b <= k * k]
 
 
-def grow(cells: DataFrame, k: int) -> DataFrame:
-    """Every cell within a round brush of k cells."""
+def _reached(cells: DataFrame, k: int, tasks: int | None) -> DataFrame:
+    """`(_bx, _bz, x, z)`: each cell of the round brush of k cells about each cell, in the task of its own block."""
     brush = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in disc(k)])
-    return cells.select(F.inline(F.transform(brush, lambda o: F.struct((F.col("x") + o["a"]).alias("x"), (F.col("z") + o["b"]).alias("z"))))).distinct()
+    spots = F.inline(F.transform(brush, lambda o: F.struct((F.col("x") + o["a"]).alias("x"), (F.col("z") + o["b"]).alias("z"))))
+    return by_blocks(cells, tasks, k, k).select("_bx", "_bz", spots).where(in_block("x", "z"))
 
 
-def shrink(cells: DataFrame, k: int) -> DataFrame:
+def grow(cells: DataFrame, k: int, tasks: int | None = None) -> DataFrame:
+    """Every cell within a round brush of k cells."""
+    return _reached(cells, k, tasks).distinct().select("x", "z")
+
+
+def shrink(cells: DataFrame, k: int, tasks: int | None = None) -> DataFrame:
     """Cells all of whose brush lies inside."""
-    brush = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in disc(k)])
-    reached = cells.select(F.inline(F.transform(brush, lambda o: F.struct((F.col("x") + o["a"]).alias("x"), (F.col("z") + o["b"]).alias("z")))))
-    return reached.groupBy("x", "z").agg(F.count("*").alias("n")).where(F.col("n") == len(disc(k))).select("x", "z")
+    return _reached(cells, k, tasks).groupBy("_bx", "_bz", "x", "z").agg(F.count("*").alias("n")).where(F.col("n") == len(disc(k))).select("x", "z")
 
 
-def outline(cells: DataFrame) -> DataFrame:
+def outline(cells: DataFrame, tasks: int | None = None) -> DataFrame:
     """Cell edges seen once: `(x1, z1, x2, z2)`."""
     e = lambda a, b, c, d: F.struct((F.col("x") + a).alias("x1"), (F.col("z") + b).alias("z1"), (F.col("x") + c).alias("x2"), (F.col("z") + d).alias("z2"))
-    edges = cells.select(F.inline(F.array(e(0, 0, 1, 0), e(0, 1, 1, 1), e(0, 0, 0, 1), e(1, 0, 1, 1))))
-    return edges.groupBy("x1", "z1", "x2", "z2").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    edges = by_blocks(cells, tasks, after=1).select("_bx", "_bz", F.inline(F.array(e(0, 0, 1, 0), e(0, 1, 1, 1), e(0, 0, 0, 1), e(1, 0, 1, 1)))).where(in_block("x1", "z1"))
+    return edges.groupBy("_bx", "_bz", "x1", "z1", "x2", "z2").agg(F.count("*").alias("n")).where("n = 1").select("x1", "z1", "x2", "z2")
 
 
-def overlay(cells: DataFrame, order: list) -> DataFrame:
+def overlay(cells: DataFrame, order: list, tasks: int | None = None) -> DataFrame:
     """The class that is drawn last in each cell: `order` are columns, the greatest wins."""
-    return cells.groupBy("x", "z").agg(F.max_by("class", F.struct(*order)).alias("class"))
+    return by_blocks(cells, tasks).groupBy("_bx", "_bz", "x", "z").agg(F.max_by("class", F.struct(*order)).alias("class")).select("x", "z", "class")
 
 
 def distance_to_outside(cells: DataFrame, key: str) -> DataFrame:
@@ -115,11 +148,11 @@ def distance_to_outside(cells: DataFrame, key: str) -> DataFrame:
     return met.groupBy(key, "x", "z").agg(F.sqrt(F.min(d2)).alias("d"))
 
 
-def two_decks(cells: DataFrame) -> DataFrame:
+def two_decks(cells: DataFrame, tasks: int | None = None) -> DataFrame:
     """The top way of each cell by layer, priority and id, and the one under it."""
-    w = Window.partitionBy("x", "z").orderBy(F.col("layer").desc(), F.col("priority").desc(), "id")
-    ranked = cells.withColumn("_n", F.row_number().over(w)).where("_n <= 2")
-    return ranked.groupBy("x", "z").agg(F.max(F.when(F.col("_n") == 1, F.col("id"))).alias("top"), F.max(F.when(F.col("_n") == 2, F.col("id"))).alias("under"))
+    w = Window.partitionBy("_bx", "_bz", "x", "z").orderBy(F.col("layer").desc(), F.col("priority").desc(), "id")
+    ranked = by_blocks(cells, tasks).withColumn("_n", F.row_number().over(w)).where("_n <= 2")
+    return ranked.groupBy("_bx", "_bz", "x", "z").agg(F.max(F.when(F.col("_n") == 1, F.col("id"))).alias("top"), F.max(F.when(F.col("_n") == 2, F.col("id"))).alias("under")).drop("_bx", "_bz")
 
 
 def nearest_cell(points: DataFrame, runs: DataFrame, key: str, block: int = 16) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from geoloom.operators import areas, arrow
 from geoloom.operators.components import shared_cells
 from geoloom.plans.register import query
+from geoloom.session import tasks_for
+from geoloom.sources.fixtures import SPREAD_ROWS
 
 _CELLS = "cells AS (SELECT shape_order, x, unnest(range(z0, z1)) AS z, subtract FROM (SELECT *, unnest(range(x0, x1)) AS x FROM {selection_shapes})), sel AS (SELECT x, z FROM (SELECT x, z, max_by(subtract, shape_order) AS gone FROM cells GROUP BY x, z) WHERE NOT gone)"
 
@@ -19,8 +21,13 @@ def shape_cells(read):
     return areas.rasterise_polygons(edges, "shape_order")
 
 
-def selection(read):
-    return areas.select_area(shape_cells(read), read("selection_shapes").select("shape_order", "subtract"))
+def shape_tasks(read):
+    """Tasks for the cells of the shapes: as many as the shapes are spread over."""
+    return tasks_for(read("selection_shapes"), SPREAD_ROWS)
+
+
+def selection(read, tasks):
+    return areas.select_area(shape_cells(read), read("selection_shapes").select("shape_order", "subtract"), tasks)
 
 
 @query("ag20_polygon_raster", f"WITH {_CELLS} SELECT shape_order, CAST(x AS INTEGER) AS x, CAST(z AS INTEGER) AS z FROM cells")
@@ -32,16 +39,16 @@ def polygon_raster(read):
 @query("st01_area_selection", f"WITH {_CELLS} SELECT CAST(x AS INTEGER) AS x, CAST(z AS INTEGER) AS z FROM sel")
 def area_selection(read):
     """ST-01: shapes added and taken away in order."""
-    return selection(read)
+    return selection(read, shape_tasks(read))
 
 
 @query("st02_set_operations", f"WITH {_CELLS}, o AS (SELECT x + 3 AS x, z + 2 AS z FROM sel) SELECT 'union' AS op, (SELECT count(*) FROM (SELECT * FROM sel UNION SELECT * FROM o)) AS n UNION ALL SELECT 'difference', (SELECT count(*) FROM (SELECT * FROM sel EXCEPT SELECT * FROM o)) UNION ALL SELECT 'common', (SELECT count(*) FROM (SELECT * FROM sel INTERSECT SELECT * FROM o))")
 def set_operations(read):
     """ST-02: union, difference and intersection of selections."""
-    a = selection(read)
+    tasks = shape_tasks(read)
+    a = selection(read, tasks)
     b = a.select((F.col("x") + 3).alias("x"), (F.col("z") + 2).alias("z"))
-    count = lambda name, df: df.agg(F.lit(name).alias("op"), F.count("*").alias("n"))
-    return count("union", a.union(b).distinct()).union(count("difference", a.exceptAll(b))).union(count("common", a.intersect(b)))
+    return areas.set_sizes(a, b, tasks)
 
 
 _DISC = "d AS (SELECT a, b FROM range(-2, 3) p(a), range(-2, 3) q(b) WHERE a * a + b * b <= 4)"
@@ -50,25 +57,28 @@ _DISC = "d AS (SELECT a, b FROM range(-2, 3) p(a), range(-2, 3) q(b) WHERE a * a
 @query("st03_grow", f"WITH {_CELLS}, {_DISC} SELECT DISTINCT CAST(x + a AS INTEGER) AS x, CAST(z + b AS INTEGER) AS z FROM sel, d")
 def grown(read):
     """ST-03: dilation by a round brush of two cells."""
-    return areas.grow(selection(read), 2)
+    tasks = shape_tasks(read)
+    return areas.grow(selection(read, tasks), 2, tasks)
 
 
 @query("st03_shrink", f"WITH {_CELLS}, {_DISC} SELECT CAST(x + a AS INTEGER) AS x, CAST(z + b AS INTEGER) AS z FROM sel, d GROUP BY 1, 2 HAVING count(*) = 13")
 def shrunk(read):
     """ST-03: erosion by the same brush."""
-    return areas.shrink(selection(read), 2)
+    tasks = shape_tasks(read)
+    return areas.shrink(selection(read, tasks), 2, tasks)
 
 
 @query("st04_outline", f"WITH {_CELLS}, e AS (SELECT x AS x1, z AS z1, x + 1 AS x2, z AS z2 FROM sel UNION ALL SELECT x, z + 1, x + 1, z + 1 FROM sel UNION ALL SELECT x, z, x, z + 1 FROM sel UNION ALL SELECT x + 1, z, x + 1, z + 1 FROM sel) SELECT CAST(x1 AS INTEGER) AS x1, CAST(z1 AS INTEGER) AS z1, CAST(x2 AS INTEGER) AS x2, CAST(z2 AS INTEGER) AS z2 FROM e GROUP BY ALL HAVING count(*) = 1")
 def outlined(read):
     """ST-04: edges of a cell set that are seen once."""
-    return areas.outline(selection(read))
+    tasks = shape_tasks(read)
+    return areas.outline(selection(read, tasks), tasks)
 
 
 @query("st07_coverage_level", f"WITH {_CELLS} SELECT CAST(x AS INTEGER) AS x, CAST(z AS INTEGER) AS z, max(shape_order % 5) AS level FROM cells GROUP BY 1, 2")
 def coverage(read):
     """ST-07, AG-16: the highest level that covers a cell."""
-    return shape_cells(read).groupBy("x", "z").agg(F.max(F.col("shape_order") % 5).alias("level"))
+    return areas.by_blocks(shape_cells(read), shape_tasks(read)).groupBy("_bx", "_bz", "x", "z").agg(F.max(F.col("shape_order") % 5).alias("level")).drop("_bx", "_bz")
 
 
 _RUNS = "r AS (SELECT CAST(z0 AS INTEGER) AS \"row\", x0 AS s, x1 AS e FROM {selection_shapes} UNION ALL SELECT CAST(z0 AS INTEGER), x0 + 6, x1 + 9 FROM {selection_shapes} WHERE shape_order % 2 = 0)"
@@ -106,7 +116,7 @@ def line_raster(read):
 def layered(read):
     """AG-23, SO-01: by priority, then later over earlier."""
     c = shape_cells(read).withColumn("class", F.concat(F.lit("c"), F.col("shape_order").cast("string")))
-    return areas.overlay(c, [F.col("shape_order") % 3, F.col("shape_order")])
+    return areas.overlay(c, [F.col("shape_order") % 3, F.col("shape_order")], shape_tasks(read))
 
 
 @query("ag24_gap_fill_overlay", f"WITH {_CELLS}, a AS (SELECT x, z, max(shape_order) AS first FROM cells WHERE shape_order % 2 = 0 GROUP BY 1, 2), b AS (SELECT x, z, max(shape_order) AS second FROM cells WHERE shape_order % 2 = 1 GROUP BY 1, 2) SELECT CAST(x AS INTEGER) AS x, CAST(z AS INTEGER) AS z, coalesce(first, second) AS class FROM a FULL JOIN b USING (x, z)")
@@ -136,7 +146,7 @@ def distances(read):
 def decks(read):
     """AG-33: the top way of a cell and the one under it."""
     c = shape_cells(read).select("x", "z", F.col("shape_order").alias("id"), (F.col("shape_order") % 3).alias("layer"), (F.col("shape_order") % 5).alias("priority"))
-    return areas.two_decks(c)
+    return areas.two_decks(c, shape_tasks(read))
 
 
 @query("st06_identical_pages", "SELECT lanes, width_m, min(seg_id) AS first FROM (SELECT DISTINCT seg_id, lanes, width_m FROM {road_segments}) GROUP BY ALL")

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoloom.session import tasks_for
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 
 _BASE = "600000000 + (CAST({k} AS BIGINT) * 7919 % 4999) * 1000 AS lat_e7, 50000000 + (CAST({k} AS BIGINT) * 104729 % 9973) * 1000 AS lon_e7"
@@ -134,12 +136,13 @@ for name in ("grid_class",):
 
 #: Tables whose texts make many rows of one, so that what they read is spread first; of SPREAD the rows are made many by the queries.
 MULTIPLIED, SPREAD = {"surface", "coast_cells", "coast_lines", "cut_footprints", "water_shores"}, {"selection_shapes"}
+#: Rows of a spread table that one task takes, about.
+SPREAD_ROWS = 10_000
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` dealt by its first column over as many tasks as a shuffle has: a small file is one task, and so is all that comes of its rows."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), df.columns[0])
+    """`df` dealt by its first column over tasks of SPREAD_ROWS rows: a small file is one task, and so is all that comes of its rows."""
+    return df.repartition(tasks_for(df, SPREAD_ROWS), df.columns[0])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -110,3 +110,42 @@ def test_lines_that_share_cells_are_tied_by_their_steps(spark):
     points = spark.createDataFrame([(k, n, c) for k, cells in lines.items() for n, c in enumerate(cells)], "way long, seq long, cell long")
     got = {(r.node, r.component) for r in components.shared_cells(points, "way", "seq", "cell").collect()}
     assert got == {(5, 3), (3, 3), (9, 3), (7, 7), (8, 7)}
+
+
+def _tasks(df) -> int:
+    """The greatest number of tasks that a plan deals rows over."""
+    import re
+
+    return max(int(n) for n in re.findall(r"hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_tasks_of_cells_grow_with_the_shapes(spark, tmp_path, monkeypatch):
+    """Shapes and the cells made of them are dealt over more tasks where there are more shapes, with the same results."""
+    from geoloom.plans import areas as plans
+    from geoloom.plans import catalogue
+
+    names = ("st01_area_selection", "st02_set_operations", "st03_grow", "st03_shrink", "st04_outline", "st07_coverage_level", "ag23_layered_overlay", "ag33_two_decks")
+    made = {name: catalogue.queries()[name](spark, "/root/testdata/sf0.001") for name in names}
+    want = {name: sorted(map(tuple, df.collect())) for name, df in made.items()}
+    monkeypatch.setattr(fixtures, "SPREAD_ROWS", 20)
+    monkeypatch.setattr(plans, "SPREAD_ROWS", 20)
+    for name in names:
+        df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+        assert _tasks(made[name]) == 4 and _tasks(df) == 10, name
+        assert "hashpartitioning(x" not in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, df.collect())) == want[name]
+
+
+def test_cells_meet_over_the_edges_of_blocks(spark):
+    """Brushes, outlines and set sizes of cells about the corner of four blocks, also of negative ones, are those of plain sets."""
+    draw = random.Random(3)
+    held = {(b * areas.BLOCK + draw.randrange(-5, 5), d * areas.BLOCK + draw.randrange(-5, 5)) for b in (-1, 0, 1) for d in (0, 2) for _ in range(70)}
+    cells = spark.createDataFrame(sorted(held), "x int, z int")
+    moved = {(x + 3, z + 2) for x, z in held}
+    brush = areas.disc(2)
+    assert sorted(map(tuple, areas.grow(cells, 2, 7).collect())) == sorted({(x + a, z + b) for x, z in held for a, b in brush})
+    assert sorted(map(tuple, areas.shrink(cells, 2, 7).collect())) == sorted((x, z) for x, z in held if all((x + a, z + b) in held for a, b in brush))
+    seen = [e for x, z in held for e in ((x, z, x + 1, z), (x, z + 1, x + 1, z + 1), (x, z, x, z + 1), (x + 1, z, x + 1, z + 1))]
+    assert sorted(map(tuple, areas.outline(cells, 7).collect())) == sorted(e for e in set(seen) if seen.count(e) == 1)
+    sizes = areas.set_sizes(cells, spark.createDataFrame(sorted(moved), "x int, z int"), 7)
+    assert {r.op: r.n for r in sizes.collect()} == {"union": len(held | moved), "difference": len(held - moved), "common": len(held & moved)}
