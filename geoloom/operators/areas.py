@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.session import stored
+from geoloom.session import stored, tasks_for
 
 #: Side of the square blocks of cells by which cells are dealt.
 BLOCK = 64
+#: Runs of one array where the nearest is looked for, and rows (points and runs) that one task takes, about.
+RUNS, NEAREST_ROWS = 1024, 50_000
 
 
 def union_runs(runs: DataFrame) -> DataFrame:
@@ -159,7 +161,8 @@ def nearest_cell(points: DataFrame, runs: DataFrame, key: str, block: int = 16)
     """`(key, row, col)`: the cell of the runs `(row, start, end)` that is nearest to each point `(key, x, z)`.
 
     Points look for runs in their own square block of cells and the eight round it; what lies within a block's side is
-    the nearest of all. Points that find nothing so near look again in blocks of twice the side. Ties go to the smaller
+    the nearest of all. Points that find nothing so near look again in blocks of twice the side. The runs of a block stand
+    in arrays of at most about RUNS, so a point gives at most a row for each array and not for each run. Ties go to the smaller
     row, then column. Points of null positions, and all points where there are no runs, get no cell.
     """
     runs = stored(union_runs(runs.where("row is not null and start <= end")))
@@ -167,15 +170,22 @@ def nearest_cell(points: DataFrame, runs: DataFrame, key: str, block: int = 16)
     if runs.isEmpty():
         return left.select(key, F.lit(0).alias("row"), F.lit(0).alias("col")).limit(0)
     side = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    tasks = tasks_for(runs.select(F.lit(1)).union(left.select(F.lit(1))), NEAREST_ROWS)
     parts = []
     while True:
-        filed = runs.withColumns({"_bx": F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("end") / block))), "_bz": F.floor(F.col("row") / block)})
+        filed = runs.withColumns({"_bx": F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("end") / block))), "_bz": F.floor(F.col("row") / block), "_part": F.floor(F.col("row") / max(1, 2 * RUNS // block))})
+        filed = filed.repartition(tasks, "_bx", "_bz").groupBy("_bx", "_bz", "_part").agg(F.collect_list(F.struct("row", "start", "end")).alias("_runs"))
         spread = left.withColumn("_bx", F.explode(F.transform(side, lambda d: F.floor(F.col("x") / block) + d))).withColumn("_bz", F.explode(F.transform(side, lambda d: F.floor(F.col("z") / block) + d)))
-        col = F.least(F.greatest(F.col("x"), F.col("start")), F.col("end"))
-        d2 = (col - F.col("x")) * (col - F.col("x")) + (F.col("row") - F.col("z")) * (F.col("row") - F.col("z"))
-        best = spread.join(filed.hint("merge"), ["_bx", "_bz"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), F.col("row"), col.alias("col"))).alias("best"))
-        parts.append(stored(best.where(F.col("best.d2") <= block * block).select(key, "best.row", "best.col")))
-        left = stored(left.join(parts[-1], key, "left_anti"))
+
+        def reached(run: Column) -> Column:
+            col = F.least(F.greatest(F.col("x"), run["start"]), run["end"])
+            d2 = (col - F.col("x")) * (col - F.col("x")) + (run["row"] - F.col("z")) * (run["row"] - F.col("z"))
+            return F.struct(d2.alias("d2"), run["row"].alias("row"), col.alias("col"))
+
+        met = spread.repartition(tasks, "_bx", "_bz").join(filed.hint("merge"), ["_bx", "_bz"]).select(key, F.array_min(F.transform("_runs", reached)).alias("best"))
+        near = met.where(F.col("best.d2") <= block * block).repartition(tasks, key)
+        parts.append(stored(near.groupBy(key).agg(F.min("best").alias("best")).select(key, "best.row", "best.col")))
+        left = stored(left.join(parts[-1].hint("merge"), key, "left_anti"))
         if left.isEmpty():
             return reduce(DataFrame.union, parts)
         block *= 2

@@ -149,3 +149,16 @@ def test_cells_meet_over_the_edges_of_blocks(spark):
     assert sorted(map(tuple, areas.outline(cells, 7).collect())) == sorted(e for e in set(seen) if seen.count(e) == 1)
     sizes = areas.set_sizes(cells, spark.createDataFrame(sorted(moved), "x int, z int"), 7)
     assert {r.op: r.n for r in sizes.collect()} == {"union": len(held | moved), "difference": len(held - moved), "common": len(held & moved)}
+
+
+def test_the_nearest_run_is_that_of_all_runs(spark, monkeypatch):
+    """Points meet arrays of few runs, in parts where a block holds many, over more tasks where there are more points."""
+    draw = random.Random(5)
+    runs = {(draw.randrange(60), 2 * draw.randrange(60)) for _ in range(900)} | {(300, 900), (-400, 7)}
+    asked = [(k, draw.randrange(-40, 160), draw.randrange(-40, 120)) for k in range(150)] + [(999, 500, 500)]
+    want = {(k, *min(((a - x) ** 2 + (row - z) ** 2, row, a) for row, a in runs)[1:]) for k, x, z in asked}
+    points = spark.createDataFrame(asked, "k long, x long, z long")
+    given = spark.createDataFrame([(row, a, a) for row, a in runs], "row int, start int, end int")
+    monkeypatch.setattr(areas, "RUNS", 8)
+    monkeypatch.setattr(areas, "NEAREST_ROWS", 100)
+    assert {tuple(r) for r in areas.nearest_cell(points, given, "k").collect()} == want
