@@ -279,6 +279,32 @@ def test_toxicity(spark, odd, empty):
     assert {r.predicted for r in toxicity.score_toxicity(odd, unlearned).collect()} == {0}
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    """However many they are: shards hold every labelled text once, and the model of many shards tells the held-out texts apart."""
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(draw.choices(words, k=30) + (["vile", f"slur{k % 7}"] if k % 4 == 0 else [])), "en") for k in range(900)]
+    docs, marks = make(spark, rows), [(k, 1, int(k % 4 == 0)) for k in range(700)]
+    texts = toxicity.labelled_texts(docs, _labels(spark, marks))
+    got = texts.collect()
+    assert len(got) == 700 and sum(r.toxic for r in got) == 175 and sum(r.apart for r in got) == 140
+    model = toxicity.fit_toxicity(docs, _labels(spark, marks), langid.fit_languages(docs), shard_documents=90)
+    found = {r.doc_id: r.predicted for r in toxicity.score_toxicity(make(spark, rows[700:]), model).collect()}
+    assert sum(found[k] == int(k % 4 == 0) for k in found) >= 190
+    seen = np.zeros((2, toxicity.VOCABULARY))
+    for r in got:
+        if not r.apart:
+            seen[r.toxic, np.unique(toxicity.word_rows(sorted(set(toxicity.text_words(r.text))))[0])] += 1
+    whole, sharded = toxicity.ConvolutionalClassifier.start(), toxicity.ConvolutionalClassifier.start()
+    n = np.array([sum(not r.apart and r.toxic == t for r in got) for t in (0, 1)])
+    whole.associate(seen, n)
+    learn = texts.where("not apart").select(F.pmod("h", F.lit(7)).alias("shard"), "h", "toxic", "text").repartition(7, "shard").sortWithinPartitions("shard", "h")
+    toxicity._train(sharded, learn, n, 7)
+    still = ~seen.any(axis=0)
+    assert np.array_equal(whole.embeddings[still], sharded.embeddings[still]) and np.abs(whole.embeddings - sharded.embeddings)[~still].max() < 0.5
+
+
+
 def _sentence(draw, n=12):
     return " ".join(f"w{draw.randrange(5000)}" for _ in range(n)).capitalize() + "."
 
