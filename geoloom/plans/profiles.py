@@ -128,9 +128,9 @@ def eight_nearest(read):
 @query("ag13_monthly_normals", """SELECT station, month(day) AS m, round(avg(temp), 1) AS temp, round(avg(precip) * avg(day(last_day(day))), 6) AS rain, count(*) AS days FROM {daily_weather} GROUP BY 1, 2""")
 def normals(read):
     """AG-13: mean temperature to one decimal, and mean daily rain times the length of the month; nulls are skipped."""
-    from geoloom.plans.statistics import rounded
+    from geoloom.plans.statistics import rounded, steady_mean
 
-    return read("daily_weather").groupBy("station", F.month("day").cast("bigint").alias("m")).agg(rounded(F.avg("temp"), 1).alias("temp"), F.round(F.avg("precip") * F.avg(F.dayofmonth(F.last_day("day"))), 6).alias("rain"), F.count("*").alias("days"))
+    return read("daily_weather").groupBy("station", F.month("day").cast("bigint").alias("m")).agg(rounded(steady_mean(F.col("temp")), 1).alias("temp"), F.round(steady_mean(F.col("precip")) * F.avg(F.dayofmonth(F.last_day("day"))), 6).alias("rain"), F.count("*").alias("days"))
 
 
 @query("ag14_winter_precipitation", """SELECT station, round(sum(CASE WHEN station % 3 = 0 AND month(day) IN (10, 11, 12, 1, 2, 3, 4) THEN precip WHEN station % 3 = 1 AND month(day) BETWEEN 4 AND 10 THEN precip WHEN station % 3 = 2 THEN precip * 7 / 12 ELSE 0 END), 4) AS winter FROM {daily_weather} GROUP BY 1""")

@@ -1,13 +1,15 @@
 """Results that only larger tables show, and plans that hold at their size."""
 
+import functools
 import math
+import operator
 import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geoloom.operators import areas, coast, components, grids, spatial
-from geoloom.plans.statistics import rounded
+from geoloom.plans.statistics import rounded, steady_mean
 from geoloom.sources import fixtures
 
 
@@ -22,6 +24,16 @@ def test_a_small_negative_value_keeps_its_sign(spark):
     assert got == [0.0, 0.0, 0.0, -0.1, None] and [math.copysign(1, v) for v in got[:3]] == [-1, 1, 1]
 
 
+def test_a_mean_does_not_depend_on_the_order_of_its_rows(spark):
+    draw = random.Random(1)
+    values = [draw.randrange(1, 100) / draw.choice([1, 2, 3, 7]) * 1.1 for _ in range(60)]
+    shuffled = [draw.sample(values, len(values)) for _ in range(40)]
+    assert len({functools.reduce(operator.add, v) for v in shuffled}) > 1  # one after the other, as engines add
+    rows = [(k, x) for k, v in enumerate(shuffled) for x in v] + [(100, 1.0), (100, math.inf), (101, None), (102, None), (102, 0.5)]
+    got = {r.k: r.m for r in spark.createDataFrame(rows, "k int, x double").coalesce(1).groupBy("k").agg(steady_mean(F.col("x")).alias("m")).collect()}
+    assert len({got[k] for k in range(40)}) == 1 and abs(got[0] - sum(values) / 60) < 1e-11 and [got[k] for k in (100, 101, 102)] == [math.inf, None, 0.5]
+
+
 def test_the_nearest_by_rounds_are_those_of_all_pairs(spark):
     draw = random.Random(7)
     crowd = [(k, 600_000_000 + draw.randrange(3000), 50_000_000 + draw.randrange(3000)) for k in range(60)]
