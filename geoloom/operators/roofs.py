@@ -17,17 +17,18 @@ PITCHED = 0.35
 
 
 def axis_samples(buildings: DataFrame, surface: DataFrame, grid: tuple[int, int], reach: float) -> DataFrame:
-    """`(id, i, j, v)`: the surface less the base under a grid of points in each building's axes; nulls and holes are left out.
+    """`(id, i, j, v)`: the surface less the base under a grid of points in each building's axes; holes are left out, v is null where the surface is.
 
     `buildings`: id, cy, cx (centre), ay, ax (unit vector along the long side), half_a, half_b, base; `surface`: r, c, value.
-    Every point reads the one cell it lies in, an equi join.
+    Every point reads the one cell it lies in, an equi join. The points are many more than the planner takes them for, so the
+    join asks for a merge. A test of the values would be pushed down to where they are worked out, and work them out twice.
     """
     nu, nv = grid
     i, j = F.col("i"), F.col("j")
     spread = buildings.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nu - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
     u, v = (-reach + 2 * reach * i / (nu - 1)) * F.col("half_a"), (-reach + 2 * reach * j / (nv - 1)) * F.col("half_b")
     placed = spread.withColumns({"_u": u, "_v": v}).select("id", "i", "j", "base", F.floor(F.col("cy") + F.col("_u") * F.col("ay") + F.col("_v") * F.col("ax")).alias("r"), F.floor(F.col("cx") + F.col("_u") * F.col("ax") - F.col("_v") * F.col("ay")).alias("c"))
-    return placed.join(surface.where("value is not null").select("r", "c", "value"), ["r", "c"]).select("id", "i", "j", (F.col("value") - F.col("base")).alias("v"))
+    return placed.hint("merge").join(surface.select("r", "c", "value"), ["r", "c"]).select("id", "i", "j", (F.col("value") - F.col("base")).alias("v"))
 
 
 def _at(ordered: str, share: float) -> Column:

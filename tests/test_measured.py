@@ -273,3 +273,13 @@ def test_water_surfaces(spark):
     heights += [(3, 60, 7.0), (3, 61, 9.5), (3, 62, None)]
     got = {r.area_id: tuple(r)[1:] for r in waters.water_surfaces(areas, shore, spark.createDataFrame(heights, "r long, c long, value double"), 2.0).collect()}
     assert got == {1: ("lake", 44.0, 12, False, 24), 2: ("lake", 31.0, 4, False, 0), 3: ("basin", 2.0, 2, True, 0), 4: ("sea", 2.0, 6, True, 0), 5: ("lake", 10.0, 7, False, 2)}
+
+
+def test_samples_are_not_broadcast_and_values_are_worked_out_once(spark):
+    """The many samples of few buildings meet the surface by a merge, and no test of the values is pushed down into the surface."""
+    from geoloom.plans import catalogue
+
+    for name in ("ag08_surface_heights", "ag08_roof_shapes"):
+        query = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        assert "BroadcastHashJoin" not in query.executedPlan().toString() and "SortMergeJoin" in query.executedPlan().toString()
+        assert not any("Join" in line and "CASE" in line for line in query.optimizedPlan().toString().splitlines())
