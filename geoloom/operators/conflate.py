@@ -106,9 +106,10 @@ def line_samples(points: DataFrame, line: str, order: str, count: F.Column, plac
     return linear.points_at(lines, wanted, line).select(line, "i", "n", "total", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.pmod("bearing", F.lit(180.0)).alias("s_bearing"))
 
 
-def sample_hits(samples: DataFrame, lines: DataFrame, reach: float, degrees: float, piece_m: float = linear.PIECE_M) -> DataFrame:
-    """Each sample with every segment of `lines` (seg_id, seq, lat_e7, lon_e7) within `reach` metres and `degrees`, once, with its distance `d`."""
-    return linear.near_segments(samples, linear.measured(lines, "seg_id", "seq"), reach, ("s_lat", "s_lon"), piece_m, "s_bearing", degrees)
+def sample_hits(samples: DataFrame, lines: DataFrame, reach: float, degrees: float) -> DataFrame:
+    """`(way_id, i, n, seg_id, seq, d)`: each sample with every segment of `lines` (seg_id, seq, lat_e7, lon_e7) within `reach` metres and `degrees`, once."""
+    hits = linear.near_segments(samples, linear.measured(lines, "seg_id", "seq"), reach, ("s_lat", "s_lon"), bearing_of="s_bearing", degrees=degrees, keep=("way_id", "i", "n", "seg_id", "seq"))
+    return hits.drop("t", "along")
 
 
 def road_attributes(points: DataFrame, surveyed: DataFrame, attributes: DataFrame, reach: float = 7.0, degrees: float = 35.0) -> DataFrame:

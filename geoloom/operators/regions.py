@@ -112,7 +112,7 @@ def side_by_side(points: DataFrame, layers: DataFrame, reach: float = 12.0, degr
     of = lambda key: layers.where("layer is not null").select(F.col("way_id").alias(key), "layer").hint("merge")
     own = samples.select("way_id", "s_lat", "s_lon", "s_bearing").join(of("way_id"), "way_id")
     others = linear.measured(points.withColumnRenamed("way_id", "seg_id"), "seg_id", "seq").join(of("seg_id"), "seg_id")
-    hits = linear.near_segments(own, others, reach, ("s_lat", "s_lon"), linear.PIECE_M, "s_bearing", degrees, ("layer",))
+    hits = linear.near_segments(own, others, reach, ("s_lat", "s_lon"), bearing_of="s_bearing", degrees=degrees, also=("layer",), keep=("way_id", "seg_id"))
     return hits.where("way_id <> seg_id").select("way_id", "seg_id").distinct()
 
 

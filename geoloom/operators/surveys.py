@@ -41,7 +41,7 @@ def bore_heights(points: DataFrame, bores: DataFrame, reach: float = REACH_M, de
     graded = bores.select("bore_id", "seq", "lat_e7", "lon_e7", F.col("z").cast("double").alias("z"), F.lead(F.col("z").cast("double")).over(ordered).alias("z2"))
     metres = linear.every(linear.measured(points.select("way_id", "seq", "lat_e7", "lon_e7"), "way_id", "seq"), 1.0, "way_id", "total")
     samples = metres.select("way_id", F.col("k").alias("metre"), (F.ceil(F.col("total")) + 1).alias("n"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.pmod("bearing", F.lit(180.0)).alias("s_bearing"))
-    near = linear.near_segments(samples, linear.measured(graded, "bore_id", "seq"), reach, ("s_lat", "s_lon"), linear.PIECE_M, "s_bearing", degrees).where(F.col("d") < reach)
+    near = linear.near_segments(samples, linear.measured(graded, "bore_id", "seq"), reach, ("s_lat", "s_lon"), bearing_of="s_bearing", degrees=degrees).where(F.col("d") < reach)
     height = F.col("z") + F.col("t") * (F.col("z2") - F.col("z"))
     best = near.groupBy("way_id", "metre", "n", "bore_id").agg(F.min(F.struct(F.round("d", 6).alias("d"), "seq", height.alias("z"))).alias("hit"))
     hits = stored(best.select("way_id", "metre", "n", "bore_id", "hit.d", "hit.z"))
