@@ -120,13 +120,12 @@ def road_attributes(points: DataFrame, surveyed: DataFrame, attributes: DataFram
     """
     count = F.when(F.col("total") < 12, 1).when(F.col("total") < 60, 3).otherwise(5)
     samples = line_samples(points, "way_id", "seq", count, F.col("total") * (F.col("i") + 1) / (F.col("n") + 1))
-    hits = sample_hits(samples, surveyed, reach, degrees).join(attributes, "seg_id")
-    order = lambda: Window.partitionBy("way_id", "i").orderBy(F.round("d", 6), "seg_id", "seq")
-    wide = hits.where("width_m is not null").withColumn("_n", F.row_number().over(order())).where("_n = 1")
-    ranked = wide.withColumns({"_r": F.row_number().over(Window.partitionBy("way_id").orderBy("width_m", "i")) - 1, "_c": F.count("*").over(Window.partitionBy("way_id"))})
-    widths = ranked.where("(_c >= 2 or n = 1) and _r = cast(floor(_c / 2) as int)").select("way_id", F.col("width_m").alias("width"))
-    first = hits.where("lanes is not null and lanes > 0").withColumn("_n", F.row_number().over(order())).where("_n = 1")
-    voted = first.groupBy("way_id", "lanes").agg(F.count("*").alias("_c"))
-    lanes = voted.groupBy("way_id").agg(F.max_by("lanes", F.struct("_c", -F.col("lanes"))).alias("lanes"))
-    both = hits.groupBy("way_id").agg(F.bool_or("both_ways").alias("both_ways"))
-    return both.join(widths, "way_id", "left").join(lanes, "way_id", "left").select("way_id", "width", "lanes", "both_ways")
+    hits = sample_hits(samples, surveyed, reach, degrees).join(attributes.hint("merge"), "seg_id")
+    # Hits are read once: a sample takes its own nearest, a way has five samples at most.
+    nearest = lambda value, good: F.min(F.when(good, F.struct(F.round("d", 6).alias("d"), "seg_id", "seq", F.col(value).alias("v"))))["v"].alias(value)
+    of_sample = hits.groupBy("way_id", "i", "n").agg(nearest("width_m", F.col("width_m").isNotNull()), nearest("lanes", F.col("lanes") > 0), F.bool_or("both_ways").alias("both_ways"))
+    of_way = of_sample.groupBy("way_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("width_m")).alias("widths"), F.collect_list("lanes").alias("votes"), F.bool_or("both_ways").alias("both_ways"))
+    count = F.size("widths")
+    width = F.when((count >= 2) | (F.col("n") == 1), F.get("widths", F.floor(count / 2).cast("int")))
+    most = F.array_max(F.transform(F.array_distinct("votes"), lambda v: F.struct(F.size(F.filter("votes", lambda x: x == v)).alias("c"), F.negate(v).alias("v"))))
+    return of_way.select("way_id", width.alias("width"), F.negate(most["v"]).alias("lanes"), "both_ways")
