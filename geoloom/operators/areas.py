@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from geoloom.session import stored, tasks_for
+from geoloom.session import ship_package, stored, tasks_for
 
 #: Side of the square blocks of cells by which cells are dealt.
 BLOCK = 64
@@ -132,22 +137,64 @@ def overlay(cells: DataFrame, order: list, tasks: int | None = None) -> DataFram
     return by_blocks(cells, tasks).groupBy("_bx", "_bz", "x", "z").agg(F.max_by("class", F.struct(*order)).alias("class")).select("x", "z", "class")
 
 
+def _least(start: np.ndarray, stop: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The least squared distance of each cell of many runs (first and last row of each cell's run) to the outside, `g` being that along the column."""
+    at = np.arange(len(g))
+    best = np.minimum(g, np.minimum(at - start, stop - at) + 1) ** 2
+    near, dx = at, 1
+    while len(near := near[best[near] > dx * dx]):
+        for step in (-dx, dx):
+            inside = near[(near + step >= start[near]) & (near + step <= stop[near])]
+            best[inside] = np.minimum(best[inside], dx * dx + g[inside + step] ** 2)
+        dx += 1
+    return best
+
+
+def _row_distances(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Cells in order of key, z, x, whole runs of a row at a time."""
+    kept: pa.Table | None = None
+
+    def told(table: pa.Table, begins: np.ndarray) -> list[pa.RecordBatch]:
+        n = np.diff(np.append(begins, table.num_rows))
+        start, stop = np.repeat(begins, n), np.repeat(begins + n - 1, n)
+        d = np.sqrt(_least(start, stop, table.column("g").to_numpy().astype(np.int64)))
+        return table.drop_columns(["g"]).append_column("d", pa.array(d)).combine_chunks().to_batches()
+
+    def begins_of(table: pa.Table) -> np.ndarray:
+        x, z, own = table.column("x").to_numpy().astype(np.int64), table.column("z").to_numpy(), table.column(key)
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1] + 1) | (z[1:] != z[:-1]) | pc.fill_null(pc.not_equal(own[1:], own[:-1]), True).to_numpy()
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if kept is None else pa.concat_tables([kept, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        begins = begins_of(table)
+        last = int(begins[-1])  # this run may go on in the next batch
+        if last:
+            yield from told(table[:last].combine_chunks(), begins[:-1])
+        kept = table[last:]
+    if kept is not None and kept.num_rows:
+        yield from told(kept.combine_chunks(), np.zeros(1, np.int64))
+
+
 def distance_to_outside(cells: DataFrame, key: str) -> DataFrame:
     """Distance of each cell to the nearest cell outside its body: nearest along the column, then over the row.
 
-    `cells` are (key, x, z). Runs along z give the distance g to the run's ends; along x, the least of dx^2 + g^2 is
-    taken over the columns of the same body within the own g, outside columns counting with g = 0.
+    `cells` are (key, x, z), each once. Runs along z give the distance g to the run's ends; along the row, the least of
+    dx^2 + g^2 is taken over the cells of the same run, and the cells at its ends count with g = 0: what lies beyond them is
+    further off. Rows are read in order, so a cell is shuffled by column and by row and never for its neighbours.
     """
     wz = Window.partitionBy(key, "x").orderBy("z")
     run = cells.withColumn("_i", F.col("z") - F.row_number().over(wz))
     wr = Window.partitionBy(key, "x", "_i")
     g = F.least(F.col("z") - F.min("z").over(wr) + 1, F.max("z").over(wr) - F.col("z") + 1)
-    held = run.withColumn("g", g).select(key, "x", "z", "g")
-    reach = held.withColumn("dx", F.explode(F.sequence(-F.col("g"), F.col("g"))))
-    other = held.select(key, F.col("x").alias("ox"), "z", F.col("g").alias("og"))
-    met = reach.withColumn("ox", F.col("x") + F.col("dx")).join(other.hint("merge"), [key, "ox", "z"], "left")
-    d2 = F.col("dx") * F.col("dx") + F.coalesce("og", F.lit(0)) * F.coalesce("og", F.lit(0))
-    return met.groupBy(key, "x", "z").agg(F.sqrt(F.min(d2)).alias("d"))
+    held = run.select(key, "x", "z", g.cast("bigint").alias("g")).repartition(key, "z").sortWithinPartitions(key, "z", "x")
+    ship_package(cells.sparkSession)
+    schema = StructType([*(cells.schema[c] for c in (key, "x", "z")), StructField("d", DoubleType())])
+    return held.mapInArrow(lambda batches: _row_distances(batches, key), schema)
 
 
 def two_decks(cells: DataFrame, tasks: int | None = None) -> DataFrame:

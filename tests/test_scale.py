@@ -174,3 +174,19 @@ def test_the_nearest_run_is_that_of_all_runs(spark, monkeypatch):
     monkeypatch.setattr(areas, "RUNS", 8)
     monkeypatch.setattr(areas, "NEAREST_ROWS", 100)
     assert {tuple(r) for r in areas.nearest_cell(points, given, "k").collect()} == want
+
+
+def test_distances_to_the_outside_are_those_of_plain_sets(spark):
+    """Bodies with holes and gaps, rows over several batches; a cell makes no rows for its neighbours."""
+    draw = random.Random(9)
+    bodies = {1: {(x, z) for x in range(-12, 14) for z in range(-9, 11) if draw.random() > 0.02}, 2: {(x, 0) for x in range(9)}, 3: {(x, z) for x in range(20) for z in range(20) if x != 11}}
+    cells = spark.createDataFrame([(k, x, z) for k, body in bodies.items() for x, z in body], "k long, x int, z int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = areas.distance_to_outside(cells, "k")
+        assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+        got = {(r.k, r.x, r.z): r.d for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(k, x, z): min(math.hypot(a, b) for a in range(-12, 13) for b in range(-12, 13) if (x + a, z + b) not in body) for k, body in bodies.items() for x, z in body}
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-12 for c in want)
